@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_derivatives
+
+    return page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -19,4 +31,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_html_extraction, op6_warc_derivatives, op8_sharding, op10_decontamination)}
