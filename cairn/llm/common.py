@@ -114,7 +114,8 @@ _BYTE_HASH = seeded_table(256, 11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_HASH = _BYTE_HASH[_LOWER]
-_IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+#: 1: of words (as in RAW_WORD), 2: other visible characters, 0: white space and controls.
+_CLASS = np.array([1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 2 * (32 < b < 127) for b in range(256)], dtype=np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 _POW: dict[str, np.ndarray] = {}
@@ -128,20 +129,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["b"], _POW["i"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the ASCII-lower-cased words of texts, and n + 1 offsets of each text's words."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the ASCII-lower-cased words of texts, and n + 1 offsets of each text's words.
+
+    With punctuation, runs of other visible characters are words too.
+    """
     if not len(data):
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    inside = _IS_WORD[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[first] = inside[first]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-    ends[last] = inside[last]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
+    kind = _CLASS[data]
+    if not punctuation:
+        kind &= 1
+    edge = np.empty(len(data) + 1, bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    s = np.flatnonzero(edge[:-1] & (kind > 0))
+    e = np.flatnonzero(edge[1:] & (kind > 0))
     power, inverse = _powers(len(data))
     total = np.cumsum(_BYTE_HASH[data] * power[: len(data)])
     before = np.where(s > 0, total[s - 1], U64(0))
