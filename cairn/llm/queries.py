@@ -31,6 +31,12 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_derivatives(table(spark, sf_dir, "pages"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -49,4 +55,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
