@@ -26,5 +26,21 @@ WITH v AS (
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+gram AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM doc)),
+sized AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+link AS MATERIALIZED (
+  SELECT x, y FROM common JOIN sized p ON p.r = x JOIN sized q ON q.r = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+  UNION SELECT a.r, b.r FROM doc a JOIN doc b ON a.text IS NOT DISTINCT FROM b.text AND a.r < b.r),
+edge AS MATERIALIZED (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT r AS x, r AS y FROM doc UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+class AS (SELECT reach.x AS r, min(doc.doc_id) AS class_id FROM reach JOIN doc ON doc.r = reach.y GROUP BY reach.x),
+degree AS (SELECT x AS r, count(*) AS n_links FROM edge GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM doc JOIN class USING (r) LEFT JOIN degree USING (r)
 """,
 }

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
@@ -55,4 +61,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
