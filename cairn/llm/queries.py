@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
+#: A public vocabulary file; the operators take its path as a parameter.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar
@@ -13,6 +16,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), MODEL)
+
+
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
@@ -61,4 +70,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
