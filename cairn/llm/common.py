@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 #: Words of the text contracts: runs of digits, letters and all characters beyond ASCII (case kept).
@@ -40,6 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose keys (column of dropped: expression on docs) do not occur in dropped, nulls equal.
+
+    The dropped keys are written first; they are broadcast only up to `most` rows, beyond that the join shuffles."""
+    gone = written(dropped.select(*keys).distinct(), name).select(*[F.col(k).alias(f"gone_{n}") for n, k in enumerate(keys)])
+    same = None
+    for n, value in enumerate(keys.values()):
+        test = value.eqNullSafe(F.col(f"gone_{n}"))
+        same = test if same is None else same & test
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")
+
+
 _paths: list[tuple[SparkSession, str]] = []
 
 

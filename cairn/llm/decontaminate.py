@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import RAW_WORD
+from .common import RAW_WORD, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The window table is broadcast up to so many rows of at most so many characters; beyond, Spark shuffles the join.
@@ -34,12 +34,13 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, width: int) -> Da
     return runs.groupBy(F.array_join("words", " ").alias("window"), "n", "words").agg(F.collect_set(F.coalesce("item", F.lit("null"))).alias("items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a window is hit; a document is contaminated if n_hit > 0 and
     share * n_hit >= n_words. Null and empty texts have no words and are clean; an item without words has no
     window; repeated rows each get their own (equal) result; no items: all clean. Other columns are not read.
+    with_hash adds text_hash, which tells texts under one id apart.
     """
     windows = windows_of(items, item_col, item_text_col, width).cache()
     rows, chars = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("window") + 32 * F.size("items")), F.lit(0))).first()
@@ -70,4 +71,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *([F.col("h").alias("text_hash")] if with_hash else []),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs."""
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, with_hash=True, **options).where("contaminated")
+    return without(docs, bad, {id_col: F.col(id_col), "text_hash": F.xxhash64(F.col(text_col))}, "contaminated")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix, seeded_table, slices, text_bytes, word_hashes, written
+from .common import mix, seeded_table, slices, text_bytes, without, word_hashes, written
 
 U64 = np.uint64
 _SPREAD = seeded_table(64, 23) | U64(1)
@@ -198,18 +198,10 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text, F.lit(1)).alias("k1"), F.xxhash64(text, F.lit(2), F.length(text)).alias("k2")]
 
 
-def similar(
+def _classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 4, bands: int = 24, step: int = 16, tolerance: float = 1e-4, unit_docs: int = 2048, unit_grams: int = 1_500_000, pack_pairs: int = 2_000_000
-) -> DataFrame:
-    """One row for each row of docs: id, class_id (the smallest id of its component), n_links.
-
-    Two documents are linked if the Jaccard similarity of their sets of n-word grams (words lower-cased A-Z) is at or
-    over the threshold; n_links counts the other documents linked to a document, copies included. A text of fewer
-    than n words is one gram; texts without words (null, empty) link only to equal texts, null being its own text.
-    Repeated rows are copies; null ids form classes like others (a class of null ids only has a null class_id); an
-    empty table gives no rows; other columns are not read. A pair at the threshold is missed with a probability of
-    (1 - threshold**rows)**bands, 3e-6 as given, plus the tolerance.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, k1, k2, uid of every document; classes: k1, k2, root, class_id, n_links of every text)."""
     size = rows * bands
     steps = least_matches(step, size, threshold, tolerance)
     text = F.col(text_col).cast("string")
@@ -345,5 +337,31 @@ def similar(
     roots = components(checked.select(F.col("uid").alias("u"), F.col("root").alias("v")))
     joined = classes.join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("class_id"))
-    result = joined.join(lowest, "root").select("k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("id", "k1", "k2").join(result, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"))
+    return signed.select("id", "k1", "k2", "uid"), joined.join(lowest, "root").select("k1", "k2", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One row for each row of docs: id, class_id (the smallest id of its component), n_links.
+
+    Two documents are linked if the Jaccard similarity of their sets of n-word grams (words lower-cased A-Z) is at or
+    over the threshold; n_links counts the other documents linked to a document, copies included. A text of fewer
+    than n words is one gram; texts without words (null, empty) link only to equal texts, null being its own text.
+    Repeated rows are copies; null ids form classes like others (a class of null ids only has a null class_id); an
+    empty table gives no rows; other columns are not read. A pair at the threshold is missed with a probability of
+    (1 - threshold**rows)**bands, 3e-6 as given, plus the tolerance.
+    """
+    documents, classes = _classes(docs, id_col, text_col, **options)
+    return documents.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One row of docs for each class of similar(): that of the smallest id (null ids last), with the columns of docs."""
+    documents, classes = _classes(docs, id_col, text_col, **options)
+    rows = written(documents.join(classes.select("k1", "k2", "root"), ["k1", "k2"]), "rows")
+    order = F.struct(F.col("id").isNull(), "id", "uid")
+    first = rows.groupBy("root").agg(F.min_by(F.struct("id", "k1", "k2"), order).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", F.struct("id", "k1", "k2").eqNullSafe(F.col("first")))
+    key = text_keys(F.col(text_col).cast("string"))
+    left = without(docs, judged.where(~F.col("stays")), {"id": F.col(id_col).cast("long"), "k1": key[0], "k2": key[1]}, "dropped")
+    repeated = judged.where("stays").groupBy("root").count().where("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, text_bytes, written
+from .common import slices, text_bytes, without, written
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -204,5 +204,5 @@ def _lists(x: np.ndarray) -> pa.ListArray:
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs that identify() accepts, with the columns of docs."""
-    rejected = identify(docs, id_col, text_col, **options).where(~F.col("accepted")).select(F.col(id_col).alias("r_id"), F.col("text_hash").alias("r_hash")).distinct()
-    return docs.join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col("r_id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("r_hash")), "left_anti")
+    rejected = identify(docs, id_col, text_col, **options).where(~F.col("accepted"))
+    return without(docs, rejected, {id_col: F.col(id_col).cast("long"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, "rejected")
