@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from cairn.llm.common import table, written
+from cairn.llm.decontaminate import drop_contaminated
+from cairn.llm.jaccard import keep_one
+from cairn.llm.language import keep_identified
+from cairn.llm.pieces import encode
+from cairn.llm.pii import pseudonyms
+from cairn.llm.queries import MODEL
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; the others go."""
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of (near) copies."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values exchanged for pseudonyms; n_chars follows the text."""
+    return pseudonyms(docs).drop("pii").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document."""
+    return encode(docs, MODEL)
+
+
+STAGES = [("language_id", language), ("ngram_jaccard", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("sentencepiece", encoding)]
+
+#: No SQL: language ID and the sampled segmentations cannot be expressed in it; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
