@@ -23,12 +23,31 @@ class Lists:
         self.ids, self.vectors = ids, vectors
         n = len(ids)
         up = np.argsort(vectors, axis=0, kind="stable").T
-        self.order = (np.ascontiguousarray(up[:, ::-1]), np.ascontiguousarray(up))
         values = np.take_along_axis(vectors.T, up, 1).astype(np.float64)
-        self.values = (np.ascontiguousarray(values[:, ::-1]), values)
+        # lists from the large end of every dimension, then those from the small end
+        self.order = np.concatenate([up[:, ::-1], up])
+        self.values = np.concatenate([values[:, ::-1], values])
+        ends = np.split(self.values, 2)
         self.depths = np.unique(np.ceil(np.linspace(0, n, GRID + 1)[1:]).astype(np.int64)) if n else np.zeros(0, np.int64)
-        self.front = tuple(v[:, self.depths - 1] for v in self.values)  # dimensions x depths
+        self.front = tuple(v[:, self.depths - 1] for v in ends)  # dimensions x depths
         self.worst = (values[:, 0], values[:, -1]) if n else None
+        self.dense = vectors.astype(np.float64)  # exact: scores stay far under 2**53
+        # mean and variance over rows of max(component, frontier), to foresee how many rows a depth leaves open
+        left = n - self.depths
+        first = [(np.cumsum(v, 1)[:, self.depths - 1] + left * f) / max(n, 1) for v, f in zip(ends, self.front, strict=True)]
+        # read from the small end a list's bound is a minimum; its weight is negative, so the same sums serve
+        second = [(np.cumsum(v * v, 1)[:, self.depths - 1] + left * f * f) / max(n, 1) for v, f in zip(ends, self.front, strict=True)]
+        self.mean, self.spread = first, [s - m * m for s, m in zip(second, first, strict=True)]
+
+    def _foresee(self, used: np.ndarray, weight: np.ndarray, side: np.ndarray, floor: float, least: int) -> int:
+        """The depth, at or beyond grid place `least`, where reading plus resolving what stays open costs least."""
+        pick = lambda x: np.where(side[:, None] == 0, x[0][used], x[1][used])
+        mean = weight @ pick(self.mean)
+        spread = np.sqrt(np.maximum(weight**2 @ pick(self.spread), 1e-9))
+        share = 1 / (1 + np.exp(np.clip(1.7 * (floor - mean) / spread, -500, 500)))  # a normal tail, near enough
+        cost = self.depths * len(used) * 1.0 + share * len(self.ids) * 30.0
+        cost[:least] = np.inf
+        return int(np.argmin(cost))
 
     def read(self, query: np.ndarray, best: list[tuple[int, int]], k: int, own: int | None) -> list[tuple[int, int]]:
         """best: the (score, id) so far, sorted by score descending, id ascending; returned with this block's rows."""
@@ -44,7 +63,8 @@ class Lists:
         if floor is None:
             floor, at = self._bootstrap(used, weight, side, offers, total, k, own)
         else:
-            at = int(np.argmax(total < floor)) if total[-1] < floor else len(self.depths) - 1
+            least = int(np.argmax(total < floor)) if total[-1] < floor else len(self.depths) - 1
+            at = self._foresee(used, weight, side, floor, least) if len(used) else least
         depth = int(self.depths[at])
         if len(used):
             upper = total[at] + self._read(used, side, depth, weight, offers[:, at], n)
@@ -53,18 +73,28 @@ class Lists:
         open_rows = np.flatnonzero(upper >= floor) if floor is not None else np.arange(n)
         if own is not None:
             open_rows = open_rows[open_rows != own]
-        scores = self.vectors[open_rows] @ query
+        scores = (self.dense[open_rows] @ query.astype(np.float64)).astype(np.int64)
+        if len(scores) > k:
+            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+            bar = max(bar, floor) if floor is not None else bar
+            good = scores >= bar
+            scores, open_rows = scores[good], open_rows[good]
+        if not len(scores):
+            return best
         got = [*best, *zip(scores.tolist(), self.ids[open_rows].tolist(), strict=True)]
         got.sort(key=lambda x: (-x[0], x[1]))
         return got[:k]
 
     def _read(self, used: np.ndarray, side: np.ndarray, depth: int, weight: np.ndarray, less: np.ndarray, n: int) -> np.ndarray:
         """Per row, the sum over the lists where it was met of its part of the score less `less`."""
-        rows = np.concatenate([self.order[s][d, :depth] for d, s in zip(used, side, strict=True)])
-        parts = np.stack([self.values[s][d, :depth] for d, s in zip(used, side, strict=True)])
-        parts *= weight[:, None]
-        parts -= less[:, None]
-        return np.bincount(rows, parts.ravel(), n)
+        out = np.zeros(n)
+        for s in range(0, len(used), 16):  # some lists at a time stay in the processor's cache
+            at = used[s : s + 16] + side[s : s + 16] * (len(self.order) // 2)
+            parts = self.values[at, :depth]
+            parts *= weight[s : s + 16, None]
+            parts -= less[s : s + 16, None]
+            out += np.bincount(self.order[at, :depth].ravel(), parts.ravel(), n)
+        return out
 
     def _bootstrap(self, used: np.ndarray, weight: np.ndarray, side: np.ndarray, offers: np.ndarray, total: np.ndarray, k: int, own: int | None) -> tuple[float | None, int]:
         """Without a bound yet: read deeper until the k-th lower bound beats what outsiders can reach."""
@@ -120,14 +150,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             order = np.argsort(np.asarray(mine.column("id")), kind="stable")
             ids = np.asarray(mine.column("id"))[order]
             matrix = np.asarray(mine.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), size)[order]
-            lists = [Lists(ids[s : s + block_rows], matrix[s : s + block_rows]) for s in range(0, len(ids), block_rows)]
+            cuts = [0, *range(min(block_rows // 8, len(ids)), len(ids), block_rows), len(ids)]  # a small first block: it has no bound yet
+            lists = [Lists(ids[s:e], matrix[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
             wanted = asked.filter(pa.array(np.asarray(asked.column("size")) == size))
             for q, v in zip(wanted.column("id").to_pylist(), wanted.column("v").to_pylist(), strict=True):
                 query, best = np.array(v, dtype=np.int64), []
                 first, last = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
                 same = next((r for r in range(first, last) if np.array_equal(matrix[r], query)), None)
-                for n, x in enumerate(lists):
-                    own = same - n * block_rows if same is not None and n * block_rows <= same < (n + 1) * block_rows else None
+                for start, x in zip(cuts[:-1], lists, strict=True):
+                    own = same - start if same is not None and start <= same < start + len(x.ids) else None
                     best = x.read(query, best, k, own)
                 out += [(q, hash_of(v), i, s) for s, i in best]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
