@@ -114,7 +114,7 @@ def prune(a: np.ndarray, b: np.ndarray, band: np.ndarray, sig: np.ndarray, rows:
     for n, fewest in steps:
         same = sig[a, last:n] == sig[b, last:n]
         matches += same.sum(1, dtype=np.int32)
-        whole = same.reshape(len(a), -1, rows).all(2)
+        whole = same.reshape(len(a), (n - last) // rows, rows).all(2)
         bands = np.arange(last // rows, n // rows)
         earlier = (whole & (bands[None, :] < band[a][:, None])).any(1)
         keep = (matches >= fewest) & ~earlier
