@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import ratio
+from .stats import offsets, value_bins
 
 
 def confusion(df: DataFrame, y: str = "y", guess: str = "guess") -> DataFrame:
@@ -46,15 +47,11 @@ def class_report(counts: DataFrame) -> DataFrame:
 
 
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """score, positives, negatives and the same among larger scores, by offsets of range partitions."""
-    cells = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    parts = cells.repartitionByRange(F.desc("s")).withColumn("_p", F.spark_partition_id())
-    sums = parts.groupBy("_p").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"), F.max("s").alias("top"))
-    before = W.orderBy(F.desc("top")).rowsBetween(W.unboundedPreceding, -1)  # a row a partition
-    starts = sums.select("_p", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b"))
-    inside = W.partitionBy("_p").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
-    run = parts.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("x"), F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("z"))
-    return run.join(F.broadcast(starts), "_p").select("s", "pos", "neg", (F.col("x") + F.col("a")).alias("pos_above"), (F.col("z") + F.col("b")).alias("neg_above"))
+    """score, positives, negatives and the same among larger scores."""
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(F.col(y).alias("y"), F.col(score).cast("double").alias("s"))
+    number = value_bins(known, ["s"])["s"]
+    cells = known.groupBy(number.alias("_bin"), "s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    return offsets(cells, {"pos": "pos_above", "neg": "neg_above"}, F.desc("s"), F.desc("_bin"), [])
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:

@@ -4,46 +4,69 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tails import normal_two_sided, student_two_sided
 
 
-def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """value, its average rank among the non-null rows and its count.
+def _below(edges: Column, value: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < value))
 
-    Counts by value are range-partitioned and ranked by their offset, so equal values, however many, are one row.
+
+def value_bins(df: DataFrame, columns: list[str], bins: int = 64) -> dict[str, Column]:
+    """For each column the number of its bin: equal-count bins whose edges are read once and are then constants."""
+    at = F.array(*[F.lit(n / bins) for n in range(1, bins)])
+    edges = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, 1000) for c in columns]).first()
+    out = {}
+    for c, found in zip(columns, edges, strict=True):
+        out[c] = _below(F.array(*[F.lit(float(x)) for x in sorted(set(found))]), F.col(c).cast("double")) if found else F.lit(0)
+    return out
+
+
+def offsets(cells: DataFrame, weights: dict[str, str], order: Column, bin_order: Column, by: list[str]) -> DataFrame:
+    """cells (one row a value, with its `_bin`) with, for each weight, the sum over the values before (named by the dict).
+
+    Running sums stay inside a bin; the bins' own totals, a few rows a group, give where each starts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
-    inside = parts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_p").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    sizes = parts.groupBy("_p").agg(F.sum("_n").alias("_size"))
-    offset = F.coalesce(F.sum("_size").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_p", offset.alias("_start"))
-    placed = inside.join(F.broadcast(starts), "_p")
-    return placed.select(value, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
+    inside = W.partitionBy(*by, "_bin").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    run = cells.withColumns({f"_in_{n}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w, n in weights.items()})
+    before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(bin_order).rowsBetween(W.unboundedPreceding, -1)
+    totals = cells.groupBy(*by, "_bin").agg(*[F.sum(w).alias(w) for w in weights])
+    starts = totals.select(*by, "_bin", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_from_{n}") for w, n in weights.items()])
+    joined = run.join(F.broadcast(starts), [*by, "_bin"])
+    return joined.withColumns({n: F.col(f"_in_{n}") + F.col(f"_from_{n}") for n in weights.values()}).drop("_bin", *[f"{x}_{n}" for n in weights.values() for x in ("_in", "_from")])
+
+
+def average_ranks(df: DataFrame, value: str, rank: str, by: list[str] | None = None, bin_of: Column | None = None) -> DataFrame:
+    """by, value, its average rank among the group's non-null rows and its count; equal values, however many, are one row."""
+    by = by or []
+    known = df.where(F.col(value).isNotNull())
+    number = bin_of if bin_of is not None else value_bins(known, [value])[value]
+    cells = known.groupBy(*by, number.alias("_bin"), value).agg(F.count("*").alias("_n"))
+    placed = offsets(cells, {"_n": "_before"}, F.col(value), F.col("_bin"), by)
+    return placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, spearman for every pair of columns (both orders and itself), over the rows where both are known."""
-
-    def pair(x: str, y: str) -> DataFrame:
-        both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        # pairs of values with their counts carry the whole correlation
-        cells = both.groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx, ry = average_ranks(both, "x", "rx"), average_ranks(both, "y", "ry")
-        met = cells.join(rx, "x").join(ry, "y")
-        n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-        sxx, syy, sxy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry")))
-        spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-        return met.agg(F.try_divide(n * sxy - sx * sy, spread).alias("spearman")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "spearman")
-
-    found = [pair(x, y) for x, y in itertools.combinations(columns, 2)]
-    mirrored = [f.select(F.col("y").alias("x"), F.col("x").alias("y"), "spearman") for f in found]
-    own = [df.agg(F.when(F.count_distinct(c) > 1, F.lit(1.0)).alias("spearman")).select(F.lit(c).alias("x"), F.lit(c).alias("y"), "spearman") for c in columns]
-    return reduce(DataFrame.unionByName, [*found, *mirrored, *own])
+    """x, y, spearman for every pair of columns (both orders and itself), over the rows where both are known.
+
+    All pairs go through one plan: rows are counted by pair of values, and those cells carry the whole correlation.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    bins = value_bins(wide, columns)
+    pairs = list(itertools.combinations_with_replacement(columns, 2))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("xv"), F.col(b).alias("yv"), bins[a].alias("xb"), bins[b].alias("yb")) for a, b in pairs])).alias("p")
+    long = wide.select(each).select("p.*").where("xv is not null and yv is not null")
+    cells = long.groupBy("x", "y", "xv", "yv", "xb", "yb").agg(F.count("*").alias("n"))
+    side = lambda v, b, r: offsets(cells.groupBy("x", "y", F.col(b).alias("_bin"), v).agg(F.sum("n").alias("_n")), {"_n": "_before"}, F.col(v), F.col("_bin"), ["x", "y"]).select("x", "y", v, (F.col("_before") + (F.col("_n") + 1) / 2).alias(r))
+    met = cells.join(side("xv", "xb", "rx"), ["x", "y", "xv"]).join(side("yv", "yb", "ry"), ["x", "y", "yv"])
+    n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
+    sxx, syy, sxy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry")))
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    found = met.groupBy("x", "y").agg(F.try_divide(n * sxy - sx * sy, F.nullif(spread, F.lit(0.0))).alias("spearman"))
+    turned = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return found.select(F.explode(turned).alias("p"), "spearman").select("p.x", "p.y", "spearman")
 
 
 def order_correlations(orders: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
