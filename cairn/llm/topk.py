@@ -45,7 +45,7 @@ class Lists:
         mean = weight @ pick(self.mean)
         spread = np.sqrt(np.maximum(weight**2 @ pick(self.spread), 1e-9))
         share = 1 / (1 + np.exp(np.clip(1.7 * (floor - mean) / spread, -500, 500)))  # a normal tail, near enough
-        cost = self.depths * len(used) * 1.0 + share * len(self.ids) * 30.0
+        cost = self.depths * len(used) * 1.0 + share * len(self.ids) * 12.0
         cost[:least] = np.inf
         return int(np.argmin(cost))
 
@@ -124,7 +124,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 128, group_rows: int = 65_536, block_rows: int = 8_192) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 128, group_rows: int = 65_536, block_rows: int = 16_384) -> DataFrame:
     """For each row whose id is divisible by `every`: its k best other rows (all, if fewer) by integer inner product.
 
     Returns query_id, rank, vec_id, score; ties go to the smaller id. Rows with a null id, a null vector, or null or
@@ -150,7 +150,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             order = np.argsort(np.asarray(mine.column("id")), kind="stable")
             ids = np.asarray(mine.column("id"))[order]
             matrix = np.asarray(mine.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), size)[order]
-            cuts = [0, *range(min(block_rows // 8, len(ids)), len(ids), block_rows), len(ids)]  # a small first block: it has no bound yet
+            cuts = [0, *range(min(1024, block_rows, len(ids)), len(ids), block_rows), len(ids)]  # a small first block: it has no bound yet
             lists = [Lists(ids[s:e], matrix[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
             wanted = asked.filter(pa.array(np.asarray(asked.column("size")) == size))
             for q, v in zip(wanted.column("id").to_pylist(), wanted.column("v").to_pylist(), strict=True):
