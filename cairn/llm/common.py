@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 #: Words of the text contracts: runs of digits, letters and all characters beyond ASCII (case kept).
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -78,6 +80,30 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A batch function after which a worker gives memory it no longer uses back: idle workers stay alive beside busy ones."""
+
+    def wrapped(batches: Batches) -> Batches:
+        def counted() -> Batches:
+            for b in batches:
+                yield b
+                give_back()
+
+        yield from run(counted())
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose `column` (strings) holds about max_bytes each; one row at least."""
     col = batch.column(column)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Boosted, fit
-from .common import slices
+from .common import frugal, slices
 from .dom import Node, attributes, clean, parse
 
 #: Groups of attribute tokens (from class, id, role and similar), each one feature.
@@ -340,4 +340,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.record_batch([part.column("i"), part.column("u"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     frame = pages.selectExpr(f"cast(`{id_col}` as bigint) i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h")
-    return frame.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long")
+    return frame.mapInArrow(frugal(run), f"`{id_col}` long, `{url_col}` string, text string, n_chars long")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix, seeded_table, slices, text_bytes, without, word_hashes, written
+from .common import frugal, give_back, mix, seeded_table, slices, text_bytes, without, word_hashes, written
 
 U64 = np.uint64
 _SPREAD = seeded_table(64, 23) | U64(1)
@@ -215,7 +215,7 @@ def _classes(
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), part.column("k2"), pa.array(np.diff(at).astype(np.int32)), sig], names=["id", "k1", "k2", "grams", "sig"])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), *text_keys(text), F.coalesce(text, F.lit("")).alias("t"))
-    signed = written(keyed.mapInArrow(sign, "id long, k1 long, k2 long, grams int, sig binary").withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = written(keyed.mapInArrow(frugal(sign), "id long, k1 long, k2 long, grams int, sig binary").withColumn("uid", F.monotonically_increasing_id()), "signed")
     classes = written(signed.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("id").alias("low"), F.max("grams").alias("grams")), "classes")
     reps = signed.where("grams > 0").join(classes.select("uid", "copies"), "uid")
 
@@ -231,7 +231,7 @@ def _classes(
             uid, grams = (np.asarray(b.column(c)) for c in ("uid", "grams"))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), b.num_rows)), pa.array(np.repeat(uid, bands)), pa.array(np.repeat(grams, bands))], names=["bucket", "band", "uid", "grams"])
 
-    banded = reps.select("uid", "grams", "sig").mapInArrow(band, "bucket long, band int, uid long, grams int")
+    banded = reps.select("uid", "grams", "sig").mapInArrow(frugal(band), "bucket long, band int, uid long, grams int")
     met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.first("band").alias("band"), F.sum(F.col("grams").cast("long")).alias("mass"), F.min("uid").alias("low"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("mark")).where("n > 1")
     kept = met.groupBy("n", "mark", "low").agg(F.min_by(F.struct("bucket", "band", "mass"), F.struct("band", "bucket")).alias("b")).select("b.*", "n")
     chunks = F.greatest(F.ceil(F.col("n") / unit_docs), F.ceil(F.col("mass") / unit_grams)).cast("int")
@@ -293,7 +293,7 @@ def _classes(
             yield packed()
 
     ordered = members.repartition("unit").sortWithinPartitions("unit")
-    packs = written(ordered.select("unit", "uid", "band", "side", "grams", "sig").mapInArrow(candidates, "pack long, uids array<long>, a binary, b binary"), "packs")
+    packs = written(ordered.select("unit", "uid", "band", "side", "grams", "sig").mapInArrow(frugal(candidates), "pack long, uids array<long>, a binary, b binary"), "packs")
     wanted = packs.select(F.col("pack").alias("into"), F.explode("uids").alias("uid"))
     needed = written(wanted.select("uid").distinct().join(classes, "uid").select("uid", "k1", "k2", "copies"), "needed")
     sources = docs.select(*text_keys(text), text.alias("t")).join(_sized(needed, needed.count()), ["k1", "k2"]).select("uid", "copies", "t")
@@ -305,7 +305,7 @@ def _classes(
                 unique = [np.unique(grams[s:e]).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("copies"), pa.array(unique, pa.binary())], names=["uid", "copies", "set"])
 
-    found = sources.mapInArrow(sets, "uid long, copies long, set binary").dropDuplicates(["uid"])
+    found = sources.mapInArrow(frugal(sets), "uid long, copies long, set binary").dropDuplicates(["uid"])
     brought = wanted.join(found, "uid").select("into", "uid", "copies", "set")
 
     def check(pack: pa.Table, brought: pa.Table) -> pa.Table:
@@ -330,6 +330,7 @@ def _classes(
         if ea:
             root = _roots(len(ids), np.concatenate(ea), np.concatenate(eb))
         some = links > 0
+        give_back()
         return pa.table({"uid": pa.array(ids[some]), "root": pa.array(ids[root][some]), "links": pa.array(links[some])})
 
     checked = written(packs.select("pack", "uids", "a", "b").groupBy("pack").cogroup(brought.groupBy("into")).applyInArrow(check, "uid long, root long, links long"), "links")

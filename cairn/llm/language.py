@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, text_bytes, without, written
+from .common import frugal, slices, text_bytes, without, written
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -59,7 +59,7 @@ class TextModel:
         counts[:, 0] = 0
         held = (counts.sum(1, keepdims=True) + smoothing * BUCKETS).clip(1e-9)
         weights = np.log((counts + smoothing) / held)
-        # und: the pooled bytes in independent order
+        # und: half the pooled bytes in independent order, half any trigram at all
         p = np.log((single + 0.5) / (single.sum() + 128))
         kinds = np.flatnonzero(np.bincount(_FOLD, minlength=256))
         grid = np.zeros(BUCKETS)
@@ -69,7 +69,7 @@ class TextModel:
         at = _trigrams(np.stack([a, b, c], 1).ravel())[::3]
         np.add.at(grid, at, np.exp(p[a] + p[b] + p[c]))
         grid[0] = 0
-        und = np.log((grid / max(grid.sum(), 1e-12) + 1e-6) / (1 + 1e-6 * BUCKETS))
+        und = np.log(0.5 * grid / max(grid.sum(), 1e-12) + 0.5 / BUCKETS)
         weights = np.vstack([weights, und])
         weights[:, 0] = 0
         return TextModel([*languages, UND], weights.astype(np.float32))
@@ -147,7 +147,7 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "declared", "suffix", "host")), _lists(logs), _lists(_normal(logs)), pa.array(letters)], names=["id", "h", "declared", "suffix", "host", "logs", "p", "letters"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), declared.alias("declared"), suffix_language(url).alias("suffix"), host.alias("host"), F.coalesce(text, F.lit("")).alias("t"))
-    own = written(frame.mapInArrow(run, "id long, h long, declared string, suffix string, host string, logs array<double>, p array<double>, letters boolean"), "language")
+    own = written(frame.mapInArrow(frugal(run), "id long, h long, declared string, suffix string, host string, logs array<double>, p array<double>, letters boolean"), "language")
     k = len(names)
     domain = F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host"))
     sums = [F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
@@ -190,7 +190,7 @@ def identify(
             )
 
     joined = own.join(prior, "host", "left").select("id", "h", "declared", "suffix", "logs", "p", "letters", "hs", "ds")
-    return joined.mapInArrow(fuse, f"`{id_col}` long, text_hash long, lang string, posterior double, text_lang string, declared string, host_prior double, accepted boolean")
+    return joined.mapInArrow(frugal(fuse), f"`{id_col}` long, text_hash long, lang string, posterior double, text_lang string, declared string, host_prior double, accepted boolean")
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, _powers, mix, seeded_table, slices, text_bytes, uniform
+from .common import _BASE, frugal, mix, _powers, seeded_table, slices, text_bytes, uniform
 
 U64 = np.uint64
 np.seterr(over="ignore")  # hashes wrap around
@@ -438,7 +438,7 @@ def encode(docs: DataFrame, model_path: str, samples: int = 2, alpha: float = 0.
 
     text = F.col(text_col).cast("string")
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("key"), text.isNull().alias("empty"), F.coalesce(text, F.lit("")).alias("t"))
-    return frame.mapInArrow(run, f"`{id_col}` long, sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, round_trip boolean")
+    return frame.mapInArrow(frugal(run), f"`{id_col}` long, sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -452,4 +452,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
             texts = [None if x is None else bytes(decode_bytes(np.array(x, np.int64), vocab)[1:]).decode("utf-8", "replace") for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
-    return encoded.select(*columns).mapInArrow(run, f"{fields}, text string")
+    return encoded.select(*columns).mapInArrow(frugal(run), f"{fields}, text string")

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import slices
+from .common import frugal, slices
 
 ROUNDS = 8
 #: Length of a bank account number (IBAN) by country. Fixed values of the published registry.
@@ -278,4 +278,4 @@ def pseudonyms(docs: DataFrame, key: str = "cairn-demo-key", id_col: str = "doc_
                 columns[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*part.schema.names, "pii"])
 
-    return frame.mapInArrow(run, fields)
+    return frame.mapInArrow(frugal(run), fields)

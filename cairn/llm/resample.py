@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, seeded_table, slices, text_bytes, uniform, word_hashes, written
+from .common import frugal, mix, seeded_table, slices, text_bytes, uniform, word_hashes, written
 
 U64 = np.uint64
 _PAIR = U64(0x9FB21C651E98DF25)
@@ -87,7 +87,7 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets
         used = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(used), pa.array(raw[used]), pa.array(wanted[used])], names=["bucket", "raw", "good"])
 
-    sums = flagged.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
+    sums = flagged.mapInArrow(frugal(count), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
     raw, wanted = np.ones(buckets), np.ones(buckets)
     for b, r, g in sums:
         raw[b] += r
@@ -100,15 +100,16 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets
             for part in slices(batch, "t", 1 << 20):
                 data, offsets = text_bytes(part.column("t"))
                 found, at = features(data, offsets, buckets)
-                total = np.concatenate([[0.0], np.cumsum(ratio[found])])
                 n = np.diff(at)
-                weight = np.where(n > 0, length * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1), -1e9)
+                weight, real = np.full(len(n), -1e9), np.flatnonzero(n > 0)
+                if len(real):
+                    weight[real] = length * np.add.reduceat(ratio[found], at[:-1][real]) / n[real]
                 tie = mix(np.asarray(part.column("key")).astype(np.int64).view(U64) + salt)
                 draw = weight - np.log(-np.log(uniform(tie)))
                 yield pa.record_batch([part.column("id"), pa.array(n), pa.array(weight), pa.array(draw), pa.array((tie >> U64(1)).astype(np.int64))], names=["id", "n", "weight", "draw", "tie"])
 
     keyed = rows.select("id", F.xxhash64("id", F.xxhash64("t")).alias("key"), "t")
-    scored = written(keyed.mapInArrow(score, "id long, n long, weight double, draw double, tie long"), "resample")
+    scored = written(keyed.mapInArrow(frugal(score), "id long, n long, weight double, draw double, tie long"), "resample")
     k = int(np.ceil(fraction * scored.count()))
     last = _threshold(scored, k) if k else None
     chosen = F.lit(False) if last is None else (F.col("draw") > last[0]) | ((F.col("draw") == last[0]) & (F.col("tie") <= last[1]))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import frugal, slices
 from .dom import parse, plain_text
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, header string, block binary"
@@ -89,7 +89,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
             for part in slices(batch, "h", 1 << 21):
                 yield _batch([response(i, u, h, date) for i, u, h in zip(*(part.column(c).to_pylist() for c in "iuh"), strict=True)])
 
-    return pages.selectExpr(f"`{id_col}` i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(run, SCHEMA)
+    return pages.selectExpr(f"`{id_col}` i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(frugal(run), SCHEMA)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 rows = zip(*(part.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "block", "payload_digest")), strict=True)
                 yield _batch([d for r in rows for d in derive(*r)])
 
-    return records.where("record_type = 'response'").select("record_id", "target_uri", "warc_date", "block", "payload_digest").mapInArrow(run, SCHEMA)
+    return records.where("record_type = 'response'").select("record_id", "target_uri", "warc_date", "block", "payload_digest").mapInArrow(frugal(run), SCHEMA)
 
 
 def page_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -122,7 +122,7 @@ def page_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_co
                 got = _batch(out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *got.columns], names=[id_col, *FIELDS])
 
-    return pages.selectExpr(f"cast(`{id_col}` as bigint) i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(run, f"`{id_col}` long, {SCHEMA}")
+    return pages.selectExpr(f"cast(`{id_col}` as bigint) i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(frugal(run), f"`{id_col}` long, {SCHEMA}")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -142,7 +142,7 @@ def write_records(records: DataFrame, path: str) -> None:
             values = [encode(h, b or b"") for h, b in zip(batch.column("header").to_pylist(), batch.column("block").to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(values, pa.binary())], names=["value"])
 
-    records.select("header", "block").mapInArrow(run, "value binary").write.mode("overwrite").parquet(path)
+    records.select("header", "block").mapInArrow(frugal(run), "value binary").write.mode("overwrite").parquet(path)
 
 
 def read_records(data: bytes) -> list[tuple]:
@@ -173,4 +173,4 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 yield _batch(read_records(content.as_py() or b""))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(run), SCHEMA)
