@@ -1,0 +1,107 @@
+"""The read layer: one function a route, each returning rows as objects or one object, over a Market."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kpis, rfm, scoring, stats
+from ..sources.results import records, safe
+from .market import DELIVERED, Market
+
+VERSION = "v1"
+
+
+class NotFound(LookupError):
+    """There is no such item; the message names what there is."""
+
+
+def envelope(data: object, request_id: str = "", model_version: str = "none") -> dict:
+    return {"success": True, "data": safe(data), "meta": {"api_version": VERSION, "model_version": model_version, "request_id": request_id}}
+
+
+def failure(error: Exception) -> dict:
+    """The error envelope and its status: 404, 503, 422 or 500."""
+    status = 404 if isinstance(error, NotFound) else 503 if isinstance(error, scoring.ModelUnavailable) else 422 if isinstance(error, (scoring.InvalidRequest, ValueError)) else 500
+    return {"success": False, "error": {"status": status, "message": str(error)}}
+
+
+class Api:
+    def __init__(self, market: Market, models: dict | None = None) -> None:
+        self.market, self.models = market, models or {}
+
+    def health(self) -> dict:
+        return {"status": "ok"}
+
+    def models_status(self) -> dict:
+        return {n: {"available": n in self.models} for n in ("sentiment", "fake", "aspects")}
+
+    def summary(self) -> dict:
+        m = self.market
+        return records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, DELIVERED))[0]
+
+    def monthly_orders(self) -> list[dict]:
+        return records(kpis.monthly_orders(self.market.orders_enriched))
+
+    def monthly_revenue(self) -> list[dict]:
+        return records(kpis.monthly_revenue(self.market.orders_enriched, DELIVERED))
+
+    def review_distribution(self) -> list[dict]:
+        return records(kpis.review_scores(self.market.orders_enriched))
+
+    def delivery_summary(self) -> dict:
+        return records(kpis.delivery_summary(self.market.orders_enriched))[0]
+
+    def payment_distribution(self) -> list[dict]:
+        return records(kpis.counts(self.market.orders_enriched, "main_payment_type"))
+
+    def late_significance(self) -> dict:
+        return safe(stats.late_significance(self.market.orders_enriched))
+
+    def customer_summary(self) -> dict:
+        return records(kpis.customer_summary(self.market.customers_enriched))[0]
+
+    def top_cities(self, n: int = 10) -> list[dict]:
+        return records(kpis.top_cities(self.market.orders_enriched, n))
+
+    def seller_summary(self) -> dict:
+        return records(kpis.seller_summary(self.market.sellers_enriched))[0]
+
+    def seller_performance(self, n: int = 20) -> list[dict]:
+        return records(kpis.late_sellers(self.market.sellers_enriched, n))
+
+    def categories(self, n: int = 15) -> list[dict]:
+        return records(kpis.top_categories(self.market.items_enriched, n))
+
+    def state_performance(self, n: int = 15) -> list[dict]:
+        return records(kpis.late_by_state(self.market.orders_enriched, n))
+
+    def _segmented(self) -> tuple:
+        table = rfm.rfm_table(self.market.orders_enriched)
+        fitted = rfm.fit_segments(table)
+        return fitted, rfm.segment_profile(fitted.assign(table))
+
+    def segments(self) -> list[dict]:
+        return records(self._segmented()[1])
+
+    def segment(self, name: str) -> dict:
+        profile = self._segmented()[1].persist()
+        found = records(profile.where(F.lower("Segment") == name.lower()))
+        if not found:
+            raise NotFound(f"no segment {name}; there are {', '.join(r['Segment'] for r in records(profile))}")
+        return found[0]
+
+    def predict_segment(self, recency: float, frequency: float, monetary: float) -> dict:
+        return self._segmented()[0].predict(recency, frequency, monetary)
+
+    def score(self, texts: list[str], model: str = "bert", language: str = "en") -> list[dict]:
+        """Sentiment of 1 to 64 texts, in their order."""
+        scoring.check_request(texts, model, language)
+        if "sentiment" not in self.models:
+            raise scoring.ModelUnavailable("sentiment")
+        rows = self.market.spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        return records(scoring.sentiment(rows, self.models["sentiment"]).orderBy("id"))
+
+    def pipeline(self, texts: list[str]) -> list[dict]:
+        scoring.check_request(texts)
+        rows = self.market.spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, text string")
+        return records(scoring.full_pipeline(rows, self.models).orderBy("review_id"))
