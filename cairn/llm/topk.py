@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+EXACT = 1024
 GRID = 48  # depths at which frontiers are looked up, as shares of a block
 
 
@@ -25,9 +26,11 @@ class Lists:
         up = np.argsort(vectors, axis=0, kind="stable").T
         values = np.take_along_axis(vectors.T, up, 1).astype(np.float64)
         # lists from the large end of every dimension, then those from the small end
-        self.order = np.concatenate([up[:, ::-1], up])
+        self.order = np.concatenate([up[:, ::-1], up]).astype(np.uint16 if n <= 65536 else np.int64)
         self.values = np.concatenate([values[:, ::-1], values])
         ends = np.split(self.values, 2)
+        if n and np.abs(values).max() < EXACT:  # products and sums of such parts are exact in single precision
+            self.values = self.values.astype(np.float32)
         self.depths = np.unique(np.ceil(np.linspace(0, n, GRID + 1)[1:]).astype(np.int64)) if n else np.zeros(0, np.int64)
         self.front = tuple(v[:, self.depths - 1] for v in ends)  # dimensions x depths
         self.worst = (values[:, 0], values[:, -1]) if n else None
@@ -87,12 +90,14 @@ class Lists:
 
     def _read(self, used: np.ndarray, side: np.ndarray, depth: int, weight: np.ndarray, less: np.ndarray, n: int) -> np.ndarray:
         """Per row, the sum over the lists where it was met of its part of the score less `less`."""
-        out = np.zeros(n)
+        out, wide = np.zeros(n), max(np.abs(weight).max(), np.abs(less).max() / EXACT) >= EXACT
         for s in range(0, len(used), 16):  # some lists at a time stay in the processor's cache
             at = used[s : s + 16] + side[s : s + 16] * (len(self.order) // 2)
             parts = self.values[at, :depth]
-            parts *= weight[s : s + 16, None]
-            parts -= less[s : s + 16, None]
+            if wide:
+                parts = parts.astype(np.float64)
+            parts *= weight[s : s + 16, None].astype(parts.dtype)
+            parts -= less[s : s + 16, None].astype(parts.dtype)
             out += np.bincount(self.order[at, :depth].ravel(), parts.ravel(), n)
         return out
 
@@ -124,7 +129,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 128, group_rows: int = 65_536, block_rows: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 128, group_rows: int = 65_536, block_rows: int = 8_192) -> DataFrame:
     """For each row whose id is divisible by `every`: its k best other rows (all, if fewer) by integer inner product.
 
     Returns query_id, rank, vec_id, score; ties go to the smaller id. Rows with a null id, a null vector, or null or
