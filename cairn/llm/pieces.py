@@ -112,7 +112,7 @@ class Lattices:
     def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> None:
         n, total = len(starts), int(sizes.sum())
         first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(n), sizes)
+        word = np.repeat(np.arange(n, dtype=np.int32), sizes)
         text = data[np.repeat(starts - first, sizes) + np.arange(total)]
         self.base = first + np.arange(n)
         self.end = self.base + sizes
@@ -135,14 +135,14 @@ class Lattices:
             got = vocab.find((cum[alive + length] - cum[alive]) * inverse[alive])
             hit = (got >= 0) & (boundary[alive + length] | (left[alive] == length))
             at = alive[hit]
-            src.append(at)
-            size.append(np.full(len(at), length))
+            src.append(at.astype(np.int32))
+            size.append(np.full(len(at), length, np.int32))
             piece.append(got[hit])
             known[at[char[at] == length]] = True
             alive = alive[got > -2]
         lost = at_lead[~known[at_lead]]
-        src.append(lost)
-        size.append(char[lost])
+        src.append(lost.astype(np.int32))
+        size.append(char[lost].astype(np.int32))
         piece.append(np.full(len(lost), -1, np.int32))
         byte_score = vocab.score[vocab.byte_id]
         byte_sum = np.concatenate([[0.0], np.cumsum(byte_score[text])])
@@ -151,6 +151,7 @@ class Lattices:
         score = np.where(piece >= 0, vocab.score[piece], byte_sum[at + size] - byte_sum[at])
         order = np.argsort(at, kind="stable")
         at, size, self.piece, score = at[order], size[order], piece[order], score[order]
+        del order, piece, src, known, cum, byte_sum, alive, got
         self.src = at + word[at]
         self.dst = self.src + size
         self.byte_at, self.text, self.size = at, text, size
@@ -158,7 +159,7 @@ class Lattices:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.src, minlength=nodes))])
         beta = np.full(nodes, -np.inf)
         beta[self.end] = 0.0
-        height = left[at]
+        height = left[at].astype(np.int32)
         by_height = np.argsort(height, kind="stable")
         cuts = np.searchsorted(height[by_height], np.arange(1, int(height.max(initial=0)) + 2))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -423,7 +424,7 @@ def encode(docs: DataFrame, model_path: str, samples: int = 2, alpha: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path, alpha)
         for b in batches:
-            for part in slices(b, "t", 1 << 21):
+            for part in slices(b, "t", 1 << 20):
                 texts = part.column("t")
                 keys = mix(np.asarray(part.column("key")).astype(np.int64).view(U64))
                 rows, numbers, flat, ends, probs, inclusions, whole = encode_batch(texts, keys, vocab, samples)
