@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline as pipeline
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    import random
-
     r = random.Random(9)
     stock = {"en": "the and of that with this from have".split(), "de": "der die und nicht sich über auch ein".split()}
     text = lambda c, n: " ".join(r.choice(stock[c]) + str(r.randint(0, 99)) for _ in range(n))
