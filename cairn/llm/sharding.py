@@ -95,7 +95,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
             p = int(np.searchsorted(np.array([s[0] for s in splitters], dtype=np.int64), x[0], "right"))
             by_part.setdefault(p, []).append(x)
         # a hot key has no inner key boundary: its ids become the splitters
-        added = {(k, r) for xs in by_part.values() for k, r in _splitters(xs, -(-2 * sum(w for *_, w in xs) // max(1, int(full))).__int__())}
+        added = {x for xs in by_part.values() for x in _splitters(xs, int(2 * sum(w for *_, w in xs) / max(1.0, full)) + 1)}
         hot = {k for k, r in added if r != LOWEST}
         grown = sorted(set(splitters) | added | {(k, LOWEST) for k in hot})
         if grown == splitters:
