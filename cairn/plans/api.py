@@ -29,12 +29,20 @@ class Api:
     def __init__(self, market: Market, models: dict | None = None) -> None:
         self.market, self.models = market, models or {}
 
+    def root(self) -> dict:
+        return {"name": "cairn", "api_version": VERSION}
+
     def health(self) -> dict:
         return {"status": "ok"}
 
     def models_status(self) -> dict:
         return {n: {"available": n in self.models} for n in ("sentiment", "fake", "aspects")}
 
+    def models_info(self) -> dict:
+        """What each model is for; the classes tell how it was made."""
+        purpose = {"sentiment": "positive probability of a text", "fake": "check of negative reviews", "aspects": "sentiment about fixed aspects", "baseline": "token-count classifier for explanations"}
+        return {n: {"purpose": p, "available": n in self.models, "kind": type(self.models[n]).__name__ if n in self.models else None} for n, p in purpose.items()}
+
     def summary(self) -> dict:
         m = self.market
         return records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, DELIVERED))[0]
@@ -105,3 +113,11 @@ class Api:
         scoring.check_request(texts)
         rows = self.market.spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, text string")
         return records(scoring.full_pipeline(rows, self.models).orderBy("review_id"))
+
+    def explain(self, text: str, k: int = 8) -> list[dict]:
+        """The tokens of most weight in the baseline's decision on one text."""
+        scoring.check_request([text])
+        if "baseline" not in self.models:
+            raise scoring.ModelUnavailable("baseline")
+        rows = self.market.spark.createDataFrame([("0", text)], "review_id string, text string")
+        return records(scoring.attributions(rows, self.models["baseline"], k).select("token", "value").orderBy(F.desc(F.abs("value")), "token"))

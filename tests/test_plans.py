@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.operators import scoring
 from cairn.plans.api import Api, NotFound, envelope, failure
 from cairn.plans.market import Market
 from cairn.plans.oracles import ORACLES
@@ -59,6 +60,13 @@ def test_read_layer(spark):
         api.segment("nobody")
     assert failure(e.value)["error"]["status"] == 404 and envelope({"x": float("inf")})["data"]["x"] is None
     assert [r["label"] for r in api.score(["a", "b"])] == ["Positive", "Positive"]
+    assert api.models_info()["sentiment"]["available"] and not api.models_info()["fake"]["available"] and api.root()["api_version"] == "v1"
+    with pytest.raises(scoring.ModelUnavailable) as gone:
+        api.explain("good")
+    assert failure(gone.value)["error"]["status"] == 503
+    words = spark.createDataFrame([(f"{'good' if i % 2 else 'bad'} thing", i % 2) for i in range(20)], "text string, label int")
+    api.models["baseline"] = scoring.fit_baseline(words)
+    assert {r["token"] for r in api.explain("good thing", 1)} == {"good"}
 
 
 def test_streams(spark, tmp_path):
