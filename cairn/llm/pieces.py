@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, frugal, mix, _powers, seeded_table, slices, text_bytes, uniform
+from .common import _BASE, frugal, give_back, mix, _powers, seeded_table, slices, text_bytes, uniform
 
 U64 = np.uint64
 np.seterr(over="ignore")  # hashes wrap around
 _BYTE = seeded_table(256, 101)
 SPACE = "▁"
+SLICE = 1 << 19  # bytes of text laid out at a time; a lattice takes some 200 times its distinct words
 HEAD = 16  # nodes of a path whose siblings join the agenda one by one
 C_SAMPLE, C_WORD, C_STEP, C_SIDE = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
 
@@ -424,7 +425,8 @@ def encode(docs: DataFrame, model_path: str, samples: int = 2, alpha: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path, alpha)
         for b in batches:
-            for part in slices(b, "t", 1 << 20):
+            for part in slices(b, "t", SLICE):
+                give_back()
                 texts = part.column("t")
                 keys = mix(np.asarray(part.column("key")).astype(np.int64).view(U64))
                 rows, numbers, flat, ends, probs, inclusions, whole = encode_batch(texts, keys, vocab, samples)
