@@ -377,7 +377,7 @@ def event_props_json(m: Market) -> DataFrame:
 def array_encoding(m: Market) -> DataFrame:
     """Pre- and post-padded ids by a small literal vocabulary."""
     vocab = F.create_map(*[F.lit(x) for kv in (("the", 2), ("of", 3), ("de", 4), ("and", 5)) for x in kv])
-    ids = encoded(F.slice(tokens(F.col("text")), 1, 6), vocab)
+    ids = encoded(tokens(F.col("text")), vocab)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return m.table("documents").select("doc_id", joined(padded(ids, 8)).alias("post"), joined(padded(ids, 8, before=True)).alias("pre"))
 

@@ -47,6 +47,14 @@ def test_every_query_has_sql_or_says_why():
     assert {n for n in QUERIES if n not in ORACLES} == {"rfm_kmeans_fit", "baseline_classifier", "pipeline_gating"}
 
 
+def test_arrays_are_encoded_whole(spark, tmp_path):
+    words = "the of de and x the of the de and and".split()
+    rows = [(1, " ".join(words)), (2, "of x"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["post"], r["pre"]) for r in QUERIES["array_encoding"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("2 3 4 5 1 2 3 2", "5 1 2 3 2 4 5 5"), 2: ("3 1 0 0 0 0 0 0", "0 0 0 0 0 0 3 1"), 3: ("0 0 0 0 0 0 0 0",) * 2, 4: ("0 0 0 0 0 0 0 0",) * 2}
+
+
 def test_scans_are_pruned(spark):
     plan = QUERIES["monthly_revenue"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" in plan and "o_orderpriority" not in plan and "EqualTo(o_orderstatus,F)" in plan
