@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {}
 #: Centres (in standardised space) of the nearest-centre query. Fixed values.
 CENTRES = [[-0.5, 0.8, 0.9], [-0.3, -0.2, -0.2], [0.4, -0.8, -0.8], [2.0, -1.2, -1.2]]
 SEED = 42
+#: Size of the vocabulary and ids a text, as the text model takes them.
+VOCABULARY, TEXT_IDS = 30_000, 100
 
 
 def query(f: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
@@ -260,13 +262,13 @@ def token_counts(m: Market) -> DataFrame:
 
 @query
 def vocab_topk(m: Market) -> DataFrame:
-    return sentiment.vocabulary(m.table("documents"), 1000).select("token", "n", F.col("id").cast("long").alias("id"))
+    return sentiment.vocabulary(m.table("documents"), VOCABULARY).select("token", "n", F.col("id").cast("long").alias("id"))
 
 
 @query
 def token_ids_padded(m: Market) -> DataFrame:
     docs = m.table("documents")
-    ids = sentiment.token_ids(docs, sentiment.vocabulary(docs, 1000), 32, key="doc_id")
+    ids = sentiment.token_ids(docs, sentiment.vocabulary(docs, VOCABULARY), TEXT_IDS, key="doc_id")
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 

@@ -55,6 +55,17 @@ def test_arrays_are_encoded_whole(spark, tmp_path):
     assert got == {1: ("2 3 4 5 1 2 3 2", "5 1 2 3 2 4 5 5"), 2: ("3 1 0 0 0 0 0 0", "0 0 0 0 0 0 3 1"), 3: ("0 0 0 0 0 0 0 0",) * 2, 4: ("0 0 0 0 0 0 0 0",) * 2}
 
 
+def test_token_ids_have_the_model_s_size(spark, tmp_path):
+    words = [f"w{n:04d}" for n in range(1200)]
+    rows = [(1, " ".join(words)), (2, " ".join(reversed(words))), (3, "w1199 new")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    order = ["w1199", *words[:1199], "new"]  # by count, then token
+    rank = {w: n + 2 for n, w in enumerate(order)}
+    assert {r["token"]: r["id"] for r in QUERIES["vocab_topk"](spark, str(tmp_path)).collect()} == rank
+    got = {r["doc_id"]: [int(x) for x in r["ids"].split()] for r in QUERIES["token_ids_padded"](spark, str(tmp_path)).collect()}
+    assert got == {1: [rank[w] for w in words[:100]], 2: [rank[w] for w in words[:-101:-1]], 3: [rank["w1199"], rank["new"]] + [0] * 98}
+
+
 def test_scans_are_pruned(spark):
     plan = QUERIES["monthly_revenue"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" in plan and "o_orderpriority" not in plan and "EqualTo(o_orderstatus,F)" in plan
