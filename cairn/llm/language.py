@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import frugal, slices, text_bytes, without, written
 
@@ -109,23 +109,27 @@ def markup_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
 
 
-def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, languages: int, seed: int) -> list[tuple[str, str]]:
-    """Whole texts of about `bound` rows for each of the `languages` most frequent labels."""
-    counts = docs.where(label.isNotNull() & (F.length(text) > 0)).groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").limit(languages).collect()
+def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, seed: int) -> list[tuple[str, str]]:
+    """Whole distinct texts of every label, for each the `bound` of the smallest draws, or all where it has fewer."""
+    named = docs.where(label.isNotNull() & (F.length(text) > 0))
+    counts = named.groupBy(label.alias("label")).agg(F.approx_count_distinct(F.xxhash64(text), 0.02)).collect()
     if not counts:
         return []
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, bound / r[1]))])
+    # twice the bound by an estimate of the distinct texts: enough to rank, without a label's every row in one place
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (2 * bound + 100) / max(r[1], 1)))])
     draw = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = docs.where(F.length(text) > 0).select(text.alias("t"), label.alias("l"), draw.alias("u")).where(F.col("u") < F.try_element_at(rates, F.col("l"))).orderBy("u").limit(bound * languages)
+    some = named.select(text.alias("t"), label.alias("l"), draw.alias("u")).where(F.col("u") < F.try_element_at(rates, F.col("l"))).distinct()
+    rows = some.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("u", "t"))).where(F.col("r") <= bound)
     return [(r[0], r[1]) for r in rows.select("t", "l").collect()]
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, bound: int = 300, languages: int = 32, declared_trust: float = 0.8, suffix_trust: float = 0.6, weight: float = 8.0, effective: float = 80.0, reject_below: float = 0.5, und_odds: float = 1e-3, seed: int = 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, bound: int = 300, declared_trust: float = 0.8, suffix_trust: float = 0.6, weight: float = 8.0, effective: float = 80.0, reject_below: float = 0.5, und_odds: float = 1e-3, seed: int = 17
 ) -> DataFrame:
     """One row for each row of docs: id, text_hash, lang, posterior, text_lang, declared, host_prior, accepted.
 
-    Training takes about `bound` whole texts a declared language (the documented bound of the classifier's sample).
+    Every declared language with a text that is not empty is a class. Training takes up to `bound` distinct whole texts
+    of each (the documented bound of the classifier's sample).
     A document is rejected (accepted = false) if no known language is likely: `und` wins or the best posterior is under
     `reject_below`; null, empty and letter-less texts are rejected; a text
     too short for a trigram is judged by the other evidence. Null declared
@@ -135,7 +139,7 @@ def identify(
     declared = F.lower(F.substring(F.col(declared_col), 1, 2)) if declared_col else F.lit(None).cast("string")
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
     host = F.col(host_col).cast("string") if host_col else F.nullif(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1), F.lit(""))
-    pairs = sample_labelled(docs, text, declared, bound, languages, seed) if declared_col else []
+    pairs = sample_labelled(docs, text, declared, bound, seed) if declared_col else []
     model = TextModel.fit([t for t, _ in pairs], [x for _, x in pairs])
     names = model.languages
 

@@ -268,6 +268,24 @@ def test_language(spark, nothing):
     assert language.identify(nothing).count() == 0
 
 
+def test_every_declared_language_is_a_class(spark):
+    r = random.Random(8)
+    codes = [a + b for a in "abcdefg" for b in "vwxyz"]  # 35, each with words of its own
+    stock = {c: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for c in codes}
+    rows = [(100 * k + n, " ".join(r.choice(stock[c]) for _ in range(30)), c) for k, c in enumerate(codes) for n in range(12 if k < 32 else 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language.identify(frame, host_col=None).collect()}
+    assert all(got[i]["lang"] == c and got[i]["accepted"] for i, _, c in rows)
+
+
+def test_language_sample_is_bound_by_label(spark):
+    rows = [("copied a lot", "en")] * 400 + [(f"english {n}", "en") for n in range(40)] + [(f"deutsch {n}", "de") for n in range(9)] + [(None, "fr"), ("", "fr"), ("none", None)]
+    frame = spark.createDataFrame(rows, "t string, l string")
+    for seed in range(3):
+        got = language.sample_labelled(frame, F.col("t"), F.col("l"), 20, seed=seed)
+        assert len(set(got)) == len(got) and Counter(x for _, x in got) == {"en": 20, "de": 9}
+
+
 def test_language_evidence(spark):
     pages = spark.createDataFrame([("http://a.example.de/x", "<html lang='de'>"), ("https://b.example.com/fr/1", "<HTML class=x LANG=\"EN-us\">"), ("ftp", "<p>"), (None, None)], "u string, h string")
     got = pages.select(language.suffix_language(F.col("u")), language.markup_language(F.col("h"))).collect()
