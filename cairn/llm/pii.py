@@ -22,6 +22,7 @@ ROUNDS = 8
 #: Length of a bank account number (IBAN) by country. Fixed values of the published registry.
 IBAN_LENGTH = dict(x.split(":") for x in "AD:24 AE:23 AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SA:24 SE:24 SI:19 SK:24 SM:27 TR:26".split())
 MONTHS = "January February March April May June July August September October November December".split()
+MONTH_NUMBER = {m[:3].lower(): n + 1 for n, m in enumerate(MONTHS)}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -179,8 +180,40 @@ def secret(key: bytes, text: str) -> str | None:
     return _by_class(key, text, "secret", bool(whole))
 
 
+def _moved_day(key: bytes, day: int) -> datetime.date | None:
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    return datetime.date.fromordinal(FIRST_DAY + permutation(key, "date", LAST_DAY - FIRST_DAY + 1)(day - FIRST_DAY))
+
+
+def _named_date(key: bytes, text: str) -> str | None:
+    """A date with a month name: order, separators, case, short or long name and ordinal endings stay as they are."""
+    parts = re.findall(r"\d+|[A-Za-z]+|[^\dA-Za-z]+", text)
+    month_at = next(n for n, p in enumerate(parts) if p[:3].lower() in MONTH_NUMBER)
+    year_at = next(n for n, p in enumerate(parts) if p.isdigit() and len(p) == 4)
+    day_at = next(n for n, p in enumerate(parts) if p.isdigit() and n != year_at)
+    try:
+        day = datetime.date(int(parts[year_at]), MONTH_NUMBER[parts[month_at][:3].lower()], int(parts[day_at])).toordinal()
+    except ValueError:
+        return None
+    new = _moved_day(key, day)
+    if new is None:
+        return None
+    like = lambda old, word: word.upper() if old.isupper() else word.lower() if old.islower() else word
+    old, name = parts[month_at], MONTHS[new.month - 1]
+    parts[month_at] = like(old, name if old.capitalize() in MONTHS else name[:3])
+    parts[year_at] = str(new.year)
+    parts[day_at] = f"{new.day:02d}" if len(parts[day_at]) == 2 else str(new.day)
+    if parts[day_at + 1 : day_at + 2] and parts[day_at + 1].lower() in ("st", "nd", "rd", "th"):
+        parts[day_at + 1] = like(parts[day_at + 1], "th" if new.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th"))
+    return "".join(parts)
+
+
 def date(key: bytes, text: str) -> str | None:
-    """Calendar dates of 1900 to 2099 as YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY (or DD/MM where only that is valid)."""
+    """Calendar dates of 1900 to 2099 as YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY (or DD/MM where only that is valid), or
+    with an English month name."""
+    if any(c.isalpha() for c in text):
+        return _named_date(key, text)
     for pattern, order in (
         (r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", "ymd"),
         (r"(\d{1,2})(\.)(\d{1,2})\2(\d{4})", "dmy"),
@@ -195,46 +228,75 @@ def date(key: bytes, text: str) -> str | None:
             day = datetime.date(int(got["y"]), int(got["m"]), int(got["d"])).toordinal()
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
+        new = _moved_day(key, day)
+        if new is None:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + permutation(key, "date", LAST_DAY - FIRST_DAY + 1)(day - FIRST_DAY))
         padded = all(len(got[k]) == 2 for k in "md") and (got["m"][0] == "0" or got["d"][0] == "0" or order == "ymd")
         value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded or len(got["m"]) == 2 else str(new.month), "d": f"{new.day:02d}" if padded or len(got["d"]) == 2 else str(new.day)}
         return m[2].join(value[k] for k in order)
     return None
 
 
+def _iban_pattern() -> str:
+    """Each country's length, in groups of four with or without blanks: never more nor less of the text."""
+    by_length: dict[int, list[str]] = {}
+    for country, size in IBAN_LENGTH.items():
+        by_length.setdefault(int(size) - 4, []).append(country)
+    forms = [f"(?:{'|'.join(cs)})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, cs in by_length.items()]
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+_MONTH = r"(?i:" + "|".join([*MONTHS, "Sept", *(m[:3] for m in MONTHS)]) + r")\b\.?"
+_DAY = r"\d{1,2}(?i:st|nd|rd|th)?"
+_NAMED = rf"{_DAY}(?: of)?[ \-]{_MONTH},?[ \-]\d{{4}}|{_MONTH}[ \-]{_DAY},?[ \-]\d{{4}}|\d{{4}}[ \-]{_MONTH}[ \-]\d{{1,2}}"
+#: A leading + and country code, then up to this many groups; fewer are tried where more make no number.
+_PLUS = r"(?<![\w+])\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,{}}}(?!\w)"
+
 #: (kind, pattern, pseudonym), tried in this order at each place.
 KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}", email),
     ("secret", r"(?<=[\"'=:\s])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|sk-[A-Za-z0-9]{20,64}|gh[pousr]_[A-Za-z0-9]{30,64}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", iban),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])", phone),
+    ("iban", _iban_pattern(), iban),
+    ("phone", _PLUS.format(4) + r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])", phone),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     ("card", r"(?<![\w.\-])\d{13,19}(?![\w\-])|(?<![\w.\-])\d{4}(?:[ \-]\d{4}){3}(?![\w\-])|(?<![\w.\-])3\d{3}[ \-]\d{6}[ \-]\d{5}(?![\w\-])", card),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
-    ("date", r"(?<![\w.\-/])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?![\w\-/])", date),
+    ("date", r"(?<![\w.\-/])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2}(?=[Tt]\d{2}|(?![\w\-/]))|(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|" + _NAMED + r")(?![\w\-/]))", date),
 )
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.A)
 MAKERS = {k: f for k, _, f in KINDS}
+TRIES = [(k, re.compile(p, re.A)) for kind, pattern, _ in KINDS for k, p in [(kind, pattern), *((kind, _PLUS.format(n)) for n in (3, 2, 1) if kind == "phone")]]
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its personal values exchanged, and (kind, start, length) of each in the new text."""
     found: list[tuple[str, int, int]] = []
     out: list[str] = []
-    done = shift = 0
-    for m in FINDER.finditer(text):
-        new = _cached(key, m.lastgroup if m.lastgroup != "sep" else "date", m[0])
-        if new is None:
+    at = done = shift = 0
+    while m := FINDER.search(text, at):
+        start = m.start()
+        hit = _value_at(text, start, key)
+        if hit is None:
+            at = start + 1
             continue
-        out += (text[done : m.start()], new)
-        found.append((m.lastgroup if m.lastgroup != "sep" else "date", m.start() + shift, len(new)))
-        shift += len(new) - len(m[0])
-        done = m.end()
+        kind, at, new = hit
+        out += (text[done:start], new)
+        found.append((kind, start + shift, len(new)))
+        shift += len(new) - (at - start)
+        done = at
     return ("".join(out) + text[done:] if found else text), found
 
 
+def _value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first kind whose value at this place is valid."""
+    for kind, pattern in TRIES:
+        m = pattern.match(text, start)
+        new = _cached(key, kind, m[0]) if m else None
+        if new is not None:
+            return kind, m.end(), new
+    return None
+
+
 @functools.lru_cache(1 << 16)
 def _cached(key: bytes, kind: str, value: str) -> str | None:
     return MAKERS[kind](key, value)

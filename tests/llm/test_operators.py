@@ -238,6 +238,35 @@ def test_pseudonyms_keep_formats():
         assert swap(text) == text
 
 
+def test_pseudonyms_behind_failed_matches():
+    swap = lambda t: pii.pseudonymise(t, b"k")[0]
+    card, account = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    assert pii.iban(b"k", account) is not None
+    for text in (f"{account} EUR", f"{account} 12", account):
+        assert swap(text) == swap(account) + text[len(account) :] and swap(account) != account
+    assert swap(f"AB12 CARD {card}") == f"AB12 CARD {swap(card)}"
+    assert swap("+44 2012 3456 7890 1234 5678") != "+44 2012 3456 7890 1234 5678"
+    assert swap("DE89 3704 0044 0532 0130 00, GB29 NWBK 6016 1331 9268 19 X") == f"{swap('DE89 3704 0044 0532 0130 00')}, {swap('GB29 NWBK 6016 1331 9268 19')} X"
+
+
+def test_pseudonyms_of_timestamps_and_month_names():
+    swap = lambda t: pii.pseudonymise(t, b"k")[0]
+    assert swap("2001-02-03T10:00:00Z") == swap("2001-02-03") + "T10:00:00Z" and swap("2001-02-03") != "2001-02-03"
+    day = pii.datetime.date.fromisoformat(swap("2001-02-03"))
+    long, short = pii.MONTHS[day.month - 1], pii.MONTHS[day.month - 1][:3]
+    for text, want in (
+        ("3 February 2001", f"{day.day} {long} {day.year}"),
+        ("03-Feb-2001", f"{day.day:02d}-{short} {day.year}".replace(" ", "-")),
+        ("FEBRUARY 3, 2001", f"{long.upper()} {day.day}, {day.year}"),
+        ("born Feb. 3, 2001.", f"born {short}. {day.day}, {day.year}."),
+        ("2001 February 03", f"{day.year} {long} {day.day:02d}"),
+    ):
+        assert swap(text) == want
+    assert re.fullmatch(r"the \d+(st|nd|rd|th) of [A-Z][a-z]+ \d{4}", swap("the 3rd of February 2001")) and "February 2001" not in swap("the 3rd of February 2001")
+    for text in ("31 February 2001", "May 2001", "3 Marching 2001", "2001-13-03T10:00:00Z", "3 may 12"):
+        assert swap(text) == text
+
+
 def test_pseudonyms_frame(docs, rows, nothing, spark):
     got = pii.pseudonyms(docs)
     assert got.columns == [*docs.columns, "pii"] and Counter(r["text"] for r in got.collect()) == Counter(t for _, t, *_ in rows)
