@@ -236,7 +236,7 @@ def rfm_segment_labels(m: Market) -> DataFrame:
 def rfm_kmeans_fit(m: Market) -> DataFrame:
     """No SQL: iterative. Segments are named by rank of spend, so their order by Monetary is what holds."""
     table = rfm.rfm_table(m.orders_enriched)
-    return rfm.segment_profile(rfm.fit_segments(table, starts=3).assign(table))
+    return rfm.segment_profile(rfm.fit_segments(table).assign(table))
 
 
 @query

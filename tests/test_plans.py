@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import scoring
+from cairn.operators import rfm, scoring
 from cairn.plans.api import Api, NotFound, envelope, failure
 from cairn.plans.market import Market
 from cairn.plans.oracles import ORACLES
@@ -66,6 +66,18 @@ def test_token_ids_have_the_model_s_size(spark, tmp_path):
     assert got == {1: [rank[w] for w in words[:100]], 2: [rank[w] for w in words[:-101:-1]], 3: [rank["w1199"], rank["new"]] + [0] * 98}
 
 
+def test_segments_are_fitted_with_ten_starts(spark, monkeypatch):
+    seeds = []
+
+    class Counted(rfm.KMeans):
+        def __init__(self, **options):
+            seeds.append(options["seed"])
+            super().__init__(**options)
+
+    monkeypatch.setattr(rfm, "KMeans", Counted)
+    assert QUERIES["rfm_kmeans_fit"](spark, SF).count() == 4 and len(set(seeds)) == 10
+
+
 def test_scans_are_pruned(spark):
     plan = QUERIES["monthly_revenue"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" in plan and "o_orderpriority" not in plan and "EqualTo(o_orderstatus,F)" in plan
