@@ -81,7 +81,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
 
     splitters = _splitters(sampled(keyed, total, keys_a_range * ranges), ranges)
     full = 2 * total / max(ranges, 1)
-    for _ in range(4):
+    while True:  # until nothing is added: the sums below belong to the final splitters
         placed = _assign(keyed, splitters)
         sums = {r[0]: (r[1], r[2]) for r in placed.groupBy("part").agg(F.sum("size"), F.count("*")).collect()}
         over = [p for p, (size, count) in sums.items() if size > full and count > 1]

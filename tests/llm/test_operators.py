@@ -190,6 +190,18 @@ def test_overfull_ranges_are_subdivided():
     assert got[0] == (1, sharding.LOWEST) and sum(k == 1 for k, _ in got) > 3
 
 
+def test_slow_subdivision_loses_no_rows(spark, monkeypatch):
+    real = sharding._splitters
+    monkeypatch.setattr(sharding, "_splitters", lambda sample, ranges: (got := real(sample, ranges))[len(got) // 2 : len(got) // 2 + 1])
+    frame = spark.createDataFrame([(n, f"text {n * n} {'x' * (n % 50)}") for n in range(600)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(frame, shards=5).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(600))
+    sizes = Counter()
+    for x in got:
+        sizes[x["shard"]] += x["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 5
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(300, 12)))]
