@@ -2,8 +2,8 @@
 
 All evidence enters as log-likelihoods over the languages seen in training plus `und` (no known language):
 byte-trigram naive Bayes on the whole text, tempered by its effective length; how a declared language and an address
-suffix speak for a language; and a prior for the host that is smoothed towards its domain's, and that towards the
-whole corpus's. Host and domain counts come from grouped aggregation of all documents' text posteriors, each
+suffix speak for a language; and a prior for the host that is smoothed towards its domain's (where that has
+other hosts), and that towards the whole corpus's. Host and domain counts come from grouped aggregation of all documents' text posteriors, each
 document's own share taken out.
 """
 
@@ -124,22 +124,25 @@ def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, se
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, bound: int = 300, declared_trust: float = 0.8, suffix_trust: float = 0.6, weight: float = 8.0, effective: float = 80.0, reject_below: float = 0.5, und_odds: float = 1e-3, seed: int = 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, html_col: str | None = None, bound: int = 300, declared_trust: float = 0.8, suffix_trust: float = 0.6, weight: float = 8.0, effective: float = 80.0, reject_below: float = 0.5, und_odds: float = 1e-3, seed: int = 17
 ) -> DataFrame:
     """One row for each row of docs: id, text_hash, lang, posterior, text_lang, declared, host_prior, accepted.
 
     Every declared language with a text that is not empty is a class. Training takes up to `bound` distinct whole texts
-    of each (the documented bound of the classifier's sample).
+    of each (the documented bound of the classifier's sample). The declared language is the markup's where html_col is
+    given and states one, else that of declared_col.
     A document is rejected (accepted = false) if no known language is likely: `und` wins or the best posterior is under
     `reject_below`; null, empty and letter-less texts are rejected; a text
     too short for a trigram is judged by the other evidence. Null declared
     languages, hosts and addresses carry no evidence. Repeated rows give repeated rows; an empty table gives none.
     """
     text = F.col(text_col).cast("string")
-    declared = F.lower(F.substring(F.col(declared_col), 1, 2)) if declared_col else F.lit(None).cast("string")
+    stated = [F.substring(markup_language(F.col(html_col)), 1, 2)] if html_col else []
+    stated += [F.lower(F.substring(F.col(declared_col), 1, 2))] if declared_col else []
+    declared = F.coalesce(*stated) if stated else F.lit(None).cast("string")
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
     host = F.col(host_col).cast("string") if host_col else F.nullif(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1), F.lit(""))
-    pairs = sample_labelled(docs, text, declared, bound, seed) if declared_col else []
+    pairs = sample_labelled(docs, text, declared, bound, seed) if stated else []
     model = TextModel.fit([t for t, _ in pairs], [x for _, x in pairs])
     names = model.languages
 
@@ -156,7 +159,8 @@ def identify(
     domain = F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host"))
     sums = [F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     by_host = own.where("host is not null and letters").groupBy("host", domain.alias("domain")).agg(*sums)
-    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(k)])
+    # where a domain is a single host its sums are the host's: the host is smoothed straight to the corpus
+    by_domain = by_host.groupBy("domain").agg(*[F.when(F.count("*") > 1, F.sum(f"s{i}")).otherwise(0.0).alias(f"d{i}") for i in range(k)])
     whole = np.array([float(x or 0) for x in own.where("letters").agg(*sums).first()])
     base = (whole + 1) / (whole.sum() + k)
     prior = by_host.join(by_domain, "domain").select("host", F.array(*[F.col(f"s{i}") for i in range(k)]).alias("hs"), F.array(*[F.col(f"d{i}") for i in range(k)]).alias("ds"))

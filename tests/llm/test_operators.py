@@ -333,6 +333,27 @@ def test_language_evidence(spark):
     assert [tuple(r) for r in got] == [("de", "de"), ("fr", "en"), (None, None), (None, None)]
 
 
+def test_markup_declares_a_language(spark):
+    words = {"en": "the and of that with this", "de": "der die und nicht sich über"}
+    rows = [(n, f"{words[c]} " * 5, "xx", f"<html lang='{c}'>") for n, c in enumerate(["en", "de"] * 20)] + [(90, words["de"] * 5, "de", "<p>"), (91, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, html string")
+    for column in ("lang", None):
+        got = {r["doc_id"]: r for r in language.identify(frame, declared_col=column, host_col=None, html_col="html").collect()}
+        assert all(got[n]["lang"] == got[n]["declared"] == c for n, c in enumerate(["en", "de"] * 20))
+        assert got[90]["lang"] == "de" and got[90]["declared"] == ("de" if column else None)
+
+
+def test_a_lone_host_is_counted_once(spark):
+    """The prior of a host that is its whole domain: its counts and the corpus's, nothing twice."""
+    rows = [(n, "the and of that with this the and", "en", "x") for n in range(8)] + [(100 + n, "der die und nicht sich der die und", "de", "y") for n in range(24)]
+    rows += [(200, "es", None, "x")]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    mine, top = got[200], {"en": 8 + (1 / 3), "de": 24 + (1 / 3)}
+    base = (top[mine["lang"]] + 1) / (33 + 3)
+    seen = 8 if mine["lang"] == "en" else 0
+    assert mine["host_prior"] == pytest.approx((seen + 8 * base) / 16, abs=0.03)
+
+
 def test_host_prior_decides_short_texts(spark):
     rows = [(n, "the and of that with this the and", "en", "x.org") for n in range(40)] + [(100 + n, "der die und nicht sich der die und", "de", "y.org") for n in range(40)]
     rows += [(200, "es", None, "x.org"), (201, "es", None, "y.org")]
