@@ -107,6 +107,21 @@ def test_bayesian_pruning_keeps_what_is_likely():
         assert tail(m) >= 0.9e-4 and (m == 0 or tail(m - 1) <= 1.1e-4)
 
 
+def test_looks_share_the_tolerance(nothing, monkeypatch):
+    used, real = [], jaccard.least_matches
+    monkeypatch.setattr(jaccard, "least_matches", lambda *a: used.append(real(*a)) or used[-1])
+    assert jaccard.similar(nothing).count() == 0
+    alive, last, lost = {0: 1.0}, 0, 0.0  # a pair of similarity 0.8, by matches so far
+    for n, fewest in used[0]:
+        k, grown = n - last, Counter()
+        for a, p in alive.items():
+            for x in range(k + 1):
+                grown[a + x] += p * math.comb(k, x) * 0.8**x * 0.2 ** (k - x)
+        lost += sum(p for a, p in grown.items() if a < fewest)
+        alive, last = {a: p for a, p in grown.items() if a >= fewest}, n
+    assert 0 < lost < 1.3e-4
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randint(200, 230), r.randint(200, 230)) for _ in range(20)]
