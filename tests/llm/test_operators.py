@@ -170,6 +170,22 @@ def test_decontamination(spark, nothing):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [n for n, t in enumerate(texts) if not brute_contamination(t, ITEMS)[4]]
 
 
+@pytest.mark.parametrize("tokens", [0, 10**6])
+def test_decontamination_shuffled(spark, monkeypatch, tokens):
+    """Beyond the broadcast limits, with every prefix word in several parts, and with a long text and nameless items."""
+    for name, value in {"BROADCAST_ROWS": 0, "BROADCAST_TOKENS": tokens, "PART_WINDOWS": 2, "PART_PLACES": 3}.items():
+        monkeypatch.setattr(decontaminate, name, value)
+    texts = [f"k0 {' '.join(f'K{i}' for i in range(20))} z", "alpha beta gamma " * 9 + "alpha", "sun " * 40_000 + "Alpha.Beta.Gamma", "nameless thing", None, "\u212aelvin \u0130x \u00c9T\u00c9 \u00e9t\u00e9 x"]
+    items = [*ITEMS, (9, "beta gamma alpha"), (10, "alpha"), (11, "k4 k5"), (12, "\u212aelvin"), (13, "kelvin")]
+    table = [(n, t) for n, t in enumerate(texts)] + [(0, texts[0]), (1, texts[1])]
+    want = Counter((i, *brute_contamination(t, items)) for i, t in table)
+    got = decontaminate.contamination(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == want
+    nameless = spark.createDataFrame([(None, "nameless thing"), (None, "alpha beta")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame(table[3:4], "doc_id long, text string"), nameless).collect()}
+    assert got[3]["n_items"] == 1 and got[3]["n_hit"] == 2 and got[3]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_decontamination_is_native(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontaminate.contamination(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items)._jdf.queryExecution().toString()
