@@ -98,6 +98,17 @@ def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return wrapped
 
 
+def frugal_table(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups' tables."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return wrapped
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):

@@ -1,10 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation over sorted component lists.
 
-A block of candidates keeps, for every dimension, its rows sorted by that component. A query reads each list from the
-end that its own component favours. After reading to some depth, a row's upper bound is what was read of it plus, for
-each list where it was not met, what the list still offers (its frontier); a row met nowhere has the sum of all
-frontiers. Reading stops where that sum is under the k-th best lower bound, and only rows whose upper bound reaches it
-have their scores resolved. The bound carries over from block to block.
+Vectors are collapsed to distinct ones and dealt to groups. A group keeps, for every dimension, a list of its vectors
+from the large end of that component and one from the small end, so every query reads each dimension from the end
+that its own component favours, with a weight that is not negative. All lists are read to the same depth, which grows
+in steps. At a depth, a vector's upper bound is what was read of it plus, for each list where it was not met, what
+that list still offers (its frontier); its lower bound takes the list's last value instead; a vector met nowhere has
+the sum of all frontiers. A query stops where that sum is under its k-th best lower bound and few vectors are still
+open, and the scores of those are resolved. The bound that the first group gives is where all other groups start.
 """
 
 from __future__ import annotations
@@ -13,114 +15,98 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-EXACT = 1024
-GRID = 48  # depths at which frontiers are looked up, as shares of a block
+from .common import frugal_table, written
+
+#: Depths at which the bounds are looked at, as shares of a list.
+DEPTHS = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1)
+#: A query resolves its open vectors when they are at most this share of the group: that is cheaper than reading on.
+FEW = 1 / 8
+AT_ONCE = 256  # queries whose bounds are held in memory together
+PAIRS = 1 << 15  # scores resolved at once
 
 
 class Lists:
-    """The sorted lists of a block of integer vectors (rows x dimensions) with ids."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        n = len(ids)
-        up = np.argsort(vectors, axis=0, kind="stable").T
-        values = np.take_along_axis(vectors.T, up, 1).astype(np.float64)
-        # lists from the large end of every dimension, then those from the small end
-        self.order = np.concatenate([up[:, ::-1], up]).astype(np.uint16 if n <= 65536 else np.int64)
-        self.values = np.concatenate([values[:, ::-1], values])
-        ends = np.split(self.values, 2)
-        if n and np.abs(values).max() < EXACT:  # products and sums of such parts are exact in single precision
-            self.values = self.values.astype(np.float32)
-        self.depths = np.unique(np.ceil(np.linspace(0, n, GRID + 1)[1:]).astype(np.int64)) if n else np.zeros(0, np.int64)
-        self.front = tuple(v[:, self.depths - 1] for v in ends)  # dimensions x depths
-        self.worst = (values[:, 0], values[:, -1]) if n else None
-        self.dense = vectors.astype(np.float64)  # exact: scores stay far under 2**53
-        # mean and variance over rows of max(component, frontier), to foresee how many rows a depth leaves open
-        left = n - self.depths
-        first = [(np.cumsum(v, 1)[:, self.depths - 1] + left * f) / max(n, 1) for v, f in zip(ends, self.front, strict=True)]
-        # read from the small end a list's bound is a minimum; its weight is negative, so the same sums serve
-        second = [(np.cumsum(v * v, 1)[:, self.depths - 1] + left * f * f) / max(n, 1) for v, f in zip(ends, self.front, strict=True)]
-        self.mean, self.spread = first, [s - m * m for s, m in zip(second, first, strict=True)]
-
-    def _foresee(self, used: np.ndarray, weight: np.ndarray, side: np.ndarray, floor: float, least: int) -> int:
-        """The depth, at or beyond grid place `least`, where reading plus resolving what stays open costs least."""
-        pick = lambda x: np.where(side[:, None] == 0, x[0][used], x[1][used])
-        mean = weight @ pick(self.mean)
-        spread = np.sqrt(np.maximum(weight**2 @ pick(self.spread), 1e-9))
-        share = 1 / (1 + np.exp(np.clip(1.7 * (floor - mean) / spread, -500, 500)))  # a normal tail, near enough
-        cost = self.depths * len(used) * 1.0 + share * len(self.ids) * 12.0
-        cost[:least] = np.inf
-        return int(np.argmin(cost))
-
-    def read(self, query: np.ndarray, best: list[tuple[int, int]], k: int, own: int | None) -> list[tuple[int, int]]:
-        """best: the (score, id) so far, sorted by score descending, id ascending; returned with this block's rows."""
-        n = len(self.ids)
-        if not n:
-            return best
-        used = np.flatnonzero(query)
-        weight = query[used].astype(np.float64)
-        side = (weight < 0).astype(np.int64)
-        offers = np.where(side[:, None] == 0, self.front[0][used], self.front[1][used]) * weight[:, None]
-        total = offers.sum(0)
-        floor = best[-1][0] if len(best) >= k else None
-        if floor is None:
-            floor, at = self._bootstrap(used, weight, side, offers, total, k, own)
-        else:
-            least = int(np.argmax(total < floor)) if total[-1] < floor else len(self.depths) - 1
-            at = self._foresee(used, weight, side, floor, least) if len(used) else least
-        depth = int(self.depths[at])
-        if len(used):
-            upper = total[at] + self._read(used, side, depth, weight, offers[:, at], n)
-        else:
-            upper = np.zeros(n)
-        open_rows = np.flatnonzero(upper >= floor) if floor is not None else np.arange(n)
-        if own is not None:
-            open_rows = open_rows[open_rows != own]
-        scores = (self.dense[open_rows] @ query.astype(np.float64)).astype(np.int64)
-        if len(scores) > k:
-            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-            bar = max(bar, floor) if floor is not None else bar
-            good = scores >= bar
-            scores, open_rows = scores[good], open_rows[good]
-        if not len(scores):
-            return best
-        got = [*best, *zip(scores.tolist(), self.ids[open_rows].tolist(), strict=True)]
-        got.sort(key=lambda x: (-x[0], x[1]))
-        return got[:k]
-
-    def _read(self, used: np.ndarray, side: np.ndarray, depth: int, weight: np.ndarray, less: np.ndarray, n: int) -> np.ndarray:
-        """Per row, the sum over the lists where it was met of its part of the score less `less`."""
-        out, wide = np.zeros(n), max(np.abs(weight).max(), np.abs(less).max() / EXACT) >= EXACT
-        for s in range(0, len(used), 16):  # some lists at a time stay in the processor's cache
-            at = used[s : s + 16] + side[s : s + 16] * (len(self.order) // 2)
-            parts = self.values[at, :depth]
-            if wide:
-                parts = parts.astype(np.float64)
-            parts *= weight[s : s + 16, None].astype(parts.dtype)
-            parts -= less[s : s + 16, None].astype(parts.dtype)
-            out += np.bincount(self.order[at, :depth].ravel(), parts.ravel(), n)
-        return out
-
-    def _bootstrap(self, used: np.ndarray, weight: np.ndarray, side: np.ndarray, offers: np.ndarray, total: np.ndarray, k: int, own: int | None) -> tuple[float | None, int]:
-        """Without a bound yet: read deeper until the k-th lower bound beats what outsiders can reach."""
-        n, last = len(self.ids), len(self.depths) - 1
-        if not len(used) or n <= k + 1:
-            return None, last
-        low = np.where(side == 0, self.worst[0][used], self.worst[1][used]) * weight
-        at = last // 4
-        while True:
-            lower = low.sum() + self._read(used, side, int(self.depths[at]), weight, low, n)
-            if own is not None:
-                lower[own] = -np.inf
-            floor = float(np.partition(lower, n - k)[n - k])
-            if total[at] < floor or at == last:
-                return floor, at
-            at = min(last, at + max(1, last // 6))
+    """The sorted lists of a group of integer vectors (rows x dimensions), two for each dimension."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors
+        n, width = vectors.shape
+        peak = float(np.abs(vectors).max(initial=0))
+        exact = peak * peak * 2 * max(width, 1)  # no sum or bound is larger
+        kind = np.float32 if exact < 2**24 else np.float64
+        self.slack = 0.5 if exact < 2**53 else 1e-9 * exact  # scores are whole numbers
+        self.dense = vectors.astype(kind) if exact < 2**53 else vectors
+        both = np.concatenate([vectors, -vectors], 1).astype(kind).T  # lists x rows
+        self.order = np.argsort(-both, axis=1, kind="stable")
+        self.values = np.take_along_axis(both, self.order, 1)
+        self.depths = sorted({max(1, round(n * share)) for share in DEPTHS}) if n else []
+        self.front = self.values[:, [d - 1 for d in self.depths]]  # lists x depths
+        self.worst = self.values[:, -1:]
+        self._read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def read(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """What all lists give down to a depth: by list and vector, the excess over the frontier, and whether it was met."""
+        if at not in self._read:
+            depth = self.depths[at]
+            excess, met = np.zeros_like(self.values), np.zeros_like(self.values)
+            np.put_along_axis(excess, self.order[:, :depth], self.values[:, :depth] - self.front[:, at : at + 1], 1)
+            np.put_along_axis(met, self.order[:, :depth], 1, 1)
+            self._read[at] = excess, met
+        return self._read[at]
+
+    def search(self, queries: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of all vectors that may be among a query's k best, the k best surely among them.
+
+        floors: the k-th best score already known for each query, or minus infinity."""
+        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], 1).astype(self.values.dtype)
+        floors, offers = floors.astype(np.float64), weights @ self.front
+        todo, found = np.arange(len(queries)), []
+        for at in range(len(self.depths)):
+            last = at + 1 == len(self.depths)
+            stay = []
+            # where a vector that was met nowhere can still reach a known bound, there is nothing to decide yet
+            waits = (offers[todo, at] >= floors[todo] - self.slack) & np.isfinite(floors[todo]) & (not last)
+            stay.append(todo[waits])
+            ready = todo[~waits]
+            for s in range(0, len(ready), AT_ONCE):
+                mine = ready[s : s + AT_ONCE]
+                excess, met = self.read(at)
+                upper = weights[mine] @ excess + offers[mine, at : at + 1]
+                opened = upper >= (floors[mine] - self.slack)[:, None]
+                many = np.flatnonzero(opened.sum(1) > FEW * len(self.vectors))
+                if len(many) and upper.shape[1] >= k:
+                    gaps = weights[mine[many]] * (self.front[:, at] - self.worst[:, 0])
+                    lower = upper[many] - gaps.sum(1, keepdims=True) + gaps @ met
+                    kth = np.partition(lower, lower.shape[1] - k, 1)[:, lower.shape[1] - k]
+                    floors[mine[many]] = np.maximum(floors[mine[many]], kth)
+                    opened[many] = upper[many] >= (floors[mine[many]] - self.slack)[:, None]
+                done = (opened.sum(1) <= FEW * len(self.vectors)) & (offers[mine, at] < floors[mine] - self.slack) | last
+                stay.append(mine[~done])
+                q, v = np.nonzero(opened[done])
+                found.append(self._resolve(queries, mine[done][q], v, floors))
+            todo = np.concatenate(stay)
+        return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 3))
+
+    def _resolve(self, queries: np.ndarray, q: np.ndarray, v: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked = queries.astype(self.dense.dtype)
+        scores = np.zeros(len(q), np.int64)
+        for s in range(0, len(q), PAIRS):
+            scores[s : s + PAIRS] = np.einsum("ij,ij->i", asked[q[s : s + PAIRS]], self.dense[v[s : s + PAIRS]])
+        good = scores >= floors[q] - self.slack
+        return q[good], v[good], scores[good]
+
+
+def first_of_each(owner: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
+    """Indices of the first k of each owner by `order` (first key first)."""
+    by = np.lexsort((*order[::-1], owner))
+    start = np.flatnonzero(np.concatenate([[True], owner[by][1:] != owner[by][:-1]])) if len(by) else np.zeros(0, np.int64)
+    rank = np.arange(len(by)) - np.repeat(start, np.diff(np.concatenate([start, [len(by)]])))
+    return by[rank < k]
 
 
 def components(vector: Column) -> Column:
-    """floor(64 x) of every component, as int."""
-    return F.transform(vector, lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("int"))
+    """floor(64 x) of every component, as long."""
+    return F.transform(vector, lambda x: F.floor(F.lit(64.0) * x.cast("double")))
 
 
 def usable(vector: Column) -> Column:
@@ -129,54 +115,59 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 128, group_rows: int = 65_536, block_rows: int = 8_192) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 8_192, group_rows: int = 8_192) -> DataFrame:
     """For each row whose id is divisible by `every`: its k best other rows (all, if fewer) by integer inner product.
 
     Returns query_id, rank, vec_id, score; ties go to the smaller id. Rows with a null id, a null vector, or null or
     non-finite components take no part; vectors meet only vectors of their own length; an empty table gives no rows;
-    a repeated query row is answered once, its copies being candidates. Queries go in blocks of `query_rows` against
-    groups of about `group_rows` candidates, so no task holds more than one of each; other columns are not read.
+    a repeated query row is answered once, its copies being candidates; a score that no long holds is an overflow
+    error; other columns are not read.
+    Of one vector only the k + 1 smallest ids can be among a query's k best and itself, so those stand for all of its
+    rows, and queries of one vector are answered together. Groups of about `group_rows` vectors meet blocks of about
+    `query_rows` queries: the queries are copied to the groups, and a group is copied only to further blocks.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    base = base.select("id", components(F.col("v")).alias("v")).withColumn("size", F.size("v"))
-    rows, queries = base.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    groups, blocks = max(1, -(-rows // group_rows)), max(1, -(-queries // query_rows))
-    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    asked = base.where(F.col("id") % every == 0).distinct().withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if queries else base.where("false").withColumn("block", F.lit(0)).withColumn("group", F.lit(0))
-    held = base.withColumn("group", group).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    base = base.select("id", components(F.col("v")).alias("v"))
+    nearest = W.partitionBy("v").orderBy("id")
+    kept = base.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
+    distinct = kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    queried = base.where(F.col("id") % every == 0).select("id", "v").distinct()
+    keys = [F.xxhash64(F.lit(n), F.col("v")).alias(f"k{n}") for n in (1, 2)]
+    distinct = written(distinct.select("v", "ids", F.size("v").alias("size"), *keys), "topk-vectors")
+    queried = written(queried.select("id", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("own"), "v", F.size("v").alias("size"), *keys), "topk-queries")
+    asked = queried.select("v", "size", "k1", "k2").distinct()
+    groups, blocks = max(1, -(-distinct.count() // group_rows)), max(1, -(-asked.count() // query_rows))
+    held = distinct.withColumn("group", F.pmod("k1", F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("block", F.pmod("k2", F.lit(blocks)).cast("int"))
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        ids, order = np.asarray(held.column("id")), None
-        for size in set(asked.column("size").to_pylist()):
-            pick = np.asarray(held.column("size")) == size
-            mine = held.filter(pa.array(pick))
-            order = np.argsort(np.asarray(mine.column("id")), kind="stable")
-            ids = np.asarray(mine.column("id"))[order]
-            matrix = np.asarray(mine.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), size)[order]
-            cuts = [0, *range(min(1024, block_rows, len(ids)), len(ids), block_rows), len(ids)]  # a small first block: it has no bound yet
-            lists = [Lists(ids[s:e], matrix[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            wanted = asked.filter(pa.array(np.asarray(asked.column("size")) == size))
-            for q, v in zip(wanted.column("id").to_pylist(), wanted.column("v").to_pylist(), strict=True):
-                query, best = np.array(v, dtype=np.int64), []
-                first, last = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
-                same = next((r for r in range(first, last) if np.array_equal(matrix[r], query)), None)
-                for start, x in zip(cuts[:-1], lists, strict=True):
-                    own = same - start if same is not None and start <= same < start + len(x.ids) else None
-                    best = x.read(query, best, k, own)
-                out += [(q, hash_of(v), i, s) for s, i in best]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "query_key": pa.array(columns[1], pa.int64()), "vec_id": pa.array(columns[2], pa.int64()), "score": pa.array(columns[3], pa.int64())})
-
-    found = asked.groupBy("block", "group").cogroup(held.groupBy("block", "group")).applyInArrow(answer, "query_id long, query_key long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def hash_of(vector: list[int]) -> int:
-    """Tells different vectors under one id apart."""
-    out = 1469598103934665603
-    for x in vector:
-        out = ((out ^ (x & 0xFFFFFFFF)) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
-    return out
+        width = asked.column("size")[0].as_py() if len(asked) else 0
+        matrix, queries = (np.asarray(x.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(len(x), width) for x in (held, asked)) if len(asked) and len(held) else (np.zeros((0, 0), np.int64),) * 2
+        floors = np.array([-np.inf if f is None else f for f in asked.column("floor").to_pylist()])
+        q, v, score = Lists(matrix).search(queries, floors[: len(queries)], k + 1)
+        lists = held.column("ids").combine_chunks()
+        ids, size = np.asarray(lists.flatten(), dtype=np.int64), np.asarray(lists.value_lengths(), dtype=np.int64)
+        each = size[v]
+        ends = np.cumsum(each)
+        entry = np.repeat((np.cumsum(size) - size)[v] - (ends - each), each) + np.arange(int(each.sum()))
+        q, score, ids = np.repeat(q, each), np.repeat(score, each), ids[entry]
+        best = first_of_each(q, k + 1, -score, ids)
+        at = pa.array(q[best], pa.int64())
+        return pa.table({"k1": asked.column("k1").take(at), "k2": asked.column("k2").take(at), "vec_id": pa.array(ids[best]), "score": pa.array(score[best])})
+
+    def met(asked: DataFrame, held: DataFrame) -> DataFrame:
+        by = ("size", "group", "block")
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(frugal_table(answer), "k1 long, k2 long, vec_id long, score long")
+
+    found = written(met(asked.withColumn("group", F.lit(0)).withColumn("floor", F.lit(None).cast("long")), held.where("group = 0")), "topk-first")
+    if groups > 1:
+        known = found.groupBy("k1", "k2").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+        others = asked.join(known, ["k1", "k2"], "left").withColumn("group", F.explode(F.sequence(F.lit(1), F.lit(groups - 1))))
+        found = found.union(met(others, held.where("group > 0")))
+    best = W.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
+    tops = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("top"))
+    answers = queried.select(F.col("id").alias("query_id"), "own", "k1", "k2").join(tops, ["k1", "k2"])
+    self_at = F.array_position("top", F.struct((-F.col("own")).alias("less"), F.col("query_id").alias("vec_id"))).cast("int")
+    others = F.when(self_at > 0, F.concat(F.slice("top", F.lit(1), self_at - 1), F.slice("top", self_at + 1, F.lit(k + 1)))).otherwise(F.col("top"))
+    out = answers.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))

@@ -233,23 +233,47 @@ def test_slow_subdivision_loses_no_rows(spark, monkeypatch):
     assert max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 5
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("scale", [1.0, 3e4, 3e6])
+def test_topk(spark, scale):
+    """Against all pairs: sums exact in single precision, in double precision, and in neither."""
     r = np.random.default_rng(4)
-    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(300, 12)))]
-    vectors += [(400 + i, [0.5] * 12) for i in range(30)] + [(500, None), (520, [float("nan")] + [0.0] * 11), (540, [None] + [0.0] * 11), (None, [1.0] * 12), (20, vectors[20][1]), (560, [0.0] * 12), (580, [1.0, 2.0])]
-    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, block int, id int").repartition(3)
+    vectors = [(i, [float(np.float32(scale * x)) for x in v]) for i, v in enumerate(r.normal(size=(300, 12)))]
+    vectors += [(400 + i, [0.5] * 12) for i in range(30)] + [(500, None), (520, [float("nan")] + [0.0] * 11), (540, [None] + [0.0] * 11), (None, [1.0] * 12), (20, vectors[20][1]), (560, [0.0] * 12), (580, [1.0, 2.0]), (600, []), (601, []), (20, [1.0] * 12)]
+    vectors += [(40, vectors[40][1])] * 30 + [(700, [-0.5] * 12)] * 3
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, block int, own int").repartition(3)
     got = defaultdict(list)
-    for x in topk.search(frame, block_rows=64, query_rows=4, group_rows=100).collect():
+    for x in topk.search(frame, query_rows=8, group_rows=100).collect():
         got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
     good = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    for q in {i for i, _ in good if i % 20 == 0}:
-        at = next(n for n, (i, _) in enumerate(good) if i == q)
-        rest = [(-sum(a * b for a, b in zip(good[at][1], v, strict=True)), i) for n, (i, v) in enumerate(good) if n != at and len(v) == len(good[at][1])]
-        want = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(rest)[:20])]
-        assert sorted(got[q]) == want, q
+    want = defaultdict(list)
+    for q, v in {(i, tuple(v)) for i, v in good if i % 20 == 0}:
+        at = good.index((q, list(v)))
+        rest = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(good) if n != at and len(v) == len(w)]
+        want[q] += [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(rest)[:20])]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items() if x}
     assert topk.search(frame.limit(0)).count() == 0
 
 
+def test_topk_bounds_hold():
+    """At every depth the bounds enclose the scores, and a query that stops early loses nothing."""
+    r = np.random.default_rng(5)
+    lists = topk.Lists(r.integers(-64, 64, (500, 16)))
+    queries = r.integers(-64, 64, (40, 16))
+    weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], 1).astype(float)
+    scores = queries @ lists.vectors.T
+    for at in range(len(lists.depths)):
+        excess, met = lists.read(at)
+        upper = weights @ excess + (weights @ lists.front)[:, at : at + 1]
+        gaps = weights * (lists.front[:, at] - lists.worst[:, 0])
+        lower = upper - gaps.sum(1, keepdims=True) + gaps @ met
+        assert (upper >= scores - 1e-6).all() and (lower <= scores + 1e-6).all()
+    for floors in (np.full(40, -np.inf), np.sort(scores, 1)[:, -5].astype(float)):
+        q, v, s = lists.search(queries, floors, 5)
+        assert (s == scores[q, v]).all()
+        for i in range(40):
+            assert sorted(s[q == i], reverse=True)[:5] == sorted(scores[i], reverse=True)[:5]
+
+
 def test_pseudonyms_are_permutations():
     key = b"k"
     for size in (2, 10, 97, 1000):
