@@ -7,6 +7,7 @@ different values never meet. The permutation has no fixed point: no value stands
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -20,7 +21,12 @@ from .common import frugal, slices
 
 ROUNDS = 8
 #: Length of a bank account number (IBAN) by country. Fixed values of the published registry.
-IBAN_LENGTH = dict(x.split(":") for x in "AD:24 AE:23 AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SA:24 SE:24 SI:19 SK:24 SM:27 TR:26".split())
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
+    "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH_NUMBER = {m[:3].lower(): n + 1 for n, m in enumerate(MONTHS)}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -90,7 +96,13 @@ def _number(key: bytes, digits: str, tweak: str) -> str:
 
 
 def card(key: bytes, text: str) -> str | None:
-    """Payment card or account number of 13 to 19 digits. The check sum stays what it was: valid stays valid."""
+    """Payment card number of 13 to 19 digits with a valid check digit, which the pseudonym has too."""
+    digits = "".join(c for c in text if c.isdigit())
+    return digit_run(key, text) if luhn(digits) == 0 else None
+
+
+def digit_run(key: bytes, text: str) -> str | None:
+    """Any 13 to 19 digits. The check sum stays what it was: valid stays valid, and others never become so."""
     digits = "".join(c for c in text if c.isdigit())
     if not 13 <= len(digits) <= 19:
         return None
@@ -132,7 +144,7 @@ def ipv4(key: bytes, text: str) -> str | None:
 def iban(key: bytes, text: str) -> str | None:
     """Country and length stay, check digits are recomputed; letters stay letters and digits digits."""
     plain = re.sub(r"\s", "", text).upper()
-    if IBAN_LENGTH.get(plain[:2]) != str(len(plain)) or _mod97(plain) != 1:
+    if IBAN_LENGTH.get(plain[:2]) != len(plain) or _mod97(plain) != 1:
         return None
     account = _by_class(key, plain[4:], "iban")
     check = 98 - _mod97(plain[:2] + "00" + account)
@@ -168,11 +180,24 @@ def _by_class(key: bytes, text: str, tweak: str, hexadecimal: bool = False) -> s
     return "".join(reversed(out))
 
 
+#: What an e-mail local part may hold beside letters and digits.
+SYMBOLS = "._%+-"
+
+
 def email(key: bytes, text: str) -> str | None:
-    """The local part moves within its pattern of character classes; the domain stays."""
+    """The local part moves within its pattern of character classes, one of symbols only among those; the domain stays."""
     local, at, domain = text.rpartition("@")
-    moved = _by_class(key, local, "email@" + domain.lower())
-    return moved + at + domain if moved != local else "x" * len(local) + at + domain
+    tweak = "email@" + domain.lower()
+    if any(c not in SYMBOLS for c in local):
+        return _by_class(key, local, tweak) + at + domain
+    x, size = 0, len(SYMBOLS) ** len(local)
+    for c in local:
+        x = x * len(SYMBOLS) + SYMBOLS.index(c)
+    x, out = permutation(key, tweak + "symbols", size)(x), ""
+    for _ in local:
+        x, d = divmod(x, len(SYMBOLS))
+        out = SYMBOLS[d] + out
+    return out + at + domain
 
 
 def secret(key: bytes, text: str) -> str | None:
@@ -180,10 +205,24 @@ def secret(key: bytes, text: str) -> str | None:
     return _by_class(key, text, "secret", bool(whole))
 
 
+def _is_late(day: int) -> bool:
+    """Days of the month above 12: in figures, those that cannot be taken for a month."""
+    return datetime.date.fromordinal(day).day > 12
+
+
+@functools.cache
+def _days(late: bool) -> list[int]:
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if _is_late(d) == late]
+
+
 def _moved_day(key: bytes, day: int) -> datetime.date | None:
+    """Days up to the 12th and later ones move among themselves, in every format alike: a date that could be read in
+    two orders stays one, and what can be read only day first never meets what is read month first."""
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    return datetime.date.fromordinal(FIRST_DAY + permutation(key, "date", LAST_DAY - FIRST_DAY + 1)(day - FIRST_DAY))
+    late = _is_late(day)
+    days = _days(late)
+    return datetime.date.fromordinal(days[permutation(key, f"date{late:d}", len(days))(bisect.bisect_left(days, day))])
 
 
 def _named_date(key: bytes, text: str) -> str | None:
@@ -241,7 +280,7 @@ def _iban_pattern() -> str:
     """Each country's length, in groups of four with or without blanks: never more nor less of the text."""
     by_length: dict[int, list[str]] = {}
     for country, size in IBAN_LENGTH.items():
-        by_length.setdefault(int(size) - 4, []).append(country)
+        by_length.setdefault(size - 4, []).append(country)
     forms = [f"(?:{'|'.join(cs)})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, cs in by_length.items()]
     return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
 
@@ -264,18 +303,20 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("date", r"(?<![\w.\-/])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2}(?=[Tt]\d{2}|(?![\w\-/]))|(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|" + _NAMED + r")(?![\w\-/]))", date),
 )
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.A)
-MAKERS = {k: f for k, _, f in KINDS}
+MAKERS = {k: f for k, _, f in KINDS} | {"digit_run": digit_run}
 TRIES = [(k, re.compile(p, re.A)) for kind, pattern, _ in KINDS for k, p in [(kind, pattern), *((kind, _PLUS.format(n)) for n in (3, 2, 1) if kind == "phone")]]
 
 
-def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with its personal values exchanged, and (kind, start, length) of each in the new text."""
+def pseudonymise(text: str, key: bytes, unchecked: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its personal values exchanged, and (kind, start, length) of each in the new text.
+
+    unchecked: digit runs of a card's length without a valid check digit are exchanged too."""
     found: list[tuple[str, int, int]] = []
     out: list[str] = []
     at = done = shift = 0
     while m := FINDER.search(text, at):
         start = m.start()
-        hit = _value_at(text, start, key)
+        hit = _value_at(text, start, key, unchecked)
         if hit is None:
             at = start + 1
             continue
@@ -287,11 +328,11 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     return ("".join(out) + text[done:] if found else text), found
 
 
-def _value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+def _value_at(text: str, start: int, key: bytes, unchecked: bool) -> tuple[str, int, str] | None:
     """(kind, end, pseudonym) of the first kind whose value at this place is valid."""
     for kind, pattern in TRIES:
         m = pattern.match(text, start)
-        new = _cached(key, kind, m[0]) if m else None
+        new = _cached(key, "digit_run" if unchecked and kind == "card" else kind, m[0]) if m else None
         if new is not None:
             return kind, m.end(), new
     return None
@@ -305,12 +346,13 @@ def _cached(key: bytes, kind: str, value: str) -> str | None:
 DIGIT_OR_AT = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
 
 
-def pseudonyms(docs: DataFrame, key: str = "cairn-demo-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", unchecked: bool = False) -> DataFrame:
     """All columns of docs with the text's personal values exchanged, plus `pii`: array of (kind, start, length).
 
     Null texts stay null and empty ones empty, with an empty array; whole texts are read, line by line where a line
-    holds a digit or @; repeated rows give equal results; an existing column `pii` is replaced. The key is a
-    parameter; a real run gives a secret one.
+    holds a digit or @; repeated rows give equal results; an empty table gives no rows; an existing column `pii` is
+    replaced and all others stay. Whoever has the key can undo the pseudonyms. Numbers must pass their format's check
+    (cards: the check digit); `unchecked` exchanges digit runs of a card's length without it too.
     """
     secret_key = key.encode()
     frame = docs.drop("pii")
@@ -331,7 +373,7 @@ def pseudonyms(docs: DataFrame, key: str = "cairn-demo-key", id_col: str = "doc_
                     lines, found, start = t.split("\n"), [], 0
                     for n, line in enumerate(lines):
                         if DIGIT_OR_AT.search(line):
-                            lines[n], more = pseudonymise(line, secret_key)
+                            lines[n], more = pseudonymise(line, secret_key, unchecked)
                             found += [{"kind": k, "start": start + s, "length": size} for k, s, size in more]
                         start += len(lines[n]) + 1
                     texts.append("\n".join(lines))

@@ -8,6 +8,8 @@ from .common import table
 
 #: A public vocabulary file; the operators take its path as a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: A key for demonstration: a real run gives a secret one.
+KEY = "cairn-demo-key"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonyms
 
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms(table(spark, sf_dir, "documents"), KEY)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

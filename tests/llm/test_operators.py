@@ -334,12 +334,43 @@ def test_pseudonyms_of_timestamps_and_month_names():
         assert swap(text) == text
 
 
+def test_every_day_keeps_its_own_pseudonym():
+    """All days of 1900 to 2099 in every format: within one, no two days meet, and a form of one reading never becomes one of another."""
+    days = [pii.datetime.date.fromordinal(d) for d in range(pii.FIRST_DAY, pii.LAST_DAY + 1)]
+    slashed = {}
+    for form in ("{0.year:04d}-{0.month:02d}-{0.day:02d}", "{0.day:02d}.{0.month:02d}.{0.year}", "{0.day}.{0.month}.{0.year}", "{0.day:02d} {0:%B} {0.year}", "{0.month:02d}/{0.day:02d}/{0.year}", "{0.day:02d}/{0.month:02d}/{0.year}"):
+        for d in days:
+            text = form.format(d)
+            if "/" in form:
+                slashed[text] = pii.date(b"k", text)
+        if "/" not in form:
+            assert len({pii.date(b"k", form.format(d)) for d in days}) == len(days)
+    assert len(set(slashed.values())) == len(slashed) and None not in slashed.values() and all(a != b for a, b in slashed.items())
+    assert pii.date(b"k", "24.04.1905").split(".") == pii.date(b"k", "24/04/1905").split("/")
+
+
+def test_pseudonyms_of_symbols_and_digit_runs():
+    locals_ = ["".join(x) for n in (1, 2, 3) for x in itertools.product(pii.SYMBOLS, repeat=n)]
+    moved = {x: pii.email(b"k", x + "@a.org") for x in locals_}
+    assert len(set(moved.values())) == len(moved) and all(len(v) == len(x) + 6 and v != x + "@a.org" for x, v in moved.items())
+    swap = lambda t, **o: pii.pseudonymise(t, b"k", **o)[0]
+    for text in ("1700000000001", "at 9783161484101 x", "4111 1111 1111 1112"):
+        assert swap(text) == text and swap(text, unchecked=True) != text
+    for text in ("ref XY99 4111 1111 1111 1111", "AB12 4111 1111 1111 1111 1111"):
+        assert "4111 1111 1111 1111" not in swap(text)
+
+
+def test_pseudonyms_of_long_text(spark):
+    text = "x" * 300_000 + " mail a.9@b.example.org " + "1 " * 200_000
+    assert "a.9@b" not in pii.pseudonyms(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"]
+
+
 def test_pseudonyms_frame(docs, rows, nothing, spark):
-    got = pii.pseudonyms(docs)
+    got = pii.pseudonyms(docs, "k")
     assert got.columns == [*docs.columns, "pii"] and Counter(r["text"] for r in got.collect()) == Counter(t for _, t, *_ in rows)
-    assert pii.pseudonyms(nothing).count() == 0
+    assert pii.pseudonyms(nothing, "k").count() == 0
     text = "mail x.9@a.example.org\nno\n" + "y " * 9 + "10.0.0.1"
-    r = pii.pseudonyms(spark.createDataFrame([(1, text, "old"), (2, None, "")], "doc_id long, text string, pii string")).orderBy("doc_id").collect()
+    r = pii.pseudonyms(spark.createDataFrame([(1, text, "old"), (2, None, "")], "doc_id long, text string, pii string"), "k").orderBy("doc_id").collect()
     for s in r[0]["pii"]:
         part = r[0]["text"][s["start"] : s["start"] + s["length"]]
         assert re.fullmatch({"email": r"\w\.\d@a\.example\.org", "ipv4": r"\d+(\.\d+){3}"}[s["kind"]], part)
