@@ -10,7 +10,7 @@ from cairn.llm.jaccard import keep_one
 from cairn.llm.language import keep_identified
 from cairn.llm.pieces import encode
 from cairn.llm.pii import pseudonyms
-from cairn.llm.queries import MODEL
+from cairn.llm.queries import KEY, MODEL
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values exchanged for pseudonyms; n_chars follows the text."""
-    return pseudonyms(docs).drop("pii").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pseudonyms(docs, KEY).drop("pii").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
