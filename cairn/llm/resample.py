@@ -1,8 +1,9 @@
 """Quality selection by importance resampling.
 
-Two bags of hashed unigrams (words and runs of punctuation) and bigrams are fitted, one to target (labelled good) and one to all text. A
-document's log importance weight is the mean log-ratio of its features times a common length, and documents are drawn
-without replacement by the Gumbel top-k trick: the k largest of weight plus a Gumbel variate seeded by the row's key.
+Two bags of hashed unigrams (words and runs of punctuation) and bigrams are fitted, one to target (labelled good) and
+one to all text. A document's log importance weight is the log-ratio of the two models, the sum over its features (or,
+with a common length, their mean times that length), and documents are drawn without replacement by the Gumbel top-k
+trick: the k largest of weight plus a Gumbel variate seeded by the row's key.
 """
 
 from __future__ import annotations
@@ -55,18 +56,24 @@ def _threshold(scored: DataFrame, k: int) -> tuple[float, int] | None:
             break
         low, high = frame.agg(F.min("draw"), F.max("draw")).first()
     need = k - before
-    last = frame.orderBy(F.desc("draw"), "tie").select("draw", "tie").limit(need).agg(F.min(F.struct(F.col("draw"), (-F.col("tie")).alias("t"))).alias("x")).first()
-    return float(last["x"]["draw"]), -int(last["x"]["t"])
+    # equal rows are one entry: what is left is at most the rows of a small bin or a few draws that many rows share
+    for draw, tie, rows in frame.groupBy("draw", "tie").count().orderBy(F.desc("draw"), "tie").limit(need).collect():
+        need -= rows
+        if need <= 0:
+            return draw, tie
+    return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets: int = 10_000, length: float = 200.0, bound: int = 100_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and toxic = 0") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets: int = 10_000, length: float | None = None, bound: int = 100_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and toxic = 0") -> DataFrame:
     """One row for each row of docs: id, n_features, log_weight, draw, selected.
 
-    selected marks the top ceil(fraction * rows) draws, the sample; ties go to the smaller hash of the row's key.
-    Raw counts cover all documents; the target model takes the labelled documents of `target`, of which at most about
-    `bound` (the documented bound), drawn by id hash. Texts without words have weight 0's floor: they are drawn last (log_weight
-    is minus infinity's stand-in, -1e9). Null texts count as empty; repeated rows tie and both count; no labels: all
-    weights are 0. Other columns are not read.
+    selected marks the top ceil(fraction * rows) draws, the sample, exactly as many; ties go to the smaller hash of the
+    row's key, and of rows equal in id and text, which share a draw, as many are selected as are still wanted at the cut.
+    log_weight is the log-ratio of target to raw text; with `length` it is the mean log-ratio of the text's features
+    times that, which weighs long and short texts alike. Raw counts cover all documents; the target model takes the
+    labelled documents of `target`, of which at most about `bound` (the documented bound), drawn by id hash. Texts
+    without words are drawn last (log_weight is minus infinity's stand-in, -1e9). Null texts count as empty; very long
+    ones are read whole; an empty table gives no rows; no labels: all weights are 0. Other columns are not read.
     """
     good = labels.where(target).select(F.col(id_col).cast("long").alias("g")).distinct()
     n_good = good.count()
@@ -103,7 +110,9 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets
                 n = np.diff(at)
                 weight, real = np.full(len(n), -1e9), np.flatnonzero(n > 0)
                 if len(real):
-                    weight[real] = length * np.add.reduceat(ratio[found], at[:-1][real]) / n[real]
+                    weight[real] = np.add.reduceat(ratio[found], at[:-1][real])
+                    if length is not None:
+                        weight[real] *= length / n[real]
                 tie = mix(np.asarray(part.column("key")).astype(np.int64).view(U64) + salt)
                 draw = weight - np.log(-np.log(uniform(tie)))
                 yield pa.record_batch([part.column("id"), pa.array(n), pa.array(weight), pa.array(draw), pa.array((tie >> U64(1)).astype(np.int64))], names=["id", "n", "weight", "draw", "tie"])
@@ -111,6 +120,20 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.75, buckets
     keyed = rows.select("id", F.xxhash64("id", F.xxhash64("t")).alias("key"), "t")
     scored = written(keyed.mapInArrow(frugal(score), "id long, n long, weight double, draw double, tie long"), "resample")
     k = int(np.ceil(fraction * scored.count()))
-    last = _threshold(scored, k) if k else None
-    chosen = F.lit(False) if last is None else (F.col("draw") > last[0]) | ((F.col("draw") == last[0]) & (F.col("tie") <= last[1]))
-    return scored.select(F.col("id").alias(id_col), F.col("n").alias("n_features"), F.col("weight").alias("log_weight"), "draw", chosen.alias("selected"))
+    columns = lambda chosen: (F.col("id").alias(id_col), F.col("n").alias("n_features"), F.col("weight").alias("log_weight"), "draw", chosen.alias("selected"))
+    if not k:
+        return scored.select(*columns(F.lit(False)))
+    draw, tie = _threshold(scored, k)
+    above = (F.col("draw") > draw) | ((F.col("draw") == draw) & (F.col("tie") < tie))
+    at_cut = (F.col("draw") == draw) & (F.col("tie") == tie)
+    wanted = k - scored.where(above).count()
+    kinds = scored.where(at_cut).groupBy("id", "n", "weight", "draw", "tie").count().orderBy("id", "n").collect()  # equal rows: one kind
+    if wanted == sum(x["count"] for x in kinds):
+        return scored.select(*columns(above | at_cut))
+    out = scored.where(~at_cut).select(*columns(above))
+    for x in kinds:  # equal rows cannot be told apart: they are written anew, the first of them selected
+        values = scored.sparkSession.createDataFrame([tuple(x)[:-1]], scored.schema)
+        copies = scored.sparkSession.range(x["count"]).select((F.col("id") < max(0, wanted)).alias("chosen"))
+        out = out.union(copies.crossJoin(F.broadcast(values)).select(*columns(F.col("chosen"))))
+        wanted -= x["count"]
+    return out

@@ -465,6 +465,51 @@ def test_resampling(spark, nothing):
     assert {x["log_weight"] for x in flat} == {0.0, -1e9} and sum(x["selected"] for x in flat) == 152
 
 
+def brute_buckets(text, buckets):
+    """Buckets of a text's words and pairs by scalar arithmetic, from the definition of the features."""
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    letter = [mixed((b + 1) * 0x9E3779B97F4A7C15 + 11 & mask) for b in range(256)]
+    hashes = []
+    for w in re.findall(r"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode().decode("latin-1")):
+        hashes.append(mixed(sum(letter[b] * pow(0x9E3779B97F4A7C15, n, 2**64) for n, b in enumerate(w.encode("latin-1").lower())) & mask))
+    pairs = [mixed(a * 0x9FB21C651E98DF25 + b & mask) for a, b in zip(hashes, hashes[1:])]
+    return [h % buckets for h in hashes + pairs]
+
+
+@pytest.mark.parametrize("length", [None, 200.0])
+def test_resampling_weights(spark, length):
+    """Log-ratios of the two models, computed anew by counting; a long text among them."""
+    r = random.Random(16)
+    texts = [" ".join(r.choice("Sun moon, tree! river stone bird wind Été x9".split()) for _ in range(r.randint(1, 40))) for _ in range(40)] + [None, "", "word " * 60_000]
+    good, buckets = set(range(0, 40, 3)), 500
+    labels = spark.createDataFrame([(n, int(n in good), 0) for n in range(40)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in resample.resample(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels, fraction=0.5, buckets=buckets, length=length).collect()}
+    found = [brute_buckets(t, buckets) for t in texts]
+    raw, target = Counter(b for f in found for b in f), Counter(b for n in good for b in found[n])
+    model = lambda c, b: (c[b] + 1) / (sum(c.values()) + buckets)
+    for n, f in enumerate(found):
+        want = sum(c * math.log(model(target, b) / model(raw, b)) for b, c in Counter(f).items())
+        want = want if length is None or not f else want * length / len(f)
+        assert got[n]["n_features"] == len(f) and math.isclose(got[n]["log_weight"], want if f else -1e9, rel_tol=1e-9, abs_tol=1e-9)
+    assert sum(x["selected"] for x in got.values()) == math.ceil(0.5 * len(texts))
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.9, 1.0])
+def test_resampling_of_repeated_rows(spark, fraction):
+    docs = spark.createDataFrame([(1, "same words again", 7)] * 9 + [(2, "others here", 7), (None, None, 7), (None, None, 7)], "doc_id long, text string, id int").repartition(3)
+    got = resample.resample(docs, spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int"), fraction=fraction).collect()
+    assert len(got) == 12 and sum(x["selected"] for x in got) == math.ceil(fraction * 12) and Counter(x["doc_id"] for x in got) == {1: 9, 2: 1, None: 2}
+    assert min([x["draw"] for x in got if x["selected"]]) >= max([x["draw"] for x in got if not x["selected"]], default=-1e12)
+
+
 def test_gumbel_draw_follows_weights(spark):
     """The first draw falls on rows in proportion to exp(log_weight)."""
     u = np.random.default_rng(1).integers(0, 2**63, size=(20000, 3), dtype=np.uint64)
