@@ -9,14 +9,14 @@ document's own share taken out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import frugal, slices, text_bytes, without, written
+from .common import Batches, frugal, slices, text_bytes, without, written
 
+#: Host priors are broadcast up to so many numbers (16 bytes each); beyond, each host is dealt to so many parts.
+BROADCAST_PRIORS, SPREAD = 2_000_000, 32
 BITS = 15
 BUCKETS = 1 << BITS
 UND = "und"
@@ -27,7 +27,14 @@ _FOLD[128:] = np.arange(128, 256)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 #: Languages that country suffixes speak for. Fixed values.
-SUFFIX_LANGUAGE = dict(x.split(":") for x in "de:de at:de fr:fr es:es mx:es ar:es cl:es co:es pe:es it:it pt:pt br:pt nl:nl pl:pl ru:ru jp:ja cn:zh kr:ko se:sv dk:da no:nb fi:fi cz:cs gr:el tr:tr hu:hu ro:ro uk:en us:en au:en nz:en ie:en".split())
+SUFFIX_LANGUAGE = {
+    "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "it": "it",
+    "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv", "dk": "da",
+    "no": "nb", "fi": "fi", "cz": "cs", "gr": "el", "tr": "tr", "hu": "hu", "ro": "ro", "uk": "en", "us": "en", "au": "en",
+    "nz": "en", "ie": "en",
+}
+#: Suffixes of two parts under which anyone may take a name: a domain has one part more. Fixed values.
+TWO_PART = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "com.br", "com.mx", "com.ar", "com.cn", "com.tr", "co.kr", "co.in", "co.za", "com.pl")
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -42,20 +49,23 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return at
 
 
+def _inner_trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """_trigrams of texts laid end to end; bucket 0 where one would reach into the next text."""
+    at = _trigrams(data)
+    ends = offsets[1:-1]
+    for back in (1, 2):
+        cross = ends - back
+        at[cross[(cross >= 0) & (cross < len(at))]] = 0
+    return at
+
+
 class TextModel:
     def __init__(self, languages: list[str], weights: np.ndarray) -> None:
         self.languages, self.weights = languages, weights  # weights: one row of bucket log-probabilities a language
 
     @staticmethod
-    def fit(texts: list[str], labels: list[str], smoothing: float = 0.2) -> TextModel:
-        languages = sorted(set(labels))
-        counts = np.zeros((len(languages), BUCKETS))
-        single = np.zeros(256)
-        for text, label in zip(texts, labels, strict=True):
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            if len(data) > 2:
-                counts[languages.index(label)] += np.bincount(_trigrams(data), minlength=BUCKETS)
-                single += np.bincount(_FOLD[data], minlength=256)
+    def fit(languages: list[str], counts: np.ndarray, single: np.ndarray, smoothing: float = 0.2) -> TextModel:
+        """From trigram counts (a row a language) and the counts of folded bytes."""
         counts[:, 0] = 0
         held = (counts.sum(1, keepdims=True) + smoothing * BUCKETS).clip(1e-9)
         weights = np.log((counts + smoothing) / held)
@@ -86,11 +96,7 @@ class TextModel:
         real = np.flatnonzero(size > 2)
         if not len(real):
             return out, count, letters
-        at = _trigrams(data)
-        ends = offsets[1:-1]
-        for back in (1, 2):
-            cross = ends - back
-            at[cross[(cross >= 0) & (cross < len(at))]] = 0
+        at = _inner_trigrams(data, offsets)
         starts = offsets[:-1][real]
         for k, w in enumerate(self.weights):
             out[real, k] = np.add.reduceat(w[at].astype(np.float64), starts)
@@ -98,29 +104,68 @@ class TextModel:
         return out, count, letters
 
 
-def suffix_language(url: Column) -> Column:
-    """The language an address speaks for: a language code as a path part, else its country suffix."""
+def suffix_language(url: Column, known: list[str] | None = None) -> Column:
+    """The language an address speaks for: a (known) language code as the first part of its path, else its country suffix."""
     codes = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    path = F.regexp_extract(url, r"^[a-z]+://[^/]+/([a-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)", 1)
-    return F.when(path != "", path).otherwise(F.try_element_at(codes, F.regexp_extract(url, r"^[a-z]+://[^/:]*\.([a-z]{2})(?:[:/]|$)", 1)))
+    path = F.lower(F.regexp_extract(url, r"^[a-z]+://[^/]+/([A-Za-z]{2,3})(?:[-_][A-Za-z]{2,4})?(?:/|$)", 1))
+    stated = path.isin(known) if known is not None else F.length(path) == 2
+    return F.when(stated, path).otherwise(F.try_element_at(codes, F.regexp_extract(url, r"^[a-z]+://[^/:]*\.([a-z]{2})(?:[:/]|$)", 1)))
+
+
+def _code(tag: Column) -> Column:
+    """The language of a tag, without region and script."""
+    return F.nullif(F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,8})(?:[-_]|\s*$)", 1)), F.lit(""))
 
 
 def markup_language(html: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
+    return _code(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
+
+
+def shown_text(html: Column) -> Column:
+    """A page without its tags, comments, scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
 
+def domain_of(host: Column) -> Column:
+    """The name under a public suffix, by a short list of those of two parts; a host without a dot is its own."""
+    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    three = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    return F.coalesce(F.nullif(F.when(two.isin(*TWO_PART), three).otherwise(two), F.lit("")), host)
 
-def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, seed: int) -> list[tuple[str, str]]:
-    """Whole distinct texts of every label, for each the `bound` of the smallest draws, or all where it has fewer."""
-    named = docs.where(label.isNotNull() & (F.length(text) > 0))
+
+def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, seed: int) -> DataFrame:
+    """Whole distinct texts (t, l) of every label, for each the `bound` of the smallest draws, or all where it has fewer."""
+    named = docs.where(label.isNotNull() & (label != UND) & (F.length(text) > 0))
     counts = named.groupBy(label.alias("label")).agg(F.approx_count_distinct(F.xxhash64(text), 0.02)).collect()
-    if not counts:
-        return []
     # twice the bound by an estimate of the distinct texts: enough to rank, without a label's every row in one place
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (2 * bound + 100) / max(r[1], 1)))])
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (2 * bound + 100) / max(r[1], 1)))]) if counts else F.lit(None).cast("map<string,double>")
     draw = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = named.select(text.alias("t"), label.alias("l"), draw.alias("u")).where(F.col("u") < F.try_element_at(rates, F.col("l"))).distinct()
-    rows = some.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("u", "t"))).where(F.col("r") <= bound)
-    return [(r[0], r[1]) for r in rows.select("t", "l").collect()]
+    return some.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("u", "t"))).where(F.col("r") <= bound).select("t", "l")
+
+
+def fit_text_model(labelled: DataFrame) -> TextModel:
+    """The model of texts (t, l), their trigrams counted and summed by the executors."""
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in slices(batch, "t", 1 << 20):
+                data, offsets = text_bytes(part.column("t"))
+                at = _inner_trigrams(data, offsets) if len(data) > 2 else np.zeros(0, np.uint32)
+                names, who = np.unique(np.array(part.column("l").to_pylist(), object), return_inverse=True)
+                owner = np.repeat(who, np.diff(offsets))
+                # a text that is too short for a trigram says nothing of single bytes either
+                lasting = np.repeat(np.diff(offsets) > 2, np.diff(offsets))
+                pairs = np.concatenate([owner[: len(at)] * (BUCKETS + 256) + at, owner[lasting] * (BUCKETS + 256) + BUCKETS + _FOLD[data[lasting]]])
+                keys, n = np.unique(pairs, return_counts=True)
+                yield pa.record_batch([pa.array(names[keys // (BUCKETS + 256)], pa.string()), pa.array((keys % (BUCKETS + 256)).astype(np.int32)), pa.array(n)], names=["l", "b", "n"])
+
+    sums = labelled.mapInArrow(frugal(count), "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(sums.column("l").to_pylist()))
+    number = {x: n for n, x in enumerate(languages)}
+    counts = np.zeros((len(languages), BUCKETS + 256))
+    counts[[number[x] for x in sums.column("l").to_pylist()], np.asarray(sums.column("b"), dtype=np.int64)] = np.asarray(sums.column("n"), dtype=np.float64)
+    return TextModel.fit(languages, counts[:, :BUCKETS], counts[:, BUCKETS:].sum(0))
 
 
 def identify(
@@ -128,35 +173,36 @@ def identify(
 ) -> DataFrame:
     """One row for each row of docs: id, text_hash, lang, posterior, text_lang, declared, host_prior, accepted.
 
-    Every declared language with a text that is not empty is a class. Training takes up to `bound` distinct whole texts
-    of each (the documented bound of the classifier's sample). The declared language is the markup's where html_col is
-    given and states one, else that of declared_col.
+    Every declared language with a text that is not empty is a class, under its whole code without region and script.
+    Training takes up to `bound` distinct whole texts of each (the documented bound of the classifier's sample). The
+    declared language is the markup's where html_col is given and states one, else that of declared_col. The host is
+    host_col, or the address's where that is None.
     A document is rejected (accepted = false) if no known language is likely: `und` wins or the best posterior is under
-    `reject_below`; null, empty and letter-less texts are rejected; a text
-    too short for a trigram is judged by the other evidence. Null declared
-    languages, hosts and addresses carry no evidence. Repeated rows give repeated rows; an empty table gives none.
+    `reject_below`; null, empty and letter-less texts are rejected; a text too short for a trigram is judged by the
+    other evidence; very long texts are read whole. Ties go to the first code in alphabetical order. Null declared
+    languages, hosts and addresses carry no evidence. Repeated rows give repeated rows; an empty table gives none; other
+    columns are not read.
     """
     text = F.col(text_col).cast("string")
-    stated = [F.substring(markup_language(F.col(html_col)), 1, 2)] if html_col else []
-    stated += [F.lower(F.substring(F.col(declared_col), 1, 2))] if declared_col else []
+    stated = [markup_language(F.col(html_col))] if html_col else []
+    stated += [_code(F.col(declared_col))] if declared_col else []
     declared = F.coalesce(*stated) if stated else F.lit(None).cast("string")
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
-    host = F.col(host_col).cast("string") if host_col else F.nullif(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1), F.lit(""))
-    pairs = sample_labelled(docs, text, declared, bound, seed) if stated else []
-    model = TextModel.fit([t for t, _ in pairs], [x for _, x in pairs])
+    host = F.col(host_col).cast("string") if host_col else F.lower(F.nullif(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1), F.lit("")))
+    model = fit_text_model(sample_labelled(docs, text, declared, bound, seed))
     names = model.languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, "t", 1 << 20):
                 sums, count, letters = model.scores(*text_bytes(part.column("t")))
                 logs = sums / np.maximum(count, 1)[:, None] * (count / (1 + count / effective))[:, None]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "declared", "suffix", "host")), _lists(logs), _lists(_normal(logs)), pa.array(letters)], names=["id", "h", "declared", "suffix", "host", "logs", "p", "letters"])
 
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), declared.alias("declared"), suffix_language(url).alias("suffix"), host.alias("host"), F.coalesce(text, F.lit("")).alias("t"))
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), declared.alias("declared"), suffix_language(url, names[:-1]).alias("suffix"), host.alias("host"), F.coalesce(text, F.lit("")).alias("t"))
     own = written(frame.mapInArrow(frugal(run), "id long, h long, declared string, suffix string, host string, logs array<double>, p array<double>, letters boolean"), "language")
     k = len(names)
-    domain = F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host"))
+    domain = domain_of(F.col("host"))
     sums = [F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     by_host = own.where("host is not null and letters").groupBy("host", domain.alias("domain")).agg(*sums)
     # where a domain is a single host its sums are the host's: the host is smoothed straight to the corpus
@@ -176,7 +222,7 @@ def identify(
                 out[r, names.index(c)] = on
         return out
 
-    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fuse(batches: Batches) -> Batches:
         for b in batches:
             n = b.num_rows
             logs, p = (np.array(b.column(c).flatten()).reshape(n, k) for c in ("logs", "p"))
@@ -197,7 +243,13 @@ def identify(
                 names=[id_col, "text_hash", "lang", "posterior", "text_lang", "declared", "host_prior", "accepted"],
             )
 
-    joined = own.join(prior, "host", "left").select("id", "h", "declared", "suffix", "logs", "p", "letters", "hs", "ds")
+    prior = written(prior, "host-priors")
+    if prior.count() * k <= BROADCAST_PRIORS:
+        joined = own.join(F.broadcast(prior), "host", "left")
+    else:  # a hot host's rows go to several tasks
+        dealt = prior.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        joined = own.withColumn("deal", F.pmod(F.xxhash64("id", "h"), F.lit(SPREAD)).cast("int")).join(dealt, ["host", "deal"], "left")
+    joined = joined.select("id", "h", "declared", "suffix", "logs", "p", "letters", "hs", "ds")
     return joined.mapInArrow(frugal(fuse), f"`{id_col}` long, text_hash long, lang string, posterior double, text_lang string, declared string, host_prior double, accepted boolean")
 
 
@@ -211,6 +263,13 @@ def _lists(x: np.ndarray) -> pa.ListArray:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs that identify() accepts, with the columns of docs."""
+    """The rows of docs that identify() accepts, with the columns of docs; nulls, empty and very long texts, repeats and
+    empty tables as there."""
     rejected = identify(docs, id_col, text_col, **options).where(~F.col("accepted"))
     return without(docs, rejected, {id_col: F.col(id_col).cast("long"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, "rejected")
+
+
+def identify_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options: object) -> DataFrame:
+    """identify() for raw pages: the text they show, their markup's language, address and host. Rows as there."""
+    shown = pages.select(id_col, url_col, html_col, shown_text(F.col(html_col)).alias("shown text"))
+    return identify(shown, id_col, "shown text", declared_col=None, host_col=None, url_col=url_col, html_col=html_col, **options)

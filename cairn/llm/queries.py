@@ -37,6 +37,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all evidence speaks: pages have markup, addresses and hosts."""
+    from .language import identify_pages
+
+    return identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract
 
@@ -73,4 +80,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, language_id_pages, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination)}

@@ -409,7 +409,7 @@ def test_language_sample_is_bound_by_label(spark):
     rows = [("copied a lot", "en")] * 400 + [(f"english {n}", "en") for n in range(40)] + [(f"deutsch {n}", "de") for n in range(9)] + [(None, "fr"), ("", "fr"), ("none", None)]
     frame = spark.createDataFrame(rows, "t string, l string")
     for seed in range(3):
-        got = language.sample_labelled(frame, F.col("t"), F.col("l"), 20, seed=seed)
+        got = [tuple(r) for r in language.sample_labelled(frame, F.col("t"), F.col("l"), 20, seed=seed).collect()]
         assert len(set(got)) == len(got) and Counter(x for _, x in got) == {"en": 20, "de": 9}
 
 
@@ -419,6 +419,72 @@ def test_language_evidence(spark):
     assert [tuple(r) for r in got] == [("de", "de"), ("fr", "en"), (None, None), (None, None)]
 
 
+def test_language_codes_are_whole(spark):
+    words = {"fil": "ang mga sa ng ay na", "fi": "ja on se että ei oli"}
+    rows = [(n, f"{words[c]} " * 5, tag) for n, (c, tag) in enumerate([("fil", "fil"), ("fi", "fi-FI"), ("fil", "FIL_ph"), ("fi", "fi")] * 10)] + [(90, "ja on se että ei oli " * 30_000, None)]
+    got = {r["doc_id"]: r["lang"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), host_col=None).collect()}
+    assert all(got[n] == ("fil" if n % 2 == 0 else "fi") for n in range(40)) and got[90] == "fi"
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.example.com",), ("alone",), (None,)], "h string")
+    assert [r[0] for r in hosts.select(language.domain_of(F.col("h"))).collect()] == ["b.co.uk", "b.co.uk", "example.com", "alone", None]
+
+
+def test_pages_are_identified_by_all_evidence(spark, monkeypatch):
+    """A text that says nothing is decided by markup, by the path's code, by the country suffix, by the host and by its domain."""
+    words = {"en": "the and of that with this", "de": "der die und nicht sich über"}
+    page = lambda t, tag="": f"<html{tag}><head><style>der die und</style></head><p>{t}</p></html>"
+    rows = [(n, f"http://{'a' if c == 'en' else 'b'}.net/{n}", page(f"{words[c]} " * 5, f' lang="{c}-XX"')) for n, c in enumerate(["en", "de"] * 20)]
+    rows += [(100 + n, f"http://h{n}.{c}house.org/x", page(f"{words[c]} " * 5, f" lang={c}")) for n, c in enumerate(["en", "de"] * 10)]
+    empty = {200: ("http://q.com/1", ' lang="de"', "de"), 201: ("http://q.com/1", ' lang="en"', "en"), 202: ("http://q.com/de/1", "", "de"), 203: ("http://q.com/en-gb/1", "", "en"), 204: ("http://q.de/1", "", "de"), 205: ("http://q.ie/1", "", "en"), 206: ("http://a.net/1", "", "en"), 207: ("http://b.net/1", "", "de"), 208: ("http://other.dehouse.org/1", "", "de"), 209: ("http://other.enhouse.org/1", "", "en")}
+    rows += [(i, u, page("ok", tag)) for i, (u, tag, _) in empty.items()] + [(300, None, None), (301, "no address", "<")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = language.identify_pages(frame).collect()
+    got = {r["page_id"]: r for r in found}
+    assert len(found) == len(rows) and all(got[i]["lang"] == want for i, (*_, want) in empty.items())
+    assert not got[300]["accepted"] and not got[301]["accepted"]
+    monkeypatch.setattr(language, "BROADCAST_PRIORS", 0)
+    again = {r["page_id"]: r for r in language.identify_pages(frame).collect()}
+    assert all(again[i]["lang"] == r["lang"] and again[i]["posterior"] == pytest.approx(r["posterior"]) for i, r in got.items())
+
+
+def test_language_posterior_from_its_definition(spark):
+    """Likelihoods, declared languages, address suffixes and host priors fused anew, document by document."""
+    r = random.Random(9)
+    words = {"en": "the and of that".split(), "de": "der die und nicht".split()}
+    truth = [r.choice(("en", "de")) for _ in range(60)]
+    rows = [(n, " ".join(r.choice(words[c]) for _ in range(r.randint(1, 9))), c if n % 5 else r.choice(("en", "de", None)), r.choice(("a.x.org", "b.x.org", "c.y.com", "lone", None)), r.choice(("http://u.de/", "http://u.com/en/", "http://u.com/", None))) for n, c in enumerate(truth)]
+    got = {x["doc_id"]: x for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string"), url_col="url").collect()}
+
+    def bucket(tri):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in tri]
+        return 0 if b.count(32) >= 2 else max(1, (b[0] << 16 | b[1] << 8 | b[2]) * 2654435761 % 2**32 >> 17)
+
+    grams = [[bucket(t.encode()[i : i + 3]) for i in range(len(t.encode()) - 2)] for _, t, *_ in rows]
+    grams = [[b for b in g if b] for g in grams]
+    samples = {c: {t for _, t, d, *_ in rows if d == c} for c in ("en", "de")}
+    counts = {c: Counter(b for t in samples[c] for g in [[bucket(t.encode()[i : i + 3]) for i in range(len(t.encode()) - 2)]] for b in g if b) for c in ("de", "en")}
+    single = np.zeros(256)
+    for t in [t for c in samples for t in samples[c]]:
+        single += np.bincount(language._FOLD[np.frombuffer(t.encode(), np.uint8)], minlength=256)
+    und = language.TextModel.fit(["de"], np.zeros((1, language.BUCKETS)), single).weights[-1]
+    names = ["de", "en", "und"]
+    weight = lambda c, b: und[b] if c == "und" else math.log((counts[c][b] + 0.2) / (sum(counts[c].values()) + 0.2 * language.BUCKETS))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    logs = np.array([[sum(weight(c, b) for b in g) / max(len(g), 1) * (len(g) / (1 + len(g) / 80)) for c in names] for g in grams])
+    p = np.array([soft(x) for x in logs])
+    base = (p.sum(0) + 1) / (p.sum() + 3)
+    domain = {"a.x.org": "x.org", "b.x.org": "x.org", "c.y.com": "y.com", "lone": "lone"}
+    for n, (_, _, declared, host, url) in enumerate(rows):
+        others = [m for m in range(len(rows)) if m != n]
+        in_host = p[[m for m in others if host and rows[m][3] == host]].sum(0)
+        in_domain = p[[m for m in others if host in ("a.x.org", "b.x.org") and domain.get(rows[m][3]) == "x.org"]].sum(0)
+        d_prior = (in_domain + 8 * base) / (in_domain.sum() + 8)
+        prior = (in_host + 8 * d_prior) / (in_host.sum() + 8)
+        speaks = lambda c, trust: np.array([0.0] * 3) if c is None else np.log([trust if x == c else (1 - trust) / 2 for x in names])
+        suffix = {"http://u.de/": "de", "http://u.com/en/": "en"}.get(url)
+        q = soft(logs[n] + np.log(prior) + speaks(declared, 0.8) + speaks(suffix, 0.6) + np.array([0, 0, math.log(1e-3)]))
+        assert got[n]["lang"] == names[q.argmax()] and got[n]["posterior"] == pytest.approx(q.max(), rel=1e-4), n
+
+
 def test_markup_declares_a_language(spark):
     words = {"en": "the and of that with this", "de": "der die und nicht sich über"}
     rows = [(n, f"{words[c]} " * 5, "xx", f"<html lang='{c}'>") for n, c in enumerate(["en", "de"] * 20)] + [(90, words["de"] * 5, "de", "<p>"), (91, None, None, None)]
