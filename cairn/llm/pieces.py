@@ -5,7 +5,8 @@ each subtree of partial segmentations its exact total. Adding Gumbel noise top-d
 of its children's) makes the k best perturbed leaves an exact sample of k distinct segmentations without replacement,
 and makes the perturbed total of a subtree an exact bound: best-first search pops leaf after leaf in order.
 
-As pieces never reach over the start of a run of spaces, the lattice is a chain of word lattices. Distinct words are
+As pieces never reach over the start of a run of spaces, nor between characters that stand side by side in no piece,
+the lattice is a chain of word lattices. Distinct words are
 laid out once a batch, in arrays; a popped subtree runs down to its leaf for all documents at once, and the siblings
 left beside its path join the agenda. Siblings deep in a text have negligible mass; they wait as one item with the
 noise of their maximum and are split up only when popped. All noise is a hash of seed, row key and position.
@@ -16,8 +17,11 @@ law of the rank, sharpened by `alpha`.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ np.seterr(over="ignore")  # hashes wrap around
 _BYTE = seeded_table(256, 101)
 SPACE = "▁"
 SLICE = 1 << 19  # bytes of text laid out at a time; a lattice takes some 200 times its distinct words
+LONG = 256  # bytes and steps up to which words go side by side; what is longer goes node by node
 HEAD = 16  # nodes of a path whose siblings join the agenda one by one
 C_SAMPLE, C_WORD, C_STEP, C_SIDE = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
 
@@ -79,6 +84,8 @@ class Vocabulary:
                 entries.setdefault(bytes_hash(self.bytes[i][:cut]), -1)
         for i in usable:
             entries[bytes_hash(self.bytes[i])] = i
+        pairs = {two for i in usable for two in itertools.pairwise(self.bytes[i].decode())}
+        self.pairs = np.sort(np.array([bytes_hash("".join(two).encode()) for two in pairs], U64))
         self.bits = 19
         self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -2, np.int32)
         for h, i in entries.items():
@@ -111,11 +118,11 @@ class Lattices:
     """Edges of the lattices of distinct words, sorted by source node; a word of m bytes has nodes base .. base + m."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> None:
-        n, total = len(starts), int(sizes.sum())
+        n_words, total = len(starts), int(sizes.sum())
         first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        word = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
         text = data[np.repeat(starts - first, sizes) + np.arange(total)]
-        self.base = first + np.arange(n)
+        self.base = first + np.arange(n_words)
         self.end = self.base + sizes
         left = np.repeat(sizes, sizes) - (np.arange(total) - first[word])
         power, inverse = _powers(total)
@@ -127,7 +134,7 @@ class Lattices:
         char = np.ones(total, np.int64)
         at_lead = np.flatnonzero(lead)
         char[at_lead] = np.diff(np.concatenate([at_lead, [total]]))
-        src, size, piece = [], [], []
+        found: list[tuple[np.ndarray, np.ndarray | int, np.ndarray | int]] = []  # edges by length: sources, sizes, pieces
         alive, length = at_lead, 0
         known = np.zeros(total, bool)
         while len(alive):
@@ -136,33 +143,35 @@ class Lattices:
             got = vocab.find((cum[alive + length] - cum[alive]) * inverse[alive])
             hit = (got >= 0) & (boundary[alive + length] | (left[alive] == length))
             at = alive[hit]
-            src.append(at.astype(np.int32))
-            size.append(np.full(len(at), length, np.int32))
-            piece.append(got[hit])
+            found.append((at, length, got[hit]))
             known[at[char[at] == length]] = True
             alive = alive[got > -2]
         lost = at_lead[~known[at_lead]]
-        src.append(lost.astype(np.int32))
-        size.append(char[lost].astype(np.int32))
-        piece.append(np.full(len(lost), -1, np.int32))
+        found.append((lost, char[lost], -1))
         byte_score = vocab.score[vocab.byte_id]
         byte_sum = np.concatenate([[0.0], np.cumsum(byte_score[text])])
-        at = np.concatenate(src[::-1])  # longer pieces first: they are likelier
-        size, piece = np.concatenate(size[::-1]), np.concatenate(piece[::-1])
-        score = np.where(piece >= 0, vocab.score[piece], byte_sum[at + size] - byte_sum[at])
-        order = np.argsort(at, kind="stable")
-        at, size, self.piece, score = at[order], size[order], piece[order], score[order]
-        del order, piece, src, known, cum, byte_sum, alive, got
+        each = np.zeros(total, np.int32)
+        for at, _, _ in found:
+            each[at] += 1
+        place = np.cumsum(each, dtype=np.int32) - each
+        edges = int(each.sum())
+        at, size, self.piece = np.repeat(np.arange(total, dtype=np.int32), each), np.empty(edges, np.int32), np.empty(edges, np.int32)
+        for a, n, p in reversed(found):  # longer pieces first: they are likelier
+            put = place[a]
+            size[put], self.piece[put] = n, p
+            place[a] += 1
+        score = np.where(self.piece >= 0, vocab.score[self.piece], byte_sum[at + size] - byte_sum[at])
+        del found, known, cum, byte_sum, alive, got, place, each
         self.src = at + word[at]
         self.dst = self.src + size
         self.byte_at, self.text, self.size = at, text, size
-        nodes = total + n
+        nodes = total + n_words
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.src, minlength=nodes))])
-        beta = np.full(nodes, -np.inf)
-        beta[self.end] = 0.0
-        height = left[at].astype(np.int32)
+        self.beta = np.full(nodes, -np.inf)
+        self.beta[self.end] = 0.0
+        beta, height = self.beta, np.minimum(left[at], LONG + 1).astype(np.uint16)
         by_height = np.argsort(height, kind="stable")
-        cuts = np.searchsorted(height[by_height], np.arange(1, int(height.max(initial=0)) + 2))
+        cuts = np.searchsorted(height[by_height], np.arange(1, LONG + 2))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if s == e:
                 continue
@@ -175,6 +184,8 @@ class Lattices:
             count = np.diff(np.concatenate([start, [len(node)]]))
             with np.errstate(divide="ignore"):
                 beta[node[start]] = safe + np.log(np.add.reduceat(np.exp(value - np.repeat(safe, count)), start))
+        for w in np.flatnonzero(sizes > LONG).tolist():
+            self._far_back(int(self.base[w]), int(self.end[w]), score)
         with np.errstate(invalid="ignore"):
             self.logp = score + beta[self.dst] - beta[self.src]
         self.logp[~np.isfinite(self.logp)] = -np.inf
@@ -182,6 +193,36 @@ class Lattices:
         self.low = np.concatenate([[0.0], self.cum])[self.first[:-1]]
         self.high = np.concatenate([[0.0], self.cum])[self.first[1:]]
 
+    def _far_back(self, base: int, end: int, score: np.ndarray) -> None:
+        """Backward sums of a long word's nodes that lie further than LONG from its end, one by one."""
+        last = end - LONG
+        first = self.first[base : last + 1].tolist()
+        lo = first[0]
+        values, to = score[lo : first[-1]].tolist(), (self.dst[lo : first[-1]] - base).tolist()
+        beta = self.beta[base : end + 1].tolist()
+        for node in range(last - base - 1, -1, -1):
+            got = [values[e - lo] + beta[to[e - lo]] for e in range(first[node], first[node + 1])]
+            top = max(got, default=-math.inf)
+            if top > -math.inf:
+                beta[node] = top + math.log(sum([math.exp(x - top) for x in got]))
+        self.beta[base:last] = beta[: last - base]
+
+    def walk(self, node: int, end: int, u: np.ndarray) -> list[int]:
+        """The edges of a path from node to end, drawn like step(), one by one."""
+        first = self.first[node : end + 1].tolist()
+        lo = first[0]
+        cum, to = self.cum[lo : first[-1]].tolist(), (self.dst[lo : first[-1]] - node).tolist()
+        low, high = self.low[node:end].tolist(), self.high[node:end].tolist()
+        at, stop, out = 0, end - node, []
+        for x in u.tolist():
+            if at >= stop:
+                break
+            goal = low[at] + x * (high[at] - low[at])
+            e = bisect.bisect_left(cum, goal, first[at] - lo, first[at + 1] - 1 - lo)
+            out.append(lo + e)
+            at = to[e]
+        return out
+
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, in proportion to its probability."""
         edge = self.first[node]
@@ -206,6 +247,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s, np.diff(np.concatenate([s, [len(data)]])), np.searchsorted(s, offsets)
 
 
+def cut_long_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, cum: np.ndarray, inverse: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Starts of words, long ones cut wherever no piece holds the two neighbouring characters: no piece crosses there."""
+    long = np.flatnonzero(size > 64)
+    if not len(long):
+        return start
+    first = np.cumsum(size[long]) - size[long]
+    at = np.repeat(start[long] - first, size[long]) + np.arange(int(size[long].sum()))
+    lead = (data[at] & 0xC0) != 0x80
+    owner = np.repeat(np.arange(len(long)), size[long])[lead]
+    at = at[lead]
+    same = owner[1:] == owner[:-1]
+    before, here = at[:-1][same], at[1:][same]
+    byte = data[here]
+    ends = here + 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0)
+    two = (cum[ends] - cum[before]) * inverse[before]
+    found = np.minimum(np.searchsorted(vocab.pairs, two), len(vocab.pairs) - 1)
+    return np.union1d(start, here[vocab.pairs[found] != two])
+
+
 class Batch:
     """Samples of a batch of texts (with the leading space already in place)."""
 
@@ -214,6 +274,9 @@ class Batch:
         start, size, self.words = words_of(data, offsets)
         power, inverse = _powers(len(data))
         cum = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * power[: len(data)])])
+        cut = cut_long_words(data, start, size, cum, inverse, vocab)
+        if len(cut) > len(start):
+            start, size, self.words = cut, np.diff(np.concatenate([cut, [len(data)]])), np.searchsorted(cut, offsets)
         name = mix((cum[start + size] - cum[start]) * inverse[start] + size.astype(U64))
         _, example, self.kind = np.unique(name, return_index=True, return_inverse=True)
         self.lattice = Lattices(data, start[example], size[example], vocab)
@@ -233,22 +296,27 @@ class Batch:
         end = x.end[self.kind[who]]
         seed = self.keys[self.doc[who]] + C_SAMPLE * U64(sample + 1) + C_WORD * self.nth[who].astype(U64)
         at, got, slot, step = np.flatnonzero(node < end), [], [], 0
-        while len(at):
+        while len(at) and step < LONG:
             edge = x.step(node[at], uniform(mix(seed[at] + C_STEP * U64(step))))
             got.append(edge)
             slot.append(at)
             node[at] = x.dst[edge]
             at = at[node[at] < end[at]]
             step += 1
+        far = [(a, x.walk(int(node[a]), int(end[a]), uniform(mix(seed[a] + C_STEP * np.arange(step, step + end[a] - node[a], dtype=U64))))) for a in at.tolist()]
         if not got:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(from_word) + 1, np.int64)
         each = np.zeros(len(who), np.int64)
         for a in slot:
             each[a] += 1
+        for a, more in far:
+            each[a] += len(more)
         place = np.cumsum(each) - each
         edge = np.empty(int(each.sum()), np.int64)
         for n, (a, e) in enumerate(zip(slot, got, strict=True)):
             edge[place[a] + n] = e
+        for a, more in far:
+            edge[place[a] + step : place[a] + step + len(more)] = more
         before = np.concatenate([[0], np.cumsum(each)])
         return edge, np.repeat(who, each), before[np.concatenate([[0], np.cumsum(count)])]
 
@@ -445,7 +513,9 @@ def encode(docs: DataFrame, model_path: str, samples: int = 2, alpha: float = 0.
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with `text`, what its ids spell; null ids give null, no ids the empty text; broken UTF-8 is replaced."""
+    """encoded with `text`, what its ids spell; null ids give null, no ids the empty text; broken UTF-8 is replaced.
+
+    Repeated rows give repeated rows, an empty table none; other columns stay, but a column `text` is replaced."""
     columns = [c for c in encoded.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name in columns)
 

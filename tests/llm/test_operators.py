@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -695,6 +696,37 @@ def test_tail_items_are_split_when_popped(vocab, monkeypatch):
     assert pair[a, b] / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.03) and pair[b, a] / n == pytest.approx(p[b] * p[a] / (1 - p[b]), abs=0.03)
 
 
+def test_long_words_are_drawn_alike(vocab, monkeypatch):
+    """Node by node or side by side: the same edges, probabilities and scores."""
+    r = random.Random(3)
+    texts = pa.array(["".join(r.choice("abcdefgh") for _ in range(700)), "an ordinary one", "aaaa" * 200, "x" * 70 + " " + "q" * 90, "", None])
+    keys = pieces.mix(np.arange(6, dtype=np.uint64))
+    got = []
+    for long in (4, 40, 10_000):
+        monkeypatch.setattr(pieces, "LONG", long)
+        got.append([np.asarray(x, float) for x in pieces.encode_batch(texts, keys, vocab, 3)])
+    for other in got[1:]:
+        assert all(np.allclose(a, b) for a, b in zip(got[0], other, strict=True))
+    assert all(got[0][-1])
+
+
+def test_texts_without_spaces(vocab):
+    """Long runs end in seconds, also of characters that few pieces join; no piece crosses a cut."""
+    r = random.Random(4)
+    wide = "".join(chr(r.randint(0x4E00, 0x5200)) if r.random() < 0.9 else r.choice("abc。、") for _ in range(100_000))
+    runs = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), wide, "ab\ncd\t" * 20_000]
+    began = time.monotonic()
+    *_, whole = pieces.encode_batch(pa.array(runs), pieces.mix(np.arange(3, dtype=np.uint64)), vocab, 2)
+    assert all(whole) and time.monotonic() - began < 60
+    joined = {two for b in vocab.bytes for two in itertools.pairwise(b.decode("utf-8", "replace"))}
+    data = np.frombuffer(wide[:500].encode(), np.uint8)
+    power, inverse = pieces._powers(len(data))
+    cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(pieces._BYTE[data] * power[: len(data)])])
+    cuts = pieces.cut_long_words(data, np.array([0]), np.array([len(data)]), cum, inverse, vocab)
+    want = [0] + [len(wide[: n + 1].encode()) for n, two in enumerate(itertools.pairwise(wide[:500])) if two not in joined]
+    assert cuts.tolist() == want
+
+
 def test_encoding_round_trips(spark, docs, nothing):
     texts = ["", None, " ", "  two  spaces ", "▁ mark", "日本語 ☃ é", "x" * 5000, "a\nb\tc", "the the the"]
     frame = spark.createDataFrame([(n, t, 3) for n, t in enumerate(texts)] + [(None, "z z", 3), (8, "the the the", 3)], "doc_id long, text string, ids int")
