@@ -12,12 +12,15 @@ import hashlib
 import itertools
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import frugal, slices
+from .common import Batches, frugal, slices
 from .dom import parse, plain_text
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, header string, block binary"
@@ -82,9 +85,12 @@ def derive(rid: str, uri: str | None, date: str, block: bytes, payload_digest: s
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records of stored pages, with ids that follow from (page id, url); a null page has an empty payload."""
+    """Response records of stored pages, with ids that follow from (page id, url).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A null page has an empty payload, a null url no target; very long pages are stored whole; repeated rows give
+    repeated records with equal ids; an empty table gives no rows; other columns are not read."""
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, "h", 1 << 21):
                 yield _batch([response(i, u, h, date) for i, u, h in zip(*(part.column(c).to_pylist() for c in "iuh"), strict=True)])
@@ -95,11 +101,11 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response record; records of other types give none.
 
-    Repeated responses give repeated derivatives with equal ids; null blocks count as empty; an empty table gives no
-    rows; columns beyond those of a record are not read. A payload digest that does not match is recorded as such.
+    Repeated responses give repeated derivatives with equal ids; null blocks count as empty; very long ones are read
+    whole; an empty table gives no rows; columns beyond those of a record are not read. A payload digest that does not match is recorded as such.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, "block", 1 << 21):
                 rows = zip(*(part.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "block", "payload_digest")), strict=True)
@@ -109,8 +115,11 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def page_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """responses() and derivatives() in one pass over the pages, each derivative with its page's id."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """responses() and derivatives() in one pass over the pages, each derivative with its page's id: two rows a page.
+
+    Null, empty and very long pages, repeats and empty tables as there; other columns are not read."""
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, "h", 1 << 21):
                 ids, out = [], []
@@ -134,43 +143,159 @@ def encode(header: str, block: bytes) -> bytes:
     return gzip.compress(header.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """One .warc.gz member per record as rows of binary `value`, by Spark's own committed writer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [encode(h, b or b"") for h, b in zip(batch.column("header").to_pylist(), batch.column("block").to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array(values, pa.binary())], names=["value"])
-
-    records.select("header", "block").mapInArrow(frugal(run), "value binary").write.mode("overwrite").parquet(path)
-
-
-def read_records(data: bytes) -> list[tuple]:
-    """The records of a (gzip-compressed or plain) WARC file's bytes; stops at the first broken record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    out, at = [], 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            break
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split(BREAK)[1:])}
-        size = int(fields.get("content-length", "0") or 0)
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            break
-        f = fields.get
-        out.append((f("warc-record-id"), f("warc-type"), f("warc-target-uri"), f("warc-refers-to"), f("warc-date"), f("content-type"), size, f("warc-block-digest"), f("warc-payload-digest"), data[start:end].decode("utf-8", "replace") + BREAK, block))
-        at = end + 4 + size
-    return out
-
-
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, read through Spark; a file is one task's unit, as is usual for this format."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                yield _batch(read_records(content.as_py() or b""))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(run), SCHEMA)
+def write_records(records: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Writes part-….warc.gz files with a gzip member a record into the folder `path`; returns (file, records) by name.
+
+    Every task writes its own file under a name of its attempt and renames it when it is whole, so lost and repeated
+    tasks leave one file each. `path` is a folder that all executors reach (a mounted one, or an address that
+    pyarrow's file systems know) and that holds no files yet. Null headers and blocks count as empty; an empty
+    partition gives an empty file."""
+    where, base = _file_system(path)
+    if where.get_file_info(base).type == pafs.FileType.Directory and where.get_file_info(pafs.FileSelector(base)):
+        raise FileExistsError(path)
+
+    def run(batches: Batches) -> Batches:
+        files, folder = _file_system(path)
+        files.create_dir(folder, recursive=True)
+        at = TaskContext.get()
+        name = f"part-{at.partitionId():05d}"
+        draft, count = f"{folder}/.{name}-{at.taskAttemptId()}", 0
+        with files.open_output_stream(draft) as out:
+            for batch in batches:
+                for h, b in zip(batch.column("header").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                    out.write(encode(h or "", b or b""))
+                    count += 1
+        files.move(draft, f"{folder}/{name}.warc.gz")
+        yield pa.record_batch([pa.array([f"{name}.warc.gz"]), pa.array([count], pa.int64())], names=["file", "records"])
+
+    return sorted(tuple(r) for r in records.select("header", "block").mapInArrow(frugal(run), "file string, records long").collect())
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.rstrip("/")
+
+
+BROKEN = "broken"
+
+
+def parse_record(data: bytes) -> tuple[tuple | None, int]:
+    """(record, its bytes) of data that starts with "WARC/"; None where it has no header or stops short, with the bytes
+    it would take (0: unknown)."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not data.startswith(b"WARC/"):
+        return None, 0
+    head = data[:end].decode("utf-8", "replace")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split(BREAK)[1:])}
+    size = fields.get("content-length", "0") or "0"
+    if not size.isdigit() or not fields.get("warc-type"):
+        return None, 0
+    need = end + 4 + int(size)
+    if need > len(data):
+        return None, need
+    f, block = fields.get, data[end + 4 : need]
+    return (f("warc-record-id"), f("warc-type"), f("warc-target-uri"), f("warc-refers-to"), f("warc-date"), f("content-type"), len(block), f("warc-block-digest"), f("warc-payload-digest"), head + BREAK, block), need
+
+
+def broken_record(data: bytes) -> tuple:
+    """Bytes that make no record, kept as they are."""
+    return (None, BROKEN, None, None, None, None, len(data), None, None, None, data)
+
+
+#: What ends a record and starts the next.
+NEXT = b"\r\n\r\nWARC/"
+
+
+def records_of(rows: Iterator[bytes]) -> Iterator[tuple]:
+    """Records of a stream that was cut at NEXT. Where a block holds NEXT itself, its parts are put together again as
+    long as they do not exceed the stated length; what stays short or too long is broken, and reading goes on behind it."""
+    waiting: list[bytes] = []
+    for row in rows:
+        waiting.append(row)
+        yield from _settle(waiting, ended=False)
+    yield from _settle(waiting, ended=True)
+
+
+def _settle(waiting: list[bytes], ended: bool) -> Iterator[tuple]:
+    while waiting:
+        opened = waiting[0] if waiting[0].startswith(b"WARC/") else b"WARC/" + waiting[0]
+        got, need = parse_record(opened)
+        used = 1
+        if got is None and need > len(opened):
+            size = len(opened)
+            while used < len(waiting) and size < need and not waiting[used].startswith(b"WARC/"):
+                size += len(NEXT) + len(waiting[used])
+                used += 1
+            whole = size >= need
+            if not whole and used == len(waiting) and not ended:
+                return  # the rest may still come
+            joined = NEXT.join([opened, *waiting[1:used]]) if whole else opened
+            got, need = parse_record(joined)
+            if got is not None and not joined[need:].strip(b"\r\n"):
+                opened = joined
+            else:
+                got, used = None, 1
+        rest = opened[need:] if got is not None else b""
+        if got is not None:
+            yield got
+            if rest.strip(b"\r\n"):
+                yield broken_record(rest)
+        elif waiting[0].strip(b"\r\n"):
+            yield broken_record(opened)
+        del waiting[:used]
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of data hold, one by one; a member that breaks off gives what could be read, and reading
+    goes on at the next one's magic number. Data that is not compressed comes out whole."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while 0 <= at < len(data):
+        reader, out, pos = zlib.decompressobj(31), [], at
+        try:
+            while pos < len(data) and not reader.eof:
+                out.append(reader.decompress(data[pos : pos + (1 << 20)]))
+                pos += 1 << 20
+        except zlib.error:
+            pass
+        yield b"".join(out)
+        at = min(pos, len(data)) - len(reader.unused_data) if reader.eof else at + 1
+        at = data.find(b"\x1f\x8b\x08", at)
+
+
+def scan(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
+    """The records of WARC files (plain or .gz) as rows of SCHEMA.
+
+    Spark's text reader cuts the stream between records, so a task holds a record at a time, a file may have any size,
+    and plain files are split. Bytes that make no record (no header, no type, a length that does not fit) come as rows
+    of record_type `broken` with the bytes in block, and reading goes on behind them; empty files give no rows.
+    damaged: for compressed files that do not decompress to their end (which fail otherwise). Each file of at most
+    2 GB is then one task's unit, read member by member; a member that breaks off gives a `broken` row too.
+    """
+    if damaged:
+
+        def whole(batches: Batches) -> Batches:
+            for batch in batches:
+                for content in batch.column("content"):
+                    data = content.as_py() or b""
+                    for part in members(data):
+                        if part:
+                            yield _batch(list(records_of(iter(part.split(NEXT)))))
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(whole), SCHEMA)
+
+    def run(batches: Batches) -> Batches:
+        held, size = [], 0
+        for got in records_of(row.as_py() for batch in batches for row in batch.column("v")):
+            held.append(got)
+            size += len(got[10])
+            if size > 1 << 22 or len(held) == 1000:
+                yield _batch(held)
+                held, size = [], 0
+        yield _batch(held)
+
+    lines = spark.read.option("lineSep", NEXT.decode()).text(path)
+    return lines.select(F.col("value").cast("binary").alias("v")).where(F.length("v") > 0).mapInArrow(frugal(run), SCHEMA)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import html.parser
 import itertools
+import json
 import math
 import random
 import re
@@ -634,7 +637,79 @@ def test_warc_round_trip(spark, tmp_path):
     direct = warc.page_derivatives(pages).drop("page_id").collect()
     assert sorted(map(tuple, direct)) == sorted(map(tuple, made))
     assert warc.page_derivatives(pages.limit(0)).count() == 0
-    assert warc.read_records(b"junk") == [] and warc.derive("<x>", None, "d", b"no header end", "sha1:bad")
+    assert warc.derive("<x>", None, "d", b"no header end", "sha1:bad")
+
+
+def independent_digest(data):
+    """base-32 SHA-1 by another route than the operator's."""
+    bits = "".join(f"{b:08b}" for b in bytes.fromhex(hashlib.sha1(data).hexdigest()))
+    return "sha1:" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[int(bits[i : i + 5], 2)] for i in range(0, len(bits), 5))
+
+
+def test_warc_derivatives_by_other_means(spark):
+    """Links, digests, lengths and text of the derivatives from the pages alone; clashing columns and a long page."""
+
+    class Text(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.links, self.title, self.open = [], [], "", ""
+
+        def handle_starttag(self, tag, attrs):
+            self.open = tag
+            self.links += [dict(attrs)["href"]] if tag == "a" else []
+
+        def handle_data(self, data):
+            if self.open == "title":
+                self.title += data
+            else:
+                self.parts.append(data)
+
+    rows = [(n, f"http://h/{n}", f"<title>T{n}</title><p>some text {n} &amp; <a href='/l{n}'>more</a></p>", 1, "b") for n in range(20)] + [(90, "http://h/long", "<title>L</title><p>" + "word " * 200_000 + "</p>", 1, "b"), (91, None, "", 1, "b")]
+    got = warc.page_derivatives(spark.createDataFrame(rows, "page_id long, url string, html string, block int, header string")).collect()
+    assert len(got) == 2 * len(rows)
+    for page_id, url, page, *_ in rows:
+        meta, text = sorted((r for r in got if r["page_id"] == page_id), key=lambda r: r["record_type"], reverse=True)
+        parsed = Text()
+        parsed.feed(page)
+        want = " ".join("".join(parsed.parts).split())
+        assert bytes(text["block"]).decode() == want and meta["target_uri"] == text["target_uri"] == url
+        described = json.loads(bytes(meta["block"]))
+        assert described["title"] == (parsed.title or None) or described["title"] == parsed.title
+        assert [x["url"] for x in described["links"]] == parsed.links and described["payload-length"] == len(page.encode())
+        assert described["payload-digest"] == independent_digest(page.encode()) and described["conversion"] == text["record_id"]
+        for r in (meta, text):
+            block = bytes(r["block"])
+            assert r["block_digest"] == independent_digest(block) and r["content_length"] == len(block)
+            fields = dict(x.split(": ", 1) for x in r["header"].split("\r\n")[1:-1])
+            assert fields["WARC-Refers-To"] == r["refers_to"] and fields["Content-Length"] == str(len(block)) and fields["WARC-Record-ID"] == r["record_id"]
+
+
+def test_warc_files(spark, tmp_path):
+    """Written files have a gzip member a record; the reader goes on behind broken records, and joins blocks that hold a record's start."""
+    pages = spark.createDataFrame([(n, f"http://a/{n}", "x" * n) for n in range(30)] + [(99, "http://b", "in it\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\nstill\r\n\r\nWARC/"), (100, "http://c", "\xff\u00e9" * 300_000)], "page_id long, url string, html string").repartition(3)
+    stored = warc.responses(pages).cache()
+    want = sorted(map(tuple, stored.collect()))
+    files = warc.write_records(stored, str(tmp_path / "out"))
+    assert sum(n for _, n in files) == 32 and len(files) == 3
+    with pytest.raises(FileExistsError):
+        warc.write_records(stored, str(tmp_path / "out"))
+    for damaged in (False, True):
+        assert sorted(map(tuple, warc.scan(spark, str(tmp_path / "out"), damaged).collect())) == want
+    one = tmp_path / "out" / files[0][0]
+    raw = one.read_bytes()
+    assert raw.count(b"\x1f\x8b\x08\x00") >= files[0][1]
+    plain = b"".join(warc.encode(r["header"], bytes(r["block"])) for r in stored.orderBy("record_id").limit(6).collect())
+    parts = gzip.decompress(plain).split(b"\r\n\r\nWARC/")
+    short = parts[0] + b"\r\n\r\nWARC/" + parts[1][:-1] + b"\r\n\r\nWARC/1.0\r\nnothing" + b"".join(b"\r\n\r\nWARC/" + x for x in parts[2:])
+    (tmp_path / "short.warc").write_bytes(short)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    kinds = Counter(r["record_type"] for r in warc.scan(spark, str(tmp_path / "*.warc")).collect())
+    assert kinds["broken"] == 2 and kinds["response"] == 5
+    a, b, c = (warc.encode(f"WARC/1.0\r\nWARC-Type: x\r\nContent-Length: 3\r\n", t) for t in (b"one", b"two", b"six"))
+    (tmp_path / "hurt.warc.gz").write_bytes(a + b[:-12] + c)
+    got = [(r["record_type"], bytes(r["block"])) for r in warc.scan(spark, str(tmp_path / "hurt.warc.gz"), damaged=True).collect()]
+    assert ("x", b"one") in got and ("x", b"six") in got
+    assert [r[1] for r in warc.records_of(iter([b"junk"]))] == ["broken"] and list(warc.records_of(iter([]))) == []
 
 
 @pytest.fixture(scope="module")
