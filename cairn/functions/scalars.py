@@ -61,7 +61,8 @@ def text_hash(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
+    """Lower-cased runs of letters, digits and underscores; none for null."""
+    return F.coalesce(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), ""), F.array().cast("array<string>"))
 
 
 def negated(text: Column) -> Column:

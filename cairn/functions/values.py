@@ -34,12 +34,35 @@ STATES = {
     "SP": "São Paulo",
     "TO": "Tocantins",
 }
+# The macro-region of each federal unit.
 REGIONS = {
-    "Central-West": "DF GO MS MT",
-    "North": "AC AM AP PA RO RR TO",
-    "Northeast": "AL BA CE MA PB PE PI RN SE",
-    "South": "PR RS SC",
-    "Southeast": "ES MG RJ SP",
+    "AC": "North",
+    "AL": "Northeast",
+    "AM": "North",
+    "AP": "North",
+    "BA": "Northeast",
+    "CE": "Northeast",
+    "DF": "Central-West",
+    "ES": "Southeast",
+    "GO": "Central-West",
+    "MA": "Northeast",
+    "MG": "Southeast",
+    "MS": "Central-West",
+    "MT": "Central-West",
+    "PA": "North",
+    "PB": "Northeast",
+    "PE": "Northeast",
+    "PI": "Northeast",
+    "PR": "South",
+    "RJ": "Southeast",
+    "RN": "Northeast",
+    "RO": "North",
+    "RR": "North",
+    "RS": "South",
+    "SC": "South",
+    "SE": "Northeast",
+    "SP": "Southeast",
+    "TO": "North",
 }
 # Fills, segment names by rank of spend, weekday order, aspects.
 NO_TITLE, NO_MESSAGE = "No Title", "No Message"
@@ -61,5 +84,4 @@ def state_name(code: Column) -> Column:
 
 def region(code_or_name: Column) -> Column:
     """Macro-region of a state given by code or by name; null if unknown."""
-    by_code = {code: r for r, codes in REGIONS.items() for code in codes.split()}
-    return lookup(code_or_name, by_code | {STATES[c]: r for c, r in by_code.items()})
+    return lookup(code_or_name, REGIONS | {STATES[c]: r for c, r in REGIONS.items()})

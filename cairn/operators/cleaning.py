@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.values import NO_MESSAGE, NO_TITLE, state_name
 
-#: Numeric product attributes that are filled with 0; the spelling is the sources'.
+# Columns of the sources, in their spelling.
+#: Numeric product attributes that are filled with 0.
 PRODUCT_NUMBERS = ("product_name_lenght", "product_description_lenght", "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
 TIMES = {
     "orders": ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"),
@@ -19,10 +20,14 @@ INTEGERS = {"products": ("product_name_lenght", "product_description_lenght", "p
 
 
 def exact_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, rows, duplicate_rows: rows that repeat an earlier one in full."""
+    """table, rows, duplicate_rows: rows that repeat an earlier one in full.
+
+    Rows go by two 64-bit hashes and which of their columns are null, so long texts are not shuffled."""
 
     def count(name: str, df: DataFrame) -> DataFrame:
-        groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("n"))
+        values = [F.col(f"`{c}`") for c in df.columns]
+        empty = F.concat_ws("", *[F.when(v.isNull(), "1").otherwise("0") for v in values])
+        groups = df.select(empty.alias("e"), F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b")).groupBy("e", "a", "b").agg(F.count("*").alias("n"))
         return groups.agg(F.lit(name).alias("table"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
     return reduce(DataFrame.unionByName, [count(k, v) for k, v in tables.items()])

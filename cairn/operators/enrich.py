@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import cuts, share, total, weekday, whole_days, year_month
 from ..functions.values import region
 from .cleaning import first_of
+from .stats import quantiles
 
 DELAY_EDGES = (-100, 0, 5, 15, 100)
 DELAY_LABELS = ("Early/On-time", "0-5 days late", "5-15 days late", "15+ days late")
@@ -64,22 +65,24 @@ def translated(products: DataFrame, translation: DataFrame) -> DataFrame:
 
 def price_fences(items: DataFrame, price: str = "price") -> DataFrame:
     """One row: the exact quartiles' fences, 1.5 interquartile ranges out."""
-    quartiles = items.agg(F.percentile(price, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    quartiles = quantiles(items, price, [0.25, 0.75])
     low, high = F.col("q")[0], F.col("q")[1]
     return quartiles.select((low - 1.5 * (high - low)).alias("low_fence"), (high + 1.5 * (high - low)).alias("high_fence"))
 
 
-def with_price_outliers(items: DataFrame, price: str = "price") -> DataFrame:
-    """Flags rows strictly beyond the fences; a null price is no outlier. The fences are one broadcast row."""
+def with_price_outliers(items: DataFrame, price: str = "price", priced: DataFrame | None = None) -> DataFrame:
+    """Flags rows strictly beyond the fences; a null price is no outlier. The fences are one broadcast row (none where
+    no price is known). `priced`: the rows that the fences are of, if those before the joins serve as well."""
     flag = F.coalesce((F.col(price) < F.col("low_fence")) | (F.col(price) > F.col("high_fence")), F.lit(False))
-    return items.join(F.broadcast(price_fences(items, price))).withColumn("is_price_outlier", flag).drop("low_fence", "high_fence")
+    fences = price_fences(items if priced is None else priced, price)
+    return items.join(F.broadcast(fences), F.lit(True), "left").withColumn("is_price_outlier", flag).drop("low_fence", "high_fence")
 
 
 def order_items_enriched(items: DataFrame, products: DataFrame, sellers: DataFrame, translation: DataFrame) -> DataFrame:
     """One row an item. Products' categories are filled before the join, so items without a product keep nulls."""
     named = translated(products, translation).na.fill({"product_category_name_english": "Unknown", "product_category_name": "Unknown"})
     joined = items.join(named, "product_id", "left").join(sellers, "seller_id", "left")
-    return with_price_outliers(joined).withColumn("seller_state_name", F.col("seller_state").cast("string"))
+    return with_price_outliers(joined, priced=items).withColumn("seller_state_name", F.col("seller_state").cast("string"))
 
 
 def with_delay_bucket(df: DataFrame, delay: str = "delivery_delay_days") -> DataFrame:
@@ -159,10 +162,9 @@ def join_cardinality(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return side(left, "left").join(F.broadcast(side(right, "right"))).withColumn("relationship", kind)
 
 
-def require_grain(df: DataFrame, key: str) -> DataFrame:
-    """df itself, or GrainError if the key repeats."""
-    again = df.groupBy(key).count().where("count > 1").limit(1).collect()
+def require_grain(df: DataFrame, *key: str) -> DataFrame:
+    """df itself, or GrainError if a key (of one or more columns) repeats."""
+    again = df.groupBy(*key).count().where("count > 1").limit(1).collect()
     if again:
-        raise GrainError(f"{key} {again[0][0]!r} has {again[0][1]} rows")
+        raise GrainError(f"{', '.join(key)} {tuple(again[0])[:-1]!r} has {again[0]['count']} rows")
     return df
-

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import percent, share, total
 from ..functions.values import WEEKDAYS
+from .stats import quantiles
 
 DELIVERED = "delivered"
 FAILED = ("canceled", "unavailable")
@@ -58,8 +61,9 @@ def top_failed_categories(items: DataFrame, orders: DataFrame, n: int = 10, fail
 def peak_hours(orders: DataFrame) -> DataFrame:
     """A row a weekday, Monday first, a column an hour (h0 .. h23): distinct orders, null where there are none."""
     days = orders.sparkSession.createDataFrame(list(enumerate(WEEKDAYS)), "day_number int, order_day string")
-    hours = [F.nullif(F.count_distinct(F.when(F.col("order_hour") == h, F.col("order_id"))), F.lit(0)).alias(f"h{h}") for h in range(24)]
-    grid = orders.where("order_day is not null and order_hour is not null").groupBy("order_day").agg(*hours)
+    cells = orders.where("order_day is not null and order_hour is not null").groupBy("order_day", "order_hour").agg(F.count_distinct("order_id").alias("n"))
+    hours = [F.nullif(F.max(F.when(F.col("order_hour") == h, F.col("n"))), F.lit(0)).alias(f"h{h}") for h in range(24)]
+    grid = cells.groupBy("order_day").agg(*hours)
     return F.broadcast(days).join(grid, "order_day", "left").orderBy("day_number")
 
 
@@ -86,9 +90,12 @@ def scores_by_delay(reviews: DataFrame, score: str = "review_score") -> DataFram
 
 def described(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Long form of grouped count, mean, std, min, quartiles and max, a row a group and column."""
-    one = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).alias("max"))
-    wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*[one(c) for c in columns]).alias("all"))
-    return wide.select(by, F.explode("all").alias("s")).select(by, "s.column", "s.n", "s.mean", "s.std", "s.min", F.col("s.q")[0].alias("q25"), F.col("s.q")[1].alias("q50"), F.col("s.q")[2].alias("q75"), "s.max")
+    known = df.where(F.col(by).isNotNull())
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    sums = known.groupBy(by).agg(F.array(*[one(c) for c in columns]).alias("all")).select(by, F.explode("all").alias("s")).select(by, "s.*")
+    quartiles = reduce(DataFrame.unionByName, [quantiles(known, c, [0.25, 0.5, 0.75], [by]).withColumn("column", F.lit(c)) for c in columns])
+    met = sums.join(quartiles, [by, "column"], "left")
+    return met.select(by, "column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def repeat_rate(customers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ weights ship with this package: a missing artifact raises, it never scores untra
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Callable, Iterator
 
@@ -125,6 +126,29 @@ def aspect_sentiment(df: DataFrame, load: Callable[[], Callable[[list[tuple[str,
     return rows.withColumn("_j", judge(F.col(text), F.col("aspect"))).select(key, "aspect", "_j.sentiment", F.bround("_j.confidence", 4).alias("confidence"))
 
 
+def aspects_of(load: Callable[[], Callable[[list[tuple[str, str]]], list[dict]]], aspects: tuple[str, ...] = ASPECTS, batch: int = 32) -> Callable[[Column], Column]:
+    """A column of array(aspect, sentiment, confidence) in order of aspect; null for blank texts; failures are UNKNOWN with 0."""
+    names = sorted(aspects)
+
+    @F.pandas_udf("array<struct<aspect:string,sentiment:string,confidence:double>>")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for part in parts:
+            out: list[list[dict] | None] = []
+            for s in range(0, len(part), batch):
+                texts = part.iloc[s : s + batch].tolist()
+                pairs = [(t, a) for t in texts if t and t.strip() for a in names]
+                try:
+                    found = [top_label(r) for r in model(pairs)] if pairs else []
+                except Exception:  # noqa: BLE001 - as scorer()
+                    found = [("UNKNOWN", 0.0)] * len(pairs)
+                each = iter(zip(pairs, found, strict=True))
+                out += [[{"aspect": a, "sentiment": x, "confidence": round(y, 4)} for (_, a), (x, y) in itertools.islice(each, len(names))] if t and t.strip() else None for t in texts]
+            yield pd.Series(out)
+
+    return judge
+
+
 def full_pipeline(df: DataFrame, models: dict[str, Callable[[], Model]], key: str = "review_id", text: str = "text") -> DataFrame:
     """Sentiment for all, the fake check for negative rows only, aspects for all.
 
@@ -143,8 +167,7 @@ def full_pipeline(df: DataFrame, models: dict[str, Callable[[], Model]], key: st
         out = judged.withColumn("fake", empty).withColumn("fake_reason", F.when(negative, "not loaded"))
     if "aspects" not in models:
         return out.withColumn("aspects", F.lit(None).cast("array<struct<aspect:string,sentiment:string,confidence:double>>")).withColumn("aspects_reason", F.lit("not loaded"))
-    found = aspect_sentiment(df, models["aspects"], key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("aspect", "sentiment", "confidence"))).alias("aspects"))
-    return out.join(found, key, "left").withColumn("aspects_reason", F.lit(None).cast("string"))
+    return out.withColumn("aspects", aspects_of(models["aspects"])(F.col(text))).withColumn("aspects_reason", F.lit(None).cast("string"))
 
 
 def to_translate(message: Column, done: Column) -> Column:

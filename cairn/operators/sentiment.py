@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import blank, negated, normalised, text_hash, tokens
@@ -123,13 +124,16 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, length: int, text: str = "text", key: str = "review_id") -> DataFrame:
-    """key, ids of exactly `length`: unknown tokens are 1, filled with 0 and cut at the end."""
-    words = df.select(key, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, length)).alias("at", "token"))
-    met = words.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    pair = F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(1)).cast("long").alias("id")))
-    ids = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["id"])
-    zeros = F.array_repeat(F.lit(0).cast("long"), length)
-    return met.groupBy(key).agg(F.slice(F.concat(ids, zeros), 1, length).alias("ids"))
+    """key, ids of exactly `length` for each row of df: unknown tokens are 1, filled with 0 and cut at the end.
+
+    The vocabulary has a bounded size and goes to every worker as a table; no text is shuffled."""
+    number = {r["token"]: r["id"] for r in vocab.select("token", F.col("id").cast("long").alias("id")).collect()}
+
+    @F.pandas_udf("array<bigint>")
+    def ids(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: [number.get(x, 1) for x in w] + [0] * (length - len(w)))
+
+    return df.select(key, ids(F.slice(tokens(F.col(text)), 1, length)).alias("ids"))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

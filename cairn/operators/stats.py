@@ -48,6 +48,30 @@ def average_ranks(df: DataFrame, value: str, rank: str, by: list[str] | None = N
     return placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q: the exact quantiles of the group's non-null values, straight lines between neighbours. Null keys form no
+    group, nor do groups without a value.
+
+    The values at the wanted places are found by counts before them, so no task holds all distinct values."""
+    by = by or []
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    cells = known.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    cells = cells.withColumn("_bin", value_bins(known, ["_v"])["_v"])
+    totals = cells.groupBy(*by, "_bin").agg(F.sum("_n").alias("_t"))  # a few rows a group
+    whole = W.partitionBy(*by)
+    starts = totals.select(*by, "_bin", F.coalesce(F.sum("_t").over(whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_from"), (F.sum("_t").over(whole) - 1).alias("_last"))
+    inside = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    met = cells.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(starts), [*by, "_bin"]).withColumn("_before", F.col("_in") + F.col("_from"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
+
+    places = [F.col("_last") * F.lit(float(s)) for s in shares]
+    found = met.groupBy(*by).agg(F.max("_last").alias("_last"), *[f(p).alias(f"_{side}{n}") for n, p in enumerate(places) for side, f in (("l", lambda p: at(F.floor(p))), ("h", lambda p: at(F.ceil(p))))])
+    between = [F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * (p - F.floor(p)) for n, p in enumerate(places)]
+    return found.where("_last is not null").select(*by, F.array(*between).alias("q"))
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """x, y, spearman for every pair of columns (both orders and itself), over the rows where both are known.
 

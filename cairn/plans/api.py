@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import kpis, rfm, scoring, stats
-from ..sources.results import records, safe
-from .market import DELIVERED, Market
+from ..sources.results import Results, records, safe
+from .batch import DOCUMENTS
+from .market import Market
 
 VERSION = "v1"
+#: Rows that prepared documents hold at most; a request for more is answered from the tables.
+LENGTHS = {"top_cities": 10, "late_sellers": 20, "top_categories": 15, "late_by_state": 15}
 
 
 class NotFound(LookupError):
@@ -26,17 +31,41 @@ def failure(error: Exception) -> dict:
 
 
 class Api:
-    def __init__(self, market: Market, models: dict | None = None) -> None:
-        self.market, self.models = market, models or {}
+    """Answers from the documents and the segmentation of a batch run (`prepared`: its folder) where it is given, and
+    from the market's tables else. `reasons` tells why a model could not be loaded."""
+
+    def __init__(self, market: Market, models: dict | None = None, prepared: str | None = None, reasons: dict[str, str] | None = None) -> None:
+        self.market, self.models, self.reasons = market, models or {}, reasons or {}
+        self.prepared = prepared
+        self.results = Results(market.spark, prepared, DOCUMENTS) if prepared else None
+
+    def _rows(self, name: str, n: int | None = None) -> list[dict] | None:
+        """A prepared document's rows, the first n of them; None where there is none or it has too few to tell."""
+        held = self.results.get(name) if self.results else None
+        if held is None or (n is not None and n > LENGTHS[name]):
+            return None
+        return held["rows"][:n]
+
+    def _object(self, name: str) -> dict | None:
+        held = self.results.get(name) if self.results else None
+        return None if held is None else {k: v for k, v in held.items() if k not in ("generated_at", "schema_version")}
 
     def root(self) -> dict:
         return {"name": "cairn", "api_version": VERSION}
 
     def health(self) -> dict:
+        """ok where data can be read, else degraded with the reason."""
+        if self.results is not None:
+            missing = sorted(set(DOCUMENTS) - set(self.results.available()))
+            return {"status": "degraded", "reason": f"missing documents: {', '.join(missing)}"} if missing else {"status": "ok"}
+        try:
+            self.market.orders_enriched.schema
+        except Exception as error:  # noqa: BLE001 - any failure to read is what is reported
+            return {"status": "degraded", "reason": str(error).splitlines()[0]}
         return {"status": "ok"}
 
     def models_status(self) -> dict:
-        return {n: {"available": n in self.models} for n in ("sentiment", "fake", "aspects")}
+        return {n: {"available": n in self.models, "reason": None if n in self.models else self.reasons.get(n, "not loaded")} for n in ("sentiment", "fake", "aspects")}
 
     def models_info(self) -> dict:
         """What each model is for; the classes tell how it was made."""
@@ -45,69 +74,81 @@ class Api:
 
     def summary(self) -> dict:
         m = self.market
-        return records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, DELIVERED))[0]
+        return self._object("business_summary") or records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, m.delivered))[0]
 
     def monthly_orders(self) -> list[dict]:
-        return records(kpis.monthly_orders(self.market.orders_enriched))
+        return self._rows("monthly_orders") or records(kpis.monthly_orders(self.market.orders_enriched))
 
     def monthly_revenue(self) -> list[dict]:
-        return records(kpis.monthly_revenue(self.market.orders_enriched, DELIVERED))
+        return self._rows("monthly_revenue") or records(kpis.monthly_revenue(self.market.orders_enriched, self.market.delivered))
 
     def review_distribution(self) -> list[dict]:
-        return records(kpis.review_scores(self.market.orders_enriched))
+        return self._rows("review_scores") or records(kpis.review_scores(self.market.orders_enriched))
 
     def delivery_summary(self) -> dict:
-        return records(kpis.delivery_summary(self.market.orders_enriched))[0]
+        return self._object("delivery_summary") or records(kpis.delivery_summary(self.market.orders_enriched))[0]
 
     def payment_distribution(self) -> list[dict]:
-        return records(kpis.counts(self.market.orders_enriched, "main_payment_type"))
+        return self._rows("payment_methods") or records(kpis.counts(self.market.orders_enriched, "main_payment_type"))
 
     def late_significance(self) -> dict:
-        return safe(stats.late_significance(self.market.orders_enriched))
+        return self._object("late_significance") or safe(stats.late_significance(self.market.orders_enriched))
 
     def customer_summary(self) -> dict:
-        return records(kpis.customer_summary(self.market.customers_enriched))[0]
+        return self._object("customer_summary") or records(kpis.customer_summary(self.market.customers_enriched))[0]
 
     def top_cities(self, n: int = 10) -> list[dict]:
-        return records(kpis.top_cities(self.market.orders_enriched, n))
+        return self._rows("top_cities", n) or records(kpis.top_cities(self.market.orders_enriched, n))
 
     def seller_summary(self) -> dict:
-        return records(kpis.seller_summary(self.market.sellers_enriched))[0]
+        return self._object("seller_summary") or records(kpis.seller_summary(self.market.sellers_enriched))[0]
 
     def seller_performance(self, n: int = 20) -> list[dict]:
-        return records(kpis.late_sellers(self.market.sellers_enriched, n))
+        return self._rows("late_sellers", n) or records(kpis.late_sellers(self.market.sellers_enriched, n))
 
     def categories(self, n: int = 15) -> list[dict]:
-        return records(kpis.top_categories(self.market.items_enriched, n))
+        return self._rows("top_categories", n) or records(kpis.top_categories(self.market.items_enriched, n))
 
     def state_performance(self, n: int = 15) -> list[dict]:
-        return records(kpis.late_by_state(self.market.orders_enriched, n))
+        return self._rows("late_by_state", n) or records(kpis.late_by_state(self.market.orders_enriched, n))
+
+    @cached_property
+    def segmentation(self) -> rfm.Segmentation:
+        """The batch run's, else fitted once."""
+        if self.prepared:
+            return rfm.Segmentation.load(self.market.spark, f"{self.prepared}/segmentation")
+        return rfm.fit_segments(rfm.rfm_table(self.market.orders_enriched))
 
-    def _segmented(self) -> tuple:
-        table = rfm.rfm_table(self.market.orders_enriched)
-        fitted = rfm.fit_segments(table)
-        return fitted, rfm.segment_profile(fitted.assign(table))
+    @cached_property
+    def _profile(self) -> list[dict]:
+        return self._rows("rfm_summary") or records(rfm.segment_profile(self.segmentation.assign(rfm.rfm_table(self.market.orders_enriched))))
 
     def segments(self) -> list[dict]:
-        return records(self._segmented()[1])
+        return self._profile
 
     def segment(self, name: str) -> dict:
-        profile = self._segmented()[1].persist()
-        found = records(profile.where(F.lower("Segment") == name.lower()))
+        found = [r for r in self._profile if r["Segment"].lower() == name.lower()]
         if not found:
-            raise NotFound(f"no segment {name}; there are {', '.join(r['Segment'] for r in records(profile))}")
+            raise NotFound(f"no segment {name}; there are {', '.join(r['Segment'] for r in self._profile)}")
         return found[0]
 
     def predict_segment(self, recency: float, frequency: float, monetary: float) -> dict:
-        return self._segmented()[0].predict(recency, frequency, monetary)
+        return self.segmentation.predict(recency, frequency, monetary)
 
-    def score(self, texts: list[str], model: str = "bert", language: str = "en") -> list[dict]:
-        """Sentiment of 1 to 64 texts, in their order."""
-        scoring.check_request(texts, model, language)
+    def score(self, texts: list[str] | list[dict], model: str = "bert", language: str = "en") -> list[dict]:
+        """Sentiment of 1 to 64 texts (or objects with id and text), in their order, with id, model and the text that was
+        scored; texts in Portuguese are translated first."""
+        items = [t if isinstance(t, dict) else {"id": None, "text": t} for t in texts]
+        scoring.check_request([t["text"] for t in items], model, language)
         if "sentiment" not in self.models:
             raise scoring.ModelUnavailable("sentiment")
-        rows = self.market.spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-        return records(scoring.sentiment(rows, self.models["sentiment"]).orderBy("id"))
+        rows = self.market.spark.createDataFrame([(n, None if t["id"] is None else str(t["id"]), t["text"]) for n, t in enumerate(items)], "position int, id string, text string")
+        if language == "pt":
+            if "translation" not in self.models:
+                raise scoring.ModelUnavailable("translation")
+            rows = scoring.translate_step(rows.withColumnRenamed("text", "original"), self.models["translation"], "original", "text")
+        scored = scoring.sentiment(rows, self.models["sentiment"]).withColumn("model", F.lit(model))
+        return records(scored.orderBy("position").drop("position"))
 
     def pipeline(self, texts: list[str]) -> list[dict]:
         scoring.check_request(texts)

@@ -22,6 +22,8 @@ def exact(c: str, scale: int = 2) -> Column:
 class Market:
     """Lazy entity tables of one folder of Parquet files; enriched tables are built once and shared."""
 
+    delivered, failed = DELIVERED, FAILED
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 

@@ -52,7 +52,7 @@ bad AS (SELECT norm, count(DISTINCT label) AS labels, count(*) AS n FROM odd GRO
 _TOKENS = r"""
 WITH tok AS (SELECT doc_id, token, i FROM (SELECT doc_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents))),
 freq AS (SELECT token, count(*) AS n FROM tok GROUP BY 1),
-vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM freq QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 998)
+vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM freq QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 29998)
 """
 _RANKS = """
 , wide AS (SELECT o.order_id, review_score, CAST(delivery_days AS DOUBLE) AS delivery_days, CAST(delivery_delay_days AS DOUBLE) AS delivery_delay_days, total_payment_value, price, freight_value
@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
     "customer_summary": _BASE + "SELECT count(DISTINCT customer_unique_id) AS total_customers, round_even(avg(CAST(is_repeat_customer AS DOUBLE)) * 100, 2) AS repeat_customer_pct, round_even(avg(order_count), 3) AS avg_orders_per_customer, round_even(avg(total_spend), 2) AS avg_spend_per_customer FROM ce",
     "seller_summary": _BASE + "SELECT count(DISTINCT seller_id) AS total_sellers, round_even(avg(late_delivery_rate) * 100, 2) AS avg_late_delivery_rate_pct, round_even(avg(item_revenue), 2) AS avg_item_revenue FROM se",
     "repeat_purchase_rate": _BASE + "SELECT round(avg(CAST(is_repeat_customer AS DOUBLE)) * 100, 6) AS repeat_customer_pct, round(100 - avg(CAST(is_repeat_customer AS DOUBLE)) * 100, 6) AS one_time_customer_pct, count(*) AS n_customers FROM ce",
-    "customer_order_count": "SELECT o_orderkey AS order_id, o_custkey AS customer_unique_id, n AS customer_order_count FROM orders JOIN (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1) USING (o_custkey)",
+    "customer_order_count": "SELECT o_orderkey AS order_id, o_custkey // 10 AS customer_unique_id, n AS customer_order_count FROM orders JOIN (SELECT o_custkey // 10 AS p, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1) ON p = o_custkey // 10",
     "seller_late_rate_items": _BASE + "SELECT item.order_id, order_item_id, product_id, seller_id, round(late_delivery_rate, 6) AS seller_late_delivery_rate FROM item LEFT JOIN late USING (seller_id)",
     "join_cardinality": "SELECT (SELECT count(*) FROM orders) AS left_rows, (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS left_duplicate_keys, (SELECT count(*) FROM lineitem) AS right_rows, (SELECT count(*) - count(DISTINCT l_orderkey) FROM lineitem) AS right_duplicate_keys, 'one-to-many' AS relationship",
     "rfm_table": _BASE + "SELECT customer_unique_id, Recency, Frequency, round(Monetary, 6) AS Monetary FROM rfm",
@@ -134,10 +134,10 @@ SELECT n1 AS n_late, round(m1, 8) AS mean_late, round(d1, 8) AS median_late, rou
     "text_normalize_hash": f"SELECT doc_id, CAST(length({_NORM}) AS BIGINT) AS normalized_length, {_HASH} AS text_hash FROM documents",
     "token_counts": _TOKENS + "SELECT token, n FROM freq",
     "vocab_topk": _TOKENS + "SELECT token, n, id FROM vocab",
-    "token_ids_padded": _TOKENS + ", ids AS (SELECT doc_id, i, coalesce(id, 1) AS id FROM tok LEFT JOIN vocab USING (token) WHERE i <= 32) SELECT documents.doc_id, array_to_string((coalesce(any_value(l), []) || [0 FOR x IN range(32)])[1:32], ' ') AS ids FROM documents LEFT JOIN (SELECT doc_id, list(id ORDER BY i) AS l FROM ids GROUP BY 1) USING (doc_id) GROUP BY documents.doc_id",
+    "token_ids_padded": _TOKENS + ", ids AS (SELECT doc_id, i, coalesce(id, 1) AS id FROM tok LEFT JOIN vocab USING (token) WHERE i <= 100) SELECT documents.doc_id, array_to_string((coalesce(any_value(l), []) || [0 FOR x IN range(100)])[1:100], ' ') AS ids FROM documents LEFT JOIN (SELECT doc_id, list(id ORDER BY i) AS l FROM ids GROUP BY 1) USING (doc_id) GROUP BY documents.doc_id",
     "negation_flag": r"SELECT doc_id, regexp_matches(text, '(?i)\b(not|no|never|n''t|cannot|nothing|nobody|nowhere|neither|nor|without|hardly|barely|scarcely)\b') AS is_negated FROM documents",
     "negation_balanced_sample": _TEXTS
-    + rf""", f AS (SELECT review_id, label, regexp_matches(text, '\bthe\b') AS is_negated FROM texts),
+    + rf""", f AS (SELECT review_id, label, regexp_matches(text, '(?i)\b(not|no|never|n''t|cannot|nothing|nobody|nowhere|neither|nor|without|hardly|barely|scarcely)\b') AS is_negated FROM texts),
 q AS (SELECT is_negated, least(CASE WHEN is_negated THEN 60 ELSE 40 END, count_if(label = 0)) AS quota FROM f GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY is_negated, label ORDER BY sha256(CAST(review_id AS VARCHAR) || '|{SEED}'), review_id) AS r FROM f)
 SELECT review_id, label, is_negated FROM r JOIN q USING (is_negated) WHERE r.r <= quota""",
@@ -165,7 +165,7 @@ SELECT round(sum(pos * (tp / k)) / sum(pos), 9) AS average_precision FROM c""",
     "union_oversample": "SELECT lang, CAST(copy AS INTEGER) AS copy, count(*) AS n FROM (SELECT lang, unnest(range(1, CASE WHEN lang = 'fr' THEN 5 ELSE 2 END)) AS copy FROM documents UNION ALL SELECT lang, 0 FROM documents WHERE lang <> 'fr') GROUP BY 1, 2",
     "aspect_cross": "SELECT doc_id, aspect, CAST(length(text) AS INTEGER) AS n_chars FROM documents, (VALUES ('delivery'), ('product quality'), ('price'), ('customer service'), ('packaging')) AS a(aspect)",
     "event_props_json": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 6) AS total FROM events GROUP BY 1, 2",
-    "array_encoding": r"WITH w AS (SELECT doc_id, [CASE t WHEN 'the' THEN 2 WHEN 'of' THEN 3 WHEN 'de' THEN 4 WHEN 'and' THEN 5 ELSE 1 END FOR t IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:6]] AS i FROM documents) SELECT doc_id, array_to_string((i || [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ' ') AS post, array_to_string(([0, 0, 0, 0, 0, 0, 0, 0] || i)[len(i) + 1 : len(i) + 8], ' ') AS pre FROM w",
+    "array_encoding": r"WITH w AS (SELECT doc_id, [CASE t WHEN 'the' THEN 2 WHEN 'of' THEN 3 WHEN 'de' THEN 4 WHEN 'and' THEN 5 ELSE 1 END FOR t IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')] AS i FROM documents) SELECT doc_id, array_to_string((i || [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ' ') AS post, array_to_string(([0, 0, 0, 0, 0, 0, 0, 0] || i)[len(i) + 1 : len(i) + 8], ' ') AS pre FROM w",
     "average_ranks": "SELECT n_chars, CAST(min(r) + (count(*) - 1) / 2.0 AS DOUBLE) AS rank, count(*) AS ties FROM (SELECT n_chars, rank() OVER (ORDER BY n_chars) AS r FROM documents) GROUP BY 1",
     "negation_accuracy": r"SELECT round(avg(CASE WHEN regexp_matches(text, '(?i)\b(not|no|never|n''t|cannot|nothing|nobody|nowhere|neither|nor|without|hardly|barely|scarcely)\b') = (lang = 'en') THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM documents",
     "keep_first_rank": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS first_day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",

@@ -18,17 +18,17 @@ SCHEMAS = {
     "sellers": "seller_id string, seller_zip_code_prefix int, seller_city string, seller_state string",
     "translation": "product_category_name string, product_category_name_english string",
 }
-# File names of the public data set.
+# How the source files' names end; what stands before (and an underscore) is the data set's own.
 FILES = {
-    "customers": "olist_customers_dataset.csv",
-    "geolocation": "olist_geolocation_dataset.csv",
-    "items": "olist_order_items_dataset.csv",
-    "payments": "olist_order_payments_dataset.csv",
-    "reviews": "olist_order_reviews_dataset.csv",
-    "orders": "olist_orders_dataset.csv",
-    "products": "olist_products_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "translation": "product_category_name_translation.csv",
+    "customers": "customers_dataset.csv",
+    "geolocation": "geolocation_dataset.csv",
+    "items": "order_items_dataset.csv",
+    "payments": "order_payments_dataset.csv",
+    "reviews": "order_reviews_dataset.csv",
+    "orders": "orders_dataset.csv",
+    "products": "products_dataset.csv",
+    "sellers": "sellers_dataset.csv",
+    "translation": "category_name_translation.csv",
 }
 
 
@@ -47,16 +47,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def find(spark: SparkSession, base: str, name: str) -> str | None:
+    """The file of a source table in a folder, with or without a prefix to its name; the first by name, if several."""
+    fs, at = _fs(spark, f"{base}/*{FILES[name]}")
+    found = [f.getPath() for f in fs.globStatus(at) or []]
+    fitting = sorted(str(x.toString()) for x in found if x.getName() == FILES[name] or x.getName().endswith("_" + FILES[name]))
+    return fitting[0] if fitting else None
+
+
 def resolve_base(spark: SparkSession, path: str | None = None, fallback: str = "data/raw") -> str:
-    """The folder of the CSV files: the argument, else OLIST_DATA_DIR, else `fallback`; one without orders is an error."""
-    for base in (path, os.environ.get("OLIST_DATA_DIR"), fallback):
-        if base and exists(spark, f"{base}/{FILES['orders']}"):
+    """The folder of the CSV files: the argument, else MARKET_DATA_DIR, else `fallback`; one without orders is an error."""
+    for base in (path, os.environ.get("MARKET_DATA_DIR"), fallback):
+        if base and find(spark, base, "orders"):
             return base
     raise FileNotFoundError("no folder with the source files was found")
 
 
 def discover(spark: SparkSession, base: str) -> dict[str, str]:
-    return {k: f"{base}/{f}" for k, f in FILES.items() if exists(spark, f"{base}/{f}")}
+    return {k: path for k in FILES if (path := find(spark, base, k))}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -66,25 +74,28 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return read_csv(spark, f"{base}/{FILES[name]}", SCHEMAS[name])
+    path = find(spark, base, name)
+    if path is None:
+        raise FileNotFoundError(f"no file {FILES[name]} in {base}")
+    return read_csv(spark, path, SCHEMAS[name])
 
 
 def load_all(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    missing = sorted(set(FILES) - set(discover(spark, base)))
+    found = discover(spark, base)
+    missing = sorted(set(FILES) - set(found))
     if missing:
         raise FileNotFoundError(f"missing source files: {', '.join(FILES[m] for m in missing)}")
-    return {k: load(spark, base, k) for k in FILES}
+    return {k: read_csv(spark, path, SCHEMAS[k]) for k, path in found.items()}
 
 
 def validate(spark: SparkSession, base: str) -> list[dict]:
     """Per table: ok, missing_columns, row_count (records, so newlines in fields do not count)."""
-    out = []
+    out, found = [], discover(spark, base)
     for name in FILES:
-        path = f"{base}/{FILES[name]}"
-        if not exists(spark, path):
+        if name not in found:
             out.append({"table": name, "ok": False, "missing_columns": columns_of(name), "row_count": 0})
             continue
-        df = read_csv(spark, path)
+        df = read_csv(spark, found[name])
         missing = [c for c in columns_of(name) if c not in df.columns]
         out.append({"table": name, "ok": not missing, "missing_columns": missing, "row_count": df.count()})
     return out

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +262,60 @@ def test_baseline(spark):
     assert scoring.predict_baseline(rows, model).where("guess <> label").count() == 0
     top = scoring.attributions(rows.limit(1), model, 2).collect()
     assert {r["token"] for r in top} <= {"good", "fine", "bad", "poor"}
+
+
+def test_quantiles_against_sorting(spark):
+    r = random.Random(2)
+    rows = [(r.choice(("a", "b", None)), r.choice((None, float(r.randint(0, 30)), r.random()))) for _ in range(400)] + [("lone", 5.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(3)
+
+    def want(values, share):
+        values = sorted(values)
+        place = share * (len(values) - 1)
+        low = values[math.floor(place)]
+        return low + (place - math.floor(place)) * (values[math.ceil(place)] - low)
+
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {x["g"]: x["q"] for x in stats.quantiles(frame, "v", shares, ["g"]).collect()}
+    groups = {g for g, v in rows if v is not None and g is not None}
+    assert set(got) == groups
+    for g in groups:
+        assert got[g] == pytest.approx([want([v for k, v in rows if k == g and v is not None], s) for s in shares])
+    assert stats.quantiles(frame, "v", [0.5]).first()["q"] == pytest.approx([want([v for _, v in rows if v is not None], 0.5)])
+    assert stats.quantiles(frame.limit(0), "v", [0.5]).count() == 0 and enrich.with_price_outliers(frame.limit(0), "v").count() == 0
+    assert {x["is_price_outlier"] for x in enrich.with_price_outliers(frame.where("v is null"), "v").collect()} == {False}
+
+
+def test_fences_are_read_before_the_joins(spark):
+    """Each side of the enriched items is scanned for its rows only; for the fences, items alone are counted by price
+    (twice in the plan, one exchange)."""
+    from cairn.plans.market import Market
+
+    plan = Market(spark, "/root/testdata/sf0.001").items_enriched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 6 and "percentile(" not in plan
+
+
+def test_repeated_and_null_keys_keep_their_rows(spark):
+    rows = [(1, "a b"), (1, "c d"), (None, "a"), (None, ""), (2, None)]
+    frame = spark.createDataFrame(rows, "review_id int, text string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    got = sorted(((x["review_id"], x["ids"]) for x in sentiment.token_ids(frame, vocab, 3).collect()), key=repr)
+    assert got == sorted([(1, [2, 3, 0]), (1, [4, 1, 0]), (None, [2, 0, 0]), (None, [0, 0, 0]), (2, [0, 0, 0])], key=repr)
+    models = {"sentiment": lambda: lambda ts: [0.1] * len(ts), "aspects": lambda: lambda ps: [{"label": t, "score": 0.5} for t, _ in ps]}
+    out = scoring.full_pipeline(frame, models).collect()
+    assert len(out) == 5
+    for x in out:
+        assert (x["aspects"] is None) == (not x["text"]) and (not x["text"] or (len(x["aspects"]) == 5 and {a["sentiment"] for a in x["aspects"]} == {x["text"]}))
+
+
+def test_student_tails_against_tables():
+    for t, freedom, p in ((12.7062, 1, 0.05), (2.2281, 10, 0.05), (4.5869, 10, 0.001), (1.9840, 100, 0.05), (0.0, 5, 1.0), (1.0, 1, 0.5), (63.6567, 1, 0.01)):
+        assert student_two_sided(t, freedom) == pytest.approx(p, rel=1e-4)
+    assert student_two_sided(3.0, 1e6) == pytest.approx(0.0026998, rel=1e-3) and student_two_sided(-2.0, 10) == student_two_sided(2.0, 10)
+    assert student_two_sided(40.0, 400) < 1e-100
+
+
+def test_duplicates_by_hash(spark):
+    rows = [("a", None), (None, "a"), ("a", None), ("ab", "c"), ("a", "bc"), (None, None), (None, None)]
+    got = cleaning.exact_duplicates({"t": spark.createDataFrame(rows, "x string, y string")}).first()
+    assert (got["rows"], got["duplicate_rows"]) == (7, 2)

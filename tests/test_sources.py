@@ -9,7 +9,7 @@ from cairn.sources import results, tables
 
 def test_csv_with_quotes_and_missing(spark, tmp_path):
     base = str(tmp_path)
-    (tmp_path / tables.FILES["reviews"]).write_text('review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\nr1,o1,5,,"line one\nline ""two""",2018-01-01 00:00:00,\n')
+    (tmp_path / ("any_" + tables.FILES["reviews"])).write_text('review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\nr1,o1,5,,"line one\nline ""two""",2018-01-01 00:00:00,\n')
     row = tables.load(spark, base, "reviews").first()
     assert row["review_comment_message"] == 'line one\nline "two"' and row["review_comment_title"] is None
     found = {x["table"]: x for x in tables.validate(spark, base)}
