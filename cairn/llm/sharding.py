@@ -2,12 +2,17 @@
 
 Rows are ordered by (hash of the text, id). A size-weighted sample of those keys gives quantile boundaries that cut
 the order into many ranges of about equal bytes; a range that turns out overfull is subdivided by splitters sampled
-inside it. Exact sums over the ranges then place every row at its byte offset in the whole order, and the shard is
-the offset's share of the total, so shards are equal to within a group of equal texts or one large document.
+inside it. Exact sums over the ranges then place every row at its byte offset in the whole order. Rows of more than a
+hundredth of a shard, of which there can be a hundred a shard at most, are dealt first, largest to the emptiest shard;
+the others fill what each shard has left in the order of their offsets, so shards are equal to within such a hundredth
+wherever no single row is larger than a shard.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -50,12 +55,22 @@ def _splitters(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[
     return sorted(set(out))
 
 
+def _filled(load: list[int], rest: int) -> list[float]:
+    """How much of `rest` each shard takes so that all are as full as the loads allow."""
+    level, open_loads = 0.0, sorted(load)
+    for n in range(1, len(load) + 1):
+        level = (rest + sum(open_loads[:n])) / n
+        if n == len(load) or level <= open_loads[n]:
+            break
+    return [max(0.0, level - x) for x in load]
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, rows_a_range: int = 2_000_000, keys_a_range: int = 16, seed: int = 7) -> DataFrame:
     """Every row of docs in one of `shards` shards of near-equal bytes.
 
     Size is the text's UTF-8 bytes (a null text has none) plus `overhead`; a null text has the CRC-32 of no bytes, 0.
     Equal texts stay in one shard while their group has at most a hundredth of a shard's bytes; larger groups are
-    cut by id. Repeated rows each get a slot; a null id sorts first; an empty table gives no rows; other columns are
+    cut by id. Very long texts are read whole; one larger than a shard makes its shard that much larger. Repeated rows each get a slot; a null id sorts first; an empty table gives no rows; other columns are
     not read. Returns id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
     """
     spark = docs.sparkSession
@@ -70,6 +85,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         ),
         "shard-keys",
     )
+    whole = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    target = whole / shards
+    large = keyed.where(F.col("size") > target / 100)  # at most a hundred a shard
+    load, dealt, again = [0] * shards, [], Counter()
+    for size, key, rank in sorted((tuple(r) for r in large.select("size", "key", "rank").collect()), key=lambda x: (-x[0], x[1], x[2])):
+        shard = load.index(min(load))
+        load[shard] += size
+        dealt.append((key, rank, again[key, rank], shard))
+        again[key, rank] += 1
+    keyed = keyed.where(F.col("size") <= target / 100)
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = max(8 * shards, -(-rows // rows_a_range))
     draw = F.shiftrightunsigned(F.xxhash64("key", "rank", F.lit(seed)), 11) / F.lit(float(2**53))
@@ -110,7 +135,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     group = W.partitionBy("part", "key")
     size = F.col("size")
     before = F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - size
-    target = total / shards
+    room = _filled(load, total)
+    cuts = np.cumsum(room)[:-1].tolist()
     placed = (
         _assign(keyed, splitters)
         .withColumn("before", before)
@@ -121,8 +147,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     )
     together = F.col("group_size") <= F.lit(target / 100)
     middle = F.col("byte_start") + F.when(together, F.col("group_before") + F.col("group_size") / 2).otherwise(F.col("before") + size / 2)
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(max(total, 1)))).cast("int")).withColumn("position", F.col("row_start") + F.col("row"))
-    first = spark.createDataFrame([tuple(r) for r in placed.groupBy("shard").agg(F.min("position")).collect()], "shard int, shard_start long")
-    return placed.join(F.broadcast(first), "shard").select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("position") - F.col("shard_start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    placed = placed.withColumn("shard", reduce(lambda n, cut: n + (middle >= F.lit(cut)).cast("int"), cuts, F.lit(0))).withColumn("position", F.col("row_start") + F.col("row"))
+    filled = {r[0]: (r[1], r[2]) for r in placed.groupBy("shard").agg(F.min("position"), F.count("*")).collect()}
+    first = spark.createDataFrame([(n, at) for n, (at, _) in filled.items()], "shard int, shard_start long")
+    columns = lambda slot: (F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.join(F.broadcast(first), "shard").select(*columns(F.col("position") - F.col("shard_start")))
+    if not dealt:
+        return out
+    slots, at = [], {n: count for n, (_, count) in filled.items()}
+    for key, rank, nth, shard in dealt:
+        slots.append((key, rank, nth, shard, at.setdefault(shard, 0)))
+        at[shard] += 1
+    homes = spark.createDataFrame(slots, "key long, rank long, nth int, shard int, slot long")
+    numbered = large.withColumn("nth", F.row_number().over(W.partitionBy("key", "rank").orderBy("size")) - 1)
+    return out.unionByName(numbered.join(F.broadcast(homes), ["key", "rank", "nth"]).select(*columns(F.col("slot"))))
