@@ -27,7 +27,13 @@ class Boosted:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Boosted:
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
+    # all features' bins side by side: one count serves every feature
+    widths = np.array([len(e) + 1 for e in edges])
+    opens = np.cumsum(widths) - widths
+    binned = np.stack([np.searchsorted(e, x[:, f], "left") + opens[f] for f, e in enumerate(edges)], 1)
+    total, of = int(widths.sum()), np.repeat(np.arange(len(edges)), widths)
+    is_split = np.arange(total) != (opens + widths - 1)[of]  # behind a feature's last bin there is nothing to split off
+    split_at = np.concatenate([np.append(e, np.inf) for e in edges]).astype(np.float32)
     share = float((y * weight).sum() / weight.sum())
     model = Boosted(depth, float(np.log(share / (1 - share))))
     margin = np.full(len(y), model.base)
@@ -35,26 +41,23 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         g, h = weight * (y - p), weight * p * (1 - p)
+        g_all, h_all = np.repeat(g, len(edges)), np.repeat(h, len(edges))
         node = np.zeros(len(y), np.int64)
         feature, threshold = np.zeros(2**depth - 1, np.int32), np.full(2**depth - 1, np.inf, np.float32)
         for level in range(depth):
             first, count = 2**level - 1, 2**level
-            local = node - first
-            best = np.full(count, 1e-9)
-            for f, e in enumerate(edges):
-                if not len(e):
-                    continue
-                width = len(e) + 1
-                key = local * width + binned[:, f]
-                gs, hs = (np.bincount(key, v, count * width).reshape(count, width).cumsum(1) for v in (g, h))
-                gt, ht = gs[:, -1:], hs[:, -1:]
+            key = ((node - first)[:, None] * total + binned).ravel()
+            gs, hs = (np.bincount(key, v, count * total).reshape(count, total).cumsum(1) for v in (g_all, h_all))
+            # sums inside a feature: less what stood before its first bin
+            gs, hs = (s - np.concatenate([np.zeros((count, 1)), s], 1)[:, opens][:, of] for s in (gs, hs))
+            gt, ht = (s[:, (opens + widths - 1)][:, of] for s in (gs, hs))
+            with np.errstate(divide="ignore", invalid="ignore"):
                 gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
-                at = gain[:, :-1].argmax(1)
-                top = gain[np.arange(count), at]
-                better = top > best
-                best = np.where(better, top, best)
-                feature[first : first + count][better] = f
-                threshold[first : first + count][better] = e[at[better]]
+            gain = np.where(is_split, gain, -np.inf)
+            at = gain.argmax(1)
+            better = gain[np.arange(count), at] > 1e-9
+            feature[first : first + count][better] = of[at[better]]
+            threshold[first : first + count][better] = split_at[at[better]]
             node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > threshold[node])
         local = node - (2**depth - 1)
         leaf = rate * np.bincount(local, g, 2**depth) / (np.bincount(local, h, 2**depth) + ridge)

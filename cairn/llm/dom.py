@@ -8,9 +8,10 @@ import re
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes head-title canvas audio video".split())
-#: Elements whose content is not text of the page; title is read apart.
-RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas audio video object".split())
+#: Elements whose content is not text of the page; title is read apart. Where the end tag is missing, the first go on
+#: to the page's end, as in browsers; the others are then passed over.
+ENDLESS = frozenset("script style textarea title xmp noembed noframes".split())
+RAW_TEXT = ENDLESS | frozenset("iframe noscript template svg canvas audio video object".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr caption ul".split()
 )
@@ -84,7 +85,7 @@ def parse(page: str) -> tuple[Node, str, list[tuple[str, str]]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
             if tag == "title" and not title:
                 title = " ".join(html.unescape(page[pos : end.start() if end else size]).split())
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and (end or tag in ENDLESS):
                 pos = end.end() if end else size
             run.append(" ")
             continue

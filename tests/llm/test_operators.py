@@ -219,6 +219,23 @@ def test_sharding(spark, nothing):
     assert {x["law"] for x in got} == {"bytes"} and {x["grown_shard"] for x in got} == {None}
 
 
+def test_shards_with_long_texts_stay_equal(spark):
+    """Rows of up to half a shard, copies of them among them; and one larger than any shard."""
+    r = random.Random(12)
+    table = [(n, "x" * int(50 * 300 ** r.random())) for n in range(500)] + [(600, "y" * 9000)] * 3 + [(601, "y" * 9000)]
+    for extra in ([], [(700, "z" * 200_000)]):
+        got = sharding.shard_by_bytes(spark.createDataFrame(table + extra, "doc_id long, text string"), shards=12).collect()
+        assert Counter((x["doc_id"], x["size"]) for x in got) == Counter((i, len(t) + 8) for i, t in table + extra)
+        by = defaultdict(list)
+        for x in got:
+            by[x["shard"]].append(x)
+        sizes = sorted(sum(x["size"] for x in xs) for xs in by.values())
+        sizes = sizes[:-1] if extra else sizes
+        assert len(by) == 12 and sizes[-1] - sizes[0] < 0.02 * sizes[0]
+        assert all(sorted(x["slot"] for x in xs) == list(range(len(xs))) for xs in by.values())
+    assert sharding._filled([5, 0, 0], 4) == [0.0, 2.0, 2.0] and sharding._filled([1, 0], 3) == [1.0, 2.0]
+
+
 def test_overfull_ranges_are_subdivided():
     sample = [(1, i, 1.0) for i in range(50)] + [(k, 0, 1.0) for k in range(2, 20)]
     got = sharding._splitters(sample, 10)
