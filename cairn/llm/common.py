@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset and all
+    tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -38,8 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    _tables.append((again, path))
+    return again
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str, most: int = 1_000_000) -> DataFrame:
@@ -54,25 +58,38 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name:
     return docs.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")
 
 
-_paths: list[tuple[SparkSession, str]] = []
+#: Scratch tables that are still there, oldest first.
+_tables: list[tuple[DataFrame, str]] = []
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    _paths.append((spark, path))
+def _delete(entries: list[tuple[DataFrame, str]]) -> None:
+    for entry in entries:
+        df, path = entry
+        _tables.remove(entry)
+        context = df.sparkSession.sparkContext
+        if context._jvm is None:
+            continue
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _drop_scratch() -> None:
-    for spark, path in _paths:
-        jvm = spark.sparkContext._jvm
-        if jvm is None:
-            return
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*done: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    _delete([e for e in _tables if any(e[0] is d for d in done)])
+
+
+def scratch_count() -> int:
+    return len(_tables)
+
+
+def keep_newest(since: int) -> None:
+    """Deletes the tables written since there were `since` of them, but for the newest."""
+    _delete(_tables[since:-1])
 
 
 def _at_exit() -> None:
     try:
-        _drop_scratch()
+        _delete(list(_tables))
     except Exception:  # noqa: BLE001 - the JVM may be gone at exit; the folder is scratch
         return
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import frugal, give_back, mix, seeded_table, slices, text_bytes, without, word_hashes, written
+from .common import discard, frugal, give_back, mix, seeded_table, slices, text_bytes, without, word_hashes, written
 
 U64 = np.uint64
 _SPREAD = seeded_table(64, 23) | U64(1)
@@ -181,7 +181,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     e = written(oriented, "edges")
     while True:
-        e = written(star(star(e, True), False), "edges")
+        before, e = e, written(star(star(e, True), False), "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -334,6 +335,7 @@ def _classes(
         return pa.table({"uid": pa.array(ids[some]), "root": pa.array(ids[root][some]), "links": pa.array(links[some])})
 
     checked = written(packs.select("pack", "uids", "a", "b").groupBy("pack").cogroup(brought.groupBy("into")).applyInArrow(check, "uid long, root long, links long"), "links")
+    discard(kept, packs, needed)
     links = checked.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("uid").alias("u"), F.col("root").alias("v")))
     joined = classes.join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
