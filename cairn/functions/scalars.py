@@ -107,6 +107,17 @@ def strongest(values: Column, k: int) -> Column:
     return F.filter(F.slice(ranked, 1, k), lambda x: ~blank(x["token"]))
 
 
+def thousands(value: Column) -> Column:
+    """Grouped digits with at most three decimals: 1234.5 is 1,234.5."""
+    return F.regexp_replace(F.format_number(F.round(value.cast("double"), 3), 3), r"\.?0+$", "")
+
+
+def currency(value: Column, sign: str = "R$") -> Column:
+    """Grouped digits with two decimals behind the sign: -1234.5 is -R$1,234.50."""
+    money = F.round(value.cast("double"), 2)
+    return F.concat(F.when(money < 0, "-").otherwise(""), F.lit(sign), F.format_number(F.abs(money), 2))
+
+
 def cuts(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the interval (edge, next edge] that holds value; null outside and for null."""
     out = None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import blank, normalised, strongest, tokens
 from ..functions.values import ASPECTS, NO_MESSAGE
+from ..sources.tables import exists
+from .sentiment import draw
 
 Model = Callable[[list[str]], list]
 MAX_CHARS, MAX_BATCH = 2000, 64
@@ -38,6 +41,17 @@ def require_artifact(path: str) -> str:
     return path
 
 
+def loaded(path: str, load: Callable[[str], Model]) -> Model:
+    """What `load` makes of the artifact at `path`; one that is missing or cannot be read is ModelUnavailable with its
+    reason, never an untrained model."""
+    try:
+        return load(require_artifact(path))
+    except ModelUnavailable:
+        raise
+    except Exception as error:
+        raise ModelUnavailable(f"{path}: {error}") from error
+
+
 def check_request(texts: list[str], model: str = "bert", language: str = "en") -> None:
     if not 1 <= len(texts) <= MAX_BATCH:
         raise InvalidRequest(f"a batch has 1 to {MAX_BATCH} texts")
@@ -126,6 +140,12 @@ def aspect_sentiment(df: DataFrame, load: Callable[[], Callable[[list[tuple[str,
     return rows.withColumn("_j", judge(F.col(text), F.col("aspect"))).select(key, "aspect", "_j.sentiment", F.bround("_j.confidence", 4).alias("confidence"))
 
 
+def sampled_aspects(df: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[dict]]], key: str, text: str, sample: int = 200, seed: int = 42, aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """aspect_sentiment() of `sample` rows with text (all, if fewer), the first by the seeded draw of the key."""
+    chosen = df.where(~blank(F.col(text))).orderBy(draw(F.col(key), seed), key, text).limit(sample)
+    return aspect_sentiment(chosen, load, key, text, aspects)
+
+
 def aspects_of(load: Callable[[], Callable[[list[tuple[str, str]]], list[dict]]], aspects: tuple[str, ...] = ASPECTS, batch: int = 32) -> Callable[[Column], Column]:
     """A column of array(aspect, sentiment, confidence) in order of aspect; null for blank texts; failures are UNKNOWN with 0."""
     names = sorted(aspects)
@@ -197,6 +217,20 @@ def translate_step(reviews: DataFrame, load: Callable[[], Model], message: str =
     return reviews.where(todo).withColumn(done, translate(F.col(message))).unionByName(reviews.where(~todo))
 
 
+def translate_in_steps(reviews: DataFrame, load: Callable[[], Model], path: str, steps: int = 50, key: str = "review_id", message: str = "review_comment_message", done: str = "review_comment_message_en") -> DataFrame:
+    """translate_step() in `steps` parts by a hash of the key, each written below `path` before the next begins.
+
+    A run that ended early goes on at the first part that was not written whole. Each part scans the reviews. Failed
+    batches leave the empty text, so a second run over the result, below another path, tries them again."""
+    spark = reviews.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(steps))
+    places = [f"{path}/step-{n:05d}" for n in range(steps)]
+    for n, place in enumerate(places):
+        if not exists(spark, f"{place}/_SUCCESS"):
+            translate_step(reviews.where(part == n), load, message, done).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(*places)
+
+
 def translation_manifest(reviews: DataFrame, message: str = "review_comment_message", done: str = "review_comment_message_en") -> DataFrame:
     real = ~F.col(message).eqNullSafe(NO_MESSAGE)
     return reviews.agg(F.count("*").alias("total_rows"), F.count_if(~blank(F.col(done))).alias("translated_rows"), F.count_if(real & blank(F.col(done))).alias("failed_rows"))
@@ -215,11 +249,24 @@ def predict_baseline(df: DataFrame, model: PipelineModel, text: str = "text") ->
     return scored.withColumn("probability", vector_to_array("probability")[1]).withColumn("guess", F.col("prediction").cast("int")).drop("_words", "features", "rawPrediction", "prediction")
 
 
-def attributions(df: DataFrame, model: PipelineModel, k: int = 8, key: str = "review_id", text: str = "text") -> DataFrame:
-    """key, token, value: the k tokens of largest weight times count in the baseline's decision; blanks go after that cut."""
+def explained(df: DataFrame, model: PipelineModel, k: int = 8, text: str = "text") -> DataFrame:
+    """df with top_tokens: the k structs (token, value) of largest weight times count in the baseline's decision, blanks
+    leaving after that cut. Rows are taken one by one, so keys may repeat or be null; texts without known tokens get none."""
     counter, classifier = model.stages[0], model.stages[1]
-    pairs = list(zip(counter.vocabulary, classifier.coefficients.toArray().tolist(), strict=True))
-    weights = df.sparkSession.createDataFrame(pairs, "token string, weight double")  # at most the vocabulary's size
-    counted = df.select(key, F.explode(tokens(normalised(F.col(text)))).alias("token")).groupBy(key, "token").count()
-    valued = counted.join(F.broadcast(weights), "token").groupBy(key).agg(F.collect_list(F.struct("token", (F.col("weight") * F.col("count")).alias("value"))).alias("all"))
-    return valued.select(key, F.explode(strongest(F.col("all"), k)).alias("t")).select(key, "t.token", "t.value")
+    weights = dict(zip(counter.vocabulary, classifier.coefficients.toArray().tolist(), strict=True))  # at most the vocabulary's size
+
+    @F.pandas_udf("array<struct<token:string,value:double>>")
+    def valued(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda words: [{"token": w, "value": weights[w] * n} for w, n in Counter(words).items() if w in weights])
+
+    return df.withColumn("top_tokens", strongest(valued(tokens(normalised(F.col(text)))), k))
+
+
+def attributions(df: DataFrame, model: PipelineModel, k: int = 8, key: str = "review_id", text: str = "text") -> DataFrame:
+    """key, token, value: explained() with a row a token."""
+    return explained(df.select(key, text), model, k, text).select(key, F.explode("top_tokens").alias("t")).select(key, "t.token", "t.value")
+
+
+def sampled_explanations(df: DataFrame, model: PipelineModel, sample: int = 8, seed: int = 42, k: int = 5, key: str = "review_id", text: str = "text") -> DataFrame:
+    """key, text, top_tokens of `sample` rows, the first by the seeded draw of the key."""
+    return explained(df.select(key, text).orderBy(draw(F.col(key), seed), key, text).limit(sample), model, k, text)

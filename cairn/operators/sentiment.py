@@ -123,6 +123,11 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
     return top.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "token")) + 1)  # at most size - 2 rows
 
 
+def vocabulary_bounds(vocab: DataFrame) -> DataFrame:
+    """vocab_size, max_index: entries with the one for unknown tokens (padding is none), and the largest id."""
+    return vocab.agg((F.count("*") + 1).alias("vocab_size"), F.coalesce(F.max("id").cast("long"), F.lit(1).cast("long")).alias("max_index"))
+
+
 def token_ids(df: DataFrame, vocab: DataFrame, length: int, text: str = "text", key: str = "review_id") -> DataFrame:
     """key, ids of exactly `length` for each row of df: unknown tokens are 1, filled with 0 and cut at the end.
 

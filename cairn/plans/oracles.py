@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.values import REGIONS, STATES
 from .market import ENGLISH
 from .queries import CENTRES, SEED
 
@@ -170,3 +171,29 @@ SELECT round(sum(pos * (tp / k)) / sum(pos), 9) AS average_precision FROM c""",
     "negation_accuracy": r"SELECT round(avg(CASE WHEN regexp_matches(text, '(?i)\b(not|no|never|n''t|cannot|nothing|nobody|nowhere|neither|nor|without|hardly|barely|scarcely)\b') = (lang = 'en') THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM documents",
     "keep_first_rank": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS first_day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
 }
+
+_STATES = "(VALUES " + ", ".join(f"({n}, '{c}', '{name}', '{REGIONS[c]}')" for n, (c, name) in enumerate(STATES.items())) + ") AS s(n, code, name, region)"
+_WHOLE = "SELECT '{0}' AS \"column\", CASE WHEN min({0}) >= -128 AND max({0}) <= 127 THEN 'tinyint' WHEN min({0}) >= -32768 AND max({0}) <= 32767 THEN 'smallint' WHEN min({0}) >= -2147483648 AND max({0}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS type FROM lineitem"
+_REAL = "SELECT '{0}', CASE WHEN bool_and(CAST(CAST({0} AS FLOAT) AS DOUBLE) = {0}) THEN 'float' ELSE 'double' END FROM lineitem"
+_HALF = "WITH h AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'No Message' WHEN doc_id % 11 <> 0 THEN text END AS message, CASE WHEN doc_id % 2 = 0 THEN lang END AS done FROM documents) "
+_ONE = ", one AS (SELECT * FROM texts WHERE norm NOT IN (SELECT norm FROM texts GROUP BY 1 HAVING count(DISTINCT label) > 1) QUALIFY row_number() OVER (PARTITION BY norm ORDER BY review_id) = 1)"
+ORACLES |= {
+    "pruned_scan": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "product_imputation": "SELECT p_partkey AS product_id, CASE WHEN p_size % 3 <> 0 THEN p_type ELSE 'unknown' END AS product_category_name, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0::DOUBLE END AS product_weight_g FROM part",
+    "review_imputation": "SELECT doc_id AS review_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'No Title' END AS review_comment_title, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'No Message' END) AS message_md5 FROM documents",
+    "type_correction": "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS purchased FROM orders",
+    "narrowed_types": " UNION ALL ".join([_WHOLE.format("l_orderkey"), _WHOLE.format("l_linenumber"), _REAL.format("l_quantity"), _REAL.format("l_discount")]),
+    "state_regions": f"SELECT c_custkey, coalesce(name, 'XX') AS state, region, region AS region_of_name FROM customer LEFT JOIN {_STATES} ON c_custkey % {len(STATES) + 1} = n",
+    "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem",
+    "class_probabilities": """WITH x AS (SELECT doc_id, (n_chars % 97 - 48) / 10.0::DOUBLE AS x FROM documents), e AS (SELECT *, exp(x) AS a, exp(-x) AS b, exp(0.5::DOUBLE) AS c FROM x)
+SELECT doc_id, round(1 / (1 + b), 9) AS sigmoid, round(a / (a + b + c), 9) AS soft, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS best, round(CASE WHEN doc_id % 2 = 1 THEN 0.975::DOUBLE ELSE 0.025::DOUBLE END, 9) AS smooth FROM e""",
+    "strongest_values": "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS token, CAST(CASE WHEN l_linenumber % 2 = 1 THEN -l_quantity ELSE l_quantity END AS DOUBLE) AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, CAST(l_linenumber AS VARCHAR)) <= 2",
+    "formatted_money": r"SELECT o_orderkey, 'R$' || format('{:,.2f}', o_totalprice) AS money, regexp_replace(format('{:,.3f}', o_totalprice), '\.?0+$', '') AS grouped FROM orders",
+    "rows_to_translate": _HALF + r"SELECT doc_id FROM h WHERE message IS DISTINCT FROM 'No Message' AND (done IS NULL OR regexp_full_match(done, '\s*'))",
+    "translation_manifest": _HALF + r"SELECT count(*) AS total_rows, CAST(count_if(done IS NOT NULL AND NOT regexp_full_match(done, '\s*')) AS BIGINT) AS translated_rows, CAST(count_if(message IS DISTINCT FROM 'No Message' AND (done IS NULL OR regexp_full_match(done, '\s*'))) AS BIGINT) AS failed_rows FROM h",
+    "fake_tallies": "SELECT count(*) AS n_scored, CAST(count_if(n_chars % 5 = 0) AS BIGINT) AS n_failed, CAST(count_if(n_chars % 5 <> 0 AND n_chars % 3 = 0) AS BIGINT) AS n_flagged_fake FROM documents",
+    "vocab_bounds": _TOKENS + "SELECT count(*) + 1 AS vocab_size, CAST(coalesce(max(id), 1) AS BIGINT) AS max_index FROM vocab",
+    "text_batches": _TOKENS + ", ids AS (SELECT doc_id, i, coalesce(id, 1) AS id FROM tok LEFT JOIN vocab USING (token) WHERE i <= 100) SELECT documents.doc_id, CAST(documents.doc_id % 2 AS INTEGER) AS label, CAST(coalesce(len(any_value(l)), 0) AS INTEGER) AS n_ids, coalesce(array_to_string(any_value(l), ' '), '') AS ids FROM documents LEFT JOIN (SELECT doc_id, list(id ORDER BY i) AS l FROM ids GROUP BY 1) USING (doc_id) GROUP BY documents.doc_id",
+    "manifest_texts": _TEXTS + _ONE + _SPLIT.format(key="text_hash", seed=SEED, source="one") + "SELECT review_id, split, md5(smallest) AS text_md5 FROM split LEFT JOIN (SELECT text_hash, min(text) AS smallest FROM texts GROUP BY 1) USING (text_hash)",
+    "segment_lookup": f"SELECT * FROM ({ORACLES['rfm_segment_labels']}) WHERE lower(Segment) = 'at risk'",
+}

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.scalars import encoded, negated, normalised, padded, text_hash, tokens
-from ..operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats
+from ..functions.scalars import argmax, currency, encoded, negated, normalised, padded, sigmoid, smoothed, softmax, strongest, text_hash, thousands, tokens
+from ..functions.values import NO_MESSAGE, STATES, region
+from ..operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats, training
+from ..sources import tables
 from .market import DELIVERED, FAILED, Market
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,3 +431,130 @@ def keep_first_rank(m: Market) -> DataFrame:
     """First order of each person by date, then id."""
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return m.table("orders").withColumn("r", rank).where("r = 1").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_day"))
+
+
+@query
+def pruned_scan(m: Market) -> DataFrame:
+    return tables.scan(m.spark, f"{m.sf_dir}/orders.parquet", ["o_orderkey", "o_orderstatus"])
+
+
+@query
+def product_imputation(m: Market) -> DataFrame:
+    """Parts as products with gaps that depend on their size."""
+    size = F.col("p_size")
+    gaps = m.table("part").select(F.col("p_partkey").alias("product_id"), F.when(size % 3 != 0, F.col("p_type")).alias("product_category_name"), F.when(size % 2 == 0, size.cast("double")).alias("product_weight_g"))
+    return cleaning.clean_products(gaps)
+
+
+@query
+def review_imputation(m: Market) -> DataFrame:
+    """Documents as reviews, some without title or message."""
+    key = F.col("doc_id")
+    reviews = m.table("documents").select(key.alias("review_id"), F.when(key % 2 == 0, F.col("lang")).alias("review_comment_title"), F.when(key % 3 == 0, F.col("text")).alias("review_comment_message"))
+    return cleaning.clean_reviews(reviews).select("review_id", "review_comment_title", F.md5("review_comment_message").alias("message_md5"))
+
+
+@query
+def type_correction(m: Market) -> DataFrame:
+    """Times of purchase as text, some unreadable."""
+    told = F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    typed = cleaning.correct_types({"orders": m.table("orders").select(F.col("o_orderkey").alias("order_id"), told.alias("order_purchase_timestamp"))})["orders"]
+    return typed.select("order_id", F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm").alias("purchased"))
+
+
+@query
+def narrowed_types(m: Market) -> DataFrame:
+    kinds = cleaning.narrowed(m.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")).dtypes
+    return m.spark.createDataFrame(kinds, "column string, type string")
+
+
+@query
+def state_regions(m: Market) -> DataFrame:
+    """Customers dealt to the states' codes and an unknown one."""
+    codes = F.array(*[F.lit(c) for c in (*STATES, "XX")])
+    named = m.table("customer").select("c_custkey", F.get(codes, (F.col("c_custkey") % (len(STATES) + 1)).cast("int")).alias("state"))
+    return cleaning.name_states(named.withColumn("region", region(F.col("state"))), "state").withColumn("region_of_name", region(F.col("state")))
+
+
+@query
+def distinct_rows(m: Market) -> DataFrame:
+    return cleaning.drop_duplicate_rows({"l": m.table("lineitem").select("l_returnflag", "l_linestatus", "l_quantity")})["l"]
+
+
+@query
+def class_probabilities(m: Market) -> DataFrame:
+    x = (F.col("n_chars") % 97 - 48) / F.lit(10.0)
+    soft = softmax(F.array(x, -x, F.lit(0.5)))
+    return rounded(m.table("documents").select("doc_id", sigmoid(x).alias("sigmoid"), soft[0].alias("soft"), argmax(soft).alias("best"), smoothed(F.col("doc_id") % 2, 0.05).alias("smooth")), 9)
+
+
+@query
+def strongest_values(m: Market) -> DataFrame:
+    """The two items of each order of largest quantity; odd lines count as negative."""
+    signed = F.when(F.col("l_linenumber") % 2 == 1, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    items = m.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("token"), signed.cast("double").alias("value"))).alias("all"))
+    return items.select("l_orderkey", F.explode(strongest("all", 2)).alias("t")).select("l_orderkey", "t.token", "t.value")
+
+
+@query
+def formatted_money(m: Market) -> DataFrame:
+    return m.table("orders").select("o_orderkey", currency(F.col("o_totalprice")).alias("money"), thousands(F.col("o_totalprice")).alias("grouped"))
+
+
+def _half_translated(m: Market) -> DataFrame:
+    key = F.col("doc_id")
+    return m.table("documents").select("doc_id", F.when(key % 7 == 0, NO_MESSAGE).when(key % 11 != 0, F.col("text")).alias("review_comment_message"), F.when(key % 2 == 0, F.col("lang")).alias("review_comment_message_en"))
+
+
+@query
+def rows_to_translate(m: Market) -> DataFrame:
+    return _half_translated(m).where(scoring.to_translate(F.col("review_comment_message"), F.col("review_comment_message_en"))).select("doc_id")
+
+
+@query
+def translation_manifest(m: Market) -> DataFrame:
+    return scoring.translation_manifest(_half_translated(m))
+
+
+@query
+def fake_tallies(m: Market) -> DataFrame:
+    label = F.when(F.col("n_chars") % 5 == 0, "UNKNOWN").when(F.col("n_chars") % 3 == 0, "LABEL_0").otherwise("LABEL_1")
+    return scoring.fake_tallies(m.table("documents").select(F.struct(label.alias("label"), (label == "LABEL_0").alias("is_fake")).alias("fake")))
+
+
+@query
+def vocab_bounds(m: Market) -> DataFrame:
+    return sentiment.vocabulary_bounds(sentiment.vocabulary(m.table("documents"), VOCABULARY))
+
+
+@query
+def text_batches(m: Market) -> DataFrame:
+    """Batches of 32 texts, taken apart again: what a model is fed, whatever rows share a batch."""
+    docs = m.table("documents").withColumn("label", (F.col("doc_id") % 2).cast("int"))
+    fed = training.padded_batches(docs, sentiment.vocabulary(docs, VOCABULARY), 32, TEXT_IDS, key="doc_id")
+    rows = fed.select(F.explode(F.arrays_zip("keys", "ids", "mask", "labels")).alias("r")).select("r.*")
+    n = F.aggregate("mask", F.lit(0), lambda a, b: a + b)
+    return rows.select(F.col("keys").cast("long").alias("doc_id"), F.col("labels").alias("label"), n.alias("n_ids"), F.array_join(F.transform(F.slice("ids", F.lit(1), n), lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query
+def manifest_texts(m: Market) -> DataFrame:
+    """The split's rows with their texts, found again by hash."""
+    split = sentiment.stratified_split(sentiment.deduplicated(m.texts), seed=SEED).select("split", "review_id", "text_hash", "label")
+    return sentiment.texts_of(split, m.texts).select("review_id", "split", F.md5("text").alias("text_md5"))
+
+
+@query
+def segment_lookup(m: Market) -> DataFrame:
+    table = _clustered(m)
+    named = rfm.named_segments(table).select("Cluster", "Segment")
+    return rfm.segment_profile(table.join(F.broadcast(named), "Cluster")).where(F.lower("Segment") == "at risk")
+
+
+@query
+def stopped_classifier(m: Market) -> DataFrame:
+    """No SQL: fitted. The text classifier with class weights, stopped by the validation split, scored on the test split."""
+    split = sentiment.stratified_split(m.texts, "review_id", seed=SEED)
+    part = lambda name: split.where(F.col("split") == name)
+    fitted = training.fit_stopping(part("train"), part("val"), features=4096)
+    return metrics.scores(metrics.confusion(scoring.predict_baseline(part("test").withColumn("y", F.col("label")), fitted.model)))

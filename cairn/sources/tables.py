@@ -107,6 +107,19 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
+#: The columns of enriched tables that answers are made from.
+SERVED = {
+    "orders_enriched": ["order_id", "customer_city"],
+    "customers_enriched": ["customer_unique_id", "is_repeat_customer", "order_count", "total_spend"],
+    "sellers_enriched": ["seller_id", "late_delivery_rate", "item_revenue", "order_count"],
+}
+
+
+def served(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The enriched tables that exist below base, each with its served columns only."""
+    return {n: scan(spark, f"{base}/{n}.parquet", c) for n, c in SERVED.items() if exists(spark, f"{base}/{n}.parquet")}
+
+
 def read_ratings(spark: SparkSession, paths: list[str]) -> DataFrame:
     """text, rating of the files that exist; none is an error. The files' columns have dots in their names."""
     found = [read_csv(spark, p).select(F.col("`reviews.text`").alias("text"), F.expr("try_cast(`reviews.rating` as double)").alias("rating")) for p in paths if exists(spark, p)]
@@ -132,3 +145,12 @@ def artifacts(spark: SparkSession, base: str) -> DataFrame:
     """path, length of every file below base, largest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     return files.select("path", "length").orderBy(F.desc("length"), "path")
+
+
+def describe_path(spark: SparkSession, path: str) -> dict:
+    """Whether a path exists and the bytes of its files, without reading them."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return {"exists": False, "path": path}
+    size = int(fs.getContentSummary(at).getLength())
+    return {"exists": True, "path": path, "size_bytes": size, "size_mb": round(size / 2**20, 2)}

@@ -9,10 +9,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions.scalars import blank, cuts, negated, normalised, padded, softmax, strongest, tokens, whole_days
+from cairn.functions.scalars import blank, currency, cuts, negated, normalised, padded, softmax, strongest, thousands, tokens, whole_days
 from cairn.functions.tails import student_two_sided
 from cairn.functions.values import region, state_name
-from cairn.operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats
+from cairn.operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats, training
+from cairn.sources import tables
 
 D = dt.datetime
 
@@ -319,3 +320,92 @@ def test_duplicates_by_hash(spark):
     rows = [("a", None), (None, "a"), ("a", None), ("ab", "c"), ("a", "bc"), (None, None), (None, None)]
     got = cleaning.exact_duplicates({"t": spark.createDataFrame(rows, "x string, y string")}).first()
     assert (got["rows"], got["duplicate_rows"]) == (7, 2)
+
+
+def test_batches_are_padded_to_their_longest(spark):
+    rows = [("a", "x y z", 1), ("b", "x", 0), (None, None, None), ("d", "y new", 1), ("d", "y new", 1)]
+    frame = spark.createDataFrame(rows, "review_id string, text string, label int").coalesce(1)
+    vocab = spark.createDataFrame([("x", 2), ("y", 3), ("z", 4)], "token string, id int")
+    got = training.padded_batches(frame, vocab, 2, 2).collect()
+    assert [r["keys"] for r in got] == [["a", "b"], [None, "d"], ["d"]]
+    assert [r["ids"] for r in got] == [[[2, 3], [2, 0]], [[0, 0], [3, 1]], [[3, 1]]]
+    assert [r["mask"] for r in got] == [[[1, 1], [1, 0]], [[0, 0], [1, 1]], [[1, 1]]] and [r["labels"] for r in got] == [[1, 0], [None, 1], [1]]
+    assert [r["ids"] for r in training.padded_batches(frame.where("review_id = 'b'"), vocab, 2, 4, fixed=True).collect()] == [[[2, 0, 0, 0]]]
+    assert training.padded_batches(frame.limit(0), vocab, 2, 4).count() == 0
+
+
+def test_fit_stops_where_validation_gets_no_better(spark):
+    r = random.Random(4)
+    noisy = [(f"{'good' if y else 'bad'} w{r.randint(0, 400)} w{r.randint(0, 400)}", y if r.random() < 0.8 else 1 - y) for _ in range(300) for y in (int(r.random() < 0.25),)]
+    train, val = (spark.createDataFrame(part, "text string, label int") for part in (noisy[:200], noisy[200:] + [("good", None)]))
+    fitted = training.fit_stopping(train, val, rounds=(1, 2, 4, 8, 16, 32, 64), patience=2, strength=0.0, smoothing=0.05)
+    losses = [h["val_loss"] for h in fitted.history]
+    assert fitted.best == losses.index(min(losses)) + 1 and len(losses) in (fitted.best + 2, 7)
+    assert fitted.history[-1]["loss"] < fitted.history[0]["loss"] and fitted.model is not None
+    assert scoring.predict_baseline(spark.createDataFrame([("good",), ("bad",)], "text string"), fitted.model).select("guess").collect() == [(1,), (0,)]
+    with pytest.raises(ValueError):
+        training.fit_stopping(train, val.limit(0))
+
+
+def test_translation_goes_on_where_it_ended(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{n}", f"t{n}" if n % 3 else None, None) for n in range(20)] + [("r1", "again", None), (None, "x", "done")], "review_id string, review_comment_message string, review_comment_message_en string")
+    at = str(tmp_path / "t")
+
+    def broken():
+        raise RuntimeError("no worker")
+
+    first = scoring.translate_step(rows.where(F.pmod(F.xxhash64("review_id"), F.lit(3)) == 0), lambda: lambda ts: ["first"] * len(ts))
+    first.write.parquet(f"{at}/step-00000")
+    with pytest.raises(Exception, match="no worker"):
+        scoring.translate_in_steps(rows, broken, at, steps=3)
+    done = scoring.translate_in_steps(rows, lambda: lambda ts: ["second"] * len(ts), at, steps=3)
+    words = [r["review_comment_message_en"] for r in done.collect()]
+    assert len(words) == 22 and words.count("first") == first.where("review_comment_message_en = 'first'").count() > 0 and set(words) == {"first", "second", "done"}
+    assert scoring.translate_in_steps(rows, broken, at, steps=3).count() == 22
+
+
+def test_samples_and_explanations(spark):
+    rows = spark.createDataFrame([(n % 30, f"{'good' if n % 2 else 'bad'} thing", n % 2) for n in range(40)] + [(None, "good good", 1), (99, " ", 0)], "review_id int, text string, label int")
+    load = lambda: lambda pairs: [{"label": "Neutral", "score": 0.5} for _ in pairs]
+    some = scoring.sampled_aspects(rows, load, "review_id", "text", sample=4)
+    assert some.count() == 20 and sorted(some.collect(), key=repr) == sorted(scoring.sampled_aspects(rows.repartition(3), load, "review_id", "text", sample=4).collect(), key=repr)
+    assert scoring.sampled_aspects(rows, load, "review_id", "text", sample=1000).count() == 41 * 5
+    model = scoring.fit_baseline(rows)
+    told = scoring.explained(rows, model, 1).collect()
+    assert len(told) == 42 and all([t["token"] for t in x["top_tokens"]] == ([x["text"].split()[0]] if x["text"].strip() else []) for x in told)
+    twice = {x["text"]: x["top_tokens"][0]["value"] for x in told if x["text"].strip()}
+    assert twice["good good"] == pytest.approx(2 * twice["good thing"])
+    assert scoring.attributions(rows.where("review_id = 3"), model, 1).count() == 2  # a key that repeats keeps its rows apart
+    assert scoring.sampled_explanations(rows, model, sample=5).count() == 5
+
+
+def test_artifacts_and_served_columns(spark, tmp_path):
+    good = tmp_path / "m.txt"
+    good.write_text("3")
+    assert scoring.loaded(str(good), lambda p: int(open(p).read())) == 3
+    for path, load in ((str(tmp_path / "none"), str), (str(good), lambda p: [][1])):
+        with pytest.raises(scoring.ModelUnavailable):
+            scoring.loaded(path, load)
+    base = str(tmp_path / "out")
+    spark.createDataFrame([(1, "x", 2.0)], "order_id int, customer_city string, total double").write.parquet(f"{base}/orders_enriched.parquet")
+    found = tables.served(spark, base)
+    assert set(found) == {"orders_enriched"} and found["orders_enriched"].columns == ["order_id", "customer_city"]
+    assert "total" not in found["orders_enriched"]._jdf.queryExecution().executedPlan().toString()
+    told = tables.describe_path(spark, base)
+    assert told["exists"] and told["size_bytes"] > 0 and tables.describe_path(spark, base + "x") == {"exists": False, "path": base + "x"}
+
+
+def test_narrow_types_and_formats(spark):
+    rows = [(1, 300, 2**40, 1.5, 0.1, None), (-128, None, 1, -2.0, 0.2, None)]
+    frame = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d double, e double, f bigint")
+    narrow = cleaning.narrowed(frame)
+    assert dict(narrow.dtypes) == {"a": "tinyint", "b": "smallint", "c": "bigint", "d": "float", "e": "double", "f": "bigint"}
+    assert [tuple(r) for r in narrow.collect()] == rows and dict(cleaning.narrowed(frame.limit(0)).dtypes) == dict(frame.dtypes)
+    money = spark.createDataFrame([(1234.5,), (-0.001,), (-1234.565,), (1000000.0,), (None,)], "v double")
+    assert [tuple(r) for r in money.select(currency(F.col("v")), thousands(F.col("v"))).collect()] == [("R$1,234.50", "1,234.5"), ("R$0.00", "-0.001"), ("-R$1,234.57", "-1,234.565"), ("R$1,000,000.00", "1,000,000"), (None, None)]
+
+
+def test_shuffle_is_the_seeded_order(spark):
+    frame = spark.range(50).repartition(5)
+    once, again, other = ([r[0] for r in sentiment.shuffled(frame, "id", s).collect()] for s in (1, 1, 2))
+    assert once == again != other and sorted(once) == list(range(50))
