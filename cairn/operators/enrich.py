@@ -78,10 +78,16 @@ def with_price_outliers(items: DataFrame, price: str = "price", priced: DataFram
     return items.join(F.broadcast(fences), F.lit(True), "left").withColumn("is_price_outlier", flag).drop("low_fence", "high_fence")
 
 
-def order_items_enriched(items: DataFrame, products: DataFrame, sellers: DataFrame, translation: DataFrame) -> DataFrame:
-    """One row an item. Products' categories are filled before the join, so items without a product keep nulls."""
+def items_categorised(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """One row an item with its product. Products' categories are filled before the join, so items without a product keep
+    nulls. Figures by category need no more than this: neither sellers nor fences."""
     named = translated(products, translation).na.fill({"product_category_name_english": "Unknown", "product_category_name": "Unknown"})
-    joined = items.join(named, "product_id", "left").join(sellers, "seller_id", "left")
+    return items.join(named, "product_id", "left")
+
+
+def order_items_enriched(items: DataFrame, products: DataFrame, sellers: DataFrame, translation: DataFrame) -> DataFrame:
+    """One row an item with its product, its seller and whether its price lies beyond the fences."""
+    joined = items_categorised(items, products, translation).join(sellers, "seller_id", "left")
     return with_price_outliers(joined, priced=items).withColumn("seller_state_name", F.col("seller_state").cast("string"))
 
 

@@ -107,7 +107,7 @@ class Api:
         return self._rows("late_sellers", n) or records(kpis.late_sellers(self.market.sellers_enriched, n))
 
     def categories(self, n: int = 15) -> list[dict]:
-        return self._rows("top_categories", n) or records(kpis.top_categories(self.market.items_enriched, n))
+        return self._rows("top_categories", n) or records(kpis.top_categories(self.market.items_categorised, n))
 
     def state_performance(self, n: int = 15) -> list[dict]:
         return self._rows("late_by_state", n) or records(kpis.late_by_state(self.market.orders_enriched, n))

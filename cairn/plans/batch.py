@@ -56,7 +56,7 @@ class PreparedMarket(Market):
     reviews_enriched = property(lambda self: self.table("reviews_enriched"))
     customers_enriched = property(lambda self: self.table("customers_enriched"))
     sellers_enriched = property(lambda self: self.table("sellers_enriched"))
-    items = items_enriched
+    items = items_categorised = items_enriched
 
 
 def enriched(market: Market) -> dict[str, DataFrame]:
@@ -77,7 +77,7 @@ def documents(market: Market, segmentation: rfm.Segmentation) -> dict[str, objec
         "top_cities": rows(kpis.top_cities(o)),
         "seller_summary": rows(kpis.seller_summary(market.sellers_enriched))[0],
         "late_sellers": rows(kpis.late_sellers(market.sellers_enriched, 20)),
-        "top_categories": rows(kpis.top_categories(market.items_enriched, 15)),
+        "top_categories": rows(kpis.top_categories(market.items_categorised, 15)),
         "late_by_state": rows(kpis.late_by_state(o)),
         "late_significance": results.safe(stats.late_significance(o)),
         "rfm_summary": rows(rfm.segment_profile(segmentation.assign(rfm.rfm_table(o)))),

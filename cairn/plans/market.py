@@ -77,6 +77,10 @@ class Market:
     def orders_enriched(self) -> DataFrame:
         return enrich.orders_enriched(self.orders, self.customers, self.payments, self.reviews)
 
+    @cached_property
+    def items_categorised(self) -> DataFrame:
+        return enrich.items_categorised(self.items, self.products, self.translation)
+
     @cached_property
     def items_enriched(self) -> DataFrame:
         return enrich.order_items_enriched(self.items, self.products, self.sellers, self.translation)

@@ -129,12 +129,12 @@ def top_cities(m: Market) -> DataFrame:
 
 @query
 def top_categories_revenue(m: Market) -> DataFrame:
-    return rounded(kpis.top_categories(m.items_enriched, 4))
+    return rounded(kpis.top_categories(m.items_categorised, 4))
 
 
 @query
 def top_failed_categories(m: Market) -> DataFrame:
-    return kpis.top_failed_categories(m.items_enriched, m.orders, 4, FAILED)
+    return kpis.top_failed_categories(m.items_categorised, m.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("order_status")), 4, FAILED)
 
 
 @query

@@ -97,6 +97,13 @@ def test_scans_are_pruned(spark):
     assert "o_orderstatus" in plan and "o_orderpriority" not in plan and "EqualTo(o_orderstatus,F)" in plan
 
 
+def test_category_figures_read_what_they_need(spark):
+    for name in ("top_categories_revenue", "top_failed_categories"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "s_suppkey" not in plan and "n_nationkey" not in plan
+        assert plan.count("] parquet") == (2 if name == "top_categories_revenue" else 3)
+
+
 def test_read_layer(spark):
     api = Api(Market(spark, SF), {"sentiment": lambda: lambda ts: [0.9 for _ in ts]})
     assert api.summary()["total_unique_orders"] > 0 and len(api.top_cities(2)) == 2
