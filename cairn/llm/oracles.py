@@ -1,6 +1,49 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+
+def _edit(state: str, cost: str, letter: str, line: str = "''", where: str = "true") -> str:
+    """A state's best (cost, edits, lines) after one edit more; NULL where that is not allowed."""
+    return f"CASE WHEN {state} IS NOT NULL AND {where} THEN {{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}', 'b': {state}.b || {line}}} END"
+
+
+_USER, _ASSISTANT, _OWN = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+_TO_USER = ", ".join(_edit(x, "cut", "K", _OWN, "NOT gone AND role[1] = 'u'") + ", " + _edit(x, "3 + cut", "R", f"{_USER} || text", "NOT gone") for x in ("s0", "s1", "s3"))
+_TO_ASSISTANT = _edit("s2", "cut", "K", _OWN, "NOT gone AND role[1] = 'a'") + ", " + _edit("s2", "3 + cut", "R", f"{_ASSISTANT} || text", "NOT gone")
+#: Edits go forward, row by row: the least (cost, edits) of every grammar state, then what can be inserted.
+_REPAIR = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END))) % 20 AS code
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM raw)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+todo AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN open THEN 3 ELSE 0 END AS cut FROM judged),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'e': '', 'b': ''}} AS s0, CAST(NULL AS STRUCT(c INTEGER, e VARCHAR, b VARCHAR)) AS s1, {{'c': 3, 'e': 'I', 'b': {_USER}}} AS s2, {{'c': 6, 'e': 'II', 'b': {_USER} || {_ASSISTANT}}} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, list_min([s3, {_edit("s2", "3", "I", _ASSISTANT)}]) FROM (
+    SELECT conv_id, i, s0, s1, list_min([s2, {_edit("s0", "3", "I", _USER)}, {_edit("s1", "3", "I", _USER)}, {_edit("s3", "3", "I", _USER)}]) AS s2, s3 FROM (
+      SELECT best.conv_id, todo.i, {_edit("s0", "4", "D")} AS s0, list_min([{_edit("s1", "4", "D")}, {_edit("s0", "cut", "K", _OWN, "NOT gone AND role[1] = 's'")}]) AS s1,
+        list_min([{_edit("s2", "4", "D")}, {_TO_USER}]) AS s2, list_min([{_edit("s3", "4", "D")}, {_TO_ASSISTANT}]) AS s3
+      FROM best JOIN todo ON best.conv_id IS NOT DISTINCT FROM todo.conv_id AND todo.i = best.i + 1))),
+done AS (SELECT conv_id, list_min([s0, s3]) AS s FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+fault AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (open AND NOT gone) AS truncated, count(*) FILTER (illegal) AS illegal FROM todo GROUP BY conv_id)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(s.c AS BIGINT) AS cost, s.e AS audit, sha256(substr(s.b, 2)) AS repaired_sha256
+FROM done d LEFT JOIN fault f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
 ORACLES = {
+    "op13_conversation_repair": _REPAIR,
     "op10_decontamination": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
