@@ -21,8 +21,11 @@ damaged AS (
   FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM raw)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
 judged AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS open,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
 todo AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN open THEN 3 ELSE 0 END AS cut FROM judged),
 best AS (
@@ -43,6 +46,26 @@ FROM done d LEFT JOIN fault f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
 ORACLES = {
+    "op11_filter_audit": r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+label AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f FROM doc),
+counts AS (SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM failing LEFT JOIN label USING (doc_id) GROUP BY part, f),
+perm AS (SELECT '' AS o UNION ALL SELECT o || l FROM perm, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(l) WHERE NOT contains(o, l)),
+steps AS (SELECT o, s, o[s] AS l, '[' || substr(o, 1, s - 1) || '-]' AS earlier FROM perm, (VALUES (1), (2), (3), (4), (5)) x(s) WHERE length(o) = 5),
+cell AS (
+  SELECT part, o, s, l, sum(n) FILTER (NOT contains(f, l) AND NOT regexp_matches(f, earlier)) AS kept, sum(n) FILTER (contains(f, l) AND NOT regexp_matches(f, earlier)) AS removed,
+    sum(n) FILTER (contains(f, l) AND regexp_matches(f, earlier)) AS redundant, sum(n) FILTER (f = l) AS unique_fails,
+    sum(good) FILTER (contains(f, l) AND NOT regexp_matches(f, earlier)) AS good_lost, sum(toxic) FILTER (contains(f, l) AND NOT regexp_matches(f, earlier)) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, s, l)
+SELECT part, o AS filter_order, s AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM cell
+""",
     "op13_conversation_repair": _REPAIR,
     "op10_decontamination": r"""
 WITH item AS (

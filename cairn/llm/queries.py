@@ -80,10 +80,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import damaged, repair
 
     return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, language_id_pages, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, language_id_pages, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination, op11_filter_audit, op13_conversation_repair)}
