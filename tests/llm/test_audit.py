@@ -31,7 +31,7 @@ def expected(rows, labels):
     for i, t, _ in rows:
         if i is not None:
             least[t] = min(i, least.get(t, i))
-    good, toxic = ({i for i, *flags in labels if flags[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *flags in labels if flags[k] == 1} - {None} for k in (0, 1))
     out = {}
     for part in {p for *_, p in rows}:
         docs = [(i, failed(t, i, least.get(t))) for i, t, p in rows if p == part]
