@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-#: A public vocabulary file; the operators take its path as a parameter.
+#: Public vocabulary files; the operators take their paths as parameters.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: A key for demonstration: a real run gives a secret one.
 KEY = "cairn-demo-key"
 
@@ -86,10 +87,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests, encode
+
+    return digests(encode(table(spark, sf_dir, "documents"), BPE), BPE)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import damaged, repair
 
     return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, language_id_pages, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination, op11_filter_audit, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_sampling, op3_quality_resampling, op4_language_id, language_id_pages, op5_html_extraction, op6_warc_derivatives, op7_exact_topk, op8_sharding, op9_pii_pseudonyms, op10_decontamination, op11_filter_audit, op12_bpe_words, op13_conversation_repair)}
