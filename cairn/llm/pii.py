@@ -11,6 +11,7 @@ import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,8 @@ IBAN_LENGTH = {
     "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
     "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
 }
+#: Country calling codes of one and of two digits; all others have three. Fixed values of the published numbering plan.
+SHORT_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH_NUMBER = {m[:3].lower(): n + 1 for n, m in enumerate(MONTHS)}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -113,8 +116,8 @@ def digit_run(key: bytes, text: str) -> str | None:
 
 
 def phone(key: bytes, text: str) -> str | None:
-    """Ten to fifteen digits; a leading country code (after +) stays."""
-    country = re.match(r"\+(\d{1,3})(?=[\s(.-])", text)
+    """Seven to fifteen digits; a leading country code (after +) stays, and the (0) that may follow it."""
+    country = re.match(rf"\+(?:{'|'.join(SHORT_CODES)}|\d{{1,3}})(?:[ .\-]?\(0\))?", text)
     skip = country.end() if country else 0
     digits = "".join(c for c in text[skip:] if c.isdigit())
     if not 7 <= len(digits) <= 15:
@@ -141,15 +144,29 @@ def ipv4(key: bytes, text: str) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ipv6(key: bytes, text: str) -> str | None:
+    """Addresses with a digit and three groups at least (fewer are often code); a full one stays full, another short."""
+    groups = [g for g in text.split(":") if g]
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if len(groups) < 3 or not any(c.isdigit() for c in text):
+        return None
+    new = ipaddress.IPv6Address(permutation(key, "ipv6", 2**128)(int(address)))
+    written = new.exploded if text.lower() == address.exploded else str(new)
+    return written.upper() if any(c.isupper() for c in text) else written
+
+
 def iban(key: bytes, text: str) -> str | None:
-    """Country and length stay, check digits are recomputed; letters stay letters and digits digits."""
-    plain = re.sub(r"\s", "", text).upper()
+    """Country and length stay, check digits are recomputed; letters stay letters (of their case) and digits digits."""
+    plain = re.sub(r"[\s\-]", "", text).upper()
     if IBAN_LENGTH.get(plain[:2]) != len(plain) or _mod97(plain) != 1:
         return None
     account = _by_class(key, plain[4:], "iban")
     check = 98 - _mod97(plain[:2] + "00" + account)
     it = iter(f"{plain[:2]}{check:02d}{account}")
-    return "".join(c if c.isspace() else next(it) for c in text)
+    return "".join(c if c in " -" else next(it).lower() if c.islower() else next(it) for c in text)
 
 
 def _mod97(plain: str) -> int:
@@ -200,9 +217,16 @@ def email(key: bytes, text: str) -> str | None:
     return out + at + domain
 
 
+#: How tokens of known issuers begin, as patterns, and what follows. Published formats, fixed values.
+ISSUED = ((r"sk-", r"[A-Za-z0-9]{20,64}"), (r"gh[pousr]_", r"[A-Za-z0-9]{30,64}"), (r"AKIA", r"[A-Z0-9]{16}"), (r"AIza", r"[A-Za-z0-9_\-]{35}"), (r"glpat-", r"[A-Za-z0-9_\-]{20}"), (r"xox[abprs]-", r"[A-Za-z0-9\-]{10,120}"))
+_PREFIX = re.compile("|".join(p for p, _ in ISSUED))
+
+
 def secret(key: bytes, text: str) -> str | None:
-    whole = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)
-    return _by_class(key, text, "secret", bool(whole))
+    """Hexadecimal keys, and tokens behind their issuer's prefix, which stays."""
+    known = _PREFIX.match(text)
+    head = known[0] if known else ""
+    return head + _by_class(key, text[len(head) :], "secret" + head, not known)
 
 
 def _is_late(day: int) -> bool:
@@ -277,12 +301,12 @@ def date(key: bytes, text: str) -> str | None:
 
 
 def _iban_pattern() -> str:
-    """Each country's length, in groups of four with or without blanks: never more nor less of the text."""
+    """Each country's length, in groups of four with or without blanks or hyphens: never more nor less of the text."""
     by_length: dict[int, list[str]] = {}
     for country, size in IBAN_LENGTH.items():
         by_length.setdefault(size - 4, []).append(country)
-    forms = [f"(?:{'|'.join(cs)})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, cs in by_length.items()]
-    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+    forms = [f"(?i:{'|'.join(cs)})\\d{{2}}(?:[ \\-]?[A-Za-z0-9]{{4}}){{{n // 4}}}" + (f"[ \\-]?[A-Za-z0-9]{{{n % 4}}}" if n % 4 else "") for n, cs in by_length.items()]
+    return rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
 
 
 _MONTH = r"(?i:" + "|".join([*MONTHS, "Sept", *(m[:3] for m in MONTHS)]) + r")\b\.?"
@@ -294,12 +318,13 @@ _PLUS = r"(?<![\w+])\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-
 #: (kind, pattern, pseudonym), tried in this order at each place.
 KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}", email),
-    ("secret", r"(?<=[\"'=:\s])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|sk-[A-Za-z0-9]{20,64}|gh[pousr]_[A-Za-z0-9]{30,64}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
+    ("secret", r"(?:(?<![^\s\"'=:(\[,;])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})|(?<![A-Za-z0-9])(?:" + "|".join(p + q for p, q in ISSUED) + r"))(?![A-Za-z0-9])", secret),
     ("iban", _iban_pattern(), iban),
-    ("phone", _PLUS.format(4) + r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])", phone),
+    ("phone", _PLUS.format(4) + r"|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])", phone),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     ("card", r"(?<![\w.\-])\d{13,19}(?![\w\-])|(?<![\w.\-])\d{4}(?:[ \-]\d{4}){3}(?![\w\-])|(?<![\w.\-])3\d{3}[ \-]\d{6}[ \-]\d{5}(?![\w\-])", card),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![\w:]|\.\w)", ipv6),
     ("date", r"(?<![\w.\-/])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2}(?=[Tt]\d{2}|(?![\w\-/]))|(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|" + _NAMED + r")(?![\w\-/]))", date),
 )
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.A)
@@ -343,14 +368,15 @@ def _cached(key: bytes, kind: str, value: str) -> str | None:
     return MAKERS[kind](key, value)
 
 
-DIGIT_OR_AT = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
+#: What every value holds a piece of; texts and lines without it are passed over.
+SIGN = re.compile("|".join([r"[0-9@]|[a-f]{32}|[A-F]{32}", *(p for p, _ in ISSUED)]))
 
 
 def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", unchecked: bool = False) -> DataFrame:
     """All columns of docs with the text's personal values exchanged, plus `pii`: array of (kind, start, length).
 
-    Null texts stay null and empty ones empty, with an empty array; whole texts are read, line by line where a line
-    holds a digit or @; repeated rows give equal results; an empty table gives no rows; an existing column `pii` is
+    Null texts stay null and empty ones empty, with an empty array; whole texts are read, however long, line by line where a
+    line can hold a value; repeated rows give equal results; an empty table gives no rows; an existing column `pii` is
     replaced and all others stay. Whoever has the key can undo the pseudonyms. Numbers must pass their format's check
     (cards: the check digit); `unchecked` exchanges digit runs of a card's length without it too.
     """
@@ -366,13 +392,13 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", unchecked: boo
             for part in slices(batch, text_col, 1 << 22):
                 texts, spans = [], []
                 for t in part.column(text_col).to_pylist():
-                    if t is None or not DIGIT_OR_AT.search(t):
+                    if t is None or not SIGN.search(t):
                         texts.append(t)
                         spans.append([])
                         continue
                     lines, found, start = t.split("\n"), [], 0
                     for n, line in enumerate(lines):
-                        if DIGIT_OR_AT.search(line):
+                        if SIGN.search(line):
                             lines[n], more = pseudonymise(line, secret_key, unchecked)
                             found += [{"kind": k, "start": start + s, "length": size} for k, s, size in more]
                         start += len(lines[n]) + 1
