@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from ..operators import kpis, rfm, scoring, stats
+from ..operators import explain, kpis, rfm, scoring, stats
 from ..sources.results import Results, records, safe
 from .batch import DOCUMENTS
 from .market import Market
@@ -155,10 +155,15 @@ class Api:
         rows = self.market.spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, text string")
         return records(scoring.full_pipeline(rows, self.models).orderBy("review_id"))
 
-    def explain(self, text: str, k: int = 8) -> list[dict]:
-        """The tokens of most weight in the baseline's decision on one text."""
+    def explain(self, text: str, k: int = 8) -> dict:
+        """What the tokens of most weight add to the answer of the model that scores texts, to nothing added by none;
+        without it, to the baseline's decision."""
         scoring.check_request([text])
-        if "baseline" not in self.models:
-            raise scoring.ModelUnavailable("baseline")
         rows = self.market.spark.createDataFrame([("0", text)], "review_id string, text string")
-        return records(scoring.attributions(rows, self.models["baseline"], k).select("token", "value").orderBy(F.desc(F.abs("value")), "token"))
+        if "sentiment" in self.models:
+            told = records(explain.top_tokens(rows, self.models["sentiment"], k))[0]
+            return {"available": not told["failed"], "model": "sentiment", "base": told["base"], "score": told["score"], "top_tokens": told["top_tokens"] or []}
+        if "baseline" not in self.models:
+            raise scoring.ModelUnavailable("neither sentiment nor baseline is loaded")
+        found = scoring.attributions(rows, self.models["baseline"], k).select("token", "value").orderBy(F.desc(F.abs("value")), "token")
+        return {"available": True, "model": "baseline", "base": None, "score": None, "top_tokens": records(found)}

@@ -195,5 +195,10 @@ SELECT doc_id, round(1 / (1 + b), 9) AS sigmoid, round(a / (a + b + c), 9) AS so
     "vocab_bounds": _TOKENS + "SELECT count(*) + 1 AS vocab_size, CAST(coalesce(max(id), 1) AS BIGINT) AS max_index FROM vocab",
     "text_batches": _TOKENS + ", ids AS (SELECT doc_id, i, coalesce(id, 1) AS id FROM tok LEFT JOIN vocab USING (token) WHERE i <= 100) SELECT documents.doc_id, CAST(documents.doc_id % 2 AS INTEGER) AS label, CAST(coalesce(len(any_value(l)), 0) AS INTEGER) AS n_ids, coalesce(array_to_string(any_value(l), ' '), '') AS ids FROM documents LEFT JOIN (SELECT doc_id, list(id ORDER BY i) AS l FROM ids GROUP BY 1) USING (doc_id) GROUP BY documents.doc_id",
     "manifest_texts": _TEXTS + _ONE + _SPLIT.format(key="text_hash", seed=SEED, source="one") + "SELECT review_id, split, md5(smallest) AS text_md5 FROM split LEFT JOIN (SELECT text_hash, min(text) AS smallest FROM texts GROUP BY 1) USING (text_hash)",
+    "token_shapley": """
+WITH w AS (SELECT p_partkey, regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[\\p{L}\\p{N}_]+') AS l FROM part),
+word AS (SELECT p_partkey, l, unnest(range(len(l))) AS place FROM w)
+SELECT p_partkey, CAST(place AS INTEGER) AS place, l[place + 1] AS token, round((length(l[place + 1]) - 5) / 10 + (len([x FOR x IN l IF x[1] = l[place + 1][1]]) - 1) / 4, 6) AS value FROM word
+""",
     "segment_lookup": f"SELECT * FROM ({ORACLES['rfm_segment_labels']}) WHERE lower(Segment) = 'at risk'",
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import argmax, currency, encoded, negated, normalised, padded, sigmoid, smoothed, softmax, strongest, text_hash, thousands, tokens
 from ..functions.values import NO_MESSAGE, STATES, region
-from ..operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats, training
+from ..operators import cleaning, enrich, explain, kpis, metrics, rfm, scoring, sentiment, stats, training
 from ..sources import tables
 from .market import DELIVERED, FAILED, Market
 
@@ -544,6 +546,23 @@ def manifest_texts(m: Market) -> DataFrame:
     return sentiment.texts_of(split, m.texts).select("review_id", "split", F.md5("text").alias("text_md5"))
 
 
+def _word_model(texts: list[str]) -> list[float]:
+    """A tenth for each letter of a word beyond five, and a half for each pair of words with the same first letter."""
+    out = []
+    for t in texts:
+        found = re.findall(r"\w+", t)
+        out.append(sum(len(w) - 5 for w in found) / 10 + sum(a[0] == b[0] for a, b in itertools.combinations(found, 2)) / 2)
+    return out
+
+
+@query
+def token_shapley(m: Market) -> DataFrame:
+    """What each word of a product's description adds to a model of words and pairs of words, for which the values are exact."""
+    told = m.table("part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("text"))
+    found = explain.shapley(told, lambda: _word_model, pairs=1)
+    return rounded(found.select("p_partkey", F.posexplode("token_values").alias("place", "t")).select("p_partkey", "place", F.col("t.token").alias("token"), F.col("t.value").alias("value")))
+
+
 @query
 def segment_lookup(m: Market) -> DataFrame:
     table = _clustered(m)

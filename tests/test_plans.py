@@ -116,12 +116,15 @@ def test_read_layer(spark):
     got = api.score([{"id": 7, "text": "bom"}, {"id": "x", "text": "mau"}], "cnn2d", "pt")
     assert [(r["id"], r["original"], r["text"], r["model"]) for r in got] == [("7", "bom", "en bom", "cnn2d"), ("x", "mau", "en mau", "cnn2d")]
     assert api.models_info()["sentiment"]["available"] and not api.models_info()["fake"]["available"] and api.root()["api_version"] == "v1"
+    told = api.explain("one two")
+    assert told["available"] and told["model"] == "sentiment" and [r["value"] for r in told["top_tokens"]] == [0.0, 0.0] and told["base"] == told["score"] == 0.9
+    del api.models["sentiment"]
     with pytest.raises(scoring.ModelUnavailable) as gone:
         api.explain("good")
     assert failure(gone.value)["error"]["status"] == 503
     words = spark.createDataFrame([(f"{'good' if i % 2 else 'bad'} thing", i % 2) for i in range(20)], "text string, label int")
     api.models["baseline"] = scoring.fit_baseline(words)
-    assert {r["token"] for r in api.explain("good thing", 1)} == {"good"}
+    assert {r["token"] for r in api.explain("good thing", 1)["top_tokens"]} == {"good"}
 
 
 def test_batch_run_prepares_what_is_served(spark, tmp_path):
