@@ -199,6 +199,15 @@ SELECT doc_id, round(1 / (1 + b), 9) AS sigmoid, round(a / (a + b + c), 9) AS so
 WITH w AS (SELECT p_partkey, regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[\\p{L}\\p{N}_]+') AS l FROM part),
 word AS (SELECT p_partkey, l, unnest(range(len(l))) AS place FROM w)
 SELECT p_partkey, CAST(place AS INTEGER) AS place, l[place + 1] AS token, round((length(l[place + 1]) - 5) / 10 + (len([x FOR x IN l IF x[1] = l[place + 1][1]]) - 1) / 4, 6) AS value FROM word
+""",
+    "first_training_step": _TEXTS + r"""
+, heavy AS (SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM texts WHERE label IS NOT NULL GROUP BY 1),
+example AS (SELECT row_number() OVER () AS r, label, w, w * (0.5 - label) AS wrong, regexp_extract_all(norm, '[\p{L}\p{N}_]+') AS l FROM texts JOIN heavy USING (label)),
+used AS (SELECT r, wrong, unnest(l) AS token FROM example),
+vocab AS (SELECT token FROM used GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 30000),
+g AS (SELECT token, sum(wrong) / (SELECT sum(w) FROM example) AS g FROM used SEMI JOIN vocab USING (token) GROUP BY 1 UNION ALL SELECT NULL, sum(wrong) / sum(w) FROM example),
+small AS (SELECT least(1.0, 1.0 / (sqrt(sum(g * g)) + 1e-6)) AS cut FROM g)
+SELECT token, round(g, 6) + 0.0 AS gradient, round(-0.05 * (g * cut) / (abs(g * cut) + 1e-8), 6) + 0.0 AS weight FROM g, small
 """,
     "segment_lookup": f"SELECT * FROM ({ORACLES['rfm_segment_labels']}) WHERE lower(Segment) = 'at risk'",
 }

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import argmax, currency, encoded, negated, normalised, padded, sigmoid, smoothed, softmax, strongest, text_hash, thousands, tokens
 from ..functions.values import NO_MESSAGE, STATES, region
-from ..operators import cleaning, enrich, explain, kpis, metrics, rfm, scoring, sentiment, stats, training
+from ..operators import cleaning, enrich, explain, kpis, metrics, minibatch, rfm, scoring, sentiment, stats, training
 from ..sources import tables
+from ..sources.scratch import scratch
 from .market import DELIVERED, FAILED, Market
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,7 +398,7 @@ def average_ranks(m: Market) -> DataFrame:
 def baseline_classifier(m: Market) -> DataFrame:
     """No SQL: fitted. The native text classifier, fitted to the training split and scored on the test split."""
     split = sentiment.stratified_split(m.texts, "review_id", seed=SEED)
-    model = scoring.fit_baseline(split.where("split = 'train'"), features=4096)
+    model = scoring.fit_baseline(split.where("split = 'train'"))
     return metrics.scores(metrics.confusion(scoring.predict_baseline(split.where("split = 'test'").withColumn("y", F.col("label")), model)))
 
 
@@ -570,10 +571,27 @@ def segment_lookup(m: Market) -> DataFrame:
     return rfm.segment_profile(table.join(F.broadcast(named), "Cluster")).where(F.lower("Segment") == "at risk")
 
 
+@query
+def first_training_step(m: Market) -> DataFrame:
+    """The gradient over all labelled texts and one step of the optimiser; zeros carry no sign."""
+    found = minibatch.first_step(m.texts, minibatch.Settings(epochs=1, batches=1, warmup=0.0, features=VOCABULARY))
+    return found.select("token", *[(F.round(c, 6) + 0.0).alias(c) for c in ("gradient", "weight")])
+
+
+@query
+def minibatch_classifier(m: Market) -> DataFrame:
+    """No SQL: fitted. The text classifier of the training loop's best epoch, scored on the test split."""
+    split = sentiment.stratified_split(m.texts, "review_id", seed=SEED)
+    part = lambda name: split.where(F.col("split") == name)
+    with scratch(m.spark, "minibatch") as path:
+        trained = minibatch.fit(part("train"), part("val"), path, minibatch.Settings(epochs=4, batches=8, features=VOCABULARY))
+    return metrics.scores(metrics.confusion(minibatch.predict(part("test").withColumn("y", F.col("label")), trained)))
+
+
 @query
 def stopped_classifier(m: Market) -> DataFrame:
     """No SQL: fitted. The text classifier with class weights, stopped by the validation split, scored on the test split."""
     split = sentiment.stratified_split(m.texts, "review_id", seed=SEED)
     part = lambda name: split.where(F.col("split") == name)
-    fitted = training.fit_stopping(part("train"), part("val"), features=4096)
+    fitted = training.fit_stopping(part("train"), part("val"))
     return metrics.scores(metrics.confusion(scoring.predict_baseline(part("test").withColumn("y", F.col("label")), fitted.model)))
