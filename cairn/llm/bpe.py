@@ -67,8 +67,12 @@ def _newer(spark: SparkSession, path: str) -> tuple[str, str]:
     parts = []
     for chars in found:
         codes = sorted(map(ord, chars))
+        if not codes:
+            parts.append("")
+            continue
         runs = [list(g) for _, g in itertools.groupby(enumerate(codes), lambda x: x[1] - x[0])]
-        parts.append("".join(rf"\x{{{r[0][1]:x}}}-\x{{{r[-1][1]:x}}}" for r in runs))
+        ranges = "".join(rf"\x{{{r[0][1]:x}}}-\x{{{r[-1][1]:x}}}" for r in runs)
+        parts.append(rf"[\x{{{codes[0]:x}}}-\x{{10FFFF}}&&[{ranges}]]")  # a common character meets one test, not all
     return parts[0], parts[1]
 
 
@@ -156,7 +160,7 @@ def choose_common(table: DataFrame, most_words: int, most_bytes: int) -> tuple[D
 
     Words of about equal frequency are taken together, so that a histogram is all the driver sees."""
     level = F.floor(F.log2("n") * 8).alias("level")
-    steps = sorted(table.groupBy(level).agg(F.count("*"), F.sum(F.size("ids") * 4 + 16)).collect(), reverse=True)
+    steps = sorted(table.groupBy(level).agg(F.count("*"), F.sum(F.size("ids") * 2 + 16)).collect(), reverse=True)
     words = size = 0
     least = None
     for at, n, more in steps:
