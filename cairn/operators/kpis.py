@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import percent, share, total
 from ..functions.values import WEEKDAYS
-from .stats import quantiles
+from .stats import distributions
 
 DELIVERED = "delivered"
 FAILED = ("canceled", "unavailable")
@@ -89,13 +87,8 @@ def scores_by_delay(reviews: DataFrame, score: str = "review_score") -> DataFram
 
 
 def described(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Long form of grouped count, mean, std, min, quartiles and max, a row a group and column."""
-    known = df.where(F.col(by).isNotNull())
-    one = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-    sums = known.groupBy(by).agg(F.array(*[one(c) for c in columns]).alias("all")).select(by, F.explode("all").alias("s")).select(by, "s.*")
-    quartiles = reduce(DataFrame.unionByName, [quantiles(known, c, [0.25, 0.5, 0.75], [by]).withColumn("column", F.lit(c)) for c in columns])
-    met = sums.join(quartiles, [by, "column"], "left")
-    return met.select(by, "column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """Long form of grouped count, mean, std, min, quartiles and max, a row a group and column; null keys form no group."""
+    return distributions(df, columns, [0.25, 0.5, 0.75], [by]).select(by, "column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def repeat_rate(customers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import ratio
-from .stats import offsets, value_bins
+from .stats import offsets, with_bins
 
 
 def confusion(df: DataFrame, y: str = "y", guess: str = "guess") -> DataFrame:
@@ -49,9 +49,8 @@ def class_report(counts: DataFrame) -> DataFrame:
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """score, positives, negatives and the same among larger scores."""
     known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(F.col(y).alias("y"), F.col(score).cast("double").alias("s"))
-    number = value_bins(known, ["s"])["s"]
-    cells = known.groupBy(number.alias("_bin"), "s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    return offsets(cells, {"pos": "pos_above", "neg": "neg_above"}, F.desc("s"), F.desc("_bin"), [])
+    cells = known.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    return offsets(with_bins(cells, "s", ["pos", "neg"]), {"pos": "pos_above", "neg": "neg_above"}, F.desc("s"), F.desc("_bin"), [])
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:

@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tails import normal_two_sided, student_two_sided
 
 
+#: Edges are looked up in two steps: among every so manyth, then among those between.
+STRIDE = 32
+
+
 def _below(edges: Column, value: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+    """How many of the sorted edges are smaller than value."""
+    coarse = F.transform(F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)), F.lit(STRIDE)), lambda n: F.get(edges, n - 1))
+    block = F.greatest(F.size(F.filter(coarse, lambda e: e < value)) - 1, F.lit(0))
+    return block * STRIDE + F.size(F.filter(F.slice(edges, block * STRIDE + 1, STRIDE), lambda e: e < value))
 
 
-def value_bins(df: DataFrame, columns: list[str], bins: int = 64) -> dict[str, Column]:
-    """For each column the number of its bin: equal-count bins whose edges are read once and are then constants."""
-    at = F.array(*[F.lit(n / bins) for n in range(1, bins)])
-    edges = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, 1000) for c in columns]).first()
-    out = {}
-    for c, found in zip(columns, edges, strict=True):
-        out[c] = _below(F.array(*[F.lit(float(x)) for x in sorted(set(found))]), F.col(c).cast("double")) if found else F.lit(0)
-    return out
+def with_bins(cells: DataFrame, value: str, counts: list[str], of: list[str] | None = None) -> DataFrame:
+    """cells (a row a distinct value, with counts) with `_bin`: about equally many of them in each, by edges found in the
+    same plan. `of`: columns of few values that have edges of their own.
+
+    There are as many bins as shuffle partitions, 64 at least. The totals make both readings of the cells ask for the
+    same columns, so that Spark computes them once."""
+    of = of or []
+    wanted = min(1000, max(64, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    at = F.array(*[F.lit(n / wanted) for n in range(1, wanted)])
+    found = cells.groupBy(*of).agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, 4 * wanted))).alias("_edges"), *[F.sum(c).alias(f"_all_{n}") for n, c in enumerate(counts)])
+    some = reduce(lambda a, b: a | b, (F.col(f"_all_{n}") >= 0 for n in range(len(counts))))
+    met = cells.join(F.broadcast(found), of) if of else cells.join(F.broadcast(found), F.lit(True))
+    return met.withColumn("_bin", F.coalesce(F.when(some, _below(F.col("_edges"), F.col(value).cast("double"))), F.lit(0))).drop("_edges", *[f"_all_{n}" for n in range(len(counts))])
 
 
 def offsets(cells: DataFrame, weights: dict[str, str], order: Column, bin_order: Column, by: list[str]) -> DataFrame:
@@ -38,59 +51,83 @@ def offsets(cells: DataFrame, weights: dict[str, str], order: Column, bin_order:
     return joined.withColumns({n: F.col(f"_in_{n}") + F.col(f"_from_{n}") for n in weights.values()}).drop("_bin", *[f"{x}_{n}" for n in weights.values() for x in ("_in", "_from")])
 
 
-def average_ranks(df: DataFrame, value: str, rank: str, by: list[str] | None = None, bin_of: Column | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rank: str, by: list[str] | None = None) -> DataFrame:
     """by, value, its average rank among the group's non-null rows and its count; equal values, however many, are one row."""
     by = by or []
-    known = df.where(F.col(value).isNotNull())
-    number = bin_of if bin_of is not None else value_bins(known, [value])[value]
-    cells = known.groupBy(*by, number.alias("_bin"), value).agg(F.count("*").alias("_n"))
-    placed = offsets(cells, {"_n": "_before"}, F.col(value), F.col("_bin"), by)
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = offsets(with_bins(cells, value, ["_n"]), {"_n": "_before"}, F.col(value), F.col("_bin"), by)
     return placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """by, q: the exact quantiles of the group's non-null values, straight lines between neighbours. Null keys form no
-    group, nor do groups without a value.
+def value_cells(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """by, column, _v, _n: how often each group has each value of each column, nulls apart; one reading for all columns."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_x")
+    return df.select(*by, each).select(*by, "_x.column", "_x._v").where("_v is not null").groupBy(*by, "column", "_v").agg(F.count("*").alias("_n"))
+
+
+def at_place(before: Column, n: Column, value: Column, place: Column) -> Column:
+    """The value at a place (from 0, not above the last) of the sorted rows; between two, on the line that joins them."""
+    at = lambda p: F.max(F.when((before <= p) & (p < before + n), value))
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    return low + (high - low) * (F.first(place) - F.floor(F.first(place)))
 
-    The values at the wanted places are found by counts before them, so no task holds all distinct values."""
+
+def distributions(df: DataFrame, columns: list[str], shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, column, n, mean, std, min, max, q: of the group's non-null values of each column, with exact quantiles on
+    straight lines between neighbours. Null keys form no group; one without a value has no row for that column.
+
+    The frame is read once, whatever the number of columns, groups and shares: everything comes from counts of values."""
     by = by or []
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    cells = known.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    cells = cells.withColumn("_bin", value_bins(known, ["_v"])["_v"])
-    totals = cells.groupBy(*by, "_bin").agg(F.sum("_n").alias("_t"))  # a few rows a group
-    whole = W.partitionBy(*by)
-    starts = totals.select(*by, "_bin", F.coalesce(F.sum("_t").over(whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_from"), (F.sum("_t").over(whole) - 1).alias("_last"))
-    inside = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    met = cells.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(starts), [*by, "_bin"]).withColumn("_before", F.col("_in") + F.col("_from"))
+    keys = [*by, "column"]
+    cells = value_cells(reduce(lambda d, c: d.where(F.col(c).isNotNull()), by, df), columns, by)
+    n, v = F.col("_n"), F.col("_v")
+    whole = cells.groupBy(*keys).agg(F.sum("_n").alias("_all"), (F.sum(n * v) / F.sum("_n")).alias("_mean"))  # a few rows a group
+    placed = offsets(with_bins(cells, "_v", ["_n"], ["column"]), {"_n": "_before"}, v, F.col("_bin"), keys)
+    met = placed.join(F.broadcast(whole), keys)
+    all_, mean = F.first("_all"), F.first("_mean")
+    places = [(F.col("_all") - 1) * F.lit(float(s)) for s in shares]
+    spread = F.when(all_ > 1, F.sqrt(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))) / (all_ - 1)))
+    return met.groupBy(*keys).agg(all_.alias("n"), mean.alias("mean"), spread.alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.array(*[at_place(F.col("_before"), n, v, p) for p in places]).alias("q"))
 
-    def at(place: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
 
-    places = [F.col("_last") * F.lit(float(s)) for s in shares]
-    found = met.groupBy(*by).agg(F.max("_last").alias("_last"), *[f(p).alias(f"_{side}{n}") for n, p in enumerate(places) for side, f in (("l", lambda p: at(F.floor(p))), ("h", lambda p: at(F.ceil(p))))])
-    between = [F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * (p - F.floor(p)) for n, p in enumerate(places)]
-    return found.where("_last is not null").select(*by, F.array(*between).alias("q"))
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q: the exact quantiles of the group's non-null values, straight lines between neighbours. Null keys form no
+    group, nor do groups without a value."""
+    by = by or []
+    return distributions(df, [value], shares, by).select(*by, "q")
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """x, y, spearman for every pair of columns (both orders and itself), over the rows where both are known.
 
-    All pairs go through one plan: rows are counted by pair of values, and those cells carry the whole correlation.
-    """
+    A value has one rank for each column that it may be paired with: its place among the rows where that one is known
+    too. All of them come from one count by column and value, of as many sums as there are columns, and go back to the
+    rows at once; so a row is copied once a column, not once a pair."""
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    bins = value_bins(wide, columns)
-    pairs = list(itertools.combinations_with_replacement(columns, 2))
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("xv"), F.col(b).alias("yv"), bins[a].alias("xb"), bins[b].alias("yb")) for a, b in pairs])).alias("p")
-    long = wide.select(each).select("p.*").where("xv is not null and yv is not null")
-    cells = long.groupBy("x", "y", "xv", "yv", "xb", "yb").agg(F.count("*").alias("n"))
-    side = lambda v, b, r: offsets(cells.groupBy("x", "y", F.col(b).alias("_bin"), v).agg(F.sum("n").alias("_n")), {"_n": "_before"}, F.col(v), F.col("_bin"), ["x", "y"]).select("x", "y", v, (F.col("_before") + (F.col("_n") + 1) / 2).alias(r))
-    met = cells.join(side("xv", "xb", "rx"), ["x", "y", "xv"]).join(side("yv", "yb", "ry"), ["x", "y", "yv"])
-    n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-    sxx, syy, sxy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry")))
+    place = {c: n for n, c in enumerate(columns)}
+    both = [f"_n{n}" for n in range(len(columns))]
+    unpivoted = lambda more: F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("c"), F.col(c).alias("v"), *more) for c, n in place.items()]), lambda s: s["v"].isNotNull())).alias("s")
+    known = [F.col(c).isNotNull().alias(f"k{n}") for c, n in place.items()]
+    cells = wide.select(unpivoted(known)).groupBy(F.col("s.c").alias("c"), F.col("s.v").alias("v")).agg(*[F.count_if(f"s.k{n}").alias(both[n]) for n in place.values()])
+    placed = offsets(with_bins(cells, "v", both, ["c"]), {x: f"_before{x}" for x in both}, F.col("v"), F.col("_bin"), ["c"])
+    ranks = placed.select("c", "v", F.array(*[F.col(f"_before{x}") + (F.col(x) + 1) / 2 for x in both]).alias("r"))
+    rows = wide.withColumn("row", F.monotonically_increasing_id()).select("row", unpivoted([])).select("row", "s.c", "s.v")
+    own = lambda n: F.max(F.when(F.col("c") == n, F.col("r"))).alias(f"r{n}")
+    ranked = rows.join(ranks, ["c", "v"]).groupBy("row").agg(*[own(n) for n in place.values()])
+    pairs = list(itertools.combinations_with_replacement(place.values(), 2))
+
+    def sums(a: int, b: int) -> Column:
+        x, y = (F.get(f"r{i}", F.lit(j)) for i, j in ((a, b), (b, a)))
+        met = x.isNotNull() & y.isNotNull()
+        x, y = F.when(met, x), F.when(met, y)
+        return F.struct(F.lit(columns[a]).alias("x"), F.lit(columns[b]).alias("y"), F.count(x).alias("n"), *[F.sum(e).alias(k) for k, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
+
+    found = ranked.agg(F.array(*[sums(a, b) for a, b in pairs]).alias("all")).select(F.explode("all").alias("p")).select("p.*").where("n > 0")
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    found = met.groupBy("x", "y").agg(F.try_divide(n * sxy - sx * sy, F.nullif(spread, F.lit(0.0))).alias("spearman"))
+    value = found.select("x", "y", F.try_divide(n * sxy - sx * sy, F.nullif(spread, F.lit(0.0))).alias("spearman"))
     turned = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
-    return found.select(F.explode(turned).alias("p"), "spearman").select("p.x", "p.y", "spearman")
+    return value.select(F.explode(turned).alias("p"), "spearman").select("p.x", "p.y", "spearman")
 
 
 def order_correlations(orders: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,17 +137,23 @@ def order_correlations(orders: DataFrame, items: DataFrame, columns: list[str])
 
 
 def two_groups(df: DataFrame, value: str, flag: str) -> DataFrame:
-    """One row: n, mean, median, std of the flagged and the other rows, Welch's t, U of the flagged, its tie sum, d."""
+    """One row: n, mean, median, std of the flagged and the other rows, Welch's t, U of the flagged, its tie sum, d.
+
+    Everything comes from one count by value of the rows on either side."""
+    sides = ("late", "on_time")
     known = df.where(F.col(value).isNotNull() & F.col(flag).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(flag).alias("f"))
-    of = lambda f, yes: f(F.when(F.col("f") if yes else ~F.col("f"), F.col("v")))
-    sides = known.agg(*[of(f, yes).alias(f"{n}_{side}") for side, yes in (("late", True), ("on_time", False)) for n, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("var", F.var_samp))])
-    cells = known.groupBy("v").agg(F.count_if("f").alias("k"))
-    ranks = average_ranks(known, "v", "r")
-    sums = cells.join(ranks, "v").agg(F.sum(F.col("k") * F.col("r")).alias("rank_sum"), F.sum(F.pow(F.col("r_ties").cast("double"), 3) - F.col("r_ties")).alias("tie_sum"))
+    cells = known.groupBy("v").agg(F.count_if("f").alias("late"), F.count_if(~F.col("f")).alias("on_time"))
+    v = F.col("v")
+    whole = cells.agg(*[x for s in sides for x in (F.coalesce(F.sum(s), F.lit(0)).alias(f"n_{s}"), F.try_divide(F.sum(F.col(s) * v), F.sum(s)).alias(f"mean_{s}"))])
+    placed = offsets(with_bins(cells, "v", [*sides]), {s: f"before_{s}" for s in sides}, v, F.col("_bin"), [])
+    met = whole.join(placed, F.lit(True), "left")
+    n, both = {s: F.first(f"n_{s}") for s in sides}, F.col("late") + F.col("on_time")
+    rank = F.col("before_late") + F.col("before_on_time") + (both + 1) / 2
+    of = lambda s: [n[s].alias(f"n_{s}"), F.first(f"mean_{s}").alias(f"mean_{s}"), at_place(F.col(f"before_{s}"), F.col(s), v, (F.col(f"n_{s}") - 1) * 0.5).alias(f"median_{s}"), F.when(n[s] > 1, F.sum(F.col(s) * (v - F.col(f"mean_{s}")) * (v - F.col(f"mean_{s}"))) / (n[s] - 1)).alias(f"var_{s}")]
+    sums = met.agg(*of("late"), *of("on_time"), F.sum(F.col("late") * rank).alias("rank_sum"), F.sum(F.pow(both.cast("double"), 3) - both).alias("tie_sum"))
     n1, n2, v1, v2 = (F.col(c) for c in ("n_late", "n_on_time", "var_late", "var_on_time"))
-    both = sides.join(F.broadcast(sums))
-    return both.select(
-        *[c for c in sides.columns if not c.startswith("var")],
+    return sums.select(
+        *[c for s in sides for c in (f"n_{s}", f"mean_{s}", f"median_{s}", F.sqrt(f"var_{s}").alias(f"std_{s}"))],
         F.try_divide(F.col("mean_late") - F.col("mean_on_time"), F.sqrt(v1 / F.nullif(n1, F.lit(0)) + v2 / F.nullif(n2, F.lit(0)))).alias("welch_t"),
         (F.col("rank_sum") - n1 * (n1 + 1) / 2).alias("mann_whitney_u"),
         "tie_sum",

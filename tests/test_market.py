@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -409,3 +410,55 @@ def test_shuffle_is_the_seeded_order(spark):
     frame = spark.range(50).repartition(5)
     once, again, other = ([r[0] for r in sentiment.shuffled(frame, "id", s).collect()] for s in (1, 1, 2))
     assert once == again != other and sorted(once) == list(range(50))
+
+
+def test_rank_statistics_against_brute_force(spark):
+    """Null-heavy columns with ties: every pair's rank correlation, group descriptions and the two groups' report."""
+    r = random.Random(8)
+    data = [tuple(None if r.random() < 0.4 else float(r.choice((r.randint(0, 5), r.randint(0, 1000)))) for _ in range(4)) + (r.choice(("x", "y", None)), r.choice((True, False, None))) for _ in range(400)] + [(None,) * 6]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, g string, f boolean").repartition(5)
+    ranks = lambda xs: [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+
+    def correlation(xs, ys):
+        mx, my = statistics.fmean(xs), statistics.fmean(ys)
+        return sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / math.sqrt(sum((x - mx) ** 2 for x in xs) * sum((y - my) ** 2 for y in ys))
+
+    for x in stats.spearman(df, ["a", "b", "c", "d"]).collect():
+        i, j = "abcd".index(x["x"]), "abcd".index(x["y"])
+        both = [(t[i], t[j]) for t in data if t[i] is not None and t[j] is not None]
+        assert x["spearman"] == pytest.approx(correlation(ranks([p for p, _ in both]), ranks([q for _, q in both])))
+    assert stats.spearman(df, ["a", "b", "c", "d"]).count() == 16
+    assert stats.spearman(df.where("false"), ["a", "b"]).count() == 0
+    only = df.where("a is not null and b is null")
+    assert {(x["x"], x["y"]) for x in stats.spearman(only, ["a", "b"]).collect()} == {("a", "a")}
+    for x in kpis.described(df, "g", ["a", "d"]).collect():
+        own = sorted(t["ad".index(x["column"]) * 3] for t in data if t[4] == x["g"] and t["ad".index(x["column"]) * 3] is not None)
+        quarters = statistics.quantiles(own, n=4, method="inclusive")
+        assert [x[c] for c in ("n", "mean", "std", "min", "q25", "q50", "q75", "max")] == pytest.approx([len(own), statistics.fmean(own), statistics.stdev(own), own[0], *quarters, own[-1]])
+    late, other = ([t[0] for t in data if t[5] is f and t[0] is not None] for f in (True, False))
+    x = stats.two_groups(df, "a", "f").first()
+    u = sum((p > q) + (p == q) / 2 for p in late for q in other)
+    assert x["mann_whitney_u"] == pytest.approx(u) and x["n_late"] == len(late) and x["median_late"] == statistics.median(late) and x["std_on_time"] == pytest.approx(statistics.stdev(other))
+    none = stats.two_groups(df.where("false"), "a", "f").first()
+    assert none["n_late"] == 0 and none["median_late"] is None and none["welch_t"] is None
+
+
+def test_statistics_read_once_and_run_nothing_while_built(spark):
+    df = spark.range(300).select(*[((F.col("id") * p) % 97).cast("double").alias(c) for c, p in (("a", 3), ("b", 5), ("c", 7))], (F.col("id") % 2 == 0).alias("f"))
+    spark.sparkContext.setJobGroup("built", "")
+    frames = [stats.spearman(df, ["a", "b", "c"]), stats.distributions(df, ["a", "b", "c"], [0.5], ["f"]), stats.two_groups(df, "a", "f"), metrics.roc_auc(df.select(F.col("f").cast("int").alias("y"), F.col("a").alias("score")))]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setJobGroup("run", "")
+    for frame, most in zip(frames, (2, 1, 1, 2), strict=True):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Range (0, 300") <= most, plan
+
+
+def test_edges_are_counted_in_two_steps(spark):
+    edges = [float(n) for n in range(200)]
+    values = [-1.0, 0.0, 0.5, 31.0, 31.5, 32.0, 33.0, 150.2, 199.0, 500.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for some in (edges, edges[:32], edges[:1], []):
+        got = [x[0] for x in frame.select(stats._below(F.lit(some).cast("array<double>"), F.col("v"))).collect()]
+        assert got == [sum(e < v for e in some) for v in values]
