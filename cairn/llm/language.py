@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import Batches, frugal, slices, text_bytes, without, written
@@ -33,6 +34,14 @@ SUFFIX_LANGUAGE = {
     "no": "nb", "fi": "fi", "cz": "cs", "gr": "el", "tr": "tr", "hu": "hu", "ro": "ro", "uk": "en", "us": "en", "au": "en",
     "nz": "en", "ie": "en",
 }
+#: Language codes of two letters, and those of three that pages declare where there is none of two. Fixed values of the
+#: published register (ISO 639). Only these are classes; other declared strings carry no evidence.
+REGISTERED = frozenset(
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu ast ceb ckb fil haw hmn kab nds scn yue".split()
+)
 #: Suffixes of two parts under which anyone may take a name: a domain has one part more. Fixed values.
 TWO_PART = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "com.br", "com.mx", "com.ar", "com.cn", "com.tr", "co.kr", "co.in", "co.za", "com.pl")
 
@@ -134,8 +143,8 @@ def domain_of(host: Column) -> Column:
 
 
 def sample_labelled(docs: DataFrame, text: Column, label: Column, bound: int, seed: int) -> DataFrame:
-    """Whole distinct texts (t, l) of every label, for each the `bound` of the smallest draws, or all where it has fewer."""
-    named = docs.where(label.isNotNull() & (label != UND) & (F.length(text) > 0))
+    """Whole distinct texts (t, l) of every registered label, for each the `bound` of the smallest draws, or all where it has fewer."""
+    named = docs.where(label.isin(*sorted(REGISTERED)) & (F.length(text) > 0))
     counts = named.groupBy(label.alias("label")).agg(F.approx_count_distinct(F.xxhash64(text), 0.02)).collect()
     # twice the bound by an estimate of the distinct texts: enough to rank, without a label's every row in one place
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (2 * bound + 100) / max(r[1], 1)))]) if counts else F.lit(None).cast("map<string,double>")
@@ -173,7 +182,8 @@ def identify(
 ) -> DataFrame:
     """One row for each row of docs: id, text_hash, lang, posterior, text_lang, declared, host_prior, accepted.
 
-    Every declared language with a text that is not empty is a class, under its whole code without region and script.
+    Every declared language of the register (REGISTERED) with a text that is not empty is a class, under its whole code
+    without region and script; other declared strings, however many, carry no evidence, like null ones.
     Training takes up to `bound` distinct whole texts of each (the documented bound of the classifier's sample). The
     declared language is the markup's where html_col is given and states one, else that of declared_col. The host is
     host_col, or the address's where that is None.
@@ -191,6 +201,7 @@ def identify(
     host = F.col(host_col).cast("string") if host_col else F.lower(F.nullif(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1), F.lit("")))
     model = fit_text_model(sample_labelled(docs, text, declared, bound, seed))
     names = model.languages
+    number = {x: n for n, x in enumerate(names[:-1])}
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -213,14 +224,15 @@ def identify(
     trust = np.log((1 - declared_trust) / max(k - 1, 1)), np.log(declared_trust), np.log((1 - suffix_trust) / max(k - 1, 1)), np.log(suffix_trust)
     doubt = np.array([np.log(und_odds) if n == UND else 0.0 for n in names])
 
-    def speaks(codes: list, off: float, on: float) -> np.ndarray:
+    def speaks(codes: pa.Array, off: float, on: float) -> np.ndarray:
         """Log-likelihood of stated codes under each language; 0 for codes that are not modelled."""
-        out = np.zeros((len(codes), k))
-        for r, c in enumerate(codes):
-            if c in names[:-1]:
-                out[r] = off
-                out[r, names.index(c)] = on
-        return out
+        coded = pc.dictionary_encode(codes)
+        each = np.zeros((len(coded.dictionary) + 1, k))  # the last row is for null
+        for r, c in enumerate(coded.dictionary.to_pylist()):
+            if c in number:
+                each[r] = off
+                each[r, number[c]] = on
+        return each[coded.indices.fill_null(len(each) - 1).to_numpy()]
 
     def fuse(batches: Batches) -> Batches:
         for b in batches:
@@ -233,8 +245,7 @@ def identify(
             hs, ds = np.maximum(hs - mine, 0), np.maximum(ds - mine, 0)
             d_prior = (ds + weight * base) / (ds.sum(1, keepdims=True) + weight)
             h_prior = (hs + weight * d_prior) / (hs.sum(1, keepdims=True) + weight)
-            declared, suffix = b.column("declared").to_pylist(), b.column("suffix").to_pylist()
-            q = _normal(logs + np.log(h_prior) + speaks(declared, *trust[:2]) + speaks(suffix, *trust[2:]) + doubt)
+            q = _normal(logs + np.log(h_prior) + speaks(b.column("declared"), *trust[:2]) + speaks(b.column("suffix"), *trust[2:]) + doubt)
             top, text_top = q.argmax(1), p.argmax(1)
             best = q[np.arange(n), top]
             accepted = letters & (top != k - 1) & (best >= reject_below)

@@ -418,7 +418,7 @@ def test_language(spark, nothing):
 
 def test_every_declared_language_is_a_class(spark):
     r = random.Random(8)
-    codes = [a + b for a in "abcdefg" for b in "vwxyz"]  # 35, each with words of its own
+    codes = sorted(language.REGISTERED)[:35]  # each with words of its own
     stock = {c: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for c in codes}
     rows = [(100 * k + n, " ".join(r.choice(stock[c]) for _ in range(30)), c) for k, c in enumerate(codes) for n in range(12 if k < 32 else 6)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -426,6 +426,20 @@ def test_every_declared_language_is_a_class(spark):
     assert all(got[i]["lang"] == c and got[i]["accepted"] for i, _, c in rows)
 
 
+def test_unregistered_codes_say_nothing(spark):
+    """Made-up codes are no classes: documents under them are told by their texts, as those that declare nothing."""
+    words = {"en": "the and of that with this", "de": "der die und nicht sich über"}
+    rows = [(n, f"{words[c]} " * 5, c) for n, c in enumerate(["en", "de"] * 30)]
+    made = ["q" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows += [(1000 + n, f"{words[c]} {n} " * 5, made[n % 100] if n % 3 else None) for n, c in enumerate(["en", "de"] * 60)]
+    got = {x["doc_id"]: x for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), host_col=None).collect()}
+    for n, c in enumerate(["en", "de"] * 60):
+        assert got[1000 + n]["lang"] == got[1000 + n]["text_lang"] == c and got[1000 + n]["accepted"]
+        assert got[1000 + n]["declared"] == (made[n % 100] if n % 3 else None)
+    named = language.sample_labelled(spark.createDataFrame([(t, c) for _, t, c in rows], "t string, l string"), F.col("t"), F.col("l"), 300, 1)
+    assert {r[0] for r in named.select("l").distinct().collect()} == {"de", "en"}
+
+
 def test_language_sample_is_bound_by_label(spark):
     rows = [("copied a lot", "en")] * 400 + [(f"english {n}", "en") for n in range(40)] + [(f"deutsch {n}", "de") for n in range(9)] + [(None, "fr"), ("", "fr"), ("none", None)]
     frame = spark.createDataFrame(rows, "t string, l string")
