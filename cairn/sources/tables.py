@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# The source files' columns, by the data set's own names.
 SCHEMAS = {
     "customers": "customer_id string, customer_unique_id string, customer_zip_code_prefix int, customer_city string, customer_state string",
     "geolocation": "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double, geolocation_city string, geolocation_state string",
@@ -67,25 +68,85 @@ def discover(spark: SparkSession, base: str) -> dict[str, str]:
     return {k: path for k in FILES if (path := find(spark, base, k))}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Quoted newlines and doubled quotes are part of fields."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+#: Tables whose texts may hold line ends. Only their files are read as a whole by one task; the others are split.
+MULTI_LINE = ("reviews",)
+#: Column of a record that was not read as it stands, and what a field too many is read as.
+BROKEN, MORE = "_broken", "_more"
+
+
+class BrokenSource(ValueError):
+    """A source table has more broken records than its run allows."""
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Quoted newlines (where multi_line) and doubled quotes are part of fields."""
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def records_of(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A source file's columns and, for records that were not read as they stand, `_broken` (their text), `_file`,
+    `_reason` and `_fields`: `fields` where there are more than the table has, `values` with the columns whose value is
+    none of their type, `short` where fields are missing at the end. Others have nulls there.
+
+    Fields that are missing or of another type are null, as ever; an empty field too many is none."""
+    raw = spark.read.options(header=True, multiLine=name in MULTI_LINE, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, columnPruning=False)
+    columns = columns_of(name)
+    strings = ", ".join(f"{c} string" for c in [*columns, MORE])
+    read = raw.schema(f"{SCHEMAS[name]}, {BROKEN} string").csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    as_text = F.from_csv(F.col(BROKEN), F.lit(strings), {"quote": '"', "escape": '"', "multiLine": "true"})
+    wrong = F.filter(F.array(*[F.when(F.col("_text")[c].isNotNull() & F.col(c).isNull(), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    known = F.col(BROKEN).isNotNull()
+    told = read.withColumn("_text", F.when(known, as_text)).withColumn("_wrong", F.when(known, wrong))
+    reason = F.when(F.col("_text")[MORE].isNotNull(), "fields").when(F.size("_wrong") > 0, "values").when(known, "short")
+    return told.select(*columns, BROKEN, "_file", reason.alias("_reason"), F.col("_wrong").alias("_fields"))
+
+
+def sound(records: DataFrame, name: str) -> DataFrame:
+    """The table without the records that have fields too many."""
+    return records.where(~F.col("_reason").eqNullSafe("fields")).select(*columns_of(name))
+
+
+def quarantined(records: DataFrame, name: str) -> DataFrame:
+    """table, file, reason, fields, record of the records that were not read as they stand; those of reason `fields` are
+    not in the table, the others are, with nulls."""
+    return records.where(F.col("_reason").isNotNull()).select(F.lit(name).alias("table"), F.col("_file").alias("file"), F.col("_reason").alias("reason"), F.col("_fields").alias("fields"), F.col(BROKEN).alias("record"))
+
+
+def record_counts(records: DataFrame, name: str) -> DataFrame:
+    """One row: table, rows (as read), and how many of them have each reason."""
+    return records.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), *[F.count_if(F.col("_reason") == r).alias(r) for r in ("fields", "values", "short")])
+
+
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     path = find(spark, base, name)
     if path is None:
         raise FileNotFoundError(f"no file {FILES[name]} in {base}")
-    return read_csv(spark, path, SCHEMAS[name])
+    return sound(records_of(spark, path, name), name)
 
 
-def load_all(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+def _found(spark: SparkSession, base: str) -> dict[str, str]:
     found = discover(spark, base)
     missing = sorted(set(FILES) - set(found))
     if missing:
         raise FileNotFoundError(f"missing source files: {', '.join(FILES[m] for m in missing)}")
-    return {k: read_csv(spark, path, SCHEMAS[k]) for k, path in found.items()}
+    return found
+
+
+def load_all(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    return {k: sound(records_of(spark, path, k), k) for k, path in _found(spark, base).items()}
+
+
+def write_quarantine(spark: SparkSession, base: str, out: str, most: float = 0.01) -> list[dict]:
+    """Writes the records that were not read as they stand to `out` and returns the counts by table; BrokenSource, once
+    that is written, where more than the share `most` of a table's records have fields too many."""
+    records = {k: records_of(spark, path, k) for k, path in _found(spark, base).items()}
+    reduce(DataFrame.unionByName, [quarantined(r, k) for k, r in records.items()]).write.mode("overwrite").partitionBy("table").parquet(out)
+    counts = [r.asDict() for r in reduce(DataFrame.unionByName, [record_counts(r, k) for k, r in records.items()]).collect()]  # a row a table
+    bad = [c for c in counts if c["fields"] > most * c["rows"]]
+    if bad:
+        raise BrokenSource("; ".join(f"{c['table']}: {c['fields']} of {c['rows']} records have fields too many" for c in bad) + f"; they are in {out}")
+    return counts
 
 
 def validate(spark: SparkSession, base: str) -> list[dict]:
@@ -95,7 +156,7 @@ def validate(spark: SparkSession, base: str) -> list[dict]:
         if name not in found:
             out.append({"table": name, "ok": False, "missing_columns": columns_of(name), "row_count": 0})
             continue
-        df = read_csv(spark, found[name])
+        df = read_csv(spark, found[name], multi_line=name in MULTI_LINE)
         missing = [c for c in columns_of(name) if c not in df.columns]
         out.append({"table": name, "ok": not missing, "missing_columns": missing, "row_count": df.count()})
     return out
@@ -138,7 +199,7 @@ def write_tables(tables: dict[str, DataFrame], base: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def artifacts(spark: SparkSession, base: str) -> DataFrame:
