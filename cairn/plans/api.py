@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import explain, kpis, rfm, scoring, stats
 from ..sources.results import Results, records, safe
-from .batch import DOCUMENTS
+from ..sources.tables import exists
+from .batch import CURRENT, DOCUMENTS, current
 from .market import Market
 
 VERSION = "v1"
@@ -31,23 +32,29 @@ def failure(error: Exception) -> dict:
 
 
 class Api:
-    """Answers from the documents and the segmentation of a batch run (`prepared`: its folder) where it is given, and
-    from the market's tables else. `reasons` tells why a model could not be loaded."""
+    """Answers from the documents and the segmentation of a batch run (`prepared`: where runs are published, or one
+    run's folder) where it is given, and from the market's tables else. Of a run, a document that is missing is NotFound
+    for the business, delivery and segment summaries and an empty list for lists; nothing is computed in its place.
+    Customers' and sellers' summaries, and lists longer than the documents', come from the tables. `reasons` tells why a model could not be loaded."""
 
     def __init__(self, market: Market, models: dict | None = None, prepared: str | None = None, reasons: dict[str, str] | None = None) -> None:
         self.market, self.models, self.reasons = market, models or {}, reasons or {}
-        self.prepared = prepared
-        self.results = Results(market.spark, prepared, DOCUMENTS) if prepared else None
+        self.prepared = current(market.spark, prepared) if prepared and exists(market.spark, f"{prepared}/{CURRENT}") else prepared
+        self.results = Results(market.spark, self.prepared, DOCUMENTS) if prepared else None
 
     def _rows(self, name: str, n: int | None = None) -> list[dict] | None:
-        """A prepared document's rows, the first n of them; None where there is none or it has too few to tell."""
-        held = self.results.get(name) if self.results else None
-        if held is None or (n is not None and n > LENGTHS[name]):
+        """A prepared document's rows, the first n of them; None where nothing is prepared, or too little to tell."""
+        if self.results is None or (n is not None and n > LENGTHS[name]):
             return None
-        return held["rows"][:n]
+        held = self.results.get(name)
+        if held is None and name == "rfm_summary":
+            raise NotFound(f"no document {name}")
+        return held["rows"][:n] if held else []
 
     def _object(self, name: str) -> dict | None:
         held = self.results.get(name) if self.results else None
+        if self.results and held is None and name in ("business_summary", "delivery_summary"):
+            raise NotFound(f"no document {name}")
         return None if held is None else {k: v for k, v in held.items() if k not in ("generated_at", "schema_version")}
 
     def root(self) -> dict:
@@ -77,19 +84,23 @@ class Api:
         return self._object("business_summary") or records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, m.delivered))[0]
 
     def monthly_orders(self) -> list[dict]:
-        return self._rows("monthly_orders") or records(kpis.monthly_orders(self.market.orders_enriched))
+        held = self._rows("monthly_orders")
+        return held if held is not None else records(kpis.monthly_orders(self.market.orders_enriched))
 
     def monthly_revenue(self) -> list[dict]:
-        return self._rows("monthly_revenue") or records(kpis.monthly_revenue(self.market.orders_enriched, self.market.delivered))
+        held = self._rows("monthly_revenue")
+        return held if held is not None else records(kpis.monthly_revenue(self.market.orders_enriched, self.market.delivered))
 
     def review_distribution(self) -> list[dict]:
-        return self._rows("review_scores") or records(kpis.review_scores(self.market.orders_enriched))
+        held = self._rows("review_scores")
+        return held if held is not None else records(kpis.review_scores(self.market.orders_enriched))
 
     def delivery_summary(self) -> dict:
         return self._object("delivery_summary") or records(kpis.delivery_summary(self.market.orders_enriched))[0]
 
     def payment_distribution(self) -> list[dict]:
-        return self._rows("payment_methods") or records(kpis.counts(self.market.orders_enriched, "main_payment_type"))
+        held = self._rows("payment_methods")
+        return held if held is not None else records(kpis.counts(self.market.orders_enriched, "main_payment_type"))
 
     def late_significance(self) -> dict:
         return self._object("late_significance") or safe(stats.late_significance(self.market.orders_enriched))
@@ -98,19 +109,23 @@ class Api:
         return self._object("customer_summary") or records(kpis.customer_summary(self.market.customers_enriched))[0]
 
     def top_cities(self, n: int = 10) -> list[dict]:
-        return self._rows("top_cities", n) or records(kpis.top_cities(self.market.orders_enriched, n))
+        held = self._rows("top_cities", n)
+        return held if held is not None else records(kpis.top_cities(self.market.orders_enriched, n))
 
     def seller_summary(self) -> dict:
         return self._object("seller_summary") or records(kpis.seller_summary(self.market.sellers_enriched))[0]
 
     def seller_performance(self, n: int = 20) -> list[dict]:
-        return self._rows("late_sellers", n) or records(kpis.late_sellers(self.market.sellers_enriched, n))
+        held = self._rows("late_sellers", n)
+        return held if held is not None else records(kpis.late_sellers(self.market.sellers_enriched, n))
 
     def categories(self, n: int = 15) -> list[dict]:
-        return self._rows("top_categories", n) or records(kpis.top_categories(self.market.items_categorised, n))
+        held = self._rows("top_categories", n)
+        return held if held is not None else records(kpis.top_categories(self.market.items_categorised, n))
 
     def state_performance(self, n: int = 15) -> list[dict]:
-        return self._rows("late_by_state", n) or records(kpis.late_by_state(self.market.orders_enriched, n))
+        held = self._rows("late_by_state", n)
+        return held if held is not None else records(kpis.late_by_state(self.market.orders_enriched, n))
 
     @cached_property
     def segmentation(self) -> rfm.Segmentation:
@@ -121,7 +136,8 @@ class Api:
 
     @cached_property
     def _profile(self) -> list[dict]:
-        return self._rows("rfm_summary") or records(rfm.segment_profile(self.segmentation.assign(rfm.rfm_table(self.market.orders_enriched))))
+        held = self._rows("rfm_summary")
+        return held if held is not None else records(rfm.segment_profile(self.segmentation.assign(rfm.rfm_table(self.market.orders_enriched))))
 
     def segments(self) -> list[dict]:
         return self._profile

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, enrich, kpis, rfm, stats
 from ..sources import results, tables
+from ..sources.scratch import delete
 from .market import Market
 
 #: The grain of enriched tables: one row for each value of these columns. Items are not guarded: theirs is the source's.
@@ -45,7 +48,7 @@ class SourceMarket(Market):
 
 
 class PreparedMarket(Market):
-    """The enriched tables of an earlier run(), read back: figures come without a join."""
+    """The enriched tables of one run's folder (current() names the published one): figures come without a join."""
 
     def __init__(self, spark: SparkSession, base: str, like: Market | type[Market] = SourceMarket) -> None:
         super().__init__(spark, base)
@@ -84,20 +87,51 @@ def documents(market: Market, segmentation: rfm.Segmentation) -> dict[str, objec
     }
 
 
-def run(market: Market, out: str) -> PreparedMarket:
-    """Writes enriched tables, segmentation and documents below `out`, in this order, and returns the prepared tables.
+#: The file that names the run whose results are served.
+CURRENT = "CURRENT"
 
-    Tables are checked for their grain before figures are taken from them: a repeated key is a GrainError. Tables are
-    written once and reread, so the figures after them join nothing."""
+
+def current(spark: SparkSession, out: str) -> str:
+    """The folder of the published run below `out`; FileNotFoundError where none is."""
+    pointer = f"{out}/{CURRENT}"
+    if not tables.exists(spark, pointer):
+        raise FileNotFoundError(f"no run is published in {out}")
+    return f"{out}/runs/{spark.read.text(pointer, wholetext=True).first()[0].strip()}"
+
+
+def prune(spark: SparkSession, out: str, keep: int = 2) -> None:
+    """Deletes all but the `keep` newest runs; the published one stays in any case, so do runs that are newer than it."""
+    fs, at = tables._fs(spark, f"{out}/runs")
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at))
+    published = current(spark, out).rsplit("/", 1)[1]
+    for name in names[: max(0, len(names) - keep)]:
+        if name < published:
+            delete(spark, f"{out}/runs/{name}")
+
+
+def run(market: Market, out: str, most_broken: float = 0.01) -> PreparedMarket:
+    """Writes enriched tables, segmentation and documents to a folder of their own below `out`, then publishes them all
+    at once, and returns the prepared tables.
+
+    What has been published before stays so until then: a run that is stopped, or refused because a key repeats
+    (GrainError) or a source has too many broken records (BrokenSource; they are written beside the tables), changes no
+    answer. Grains are checked on the written keys, before figures are taken. Tables are written once and reread, so the
+    figures after them join nothing."""
     spark = market.spark
-    tables.write_tables(enriched(market), out)
-    prepared = PreparedMarket(spark, out, market)
+    name = f"{datetime.datetime.now(datetime.UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    at = f"{out}/runs/{name}"
+    counts = tables.write_quarantine(spark, market.sf_dir, f"{at}/quarantine", most_broken) if isinstance(market, SourceMarket) else []
+    tables.write_tables(enriched(market), at)
+    prepared = PreparedMarket(spark, at, market)
     held = enriched(prepared)
-    for name, key in GRAIN.items():
-        enrich.require_grain(held[name], *key)
+    for table_name, key in GRAIN.items():
+        enrich.require_grain(held[table_name], *key)
     table = rfm.rfm_table(prepared.orders_enriched)
     segmentation = rfm.fit_segments(table)
-    segmentation.save(spark, f"{out}/segmentation")
-    for name, payload in documents(prepared, segmentation).items():
-        results.write_json(spark, f"{out}/{name}.json", payload if isinstance(payload, dict) else {"rows": payload})
+    segmentation.save(spark, f"{at}/segmentation")
+    for document, payload in documents(prepared, segmentation).items():
+        results.write_json(spark, f"{at}/{document}.json", payload if isinstance(payload, dict) else {"rows": payload})
+    results.write_json(spark, f"{at}/source_counts.json", {"rows": counts})
+    results.publish(spark, f"{out}/{CURRENT}", name)
+    prune(spark, out)
     return prepared

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import json
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -44,6 +45,20 @@ def write_json(spark: SparkSession, path: str, payload: dict, schema_version: st
     out.close()
 
 
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Puts text into the file at `path` in one step: readers see the old content or the new."""
+    fs, at = _fs(spark, path)
+    fresh = at.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(text.encode())
+    out.close()
+    jvm = spark.sparkContext._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = fs.makeQualified(at)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), qualified, how)
+
+
 def records(df: DataFrame, limit: int = 10_000) -> list[dict]:
     """Rows of a report as objects; a report is small, more than `limit` rows are an error."""
     rows = df.limit(limit + 1).collect()

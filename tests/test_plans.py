@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import os
 import re
 
@@ -136,12 +138,47 @@ def test_batch_run_prepares_what_is_served(spark, tmp_path):
         assert close(getattr(served, name)(), getattr(plain_api, name)()), name
     assert served.top_cities(2) == plain_api.top_cities(2) and len(served.seller_performance(30)) > 0
     assert served.segment("at risk")["Segment"] == "At Risk" and served.predict_segment(1, 1, 1)["segment_name"]
-    (tmp_path / "out" / "monthly_orders.json").unlink()
-    assert Api(prepared, prepared=str(tmp_path / "out")).health()["status"] == "degraded"
+    at = pathlib.Path(batch.current(spark, str(tmp_path / "out")))
+    for name in ("monthly_orders", "business_summary", "delivery_summary", "rfm_summary", "customer_summary"):
+        (at / f"{name}.json").unlink()
+    poor = Api(prepared, prepared=str(at))
+    assert poor.health()["status"] == "degraded" and poor.monthly_orders() == [] and close(poor.customer_summary(), plain_api.customer_summary())
+    for ask in (poor.summary, poor.delivery_summary, poor.segments):
+        with pytest.raises(NotFound):
+            ask()
     with pytest.raises(enrich.GrainError):
         enrich.require_grain(spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "a int, b int"), "a", "b")
 
 
+def test_a_run_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """Stopped midway, or refused for its grain, a run changes nothing; a good one swaps the pointer, and old ones go."""
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        batch.current(spark, out)
+    market = Market(spark, SF)
+    batch.run(market, out)
+    first, answer = batch.current(spark, out), Api(market, prepared=out).summary()
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(batch, "documents", killed)
+        with pytest.raises(KeyboardInterrupt):
+            batch.run(market, out)
+    doubled = Market(spark, SF)
+    doubled.orders_enriched = market.orders_enriched.unionByName(market.orders_enriched)
+    with pytest.raises(enrich.GrainError):
+        batch.run(doubled, out)
+    assert batch.current(spark, out) == first and Api(market, prepared=out).summary() == answer
+    batch.run(market, out)
+    second = batch.current(spark, out)
+    assert second != first and close(Api(market, prepared=out).summary(), answer)
+    left = {p.name for p in (tmp_path / "out" / "runs").iterdir()}
+    assert pathlib.Path(second).name in left and len(left) == 2
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name not in ("runs", "CURRENT", ".CURRENT.crc") and "CURRENT." in p.name and not p.name.startswith(".")]
+
+
 def test_batch_run_from_source_files(spark, tmp_path):
     """Two orders of one person, a repeated row, quoted text, an unknown product: through cleaning to the documents."""
     files = {
