@@ -96,20 +96,40 @@ def repeat_rate(customers: DataFrame) -> DataFrame:
     return customers.agg(repeat.alias("repeat_customer_pct"), (100 - repeat).alias("one_time_customer_pct"), F.count("*").alias("n_customers"))
 
 
-def business_summary(orders: DataFrame, items: DataFrame, customers: DataFrame, sellers: DataFrame, delivered: str = DELIVERED) -> DataFrame:
-    """One row of headline figures, each over the table of its own grain; statuses as sorted (status, count) pairs."""
-    status = orders.where("order_status is not null").groupBy("order_status").count()
-    pairs = status.agg(F.array_sort(F.collect_list(F.struct("order_status", "count"))).alias("order_status_distribution"))
-    a = orders.agg(
-        F.count_distinct("order_id").alias("total_unique_orders"),
-        total(F.when(F.col("order_status") == delivered, F.col("total_payment_value"))).alias("total_order_payment_revenue_delivered"),
-        F.avg(F.nullif(F.col("review_score"), F.lit(0.0))).alias("avg_review_score"),
-        (share(F.col("is_late_delivery")) * 100).alias("late_delivery_rate_pct"),
+def order_facts(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """What business_summary() needs of every order, and of items whose order is unknown: its sums and its sellers."""
+    lines = items.groupBy("order_id").agg(total(F.col("price")).alias("item_revenue"), F.collect_set("seller_id").alias("sellers"))
+    known = orders.select(F.col("order_id").alias("known_order"), "customer_unique_id", "order_status", "total_payment_value", "review_score", "is_late_delivery")
+    return known.join(lines, F.col("known_order") == F.col("order_id"), "full").drop("order_id")
+
+
+def business_summary(facts: DataFrame, delivered: str = DELIVERED) -> DataFrame:
+    """One row of headline figures from order_facts(); statuses as sorted (status, count) pairs.
+
+    Every order speaks for its status, its customer and its sellers: one grouping by all of these counts them all, and
+    its rows, one a customer, seller or status, give the figures."""
+    order = F.col("known_order").isNotNull()
+    fact = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    speaks = F.concat(F.array(fact("lines", F.lit(None))), F.when(order, F.array(fact("status", F.col("order_status")), fact("customer", F.col("customer_unique_id")))).otherwise(F.array().cast("array<struct<kind:string,key:string>>")), F.transform(F.coalesce("sellers", F.array()), lambda s: fact("seller", s)))
+    score, late = F.nullif(F.col("review_score"), F.lit(0.0)), F.col("is_late_delivery")
+    paid = F.when(F.col("order_status") == delivered, F.col("total_payment_value"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    spread = facts.select(F.explode(speaks).alias("f"), paid.alias("paid"), score.alias("score"), late.cast("int").alias("late"), "item_revenue").select("f.*", "paid", "score", "late", "item_revenue")
+    groups = spread.groupBy("kind", "key").agg(F.count("*").alias("n"), *[F.sum(of("status", F.col(c))).alias(c) for c in ("paid", "score", "late")], F.count(of("status", F.col("score"))).alias("scores"), F.count(of("status", F.col("late"))).alias("lates"), F.sum(of("lines", F.col("item_revenue"))).alias("items"))
+    known, n = F.col("key").isNotNull(), F.col("n")
+    people = F.count_if((F.col("kind") == "customer") & known)
+    status = F.collect_list(F.when((F.col("kind") == "status") & known, F.struct(F.col("key").alias("order_status"), n.alias("count"))))
+    return groups.agg(
+        F.coalesce(F.sum(of("status", n)), F.lit(0)).alias("total_unique_orders"),
+        F.coalesce(F.sum("paid"), F.lit(0.0)).alias("total_order_payment_revenue_delivered"),
+        F.try_divide(F.sum("score"), F.sum("scores")).alias("avg_review_score"),
+        (F.try_divide(F.sum("late"), F.sum("lates")) * 100).alias("late_delivery_rate_pct"),
+        F.coalesce(F.sum("items"), F.lit(0.0)).alias("total_item_revenue"),
+        people.alias("total_unique_customers"),
+        (F.try_divide(F.count_if((F.col("kind") == "customer") & known & (n > 1)), people) * 100).alias("repeat_customer_rate_pct"),
+        F.count_if((F.col("kind") == "seller") & known).alias("total_unique_sellers"),
+        F.array_sort(status).alias("order_status_distribution"),
     )
-    b = items.agg(total(F.col("price")).alias("total_item_revenue"))
-    c = customers.agg(F.count_distinct("customer_unique_id").alias("total_unique_customers"), (share(F.col("is_repeat_customer")) * 100).alias("repeat_customer_rate_pct"))
-    d = sellers.agg(F.count_distinct("seller_id").alias("total_unique_sellers"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(d)).join(F.broadcast(pairs))
 
 
 def customer_summary(customers: DataFrame) -> DataFrame:

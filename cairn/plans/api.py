@@ -81,7 +81,7 @@ class Api:
 
     def summary(self) -> dict:
         m = self.market
-        return self._object("business_summary") or records(kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, m.delivered))[0]
+        return self._object("business_summary") or records(kpis.business_summary(m.order_facts, m.delivered))[0]
 
     def monthly_orders(self) -> list[dict]:
         held = self._rows("monthly_orders")

@@ -42,6 +42,10 @@ class SourceMarket(Market):
     sellers = property(lambda self: self._cleaned["sellers"])
     translation = property(lambda self: self._cleaned["translation"])
 
+    @cached_property
+    def order_facts(self) -> DataFrame:
+        return kpis.order_facts(self.orders_enriched, self.items)
+
     @cached_property
     def places(self) -> DataFrame:
         return cleaning.compress_places(self._cleaned["geolocation"])
@@ -60,6 +64,7 @@ class PreparedMarket(Market):
     customers_enriched = property(lambda self: self.table("customers_enriched"))
     sellers_enriched = property(lambda self: self.table("sellers_enriched"))
     items = items_categorised = items_enriched
+    order_facts = property(lambda self: kpis.order_facts(self.orders_enriched, self.items))
 
 
 def enriched(market: Market) -> dict[str, DataFrame]:
@@ -70,7 +75,7 @@ def documents(market: Market, segmentation: rfm.Segmentation) -> dict[str, objec
     """All report documents by name; each is small."""
     rows, o = results.records, market.orders_enriched
     return {
-        "business_summary": rows(kpis.business_summary(o, market.items, market.customers_enriched, market.sellers_enriched, market.delivered))[0],
+        "business_summary": rows(kpis.business_summary(market.order_facts, market.delivered))[0],
         "monthly_orders": rows(kpis.monthly_orders(o)),
         "monthly_revenue": rows(kpis.monthly_revenue(o, market.delivered)),
         "review_scores": rows(kpis.review_scores(o)),

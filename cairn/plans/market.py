@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import normalised, text_hash
+from ..functions.scalars import normalised, text_hash, whole_days
 from ..operators import enrich
 
 #: Categories with an English name; one is left out on purpose and becomes Unknown.
@@ -97,6 +97,17 @@ class Market:
     def sellers_enriched(self) -> DataFrame:
         return enrich.sellers_enriched(self.items, self.orders_enriched)
 
+    @cached_property
+    def order_facts(self) -> DataFrame:
+        """kpis.order_facts() from one reading of the item lines, which hold payments and deliveries as well."""
+        paid = exact("l_extendedprice") * (1 - exact("l_discount")) * (1 + exact("l_tax"))
+        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_shipdate").alias("came"), F.sum(paid).cast("double").alias("total_payment_value"), F.sum("l_extendedprice").alias("item_revenue"), F.collect_set("l_suppkey").alias("sellers"))
+        people = self.table("customer").select(F.col("c_custkey").alias("customer_unique_id"))
+        orders = self.table("orders").join(people, F.col("o_custkey") == F.col("customer_unique_id"), "left")
+        met = orders.join(lines, F.col("o_orderkey") == F.col("order_id"), "full")
+        late = F.coalesce(whole_days(F.col("o_orderdate") + F.expr("interval 30 days"), F.col("came")) > 0, F.lit(False))
+        return met.select(F.col("o_orderkey").alias("known_order"), "customer_unique_id", F.col("o_orderstatus").alias("order_status"), F.coalesce("total_payment_value", F.lit(0.0)).alias("total_payment_value"), F.substring("o_orderpriority", 1, 1).cast("double").alias("review_score"), late.alias("is_late_delivery"), "item_revenue", "sellers")
+
     @cached_property
     def texts(self) -> DataFrame:
         """Documents with a quality label, as labelled reviews."""

@@ -174,7 +174,7 @@ def price_describe_by_outlier(m: Market) -> DataFrame:
 
 @query
 def business_summary(m: Market) -> DataFrame:
-    got = kpis.business_summary(m.orders_enriched, m.items, m.customers_enriched, m.sellers_enriched, DELIVERED)
+    got = kpis.business_summary(m.order_facts, DELIVERED)
     text = F.array_join(F.transform("order_status_distribution", lambda x: F.concat_ws("=", x["order_status"], x["count"].cast("string"))), ",")
     return rounded(got.withColumn("order_status_distribution", text), 4)
 

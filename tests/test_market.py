@@ -14,6 +14,7 @@ from cairn.functions.scalars import blank, currency, cuts, negated, normalised,
 from cairn.functions.tails import student_two_sided
 from cairn.functions.values import region, state_name
 from cairn.operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats, training
+from cairn.plans.market import Market
 from cairn.sources import tables
 
 D = dt.datetime
@@ -117,7 +118,7 @@ def test_figures(shop, enriched):
     assert [r[0] for r in kpis.top_cities(enriched).collect()] == ["sao paulo"]  # no group for a null city
     grid = kpis.peak_hours(enriched).collect()
     assert len(grid) == 7 and grid[0]["h0"] == 1 and grid[1]["h0"] is None
-    summary = kpis.business_summary(enriched, shop["items"], enrich.customers_enriched(shop["customers"], enriched), enrich.sellers_enriched(shop["items"], enriched)).first()
+    summary = kpis.business_summary(kpis.order_facts(enriched, shop["items"])).first()
     assert summary["total_unique_orders"] == 3 and summary["total_order_payment_revenue_delivered"] == 350.0 and summary["avg_review_score"] == 4.0
 
 
@@ -455,6 +456,18 @@ def test_statistics_read_once_and_run_nothing_while_built(spark):
         assert plan.count("Range (0, 300") <= most, plan
 
 
+def test_summary_reads_lines_once(spark):
+    found = Market(spark, "/root/testdata/sf0.001").order_facts
+    plan = kpis.business_summary(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") > 0 and plan.count("] parquet") == 3
+    none = kpis.business_summary(found.where("false")).first()
+    assert none["total_unique_orders"] == 0 and none["late_delivery_rate_pct"] is None and none["order_status_distribution"] == []
+    rows = [("o1", "p", "delivered", 5.0, 0.0, True, 7.0, [1, 2]), ("o2", "p", None, 6.0, 4.0, False, None, None), (None, None, None, None, None, None, 3.0, [2, 9]), ("o3", None, "delivered", 1.0, 5.0, True, 1.0, [1])]
+    x = kpis.business_summary(spark.createDataFrame(rows, "known_order string, customer_unique_id string, order_status string, total_payment_value double, review_score double, is_late_delivery boolean, item_revenue double, sellers array<int>"), "delivered").first()
+    assert (x["total_unique_orders"], x["total_unique_customers"], x["total_unique_sellers"], x["total_item_revenue"], x["total_order_payment_revenue_delivered"]) == (3, 1, 3, 11.0, 6.0)
+    assert x["avg_review_score"] == 4.5 and x["repeat_customer_rate_pct"] == 100 and x["late_delivery_rate_pct"] == pytest.approx(200 / 3) and [tuple(s) for s in x["order_status_distribution"]] == [("delivered", 2)]
+
+
 def test_edges_are_counted_in_two_steps(spark):
     edges = [float(n) for n in range(200)]
     values = [-1.0, 0.0, 0.5, 31.0, 31.5, 32.0, 33.0, 150.2, 199.0, 500.0]
