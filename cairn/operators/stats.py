@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import itertools
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.tails import normal_two_sided, student_two_sided
+from ..functions.tails import mann_whitney_two_sided, student_two_sided
 
 
 #: Edges are looked up in two steps: among every so manyth, then among those between.
@@ -170,11 +169,8 @@ def late_significance(orders: DataFrame, alpha: float = 0.05) -> dict:
     if r["welch_t"] is not None:
         a, b = s1 * s1 / n1, s2 * s2 / n2
         t_p = student_two_sided(r["welch_t"], (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1)))
-    n = n1 + n2
-    spread = n1 * n2 / 12 * (n + 1 - (r["tie_sum"] or 0) / (n * (n - 1))) if n > 1 else 0
     if n1 and n2:
-        lead = abs(r["mann_whitney_u"] - n1 * n2 / 2) - 0.5
-        u_p = min(1.0, normal_two_sided(max(lead, 0) / math.sqrt(spread))) if spread > 0 else 1.0
+        u_p = mann_whitney_two_sided(r["mann_whitney_u"], n1, n2, r["tie_sum"] or 0.0)
     side = lambda s: {k: r[f"{k}_{s}"] for k in ("n", "mean", "median", "std")}
     return {
         "late_delivery": side("late"),

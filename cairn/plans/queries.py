@@ -257,6 +257,14 @@ def late_significance(m: Market) -> DataFrame:
     return rounded(stats.two_groups(kept, "review_score", "is_late_delivery"), 8)
 
 
+@query
+def late_p_values(m: Market) -> DataFrame:
+    """The report of both tests, p-values with it."""
+    r = stats.late_significance(m.orders_enriched)
+    row = (r["welch_t_test"]["statistic"], r["welch_t_test"]["p_value"], r["mann_whitney_u_test"]["statistic"], r["mann_whitney_u_test"]["p_value"], r["effect_size_cohens_d"], r["statistically_significant"])
+    return rounded(m.spark.createDataFrame([row], "welch_t double, welch_p double, mann_whitney_u double, mann_whitney_p double, cohens_d double, significant boolean"))
+
+
 @query
 def text_normalize_hash(m: Market) -> DataFrame:
     return m.table("documents").select("doc_id", F.length(normalised(F.col("text"))).cast("long").alias("normalized_length"), text_hash(F.col("text")).alias("text_hash"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import random
 import statistics
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import blank, currency, cuts, negated, normalised, padded, softmax, strongest, thousands, tokens, whole_days
-from cairn.functions.tails import student_two_sided
+from cairn.functions.tails import arrangements, mann_whitney_two_sided, student_two_sided
 from cairn.functions.values import region, state_name
 from cairn.operators import cleaning, enrich, kpis, metrics, rfm, scoring, sentiment, stats, training
 from cairn.plans.market import Market
@@ -475,3 +476,23 @@ def test_edges_are_counted_in_two_steps(spark):
     for some in (edges, edges[:32], edges[:1], []):
         got = [x[0] for x in frame.select(stats._below(F.lit(some).cast("array<double>"), F.col("v"))).collect()]
         assert got == [sum(e < v for e in some) for v in values]
+
+
+def test_exact_mann_whitney():
+    """Every arrangement of up to six untied rows."""
+    for n1 in range(1, 6):
+        for n2 in range(1, 7 - n1 + 1):
+            us = [sum(a > b for a in late for b in set(range(n1 + n2)) - set(late)) for late in itertools.combinations(range(n1 + n2), n1)]
+            assert arrangements(n1, n2) == [us.count(u) for u in range(n1 * n2 + 1)]
+            for u in set(us):
+                top = max(u, n1 * n2 - u)
+                assert mann_whitney_two_sided(u, n1, n2, 0) == pytest.approx(min(1.0, 2 * sum(x >= top for x in us) / len(us)))
+    assert sum(arrangements(8, 30)) == math.comb(38, 8)
+    assert mann_whitney_two_sided(200, 20, 20, 0) == 1.0 and mann_whitney_two_sided(3, 2, 3, 6.0) < 1.01
+    assert mann_whitney_two_sided(400, 20, 20, 0) == pytest.approx(math.erfc((200 - 0.5) / math.sqrt(20 * 20 / 12 * 41) / math.sqrt(2)))
+
+
+def test_significance_of_few_untied_rows(spark):
+    df = spark.createDataFrame([(float(v), v in (1, 2, 4), 1.0) for v in range(1, 9)], "review_score double, is_late_delivery boolean, delivery_delay_days double")
+    r = stats.late_significance(df)
+    assert r["mann_whitney_u_test"] == {"statistic": 1.0, "p_value": pytest.approx(2 * 2 / math.comb(8, 3))}
