@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import blank, normalised, strongest, tokens
 from ..functions.values import ASPECTS, NO_MESSAGE
@@ -220,14 +220,19 @@ def translate_step(reviews: DataFrame, load: Callable[[], Model], message: str =
 def translate_in_steps(reviews: DataFrame, load: Callable[[], Model], path: str, steps: int = 50, key: str = "review_id", message: str = "review_comment_message", done: str = "review_comment_message_en") -> DataFrame:
     """translate_step() in `steps` parts by a hash of the key, each written below `path` before the next begins.
 
-    A run that ended early goes on at the first part that was not written whole. Each part scans the reviews. Failed
-    batches leave the empty text, so a second run over the result, below another path, tries them again."""
+    The reviews are read once: dealt to a table with a folder a part, of which a step reads its own only, so over a
+    whole run a row is read twice. A run that ended early goes on at the first part that was not written whole, from
+    that table. Failed batches leave the empty text, so a second run over the result, below another path, tries them
+    again."""
     spark = reviews.sparkSession
-    part = F.pmod(F.xxhash64(key), F.lit(steps))
+    dealt = f"{path}/dealt"
+    if not exists(spark, f"{dealt}/_SUCCESS"):
+        reviews.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(steps)).cast("int")).write.mode("overwrite").partitionBy("_part").parquet(dealt)
+    work = spark.read.schema(T.StructType([*reviews.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(dealt)
     places = [f"{path}/step-{n:05d}" for n in range(steps)]
     for n, place in enumerate(places):
         if not exists(spark, f"{place}/_SUCCESS"):
-            translate_step(reviews.where(part == n), load, message, done).write.mode("overwrite").parquet(place)
+            translate_step(work.where(F.col("_part") == n).drop("_part"), load, message, done).write.mode("overwrite").parquet(place)
     return spark.read.parquet(*places)
 
 

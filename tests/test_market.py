@@ -6,9 +6,13 @@ import datetime as dt
 import itertools
 import math
 import random
+import shutil
 import statistics
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import blank, currency, cuts, negated, normalised, padded, softmax, strongest, thousands, tokens, whole_days
@@ -496,3 +500,47 @@ def test_significance_of_few_untied_rows(spark):
     df = spark.createDataFrame([(float(v), v in (1, 2, 4), 1.0) for v in range(1, 9)], "review_score double, is_late_delivery boolean, delivery_delay_days double")
     r = stats.late_significance(df)
     assert r["mann_whitney_u_test"] == {"statistic": 1.0, "p_value": pytest.approx(2 * 2 / math.comb(8, 3))}
+
+
+def test_all_starts_of_kmeans_share_their_passes(spark):
+    r = np.random.default_rng(3)
+    hubs = np.array([[0, 0], [10, 0], [0, 10], [10, 10], [30, 30]])
+    x = np.vstack([h + r.normal(size=(60, 2)) for h in hubs])
+    rows = [(float(a), float(b)) for a, b in x]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "a double, b double").repartition(4)
+    centres, cost, costs = rfm.kmeans(df, 5, starts=6)
+    assert len(costs) == 6 and cost == min(costs)
+    near = ((x[:, None] - centres[None]) ** 2).sum(2)
+    assert cost == pytest.approx(near.min(1).sum())
+    assert centres == pytest.approx(np.array([x[near.argmin(1) == k].mean(0) for k in range(5)]), abs=1e-3)  # a rest point
+    assert sorted(map(tuple, np.round(centres / 10).astype(int).tolist())) == [(0, 0), (0, 1), (1, 0), (1, 1), (3, 3)]
+    again, *_ = rfm.kmeans(df.repartition(3), 5, starts=6)
+    assert np.sort(again, axis=0) == pytest.approx(np.sort(centres, axis=0))
+    frame = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.na.drop())
+    assert cost <= 1.0001 * min(KMeans(k=5, seed=n).fit(frame).summary.trainingCost for n in range(3))
+    same, cost, _ = rfm.kmeans(spark.createDataFrame([(1.0, 2.0)] * 9, "a double, b double"), 3, starts=2)
+    assert cost == 0 and {(1.0, 2.0)} <= {tuple(c) for c in same.tolist()}
+    with pytest.raises(ValueError):
+        rfm.kmeans(df.where("false"), 2)
+    spark.sparkContext.setJobGroup("few", "")
+    rfm.kmeans(df, 5, starts=1, iterations=2)
+    few = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("many", "")
+    rfm.kmeans(df, 5, starts=9, iterations=2)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("many")) <= few + 2
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_translation_reads_its_source_once(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.createDataFrame([(f"r{n}", f"t{n}", None) for n in range(12)] + [(None, "x", None)], "review_id string, review_comment_message string, review_comment_message_en string").write.parquet(source)
+
+    def stop():
+        raise RuntimeError("no worker")
+
+    with pytest.raises(Exception, match="no worker"):
+        scoring.translate_in_steps(spark.read.parquet(source), stop, str(tmp_path / "t"), steps=3)
+    shutil.rmtree(source)
+    reviews = spark.createDataFrame([], "review_id string, review_comment_message string, review_comment_message_en string")
+    done = scoring.translate_in_steps(reviews, lambda: lambda ts: [t.upper() for t in ts], str(tmp_path / "t"), steps=3)
+    assert sorted(r["review_comment_message_en"] for r in done.collect()) == sorted([f"T{n}" for n in range(12)] + ["X"])
