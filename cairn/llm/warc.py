@@ -14,6 +14,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -269,8 +270,10 @@ def members(data: bytes) -> Iterator[bytes]:
 def scan(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
     """The records of WARC files (plain or .gz) as rows of SCHEMA.
 
-    Spark's text reader cuts the stream between records, so a task holds a record at a time, a file may have any size,
-    and plain files are split. Bytes that make no record (no header, no type, a length that does not fit) come as rows
+    Spark's text reader cuts the stream between records, so a task holds a record at a time and a file may have any size.
+    Only a file's beginning tells records from what merely looks like one inside a block, so the parts of a plain file
+    that Spark splits are brought together again, in order, before they are read: the records are the same whatever the
+    size of splits. Bytes that make no record (no header, no type, a length that does not fit) come as rows
     of record_type `broken` with the bytes in block, and reading goes on behind them; empty files give no rows.
     damaged: for compressed files that do not decompress to their end (which fail otherwise). Each file of at most
     2 GB is then one task's unit, read member by member; a member that breaks off gives a `broken` row too.
@@ -297,5 +300,15 @@ def scan(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
                 held, size = [], 0
         yield _batch(held)
 
-    lines = spark.read.option("lineSep", NEXT.decode()).text(path)
-    return lines.select(F.col("value").cast("binary").alias("v")).where(F.length("v") > 0).mapInArrow(frugal(run), SCHEMA)
+    reader = spark.read.option("lineSep", NEXT.decode())
+    value = F.col("value").cast("binary").alias("v")
+    files = reader.text(path).inputFiles()
+    plain = [f for f in files if not f.endswith((".gz", ".bz2", ".zst"))]
+    packed = [f for f in files if f not in set(plain)]
+    parts = [reader.text(packed).select(value)] if packed or not files else []
+    if plain:
+        at = F.col("_metadata")
+        rows = reader.text(plain).select(value, at.file_path.alias("file"), at.file_block_start.alias("block"), (at.file_block_length < at.file_size).alias("cut"), F.monotonically_increasing_id().alias("row"))
+        parts.append(rows.where(~F.col("cut")).select("v"))
+        parts.append(rows.where("cut").repartition("file").sortWithinPartitions("file", "block", "row").select("v"))
+    return reduce(DataFrame.unionByName, [p.where(F.length("v") > 0).mapInArrow(frugal(run), SCHEMA) for p in parts]) if parts else spark.createDataFrame([], SCHEMA)

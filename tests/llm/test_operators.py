@@ -743,6 +743,28 @@ def test_warc_files(spark, tmp_path):
     assert [r[1] for r in warc.records_of(iter([b"junk"]))] == ["broken"] and list(warc.records_of(iter([]))) == []
 
 
+def test_warc_records_do_not_depend_on_splits(spark, tmp_path):
+    """Plain files whose blocks hold whole records and record starts, read at several split sizes."""
+    inner = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <inner>\r\nContent-Length: 5\r\n\r\ninner\r\n\r\n"
+    records, raw = [], b""
+    for n in range(40):
+        block = b"a" * (n * 7) + b"\r\n\r\n" + inner * (n % 3) + b"tail\r\n\r\nWARC/1.0 is no record" + b"z" * n
+        raw += b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(block)) + block + b"\r\n\r\n"
+        records.append((f"<r{n}>", block))
+    (tmp_path / "nested.warc").write_bytes(raw)
+    (tmp_path / "other.warc").write_bytes(raw[: raw.index(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r5>")])
+    (tmp_path / "packed.warc.gz").write_bytes(gzip.compress(raw))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (128 << 20, 5000, 1000, 300):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = [(r["record_id"], bytes(r["block"])) for r in warc.scan(spark, str(tmp_path / "*.warc")).collect()]
+            assert sorted(got) == sorted(records + records[:5]), size
+        assert sorted((r["record_id"], bytes(r["block"])) for r in warc.scan(spark, str(tmp_path)).collect()) == sorted(records * 2 + records[:5])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return pieces.vocabulary(MODEL, 0.5)
