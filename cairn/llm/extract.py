@@ -40,7 +40,10 @@ TAG_INDEX = {t: n for n, t in enumerate(TAGS)}
 N_GROUPS = len(TOKENS)
 SPLIT = re.compile(r"[^a-z]+")
 END = re.compile(r"[.!?…。！？]")
-N_FEATURES = len(TAGS) + 2 * N_GROUPS + 22
+#: What footers and headings over readers' comments say. Fixed values.
+RIGHTS = re.compile(r"(?i)©|\(c\) ?\d{4}|copyright|all rights reserved")
+ANSWERS = re.compile(r"(?i)\b(comments?|repl(y|ies)|responses?|discussion|kommentare?|commentaires?|comentarios?)\b")
+N_FEATURES = len(TAGS) + 2 * N_GROUPS + 30
 
 
 @functools.lru_cache(4096)
@@ -75,6 +78,7 @@ class Flat:
         n = len(nodes)
         self.text: list[str | None] = [None] * n
         chars, linked, stops, blocks, paras = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        rights, answers, prose = [0] * n, [0] * n, [0] * n
         kids, tags, own, above = [0] * n, [""] * n, [()] * n, [frozenset()] * n
         depth = [0] * n
         order: list[list[int]] = [[] for _ in range(n)]
@@ -90,6 +94,9 @@ class Flat:
                 self.text[k] = t
                 tags[k] = "#text"
                 chars[k], linked[k], stops[k] = len(t), min(x[1], len(t)), len(END.findall(t))
+                rights[k] = int(len(t) < 300 and RIGHTS.search(t) is not None)
+                answers[k] = int(len(t) < 60 and ANSWERS.search(t) is not None)
+                prose[k] = chars[k] - linked[k] if stops[k] else 0
             else:
                 tag = TAG_OF.get(x.tag, x.tag)
                 tags[k] = tag if tag in TAG_INDEX else "other"
@@ -107,6 +114,20 @@ class Flat:
             stops[up] += stops[k]
             blocks[up] += blocks[k] + 1
             paras[up] += paras[k] + (tags[k] == "p")
+            rights[up] += rights[k]
+            answers[up] += answers[k]
+            prose[up] += prose[k]
+        # nodes behind the end of an article (or main), and behind a heading over comments, in page order
+        last = list(range(n))
+        for k in range(n - 1, 0, -1):
+            last[self.parent[k]] = max(last[self.parent[k]], last[k])
+        closed = min((last[k] for k in range(n) if tags[k] in ("article", "main") and prose[k] * 3 > prose[0]), default=n)
+        told = [n] * n  # by parent: the first brother that is, or begins with, such a heading
+        for up, brothers in enumerate(order):
+            for b in brothers:
+                if answers[b] and chars[b] < 60:
+                    told[up] = b
+                    break
         total = max(1, chars[0])
         x = np.zeros((n, N_FEATURES), np.float32)
         base = len(TAGS) + 2 * N_GROUPS
@@ -117,7 +138,8 @@ class Flat:
             seen[k] = so_far
             if self.text[k] is not None:
                 so_far += chars[k]
-        rows[0] = (0, chars[0], linked[0], linked[0] / (chars[0] + 1), stops[0], stops[0] / (chars[0] + 1) * 100, blocks[0], chars[0] / (blocks[0] + 1), paras[0], kids[0], 1, 0, -1, -1, 1, 1, 0, chars[0], 0, 0, 0, 1)
+        under = [False] * n
+        rows[0] = (0, chars[0], linked[0], linked[0] / (chars[0] + 1), stops[0], stops[0] / (chars[0] + 1) * 100, blocks[0], chars[0] / (blocks[0] + 1), paras[0], kids[0], 1, 0, -1, -1, 1, 1, 0, chars[0], 0, 0, 0, 1, 0, 0, 0, 0, 0, prose[0], 0, 0)
         for up, brothers in enumerate(order):
             if not brothers:
                 continue
@@ -129,7 +151,11 @@ class Flat:
             sizes = [-1, *(chars[b] for b in brothers), -1]
             for i, k in enumerate(brothers):
                 c = sizes[i + 1]
-                rows[k] = (depth[k], c, linked[k], linked[k] / (c + 1), stops[k], stops[k] / (c + 1) * 100, blocks[k], c / (blocks[k] + 1), paras[k], kids[k], m, i / m, sizes[i], sizes[i + 2], c / total, c / (near + 1), seen[k] / total, near, up_stops, up_links, up_paras, alike[tags[k]] / m)
+                under[k] = under[up] or k >= told[up]
+                rows[k] = (
+                    depth[k], c, linked[k], linked[k] / (c + 1), stops[k], stops[k] / (c + 1) * 100, blocks[k], c / (blocks[k] + 1), paras[k], kids[k], m, i / m, sizes[i], sizes[i + 2], c / total, c / (near + 1), seen[k] / total, near, up_stops, up_links, up_paras, alike[tags[k]] / m,
+                    rights[k], rights[up], under[k], k > closed, last[k] == n - 1, prose[k], prose[k] / (prose[up] + 1), prose[brothers[i + 1]] if i + 1 < m else -1,
+                )
                 if above[up]:
                     for g in above[up]:
                         x[k, len(TAGS) + N_GROUPS + g] = 1
@@ -216,6 +242,9 @@ class Template:
             return f"<header{r.choice(('', self.named('header')))}>{body}</header>" if r.random() < 0.6 else f"<div{self.named('header', neutral=0)}>{body}</div>"
         if kind == "footer":
             body = r.choice(("&copy; ", "", "")) + r.choice((text(3, 30), self.links(d) + text(3, 20), self.say(d, 3, 40)))
+            if r.random() < 0.25:  # nothing but the mark tells
+                mark = r.choice(("&copy; {0} ", "(c) {0} ", "Copyright {0} ", "© ")).format(r.randint(1995, 2026))
+                return f"<{(t := r.choice(('div', 'p', 'div')))}{r.choice(('', f' class=c{r.randint(1, 99)}'))}>{d}{mark}{self.words(1, 8)}</{t}>"
             return f"<footer{r.choice(('', self.named('footer')))}>{body}</footer>" if r.random() < 0.65 else f"<div{self.named('footer', neutral=0)}>{body}</div>"
         if kind == "side":
             body = r.choice((f"<h3>{self.say(d, 1, 4)}</h3>", "")) + r.choice((self.links(d), text(5, 40), text(5, 30) + self.links(d), text(20, 80)))
@@ -228,6 +257,12 @@ class Template:
             return f"<form{r.choice(('', self.named('form')))}><label>{self.say(d, 1, 4)}</label><input name=q>{r.choice(('', text(2, 12)))}<button>{self.say(d, 1, 2)}</button></form>"
         if kind == "social":
             return f"<div{self.named('social', neutral=0)}>{r.choice((self.links(d), self.say(d, 1, 8)))}</div>"
+        heading = r.choice(("comments", "Comments", "Replies", "Responses", "Discussion", "Kommentare", "Comentarios"))
+        if r.random() < 0.45:  # nothing but its heading tells
+            head = f"<h{r.choice('234')}>{d}{r.choice(('', f'{r.randint(1, 40)} '))}{heading}</h3>"
+            items = [r.choice((f"<p>{self.say(d, 2, 60)}</p>", self.say(d, 2, 60), f"<b>{self.say(d, 1, 2)}</b><p>{self.say(d, 2, 40)}</p>")) for _ in range(r.randint(1, 7))]
+            body = r.choice(("<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>", "".join(f"<div>{x}</div>" for x in items), "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"))
+            return head + body if r.random() < 0.6 else f"<{(t := r.choice(('div', 'section')))}{self.named('comment', neutral=0.8)}>{head}{body}</{t}>"
         each = lambda: r.choice((f"<p>{self.say(d, 4, 60)}</p>", f"<div{self.named('comment')}><b>{self.say(d, 1, 2)}</b><p>{self.say(d, 4, 60)}</p></div>", f"<li>{self.say(d, 4, 50)}</li>", f"<article{self.named('comment', neutral=0)}><p>{self.say(d, 4, 50)}</p></article>"))
         return f"<{(t := r.choice(('div', 'section', 'ol', 'aside')))}{self.named('comment', neutral=0)}>{r.choice((f'<h3>{self.say(d, 1, 3)}</h3>', ''))}{''.join(each() for _ in range(r.randint(1, 6)))}</{t}>"
 
@@ -235,12 +270,14 @@ class Template:
         r, k = self.r, self.KEEP
         out = [f"<h{r.choice('1112')}>{self.say(k, 1, 12)}</h1>" if r.random() < 0.8 else ""]
         n = r.choice((1, 1, 2, 3, 5, 8, 15, 30))
-        sloppy = r.random() < 0.3
+        sloppy, linked = r.random() < 0.3, r.random() < 0.25
         for _ in range(n):
             kind = r.random()
             p = self.say(k, 1, r.choice((3, 12, 40, 90)))
             if r.random() < 0.15:
                 p += f' <a href="x">{self.words(1, 3)}</a> ' + self.words(1, 15)
+            elif r.random() < (0.5 if linked else 0.04):  # as much link as text
+                p = self.KEEP + " ".join(f'{self.words(1, 2)} <a href="x">{self.words(1, 6)}</a>{r.choice((",", "", " and"))}' for _ in range(r.randint(1, 5))) + r.choice((".", ".", " " + self.words(2, 9)))
             if kind < 0.74:
                 out.append(f"<p>{p}" + ("" if sloppy else "</p>") if r.random() < 0.9 else f"<div>{p}</div>")
             elif kind < 0.8:
@@ -249,7 +286,7 @@ class Template:
                 out.append("<ul>" + "".join(f"<li>{self.say(k, 1, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.9:
                 out.append(f"<h{r.choice('23')}>{self.say(k, 1, 8)}</h2>")
-            elif kind < 0.93:
+            elif kind < 0.87:
                 out.append(f"<blockquote>{p}</blockquote>")
             elif kind < 0.95:
                 out.append(f"<pre>{p}</pre>")
@@ -272,14 +309,28 @@ class Template:
             body = f"<main>{body}</main>" if r.random() < 0.3 else body
         elif kind < 0.65:
             body = f"<main{r.choice(('', self.named('content')))}>{body}</main>"
-        elif kind < 0.9:
+        elif kind < 0.83:
             body = f"<{(t := r.choice(('div', 'section')))}{self.named('content', neutral=0.2)}>{body}</{t}>"
-        else:
+        elif kind < 0.87:
             body = f"<div>{body}</div>"
         before = [self.furniture(x) for x in ("notice", "header", "nav", "advert", "form", "side") if r.random() < {"nav": 0.75, "header": 0.5, "advert": 0.4}.get(x, 0.25)]
         after = [self.furniture(x) for x in ("social", "comment", "side", "advert", "form", "notice", "footer") if r.random() < {"footer": 0.8, "comment": 0.4, "side": 0.4}.get(x, 0.25)]
         if r.random() < 0.3:
             r.shuffle(before)
+        alone = r.random()  # the article may begin or end the page
+        after = [] if alone < 0.22 else after
+        before = [] if 0.12 < alone < 0.34 else before
+        if r.random() < 0.24:  # laid out by a table
+            side = [f"<td{r.choice(('', ' width=150', ' class=c3'))}>{self.links(self.DROP)}</td>" for _ in range(r.choice((1, 1, 2)))]
+            cells = [*side, f"<td>{body}</td>"]
+            r.shuffle(cells)
+            rows = [f"<tr>{''.join(cells)}</tr>"]
+            if r.random() < 0.7:
+                rows.insert(0, f"<tr><td colspan=2>{r.choice((self.say(self.DROP, 1, 5), self.links(self.DROP)))}</td></tr>")
+            if r.random() < 0.8:
+                mark = r.choice(("(c) {0} ", "&copy; {0} ", "")).format(r.randint(1995, 2026))
+                rows.append(f"<tr><td colspan=2>{r.choice((self.DROP + mark + self.words(1, 8), self.links(self.DROP)))}</td></tr>")
+            body, after, before = f"<table>{''.join(rows)}</table>", [x for x in after if r.random() < 0.2], [x for x in before if r.random() < 0.2]
         inner = "".join(before) + body + "".join(after)
         for _ in range(r.choice((0, 0, 1, 1, 2))):
             inner = f'<div{r.choice(("", " class=wrap", " id=page", self.named("content", neutral=0.9)))}>{inner}</div>'
@@ -305,7 +356,7 @@ def labelled(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @functools.lru_cache(2)
-def model(pages: int = 600, seed: int = 5) -> Boosted:
+def model(pages: int = 900, seed: int = 5) -> Boosted:
     x, y, w = labelled(pages, seed)
     return fit(x, y, w / w.mean(), trees=48, rate=0.25, bins=16)
 
@@ -324,10 +375,10 @@ def main_text(pages: list[str | None], trees: Boosted) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = 600) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = 900) -> DataFrame:
     """Per page: id, url, text (the article's blocks joined by two newlines), n_chars.
 
-    A null, empty or article-less page has the empty text; broken markup is read as far as it goes; repeated rows
+    A null, empty or article-less page has the empty text; very long pages are read whole; broken markup is read as far as it goes; repeated rows
     each give a row; an empty table gives none; other columns are not read. The trees are fitted on the driver to
     `train_pages` generated pages, a fixed bound.
     """
