@@ -188,8 +188,9 @@ class Template:
 
     KEEP, DROP = "", ""
 
-    def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, foreign: bool = True) -> None:
+        """foreign: with articles of links, comments and footers without telling names, bare and table layouts."""
+        self.r, self.foreign = random.Random(seed), foreign
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -242,7 +243,7 @@ class Template:
             return f"<header{r.choice(('', self.named('header')))}>{body}</header>" if r.random() < 0.6 else f"<div{self.named('header', neutral=0)}>{body}</div>"
         if kind == "footer":
             body = r.choice(("&copy; ", "", "")) + r.choice((text(3, 30), self.links(d) + text(3, 20), self.say(d, 3, 40)))
-            if r.random() < 0.25:  # nothing but the mark tells
+            if self.foreign and r.random() < 0.25:  # nothing but the mark tells
                 mark = r.choice(("&copy; {0} ", "(c) {0} ", "Copyright {0} ", "© ")).format(r.randint(1995, 2026))
                 return f"<{(t := r.choice(('div', 'p', 'div')))}{r.choice(('', f' class=c{r.randint(1, 99)}'))}>{d}{mark}{self.words(1, 8)}</{t}>"
             return f"<footer{r.choice(('', self.named('footer')))}>{body}</footer>" if r.random() < 0.65 else f"<div{self.named('footer', neutral=0)}>{body}</div>"
@@ -257,12 +258,13 @@ class Template:
             return f"<form{r.choice(('', self.named('form')))}><label>{self.say(d, 1, 4)}</label><input name=q>{r.choice(('', text(2, 12)))}<button>{self.say(d, 1, 2)}</button></form>"
         if kind == "social":
             return f"<div{self.named('social', neutral=0)}>{r.choice((self.links(d), self.say(d, 1, 8)))}</div>"
-        heading = r.choice(("comments", "Comments", "Replies", "Responses", "Discussion", "Kommentare", "Comentarios"))
-        if r.random() < 0.45:  # nothing but its heading tells
-            head = f"<h{r.choice('234')}>{d}{r.choice(('', f'{r.randint(1, 40)} '))}{heading}</h3>"
-            items = [r.choice((f"<p>{self.say(d, 2, 60)}</p>", self.say(d, 2, 60), f"<b>{self.say(d, 1, 2)}</b><p>{self.say(d, 2, 40)}</p>")) for _ in range(r.randint(1, 7))]
-            body = r.choice(("<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>", "".join(f"<div>{x}</div>" for x in items), "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"))
-            return head + body if r.random() < 0.6 else f"<{(t := r.choice(('div', 'section')))}{self.named('comment', neutral=0.8)}>{head}{body}</{t}>"
+        if self.foreign:
+            heading = r.choice(("comments", "Comments", "Replies", "Responses", "Discussion", "Kommentare", "Comentarios"))
+            if r.random() < 0.45:  # nothing but its heading tells
+                head = f"<h{r.choice('234')}>{d}{r.choice(('', f'{r.randint(1, 40)} '))}{heading}</h3>"
+                items = [r.choice((f"<p>{self.say(d, 2, 60)}</p>", self.say(d, 2, 60), f"<b>{self.say(d, 1, 2)}</b><p>{self.say(d, 2, 40)}</p>")) for _ in range(r.randint(1, 7))]
+                body = r.choice(("<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>", "".join(f"<div>{x}</div>" for x in items), "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"))
+                return head + body if r.random() < 0.6 else f"<{(t := r.choice(('div', 'section')))}{self.named('comment', neutral=0.8)}>{head}{body}</{t}>"
         each = lambda: r.choice((f"<p>{self.say(d, 4, 60)}</p>", f"<div{self.named('comment')}><b>{self.say(d, 1, 2)}</b><p>{self.say(d, 4, 60)}</p></div>", f"<li>{self.say(d, 4, 50)}</li>", f"<article{self.named('comment', neutral=0)}><p>{self.say(d, 4, 50)}</p></article>"))
         return f"<{(t := r.choice(('div', 'section', 'ol', 'aside')))}{self.named('comment', neutral=0)}>{r.choice((f'<h3>{self.say(d, 1, 3)}</h3>', ''))}{''.join(each() for _ in range(r.randint(1, 6)))}</{t}>"
 
@@ -270,13 +272,13 @@ class Template:
         r, k = self.r, self.KEEP
         out = [f"<h{r.choice('1112')}>{self.say(k, 1, 12)}</h1>" if r.random() < 0.8 else ""]
         n = r.choice((1, 1, 2, 3, 5, 8, 15, 30))
-        sloppy, linked = r.random() < 0.3, r.random() < 0.25
+        sloppy, linked = r.random() < 0.3, self.foreign and r.random() < 0.25
         for _ in range(n):
             kind = r.random()
             p = self.say(k, 1, r.choice((3, 12, 40, 90)))
             if r.random() < 0.15:
                 p += f' <a href="x">{self.words(1, 3)}</a> ' + self.words(1, 15)
-            elif r.random() < (0.5 if linked else 0.04):  # as much link as text
+            elif self.foreign and r.random() < (0.5 if linked else 0.04):  # as much link as text
                 p = self.KEEP + " ".join(f'{self.words(1, 2)} <a href="x">{self.words(1, 6)}</a>{r.choice((",", "", " and"))}' for _ in range(r.randint(1, 5))) + r.choice((".", ".", " " + self.words(2, 9)))
             if kind < 0.74:
                 out.append(f"<p>{p}" + ("" if sloppy else "</p>") if r.random() < 0.9 else f"<div>{p}</div>")
@@ -286,7 +288,7 @@ class Template:
                 out.append("<ul>" + "".join(f"<li>{self.say(k, 1, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.9:
                 out.append(f"<h{r.choice('23')}>{self.say(k, 1, 8)}</h2>")
-            elif kind < 0.87:
+            elif kind < (0.87 if self.foreign else 1):
                 out.append(f"<blockquote>{p}</blockquote>")
             elif kind < 0.95:
                 out.append(f"<pre>{p}</pre>")
@@ -309,18 +311,18 @@ class Template:
             body = f"<main>{body}</main>" if r.random() < 0.3 else body
         elif kind < 0.65:
             body = f"<main{r.choice(('', self.named('content')))}>{body}</main>"
-        elif kind < 0.83:
+        elif kind < (0.83 if self.foreign else 0.9):
             body = f"<{(t := r.choice(('div', 'section')))}{self.named('content', neutral=0.2)}>{body}</{t}>"
-        elif kind < 0.87:
+        elif kind < (0.87 if self.foreign else 1):
             body = f"<div>{body}</div>"
         before = [self.furniture(x) for x in ("notice", "header", "nav", "advert", "form", "side") if r.random() < {"nav": 0.75, "header": 0.5, "advert": 0.4}.get(x, 0.25)]
         after = [self.furniture(x) for x in ("social", "comment", "side", "advert", "form", "notice", "footer") if r.random() < {"footer": 0.8, "comment": 0.4, "side": 0.4}.get(x, 0.25)]
         if r.random() < 0.3:
             r.shuffle(before)
-        alone = r.random()  # the article may begin or end the page
+        alone = r.random() if self.foreign else 1  # the article may begin or end the page
         after = [] if alone < 0.22 else after
         before = [] if 0.12 < alone < 0.34 else before
-        if r.random() < 0.24:  # laid out by a table
+        if self.foreign and r.random() < 0.24:  # laid out by a table
             side = [f"<td{r.choice(('', ' width=150', ' class=c3'))}>{self.links(self.DROP)}</td>" for _ in range(r.choice((1, 1, 2)))]
             cells = [*side, f"<td>{body}</td>"]
             r.shuffle(cells)
