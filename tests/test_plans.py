@@ -60,7 +60,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_says_why():
-    assert {n for n in QUERIES if n not in ORACLES} == {"rfm_kmeans_fit", "baseline_classifier", "stopped_classifier", "pipeline_gating"}
+    assert {n for n in QUERIES if n not in ORACLES} == {"rfm_kmeans_fit", "baseline_classifier", "stopped_classifier", "minibatch_classifier", "pipeline_gating"}
 
 
 def test_arrays_are_encoded_whole(spark, tmp_path):
@@ -83,15 +83,16 @@ def test_token_ids_have_the_model_s_size(spark, tmp_path):
 
 
 def test_segments_are_fitted_with_ten_starts(spark, monkeypatch):
-    seeds = []
+    runs, whole = [], rfm.kmeans
 
-    class Counted(rfm.KMeans):
-        def __init__(self, **options):
-            seeds.append(options["seed"])
-            super().__init__(**options)
+    def counted(*args):
+        runs.append(whole(*args))
+        return runs[-1]
 
-    monkeypatch.setattr(rfm, "KMeans", Counted)
-    assert QUERIES["rfm_kmeans_fit"](spark, SF).count() == 4 and len(set(seeds)) == 10
+    monkeypatch.setattr(rfm, "kmeans", counted)
+    assert QUERIES["rfm_kmeans_fit"](spark, SF).count() == 4
+    ((_, cost, costs),) = runs
+    assert len(costs) == 10 and cost == min(costs)
 
 
 def test_scans_are_pruned(spark):
