@@ -69,8 +69,9 @@ def shapley(df: DataFrame, load: Callable[[], Model], pairs: int = 4, seed: int
     """df with base (the answer to an empty text), score, failed, and token_values: array of (token, value) in the text's
     order, over `pairs` orders and their reversals.
 
-    `load` makes the model once a worker. Rows carry their own result, so keys may repeat or be null. Equal texts have
-    equal values. A null text is an empty one: no tokens, score equal to base. A text of over `players` words is divided
+    `load` makes the model once a worker. Rows get their result by their text, so keys may repeat or be null. Equal texts
+    have equal values, and the model is asked about them once: distinct texts are dealt evenly to as many tasks as there
+    are shuffle partitions or cores, however few files hold the rows, and joined back. A null text is an empty one: no tokens, score equal to base. A text of over `players` words is divided
     into that many runs of words, which share their run's value. A model that fails on a text leaves nulls there and
     failed true. An empty table gives no rows; columns of these names are replaced."""
 
@@ -88,8 +89,13 @@ def shapley(df: DataFrame, load: Callable[[], Model], pairs: int = 4, seed: int
                     out.append((None, None, True, None))
             yield pd.DataFrame(out, columns=["base", "score", "failed", "token_values"])
 
-    names = ("base", "score", "failed", "token_values")
-    return df.withColumn("_told", told(F.col(text).cast("string"))).withColumns({n: F.col(f"_told.{n}") for n in names}).drop("_told")
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = df.select(F.col(text).cast("string").alias("_asked")).distinct().repartition(tasks)
+    once = told.asNondeterministic()  # or a filter upon the values is asked below the dealing, of every row of a file
+    answers = asked.withColumn("_told", once("_asked")).select("_asked", "_told.*")
+    rows = df.drop(*answers.columns)
+    return rows.join(answers, F.col(text).cast("string").eqNullSafe(F.col("_asked")), "left").drop("_asked")
 
 
 def top_tokens(df: DataFrame, load: Callable[[], Model], k: int = 8, **options: int | str) -> DataFrame:

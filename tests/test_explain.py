@@ -89,3 +89,24 @@ def test_top_tokens_failures_and_edges(spark):
     assert got["boom"]["failed"] and got["boom"]["top_tokens"] is None and got[None]["top_tokens"] == []
     assert explain.shapley(rows.where("false"), lambda: moody).count() == 0
     assert explain.sampled(rows, lambda: moody, sample=2).count() == 2
+
+
+def test_equal_texts_are_asked_once_by_many_tasks(spark):
+    """One partition of rows with few distinct texts: the model sees each once, in more than one task."""
+    asked, tasks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        tasks.add(1)
+
+        def model(texts):
+            asked.add(len(texts))
+            return [float(t.count("a")) for t in texts]
+
+        return model
+
+    rows = spark.range(400).selectExpr("id", "if(id % 41 = 40, null, concat('a b', id % 41)) as text", "'x' as failed").coalesce(1)
+    found = explain.shapley(rows, load, pairs=1)
+    assert found.selectExpr("id", "posexplode(token_values)").count() == 2 * sum(n % 41 < 40 for n in range(400)) and asked.value == 40 * 4 + 2
+    got = found.collect()
+    assert len(got) == 400 and all([v["value"] for v in r["token_values"]] == ([] if r["text"] is None else [1.0, 0.0]) and r["failed"] is False for r in got)
+    assert asked.value == 2 * (40 * 4 + 2) and tasks.value > 2
