@@ -10,15 +10,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.tails import mann_whitney_two_sided, student_two_sided
 
 
-#: Edges are looked up in two steps: among every so manyth, then among those between.
-STRIDE = 32
+#: Edges, of which there are fewer than twice the first step, are looked up by halving steps.
+STEPS = tuple(1 << n for n in reversed(range(10)))
 
 
 def _below(edges: Column, value: Column) -> Column:
     """How many of the sorted edges are smaller than value."""
-    coarse = F.transform(F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)), F.lit(STRIDE)), lambda n: F.get(edges, n - 1))
-    block = F.greatest(F.size(F.filter(coarse, lambda e: e < value)) - 1, F.lit(0))
-    return block * STRIDE + F.size(F.filter(F.slice(edges, block * STRIDE + 1, STRIDE), lambda e: e < value))
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < value, at + step).otherwise(at))
 
 
 def with_bins(cells: DataFrame, value: str, counts: list[str], of: list[str] | None = None) -> DataFrame:

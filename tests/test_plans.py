@@ -252,3 +252,8 @@ def test_negation_sample_goes_by_the_sql_s_flags(spark, tmp_path):
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     got = sorted(map(tuple, QUERIES["negation_balanced_sample"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(ORACLES["negation_balanced_sample"]).fetchall()) and len(got) == 200
+
+
+def test_price_descriptions_join_no_product(spark):
+    plan = QUERIES["price_describe_by_outlier"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(c in plan for c in ("p_partkey", "s_suppkey", "n_nationkey")) and "l_extendedprice" in plan
