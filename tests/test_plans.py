@@ -257,3 +257,14 @@ def test_negation_sample_goes_by_the_sql_s_flags(spark, tmp_path):
 def test_price_descriptions_join_no_product(spark):
     plan = QUERIES["price_describe_by_outlier"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(c in plan for c in ("p_partkey", "s_suppkey", "n_nationkey")) and "l_extendedprice" in plan
+
+
+def test_legacy_figures_meet_by_order_alone(spark):
+    """The rows and figures of the whole old frame, without its lookups."""
+    m = Market(spark, SF)
+    lines = enrich.legacy_lines(m.orders, m.items, enrich.payment_totals(m.payments))
+    whole = enrich.legacy_merged(m.orders, m.customers.drop("region"), m.items, m.products, m.sellers, m.payments, m.reviews, m.translation)
+    told = lambda df: list(df.agg(F.count("*"), F.count_distinct("order_id"), F.sum("total_payment_value"), F.count_if("is_late_delivery")).first())
+    assert told(lines) == pytest.approx(told(whole))
+    plan = QUERIES["legacy_merged_inflation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 4 and not any(c in plan for c in ("p_partkey", "s_suppkey", "c_custkey"))
