@@ -6,8 +6,8 @@ of its children's) makes the k best perturbed leaves an exact sample of k distin
 and makes the perturbed total of a subtree an exact bound: best-first search pops leaf after leaf in order.
 
 As pieces never reach over the start of a run of spaces, nor between characters that stand side by side in no piece,
-the lattice is a chain of word lattices. Distinct words are
-laid out once a batch, in arrays; a popped subtree runs down to its leaf for all documents at once, and the siblings
+the lattice is a chain: a text is a chain of words, a word one of units. Distinct units are laid out once, in arrays that
+a task keeps from slice to slice; a popped subtree runs down to its leaf for all documents at once, and the siblings
 left beside its path join the agenda. Siblings deep in a text have negligible mass; they wait as one item with the
 noise of their maximum and are split up only when popped. All noise is a hash of seed, row key and position.
 
@@ -34,7 +34,8 @@ U64 = np.uint64
 np.seterr(over="ignore")  # hashes wrap around
 _BYTE = seeded_table(256, 101)
 SPACE = "▁"
-SLICE = 1 << 19  # bytes of text laid out at a time; a lattice takes some 200 times its distinct words
+SLICE = 1 << 19  # bytes of text drawn at a time
+KEEP = 1 << 21  # bytes of distinct units beyond which a task starts its lattices anew; they take some 70 times that
 LONG = 256  # bytes and steps up to which words go side by side; what is longer goes node by node
 HEAD = 16  # nodes of a path whose siblings join the agenda one by one
 C_SAMPLE, C_WORD, C_STEP, C_SIDE = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
@@ -48,6 +49,47 @@ def bytes_hash(piece: bytes) -> int:
     return h
 
 
+class Table:
+    """Numbers by 64-bit hashes, found by probing."""
+
+    def __init__(self, bits: int) -> None:
+        self._room(bits)
+
+    def _room(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U64), np.full(1 << bits, -2, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        if 2 * (self.used + len(hashes)) > 1 << self.bits:
+            full = np.flatnonzero(self.values != -2)
+            hashes, numbers = np.concatenate([self.keys[full], hashes]), np.concatenate([self.values[full], numbers])
+            self._room((2 * len(hashes)).bit_length())
+        self.used += len(hashes)
+        at = self._slot(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.values[at] == -2)
+            self.keys[at[free]], self.values[at[free]] = hashes[free], numbers[free]
+            left = self.keys[at] != hashes  # the place is another's, maybe since just now
+            hashes, numbers, at = hashes[left], numbers[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers, -2 where there is none."""
+        at = self._slot(hashes)
+        out = self.values[at]
+        todo = np.flatnonzero((self.keys[at] != hashes) & (out != -2))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            here = out[todo] = self.values[at]
+            go = (here != -2) & (self.keys[at] != hashes[todo])
+            todo, at = todo[go], at[go]
+        return out
+
+
 class Vocabulary:
     """Pieces as bytes (spaces for the space mark) with scores, and a probing table of their hashes and prefixes."""
 
@@ -76,8 +118,7 @@ class Vocabulary:
         used = np.array([bool(b) for b in self.bytes])
         self.score = alpha * (logs - np.log(np.exp(logs[used]).sum()))
         self.length = np.array([len(b) for b in self.bytes], np.int64)
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.spelt = pa.array(self.bytes, pa.large_binary())
         entries: dict[int, int] = {}
         for i in usable:
             for cut in range(1, len(self.bytes[i])):
@@ -86,27 +127,16 @@ class Vocabulary:
             entries[bytes_hash(self.bytes[i])] = i
         pairs = {two for i in usable for two in itertools.pairwise(self.bytes[i].decode())}
         self.pairs = np.sort(np.array([bytes_hash("".join(two).encode()) for two in pairs], U64))
-        self.bits = 19
-        self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -2, np.int32)
-        for h, i in entries.items():
-            at = h * 0x9E3779B97F4A7C15 % 2**64 >> (64 - self.bits)
-            while self.values[at] != -2:
-                at = (at + 1) % (1 << self.bits)
-            self.keys[at], self.values[at] = h, i
+        self.joined = np.zeros(1 << 16, bool)  # by the bytes on either side: whether a piece may reach from one to the other
+        self.joined[[a.encode()[-1] << 8 | b.encode()[0] for a, b in pairs]] = True
+        self.table = Table(19)
+        self.table.add(np.array(list(entries), U64), np.array(list(entries.values()), np.int64))
+        self.one = self.find(_BYTE)  # by a byte
+        self.two = self.find((_BYTE[:, None] + _BYTE * U64(_BASE)).ravel())  # by two
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece id, -1: only a prefix of pieces, -2: neither."""
-        at = (hashes * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, self.values[at], -2).astype(np.int32)
-        todo = np.flatnonzero((self.values[at] != -2) & (self.keys[at] != hashes))
-        at = at[todo]
-        while len(todo):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            hit = self.keys[at] == hashes[todo]
-            out[todo[hit]] = self.values[at[hit]]
-            go = (self.values[at] != -2) & ~hit
-            todo, at = todo[go], at[go]
-        return out
+        return self.table.find(hashes)
 
 
 @functools.lru_cache(4)
@@ -114,111 +144,164 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
 
 
-class Lattices:
-    """Edges of the lattices of distinct words, sorted by source node; a word of m bytes has nodes base .. base + m."""
+class Column:
+    """An array that grows at its end."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> None:
-        n_words, total = len(starts), int(sizes.sum())
+    def __init__(self, kind: type) -> None:
+        self.room, self.used = np.empty(KEEP, kind), 0
+
+    def add(self, more: np.ndarray) -> np.ndarray:
+        """Appends; returns all there is."""
+        end = self.used + len(more)
+        if end > len(self.room):
+            wider = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            wider[: self.used] = self.room[: self.used]
+            self.room = wider
+        self.room[self.used : end] = more
+        self.used = end
+        return self.room[:end]
+
+
+class Lattices:
+    """Lattices of the distinct units met so far, edges sorted by source node; a unit of m bytes has nodes base .. base + m."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        self.known = Table(18)
+        kinds = {"base": np.int64, "end": np.int64, "text": np.uint8, "first": np.int64, "src": np.int32, "dst": np.int32, "piece": np.int32, "closes": bool, "logp": np.float64, "stop": np.float64}
+        self.columns = {name: Column(kind) for name, kind in kinds.items()}
+        self._append(**{name: np.zeros(int(name == "first"), kind) for name, kind in kinds.items()})
+
+    def _append(self, **more: np.ndarray) -> None:
+        for name, values in more.items():
+            setattr(self, name, self.columns[name].add(values))
+
+    def kinds_of(self, names: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of units, given by the hashes of their bytes; those not met before are laid out."""
+        kinds = self.known.find(names)
+        new = np.flatnonzero(kinds < 0)
+        if len(new):
+            distinct, example, of = np.unique(names[new], return_index=True, return_inverse=True)
+            before, example = len(self.base), new[example]
+            self._lay_out(data, starts[example], sizes[example])
+            self.known.add(distinct, np.arange(before, len(self.base)))
+            kinds[new] = before + of
+        return kinds
+
+    def _lay_out(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        vocab, n_words, total = self.vocab, len(starts), int(sizes.sum())
         first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
         text = data[np.repeat(starts - first, sizes) + np.arange(total)]
-        self.base = first + np.arange(n_words)
-        self.end = self.base + sizes
-        left = np.repeat(sizes, sizes) - (np.arange(total) - first[word])
+        left = np.repeat((first + sizes).astype(np.int32), sizes) - np.arange(total, dtype=np.int32)
         power, inverse = _powers(total)
         cum = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[text] * power[:total])])
-        lead = (text & 0xC0) != 0x80
-        boundary = np.concatenate([lead, [True]])
+        boundary = np.ones(total + 1, bool)
+        boundary[:-1] = (text & 0xC0) != 0x80
         boundary[first] = True
-        lead = boundary[:-1]
-        char = np.ones(total, np.int64)
-        at_lead = np.flatnonzero(lead)
-        char[at_lead] = np.diff(np.concatenate([at_lead, [total]]))
+        at_lead = np.flatnonzero(boundary[:-1])
+        char = np.diff(at_lead, append=total)
         found: list[tuple[np.ndarray, np.ndarray | int, np.ndarray | int]] = []  # edges by length: sources, sizes, pieces
+        known = np.zeros(total, np.int8)
         alive, length = at_lead, 0
-        known = np.zeros(total, bool)
         while len(alive):
             length += 1
-            alive = alive[left[alive] >= length]
-            got = vocab.find((cum[alive + length] - cum[alive]) * inverse[alive])
-            hit = (got >= 0) & (boundary[alive + length] | (left[alive] == length))
+            if length == 1:
+                got = vocab.one[text[alive]]
+            elif length == 2:
+                got = vocab.two[text[alive].astype(np.int64) << 8 | text[alive + 1]]
+            else:
+                got = vocab.find((cum[alive + length] - cum[alive]) * inverse[alive])
+            hit = np.flatnonzero((got >= 0) & boundary[alive + length])
             at = alive[hit]
             found.append((at, length, got[hit]))
-            known[at[char[at] == length]] = True
-            alive = alive[got > -2]
-        lost = at_lead[~known[at_lead]]
-        found.append((lost, char[lost], -1))
-        byte_score = vocab.score[vocab.byte_id]
-        byte_sum = np.concatenate([[0.0], np.cumsum(byte_score[text])])
-        each = np.zeros(total, np.int32)
+            if length < 5:
+                known[at] |= 1 << length
+            alive = alive[(got > -2) & (left[alive] > length)]
+        lost = np.flatnonzero((char > 4) | (known[at_lead] >> np.minimum(char, 4) & 1 == 0))
+        found.append((at_lead[lost], char[lost], -1))
+        each = np.zeros(total + 1, np.int64)
         for at, _, _ in found:
             each[at] += 1
-        place = np.cumsum(each, dtype=np.int32) - each
-        edges = int(each.sum())
-        at, size, self.piece = np.repeat(np.arange(total, dtype=np.int32), each), np.empty(edges, np.int32), np.empty(edges, np.int32)
+        place = np.cumsum(each) - each
+        opens, count = place.copy(), each[:-1]
+        edges = int(place[-1])
+        size, piece = np.empty(edges, np.int32), np.empty(edges, np.int32)
         for a, n, p in reversed(found):  # longer pieces first: they are likelier
             put = place[a]
-            size[put], self.piece[put] = n, p
+            size[put], piece[put] = n, p
             place[a] += 1
-        score = np.where(self.piece >= 0, vocab.score[self.piece], byte_sum[at + size] - byte_sum[at])
+        score = vocab.score[piece]
+        lost = np.flatnonzero(piece < 0)
+        at = np.repeat(np.arange(total, dtype=np.int32), count)
+        byte_sum = np.concatenate([[0.0], np.cumsum(vocab.score[vocab.byte_id[text]])])
+        score[lost] = byte_sum[at[lost] + size[lost]] - byte_sum[at[lost]]
         del found, known, cum, byte_sum, alive, got, place, each
-        self.src = at + word[at]
-        self.dst = self.src + size
-        self.byte_at, self.text, self.size = at, text, size
-        nodes = total + n_words
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.src, minlength=nodes))])
-        self.beta = np.full(nodes, -np.inf)
-        self.beta[self.end] = 0.0
-        beta, height = self.beta, np.minimum(left[at], LONG + 1).astype(np.uint16)
-        by_height = np.argsort(height, kind="stable")
-        cuts = np.searchsorted(height[by_height], np.arange(1, LONG + 2))
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        src = at + np.repeat(np.arange(n_words, dtype=np.int32), sizes)[at]
+        dst = src + size
+        base = first + np.arange(n_words)
+        end, nodes = base + sizes, total + n_words
+        first = np.repeat(edges, nodes + 1)
+        inner = np.ones(nodes, bool)
+        inner[end] = False
+        inner = np.flatnonzero(inner)
+        first[inner] = opens[:-1]
+        first[end] = opens[base + sizes - np.arange(n_words)]
+        beta = np.full(nodes, -np.inf)
+        beta[end] = 0.0
+        self._back(beta, src, dst, score, np.minimum(left[at], LONG + 1).astype(np.uint16))
+        for w in np.flatnonzero(sizes > LONG).tolist():
+            _far_back(beta, first, dst, int(base[w]), int(end[w]), score)
+        with np.errstate(invalid="ignore"):
+            logp = score + beta[dst] - beta[src]
+        logp[~np.isfinite(logp)] = -np.inf
+        stop = np.exp(logp)
+        node = np.flatnonzero(first[1:] > first[:-1])
+        here, behind = first[node], first[node + 1]
+        while len(here):
+            more = here + 1 < behind
+            here, behind = here[more] + 1, behind[more]
+            stop[here] += stop[here - 1]
+        with np.errstate(invalid="ignore"):
+            stop /= np.repeat(stop[first[node + 1] - 1], first[node + 1] - first[node])
+        spelt = np.zeros(nodes, np.uint8)
+        spelt[inner] = text
+        ended = np.zeros(nodes, bool)
+        ended[end] = True
+        above, before = len(self.text), len(self.src)
+        self._append(base=base + above, end=end + above, text=spelt, first=first[1:] + before, src=src + np.int32(above), dst=dst + np.int32(above), piece=piece, closes=ended[dst], logp=logp, stop=stop)
+
+    def _back(self, beta: np.ndarray, src: np.ndarray, dst: np.ndarray, score: np.ndarray, height: np.ndarray) -> None:
+        """Backward sums of all nodes up to LONG from their ends, side by side: the nearest first."""
+        order = np.argsort(height, kind="stable")
+        cuts = np.searchsorted(height[order], np.arange(1, LONG + 2))
+        order = order[: cuts[-1]]
+        if not len(order):
+            return
+        node, to, value = src[order], dst[order], score[order]
+        opens = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count, node = np.diff(opens, append=len(order)), node[opens]
+        groups = np.searchsorted(opens, cuts)
+        for s, e, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), groups[:-1].tolist(), groups[1:].tolist(), strict=True):
             if s == e:
                 continue
-            edges = by_height[s:e]
-            value = score[edges] + beta[self.dst[edges]]
-            node = self.src[edges]
-            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            top = np.maximum.reduceat(value, start)
+            got = value[s:e] + beta[to[s:e]]
+            start = opens[a:b] - s
+            top = np.maximum.reduceat(got, start)
             safe = np.where(np.isfinite(top), top, 0.0)
-            count = np.diff(np.concatenate([start, [len(node)]]))
+            got -= np.repeat(safe, count[a:b])
             with np.errstate(divide="ignore"):
-                beta[node[start]] = safe + np.log(np.add.reduceat(np.exp(value - np.repeat(safe, count)), start))
-        for w in np.flatnonzero(sizes > LONG).tolist():
-            self._far_back(int(self.base[w]), int(self.end[w]), score)
-        with np.errstate(invalid="ignore"):
-            self.logp = score + beta[self.dst] - beta[self.src]
-        self.logp[~np.isfinite(self.logp)] = -np.inf
-        self.cum = np.cumsum(np.exp(self.logp))
-        self.low = np.concatenate([[0.0], self.cum])[self.first[:-1]]
-        self.high = np.concatenate([[0.0], self.cum])[self.first[1:]]
-
-    def _far_back(self, base: int, end: int, score: np.ndarray) -> None:
-        """Backward sums of a long word's nodes that lie further than LONG from its end, one by one."""
-        last = end - LONG
-        first = self.first[base : last + 1].tolist()
-        lo = first[0]
-        values, to = score[lo : first[-1]].tolist(), (self.dst[lo : first[-1]] - base).tolist()
-        beta = self.beta[base : end + 1].tolist()
-        for node in range(last - base - 1, -1, -1):
-            got = [values[e - lo] + beta[to[e - lo]] for e in range(first[node], first[node + 1])]
-            top = max(got, default=-math.inf)
-            if top > -math.inf:
-                beta[node] = top + math.log(sum([math.exp(x - top) for x in got]))
-        self.beta[base:last] = beta[: last - base]
+                beta[node[a:b]] = safe + np.log(np.add.reduceat(np.exp(got), start))
 
     def walk(self, node: int, end: int, u: np.ndarray) -> list[int]:
-        """The edges of a path from node to end, drawn like step(), one by one."""
+        """The edges of a path from node to its unit's end, drawn like step(), one by one."""
         first = self.first[node : end + 1].tolist()
         lo = first[0]
-        cum, to = self.cum[lo : first[-1]].tolist(), (self.dst[lo : first[-1]] - node).tolist()
-        low, high = self.low[node:end].tolist(), self.high[node:end].tolist()
-        at, stop, out = 0, end - node, []
+        stop, to = self.stop[lo : first[-1]].tolist(), (self.dst[lo : first[-1]] - node).tolist()
+        at, last, out = 0, end - node, []
         for x in u.tolist():
-            if at >= stop:
+            if at >= last:
                 break
-            goal = low[at] + x * (high[at] - low[at])
-            e = bisect.bisect_left(cum, goal, first[at] - lo, first[at + 1] - 1 - lo)
+            e = bisect.bisect_left(stop, x, first[at] - lo, first[at + 1] - 1 - lo)
             out.append(lo + e)
             at = to[e]
         return out
@@ -226,17 +309,29 @@ class Lattices:
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, in proportion to its probability."""
         edge = self.first[node]
-        goal = self.low[node]
-        goal += u * (self.high[node] - goal)
-        last = self.first[node + 1] - 1
-        todo = np.flatnonzero((self.cum[edge] < goal) & (edge < last))
+        todo = np.flatnonzero(self.stop[edge] < u)
         while len(todo):
-            edge[todo] += 1
-            here = edge[todo]
-            todo = todo[(self.cum[here] < goal[todo]) & (here < last[todo])]
+            here = edge[todo] + 1
+            edge[todo] = here
+            todo = todo[self.stop[here] < u[todo]]
         return edge
 
 
+def _far_back(beta: np.ndarray, opens: np.ndarray, dst: np.ndarray, base: int, end: int, score: np.ndarray) -> None:
+    """Backward sums of a long unit's nodes that lie further than LONG from its end, one by one."""
+    last = end - LONG
+    first = opens[base : last + 1].tolist()
+    lo = first[0]
+    values, to = score[lo : first[-1]].tolist(), (dst[lo : first[-1]] - base).tolist()
+    sums = beta[base : end + 1].tolist()
+    for node in range(last - base - 1, -1, -1):
+        got = [values[e - lo] + sums[to[e - lo]] for e in range(first[node], first[node + 1])]
+        top = max(got, default=-math.inf)
+        if top > -math.inf:
+            sums[node] = top + math.log(sum([math.exp(x - top) for x in got]))
+    beta[base:last] = sums[: last - base]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and sizes of words (a run of spaces and what follows up to the next), and each text's word offsets."""
     space = data == 32
@@ -260,57 +355,78 @@ def cut_long_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, cum: n
     same = owner[1:] == owner[:-1]
     before, here = at[:-1][same], at[1:][same]
     byte = data[here]
-    ends = here + 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0)
+    ends = np.minimum(here + 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0), len(data))
     two = (cum[ends] - cum[before]) * inverse[before]
     found = np.minimum(np.searchsorted(vocab.pairs, two), len(vocab.pairs) - 1)
     return np.union1d(start, here[vocab.pairs[found] != two])
 
 
+def units_of(data: np.ndarray, start: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Starts of units: of words, and inside them wherever no piece holds the two bytes around."""
+    begins = np.zeros(len(data), bool)
+    begins[1:] = ~vocab.joined[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    begins &= (data & 0xC0) != 0x80
+    begins[start] = True
+    return np.flatnonzero(begins)
+
+
 class Batch:
     """Samples of a batch of texts (with the leading space already in place)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabulary) -> None:
-        self.vocab, self.keys = vocab, keys
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabulary, lattices: Lattices) -> None:
+        self.vocab, self.keys, self.lattice = vocab, keys, lattices
         start, size, self.words = words_of(data, offsets)
         power, inverse = _powers(len(data))
         cum = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * power[: len(data)])])
         cut = cut_long_words(data, start, size, cum, inverse, vocab)
         if len(cut) > len(start):
-            start, size, self.words = cut, np.diff(np.concatenate([cut, [len(data)]])), np.searchsorted(cut, offsets)
-        name = mix((cum[start + size] - cum[start]) * inverse[start] + size.astype(U64))
-        _, example, self.kind = np.unique(name, return_index=True, return_inverse=True)
-        self.lattice = Lattices(data, start[example], size[example], vocab)
+            start, self.words = cut, np.searchsorted(cut, offsets)
+        unit = units_of(data, start, vocab)
+        size = np.diff(unit, append=len(data))
+        name = mix((cum[unit + size] - cum[unit]) * inverse[unit] + size.astype(U64))
+        self.kind = lattices.kinds_of(name, data, unit, size)
+        self.units = np.append(np.searchsorted(unit, start), len(unit))  # the first unit of each word
+        self.opens = self.units[self.words]  # and of each text
+        self.word = np.append(np.repeat(np.arange(len(start)), np.diff(self.units)), len(start))
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.words))
         self.nth = np.arange(len(start)) - self.words[:-1][self.doc]
 
-    def run_down(self, sample: int, from_word: np.ndarray, from_node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fresh paths from word from_word[d] at node from_node[d] (-1: its start) to each text's end; docs with
-        from_word < 0 take no part. Returns edges in order, their words, and each text's edge offsets."""
+    def run_down(self, sample: int, from_unit: np.ndarray, from_node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fresh paths from unit from_unit[d] of each text at node from_node[d] (-1: its start) to the text's end; docs
+        with from_unit < 0 take no part. Returns edges in order, and each text's edge offsets."""
         x = self.lattice
-        begin = np.where(from_word < 0, self.words[1:], self.words[:-1] + np.maximum(from_word, 0))
+        begin_unit = np.where(from_unit < 0, self.opens[1:], self.opens[:-1] + np.maximum(from_unit, 0))
+        begin = self.word[begin_unit]
         count = self.words[1:] - begin
-        who = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        node = x.base[self.kind[who]]
-        started = np.flatnonzero((count > 0) & (from_node >= 0))
-        node[(np.cumsum(count) - count)[started]] = from_node[started]
-        end = x.end[self.kind[who]]
+        head = np.cumsum(count) - count
+        who = np.repeat(begin - head, count) + np.arange(int(count.sum()))
+        unit, last = self.units[who], self.units[who + 1] - 1
+        some = np.flatnonzero(count > 0)
+        unit[head[some]] = begin_unit[some]
+        node = x.base[self.kind[unit]]
+        some = some[from_node[some] >= 0]
+        node[head[some]] = from_node[some]
         seed = self.keys[self.doc[who]] + C_SAMPLE * U64(sample + 1) + C_WORD * self.nth[who].astype(U64)
-        at, got, slot, step = np.flatnonzero(node < end), [], [], 0
+        at, each, got, slot, step = np.arange(len(who)), np.zeros(len(who), np.int64), [], [], 0
         while len(at) and step < LONG:
-            edge = x.step(node[at], uniform(mix(seed[at] + C_STEP * U64(step))))
+            edge = x.step(node, uniform(mix(seed + C_STEP * U64(step))))
             got.append(edge)
             slot.append(at)
-            node[at] = x.dst[edge]
-            at = at[node[at] < end[at]]
             step += 1
-        far = [(a, x.walk(int(node[a]), int(end[a]), uniform(mix(seed[a] + C_STEP * np.arange(step, step + end[a] - node[a], dtype=U64))))) for a in at.tolist()]
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(from_word) + 1, np.int64)
-        each = np.zeros(len(who), np.int64)
-        for a in slot:
-            each[a] += 1
+            node = x.dst[edge]
+            closed = np.flatnonzero(x.closes[edge])
+            word = at[closed]
+            over = unit[word] == last[word]
+            on = word[~over]
+            unit[on] += 1
+            node[closed[~over]] = x.base[self.kind[unit[on]]]
+            each[word[over]] = step
+            stays = np.ones(len(at), bool)
+            stays[closed[over]] = False
+            at, node, seed = at[stays], node[stays], seed[stays]
+        far = [(a, self._walk(int(unit[a]), int(last[a]), n, z, step)) for a, n, z in zip(at.tolist(), node.tolist(), seed, strict=True)]
         for a, more in far:
-            each[a] += len(more)
+            each[a] = step + len(more)
         place = np.cumsum(each) - each
         edge = np.empty(int(each.sum()), np.int64)
         for n, (a, e) in enumerate(zip(slot, got, strict=True)):
@@ -318,36 +434,45 @@ class Batch:
         for a, more in far:
             edge[place[a] + step : place[a] + step + len(more)] = more
         before = np.concatenate([[0], np.cumsum(each)])
-        return edge, np.repeat(who, each), before[np.concatenate([[0], np.cumsum(count)])]
+        return edge, before[np.concatenate([[0], np.cumsum(count)])]
+
+    def _walk(self, unit: int, last: int, node: int, seed: U64, step: int) -> list[int]:
+        """The edges from a node of a unit to the end of the word whose last unit is `last`, one by one."""
+        x, out = self.lattice, []
+        kinds = self.kind[unit : last + 1].tolist()
+        most = int(x.end[kinds].sum() - x.base[kinds].sum())
+        u = uniform(mix(seed + C_STEP * np.arange(step, step + most, dtype=U64)))
+        for n, kind in enumerate(kinds):
+            out += x.walk(int(x.base[kind]) if n else node, int(x.end[kind]), u[len(out) :])
+        return out
 
     def draw(self, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text up to k (edges, log-probability, log inclusion score), best perturbed first."""
         x, docs = self.lattice, len(self.words) - 1
         agenda: list[list] = [[] for _ in range(docs)]
-        paths: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]] = [[] for _ in range(docs)]
+        paths: list[list[tuple[np.ndarray, np.ndarray, float]]] = [[] for _ in range(docs)]
         noise = -np.log(-np.log(uniform(mix(self.keys + C_SIDE))))
-        from_word, from_node = np.zeros(docs, np.int64), np.full(docs, -1, np.int64)
+        from_unit, from_node = np.zeros(docs, np.int64), np.full(docs, -1, np.int64)
         popped: list = [(g, -1, 0, -1) for g in noise.tolist()]
         for sample in range(k):
-            edge, word, at = self.run_down(sample, from_word, from_node)
-            logs = x.logp[edge]
-            place_in = word - self.words[:-1][self.doc[word]]
+            edge, at = self.run_down(sample, from_unit, from_node)
+            logs, at = x.logp[edge], at.tolist()
             active = [d for d in range(docs) if popped[d] is not None]
             starts = []
             for d in active:
                 g, parent, cut, first = popped[d]
                 s, e = at[d], at[d + 1]
                 if parent < 0:
-                    paths[d].append((edge[s:e], place_in[s:e], logs[s:e], g))
+                    paths[d].append((edge[s:e], logs[s:e], g))
                     starts.append(0)
                 else:
-                    old, old_place, old_lp, _ = paths[d][parent]
-                    paths[d].append((np.concatenate([old[:cut], [first], edge[s:e]]), np.concatenate([old_place[: cut + 1], place_in[s:e]]), np.concatenate([old_lp[:cut], x.logp[[first]], logs[s:e]]), g))
+                    old, old_lp, _ = paths[d][parent]
+                    paths[d].append((np.concatenate([old[:cut], [first], edge[s:e]]), np.concatenate([old_lp[:cut], x.logp[[first]], logs[s:e]]), g))
                     starts.append(cut + 1)
             self._beside(agenda, paths, active, starts, k - sample)
             if sample + 1 == k:
                 break
-            from_word, from_node = np.full(docs, -1, np.int64), np.full(docs, -1, np.int64)
+            from_unit, from_node = np.full(docs, -1, np.int64), np.full(docs, -1, np.int64)
             for d in range(docs):
                 popped[d] = None
                 while agenda[d]:
@@ -356,13 +481,15 @@ class Batch:
                         self._beside(agenda, paths, [d], [cut], k - sample, number=parent, maximum=-g)
                         continue
                     popped[d] = (-g, parent, cut, first)
-                    from_word[d], from_node[d] = paths[d][parent][1][cut], x.dst[first]
+                    closed = bool(x.closes[first])
+                    from_unit[d] = np.count_nonzero(x.closes[paths[d][parent][0][:cut]]) + closed
+                    from_node[d] = -1 if closed else x.dst[first]
                     break
         out = []
         for d in range(docs):
             kappa = -agenda[d][0][0] if agenda[d] else -np.inf
             got = []
-            for path, _, lp, _ in paths[d]:
+            for path, lp, _ in paths[d]:
                 total = float(lp.sum())
                 gap = total - kappa
                 inclusion = 0.0 if gap > 30 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
@@ -381,11 +508,11 @@ class Batch:
         size = np.array([len(p) for p in parts], np.int64)
         if not size.sum():
             return
-        path, lp = np.concatenate(parts), np.concatenate([p[2][s : s + HEAD] for p, s in zip(chosen, starts, strict=True)])
+        path, lp = np.concatenate(parts), np.concatenate([p[1][s : s + HEAD] for p, s in zip(chosen, starts, strict=True)])
         owner = np.repeat(np.arange(len(docs)), size)
         opens = np.cumsum(size) - size
-        prefix = np.array([float(p[2][:s].sum()) for p, s in zip(chosen, starts, strict=True)])
-        rest = np.array([float(p[2][s + HEAD :].sum()) for p, s in zip(chosen, starts, strict=True)])
+        prefix = np.array([float(p[1][:s].sum()) for p, s in zip(chosen, starts, strict=True)])
+        rest = np.array([float(p[1][s + HEAD :].sum()) for p, s in zip(chosen, starts, strict=True)])
         cum = np.concatenate([[0.0], np.cumsum(lp)])
         before = prefix[owner] + cum[:-1] - cum[opens][owner]
         low = x.first[x.src[path]]
@@ -406,7 +533,7 @@ class Batch:
             return
         keys = self.keys[np.array(docs)][who] + C_SIDE * np.array([len(paths[d]) + 1 if number is None else number + 1001 for d in docs], U64)[who]
         u = uniform(mix(keys + C_WORD * cut.astype(U64) + C_STEP * (edges - x.first[x.src[np.maximum(edges, 0)]] + 2).astype(U64) * (edges >= 0) + C_SAMPLE * U64(77)))
-        g = np.array([p[3] for p in chosen])[who] if maximum is None else np.full(len(who), maximum)
+        g = np.array([p[2] for p in chosen])[who] if maximum is None else np.full(len(who), maximum)
         with np.errstate(over="ignore"):
             noise = where - np.log(np.exp(where - g) - np.log(u))
         if maximum is not None:
@@ -425,24 +552,22 @@ class Batch:
         """Piece ids of edges, characters outside the vocabulary as bytes; and how many each edge gives."""
         x = self.lattice
         piece = x.piece[edges]
-        lost = piece < 0
-        count = np.where(lost, x.size[edges], 1)
+        count = np.ones(len(edges), np.int64)
+        lost = np.flatnonzero(piece < 0)
+        if not len(lost):
+            return piece, count
+        size = (x.dst[edges[lost]] - x.src[edges[lost]]).astype(np.int64)
+        count[lost] = size
         out = np.repeat(piece, count)
-        if lost.any():
-            ends = np.cumsum(count)
-            inner = np.arange(len(out)) - np.repeat(ends - count, count)
-            from_bytes = np.repeat(lost, count)
-            out[from_bytes] = self.vocab.byte_id[x.text[np.repeat(x.byte_at[edges], count)[from_bytes] + inner[from_bytes]]]
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        opens = (np.cumsum(count) - count)[lost]
+        out[np.repeat(opens, size) + inner] = self.vocab.byte_id[x.text[np.repeat(x.src[edges[lost]], size) + inner]]
         return out, count
 
 
 def decode_bytes(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """The bytes that ids spell, the leading space still in place."""
-    size = vocab.length[ids]
-    ends = np.cumsum(size)
-    if not len(ids):
-        return np.zeros(0, np.uint8)
-    return vocab.flat[np.repeat(vocab.start[ids] - (ends - size), size) + np.arange(ends[-1])]
+    return text_bytes(vocab.spelt.take(pa.array(ids)))[0]
 
 
 def with_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -452,13 +577,13 @@ def with_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return moved, offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
 
 
-def encode_batch(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, samples: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[float], list[float], list[bool]]:
+def encode_batch(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, samples: int, lattices: Lattices | None = None) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[float], list[float], list[bool]]:
     """Rows of (text index, sample number), flat ids with offsets, log-probabilities, inclusion scores, round trips."""
     data, offsets = with_space(*text_bytes(texts))
     rows, numbers, probs, inclusions, whole = [], [], [], [], []
     if not len(data):
         return list(range(len(texts))), [1] * len(texts), np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), [0.0] * len(texts), [0.0] * len(texts), [True] * len(texts)
-    batch = Batch(data, offsets, keys, vocab)
+    batch = Batch(data, offsets, keys, vocab, lattices or Lattices(vocab))
     drawn = batch.draw(samples)
     edges, counts = [], []
     for d, got in enumerate(drawn):
@@ -492,12 +617,15 @@ def encode(docs: DataFrame, model_path: str, samples: int = 2, alpha: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path, alpha)
+        lattices = Lattices(vocab)
         for b in batches:
             for part in slices(b, "t", SLICE):
-                give_back()
                 texts = part.column("t")
                 keys = mix(np.asarray(part.column("key")).astype(np.int64).view(U64))
-                rows, numbers, flat, ends, probs, inclusions, whole = encode_batch(texts, keys, vocab, samples)
+                if len(lattices.text) > KEEP:
+                    lattices = Lattices(vocab)
+                    give_back()  # not after every slice: touching the memory anew takes a fifth of the time
+                rows, numbers, flat, ends, probs, inclusions, whole = encode_batch(texts, keys, vocab, samples, lattices)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 null = np.asarray(part.column("empty"))[rows]
                 if null.any():
