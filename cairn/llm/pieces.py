@@ -34,8 +34,8 @@ U64 = np.uint64
 np.seterr(over="ignore")  # hashes wrap around
 _BYTE = seeded_table(256, 101)
 SPACE = "▁"
-SLICE = 1 << 19  # bytes of text drawn at a time
-KEEP = 1 << 21  # bytes of distinct units beyond which a task starts its lattices anew; they take some 70 times that
+SLICE = 1 << 18  # bytes of text drawn at a time
+KEEP = 1 << 18  # bytes of distinct units beyond which a task starts its lattices anew; they take some 70 times that
 LONG = 256  # bytes and steps up to which words go side by side; what is longer goes node by node
 HEAD = 16  # nodes of a path whose siblings join the agenda one by one
 C_SAMPLE, C_WORD, C_STEP, C_SIDE = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
@@ -167,7 +167,7 @@ class Lattices:
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-        self.known = Table(18)
+        self.known = Table(16)
         kinds = {"base": np.int64, "end": np.int64, "text": np.uint8, "first": np.int64, "src": np.int32, "dst": np.int32, "piece": np.int32, "closes": bool, "logp": np.float64, "stop": np.float64}
         self.columns = {name: Column(kind) for name, kind in kinds.items()}
         self._append(**{name: np.zeros(int(name == "first"), kind) for name, kind in kinds.items()})
